@@ -1,0 +1 @@
+"""The engine is batch-only: fits read whole tables, so no streaming operator is defined here."""
