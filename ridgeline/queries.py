@@ -33,7 +33,10 @@ def r6(c: Column, name: str, digits: int = 8) -> Column:
 
 
 # --- shared inputs: a deterministic response over near-independent columns ---------------------------------
-Y = 0.05 * F.col("l_quantity") - 8.0 * F.col("l_discount") + F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0) + (F.col("l_extendedprice") - 50000.0) / 50000.0
+def y_syn() -> Column:
+    return 0.05 * F.col("l_quantity") - 8.0 * F.col("l_discount") + F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0) + (F.col("l_extendedprice") - 50000.0) / 50000.0
+
+
 L_SQL = """lin AS (SELECT l_quantity / 50e0 AS x0, l_discount * 10e0 AS x1, l_tax * 10e0 AS x2, (l_extendedprice - 5e4) / 5e4 AS x3, l_quantity AS q, l_returnflag AS rf, l_linestatus AS ls,
  0.05e0 * l_quantity - 8e0 * l_discount + CASE WHEN l_returnflag = 'R' THEN 1e0 ELSE 0e0 END + (l_extendedprice - 5e4) / 5e4 AS y FROM lineitem)"""
 NAMES = ("x0", "x1", "x2", "x3")
@@ -43,7 +46,7 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return df.select(
         (F.col("l_quantity") / 50.0).alias("x0"), (F.col("l_discount") * 10.0).alias("x1"), (F.col("l_tax") * 10.0).alias("x2"), ((F.col("l_extendedprice") - 5e4) / 5e4).alias("x3"),
-        F.col("l_quantity").alias("q"), F.col("l_returnflag").alias("rf"), F.col("l_linestatus").alias("ls"), Y.alias("y"),
+        F.col("l_quantity").alias("q"), F.col("l_returnflag").alias("rf"), F.col("l_linestatus").alias("ls"), y_syn().alias("y"),
     )
 
 
@@ -235,7 +238,10 @@ def kron_class_grad(spark, sf_dir):
 
 
 # --- families -----------------------------------------------------------------------------------------------
-ETA = 0.3 * F.col("x0") - 0.4 * F.col("x1") + 0.2
+def eta() -> Column:
+    return 0.3 * F.col("x0") - 0.4 * F.col("x1") + 0.2
+
+
 ETA_SQL = "(0.3e0 * x0 - 0.4e0 * x1 + 0.2e0)"
 BIN_SQL = "(CASE WHEN rf = 'R' THEN 1e0 ELSE 0e0 END)"
 
@@ -249,7 +255,7 @@ def sums(spark, df: DataFrame, terms: list[Column]) -> DataFrame:
 def gaussian_family(spark, sf_dir):
     y, one = F.col("y"), F.lit(1.0)
     f = Gaussian()
-    return sums(spark, lineitem(spark, sf_dir), [f.gradient(y, ETA, one, Columns), f.hessian(y, ETA, one, Columns), f.loss(y, ETA, one, Columns), f.loss_full(y, one, Columns)])
+    return sums(spark, lineitem(spark, sf_dir), [f.gradient(y, eta(), one, Columns), f.hessian(y, eta(), one, Columns), f.loss(y, eta(), one, Columns), f.loss_full(y, one, Columns)])
 
 
 SIG = f"(1e0 / (1e0 + exp(-{ETA_SQL})))"
@@ -258,7 +264,7 @@ SIG = f"(1e0 / (1e0 + exp(-{ETA_SQL})))"
 @query(listing([f"avg({BIN_SQL} - {SIG})", f"avg({SIG} * (1e0 - {SIG}))", f"avg(ln(1e0 + exp({ETA_SQL})) - {BIN_SQL} * {ETA_SQL})", "avg(0e0)", f"avg({SIG})"], "lin"))
 def logit_family(spark, sf_dir):
     y, one, f = F.when(F.col("rf") == "R", 1.0).otherwise(0.0), F.lit(1.0), Binomial()
-    return sums(spark, lineitem(spark, sf_dir), [f.gradient(y, ETA, one, Columns), f.hessian(y, ETA, one, Columns), f.loss(y, ETA, one, Columns), f.loss_full(y, one, Columns), f.inv_link(ETA, Columns)])
+    return sums(spark, lineitem(spark, sf_dir), [f.gradient(y, eta(), one, Columns), f.hessian(y, eta(), one, Columns), f.loss(y, eta(), one, Columns), f.loss_full(y, one, Columns), f.inv_link(eta(), Columns)])
 
 
 PHI, PHIC = f"(0.5e0 * {erfc_sql(f'(-{ETA_SQL} / sqrt(2e0))')})", f"(0.5e0 * {erfc_sql(f'({ETA_SQL} / sqrt(2e0))')})"
@@ -267,7 +273,7 @@ PHI, PHIC = f"(0.5e0 * {erfc_sql(f'(-{ETA_SQL} / sqrt(2e0))')})", f"(0.5e0 * {er
 @query(listing([f"avg({PHI})", f"avg(-({BIN_SQL} * ln({PHI}) + (1e0 - {BIN_SQL}) * ln({PHIC})))", f"avg(exp(-0.5e0 * {ETA_SQL} * {ETA_SQL}) / sqrt(2e0 * pi()) * ({BIN_SQL} / {PHI} - (1e0 - {BIN_SQL}) / {PHIC}))"], "lin"))
 def probit_family(spark, sf_dir):
     y, one, f = F.when(F.col("rf") == "R", 1.0).otherwise(0.0), F.lit(1.0), Binomial(link="probit")
-    return sums(spark, lineitem(spark, sf_dir), [f.inv_link(ETA, Columns), f.loss(y, ETA, one, Columns), f.gradient(y, ETA, one, Columns)])
+    return sums(spark, lineitem(spark, sf_dir), [f.inv_link(eta(), Columns), f.loss(y, eta(), one, Columns), f.gradient(y, eta(), one, Columns)])
 
 
 CNT_SQL = "floor(q / 10e0)"
@@ -276,7 +282,7 @@ CNT_SQL = "floor(q / 10e0)"
 @query(listing([f"avg({CNT_SQL} - exp({ETA_SQL}))", f"avg(exp({ETA_SQL}))", f"avg(exp({ETA_SQL}) - {CNT_SQL} * {ETA_SQL})", f"avg({CNT_SQL} - CASE WHEN {CNT_SQL} > 0 THEN {CNT_SQL} * ln({CNT_SQL}) ELSE 0e0 END)"], "lin"))
 def poisson_family(spark, sf_dir):
     y, one, f = F.floor(F.col("q") / 10.0).cast("double"), F.lit(1.0), Poisson()
-    return sums(spark, lineitem(spark, sf_dir), [f.gradient(y, ETA, one, Columns), f.hessian(y, ETA, one, Columns), f.loss(y, ETA, one, Columns), f.loss_full(y, one, Columns)])
+    return sums(spark, lineitem(spark, sf_dir), [f.gradient(y, eta(), one, Columns), f.hessian(y, eta(), one, Columns), f.loss(y, eta(), one, Columns), f.loss_full(y, one, Columns)])
 
 
 @query(listing(["avg((y - x0) / 2e0)", "avg((x3 - x1) / 2e0)", "avg((0.5e0 * x0 * x0 - y * x0 + 0.5e0 * x1 * x1 - x3 * x1) / 2e0)"], "lin"))
