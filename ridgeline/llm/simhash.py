@@ -27,6 +27,8 @@ PARTS = ((0, 21), (21, 21), (42, 22))
 HAMMING = 15
 #: Shingles hashed at once, and members of an anchor that are compared as one matrix.
 STEP, MATRIX = 1 << 16, 48
+#: Members of an anchor that meet in one task; larger anchors are dealt out as pairs of blocks.
+BLOCK = 8192
 
 
 def fingerprint(text: str) -> int:
@@ -104,17 +106,38 @@ def forest(members: np.ndarray, own: np.ndarray, most: int = DISTANCE) -> tuple[
     return left, right
 
 
+def bridges(left: np.ndarray, right: np.ndarray, most: int = DISTANCE) -> tuple[list, list]:
+    """Links between two blocks of one anchor's members that span what these links connect; see ``forest``."""
+    rest, a, b = [left, right], [], []
+    while len(rest[0]) and len(rest[1]):
+        queue, rest[0] = [(0, rest[0][0])], rest[0][1:]
+        while queue:
+            side, now = queue.pop()
+            close = np.bitwise_count(rest[1 - side] ^ now) <= most
+            if close.any():
+                found = rest[1 - side][close]
+                a += [now] * len(found)
+                b += found.tolist()
+                queue += [(1 - side, x) for x in found]
+                rest[1 - side] = rest[1 - side][~close]
+    return a, b
+
+
+#: Columns of a member at an anchor: the pair of blocks (i, j) that meet, and whether the member is of block j only.
+MEMBER = ("cell", "i", "j", "side", "fp", "home")
+
+
 def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning links of each run of rows with one cell; small cells of a batch are compared together."""
-    cell0, fp0, own0 = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    """Spanning links of each run of rows with one (cell, i, j); small runs of a batch are compared together. Runs are
+    two blocks at most, so what waits for the next batch is bounded."""
 
-    def done(cell: np.ndarray, fp: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def done(cuts: np.ndarray, side: np.ndarray, fp: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
         bits = fp.view(np.uint64)
-        cuts = np.flatnonzero(np.diff(cell, prepend=-1))
-        sizes = np.diff(np.append(cuts, len(cell)))
+        sizes = np.diff(np.append(cuts, len(fp)))
         left, right = [], []
         for at, n in zip(cuts[sizes > MATRIX].tolist(), sizes[sizes > MATRIX].tolist(), strict=True):
-            a, b = forest(bits[at : at + n], own[at : at + n])
+            run, second = bits[at : at + n], side[at : at + n]
+            a, b = bridges(run[~second], run[second]) if second.any() else forest(run, own[at : at + n])
             left.append(np.array(a, np.uint64))
             right.append(np.array(b, np.uint64))
         small = np.repeat((sizes > 1) & (sizes <= MATRIX), sizes)
@@ -130,15 +153,35 @@ def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = (np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (left, right))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
+    held: list[np.ndarray] = []
     for batch in batches:
-        cell, fp, own = (np.concatenate([x, batch.column(k).to_numpy(zero_copy_only=False)]) for x, k in zip((cell0, fp0, own0), ("cell", "fp", "home"), strict=True))
-        if not len(cell):
+        rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in MEMBER]
+        rows = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
+        if not len(rows[0]):
             continue
-        last = int(np.searchsorted(cell, cell[-1]))  # rows are sorted by cell; the last cell may go on
-        yield from done(cell[:last], fp[:last], own[:last])
-        cell0, fp0, own0 = cell[last:], fp[last:], own[last:]
-    if len(cell0):
-        yield from done(cell0, fp0, own0)
+        change = np.ones(len(rows[0]), bool)
+        change[1:] = np.any([x[1:] != x[:-1] for x in rows[:3]], axis=0)
+        cuts = np.flatnonzero(change)
+        yield from done(cuts[:-1], *(x[: cuts[-1]] for x in rows[3:]))
+        held = [x[cuts[-1] :] for x in rows]  # the last run may go on in the next batch
+    if held:
+        yield from done(np.zeros(1, np.int64), *held[3:])
+
+
+def meetings(nodes: DataFrame) -> DataFrame:
+    """A row ``MEMBER`` for each anchor of each distinct fingerprint ``fp``, sorted so that those that meet are runs.
+
+    Anchors over ``BLOCK`` members are dealt out: each member gets a block by its hash, and each pair of blocks, a
+    block with itself included, is a run of its own. All members still meet, at most about two blocks in a task.
+    There are 2**19 anchors at any size of the corpus, so the table of large ones (12 bytes each) may be broadcast
+    and counting members is combined before its shuffle."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = nodes.select("fp").mapInArrow(replicas, "cell long, fp long, home boolean")
+    large = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = cells.join(F.broadcast(large), "cell", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("fp"), F.col("blocks")), F.lit(0)).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    runs = dealt.withColumn("pair", F.explode(pairs)).select("cell", "pair.i", "pair.j", (F.col("own") != F.col("pair.i")).alias("side"), "fp", "home")
+    return runs.repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,16 +195,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null texts count as empty; texts without words have fingerprint 0 and link like any other. Equal fingerprints
     are one node from the start, so copies never meet as pairs; repeated rows and ids give repeated rows, null ids
-    take part but name a component only if it has no other id. An empty table gives an empty table. Cells get
-    distinct fingerprints only, about 45 short rows each, and are streamed in sorted order; each returns fewer links
-    than members once it is large. Links and components stay distributed and are stored in the shared folder."""
+    take part but name a component only if it has no other id. An empty table gives an empty table. Anchors get
+    distinct fingerprints only, about 45 short rows each, large anchors as pairs of blocks (see ``meetings``); each
+    run returns fewer links than members once it is large. Links and components stay distributed and are stored in
+    the shared folder."""
     store = Stored(docs.sparkSession, "simhash")
     prints, _ = store.put(fingerprints(docs, id_col, text_col).withColumnRenamed(id_col, "id"))
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = nodes.select("fp").mapInArrow(replicas, "cell long, fp long, home boolean")
-    edges = cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(links, "a long, b long")
-    labels = connected_components(edges, store)
+    nodes, _ = store.put(prints.groupBy("fp").agg(F.min("id").alias("first")))
+    labels = connected_components(meetings(nodes).mapInArrow(links, "a long, b long"), store)
     labelled = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     named = labelled.join(smallest, "component").select("fp", "component_id")

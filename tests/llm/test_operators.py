@@ -248,6 +248,39 @@ def test_forest_spans_components(n):
     assert brute_components(len(members), [(at[int(x)], at[int(y)]) for x, y in zip(a, b, strict=True)]) == want
 
 
+def test_simhash_split_anchors_lose_no_link(spark, docs, monkeypatch):
+    r = np.random.default_rng(8)
+    prints = {0}
+    for _ in range(300):  # one dense chain of neighbours, so that anchors hold many members
+        prints.add(r.choice(sorted(prints)) ^ int(np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 20, 3).astype(np.uint64))))
+    nodes = spark.createDataFrame([(int(x),) for x in prints], "fp long")
+    whole = {(x["cell"], x["fp"]) for x in simhash.meetings(nodes).collect()}
+    edges = lambda: [tuple(x) for x in simhash.meetings(nodes).mapInArrow(simhash.links, "a long, b long").collect()]
+    at = {x: k for k, x in enumerate(prints)}
+    want = brute_components(len(at), [(at[a], at[b]) for a in prints for b in prints if a < b and bin(a ^ b).count("1") <= 4])
+    for block in (simhash.BLOCK, 100, 16):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        members = simhash.meetings(nodes).collect()
+        assert {(x["cell"], x["fp"]) for x in members} == whole
+        assert (max(x["j"] for x in members) > 0) == (block <= 100)
+        runs = Counter((x["cell"], x["i"], x["j"]) for x in members)
+        assert max(runs.values()) <= 4 * block
+        found = edges()
+        assert all(bin(a ^ b).count("1") <= 4 for a, b in found)
+        assert brute_components(len(at), [(at[a], at[b]) for a, b in found]) == want
+
+
+@pytest.mark.parametrize("n", [5, 60, 300])
+def test_bridges_span_what_links_of_two_blocks_connect(n):
+    r = np.random.default_rng(n)
+    members = np.unique(r.integers(0, 1 << 9, n).astype(np.uint64) * np.uint64(0x0101010101010101))
+    left, right = members[::2], members[1::2]
+    at = {int(x): k for k, x in enumerate(members)}
+    linked = [(at[int(x)], at[int(y)]) for x in left for y in right if bin(int(x ^ y)).count("1") <= 4]
+    a, b = simhash.bridges(left, right)
+    assert brute_components(len(members), [(at[int(x)], at[int(y)]) for x, y in zip(a, b, strict=True)]) == brute_components(len(members), linked)
+
+
 def test_pseudonyms(docs, empty):
     p = pii.Pseudonyms(b"k")
     for size in (2, 3, 10, 97, 1000):
