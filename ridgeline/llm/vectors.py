@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ridgeline.llm.common import Stored, pick
 from ridgeline.llm.components import connected_components
@@ -31,29 +32,51 @@ def bucket_keys(unit: np.ndarray) -> np.ndarray:
     return (mixed >> 32).astype(np.int32)
 
 
-def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per table: the bucket, the vector at unit length in double precision and the keys of all tables."""
+def unit_length(v: np.ndarray) -> np.ndarray:
+    scaled = v / np.abs(v).max(axis=1, keepdims=True)  # squares of tiny or huge components stay finite
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
+def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """(batch, rows of one length, their vectors in double precision, their bucket keys), some hundred rows at once."""
     for batch in batches:
-        ids, times, vectors = batch.column("id").to_numpy(), batch.column("times").to_numpy(), batch.column("embedding")
+        vectors = batch.column("embedding")
         sizes = np.diff(vectors.offsets.to_numpy())
         values = vectors.flatten().to_numpy().astype(np.float64)
         at = np.concatenate([[0], np.cumsum(sizes)])
         for dim in np.unique(sizes):
             rows = np.flatnonzero(sizes == dim)
             for some in np.array_split(rows, len(rows) // 512 + 1):
-                v = np.stack([values[at[i] : at[i + 1]] for i in some]) if len(some) else np.zeros((0, dim))
-                scaled = v / np.abs(v).max(axis=1, keepdims=True)  # squares of tiny or huge components stay finite
-                unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
-                keys = bucket_keys(unit)
-                packed = [k.tobytes() for k in keys]
-                for t in range(TABLES):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(some), t, np.int32)), pa.array(np.full(len(some), dim, np.int32)), pa.array(keys[:, t]), pa.array(ids[some]), pa.array(times[some]), pa.array([u.tobytes() for u in unit], pa.binary()), pa.array(packed, pa.binary())],
-                        ["tab", "dim", "bucket", "id", "times", "unit", "keys"],
-                    )
+                if len(some):
+                    v = np.stack([values[at[i] : at[i + 1]] for i in some])
+                    yield batch, some, v, bucket_keys(unit_length(v))
+
+
+def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per vector and table: the bucket alone."""
+    for _, some, v, keys in hashed(batches):
+        n = len(some)
+        yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TABLES, dtype=np.int32), n)), pa.array(np.full(n * TABLES, v.shape[1], np.int32)), pa.array(keys.ravel())], ["tab", "dim", "bucket"])
+
+
+def spread(kind: str):
+    """One row per vector and table: the bucket, the vector in its own precision ``kind`` and the keys of all tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, some, v, keys in hashed(batches):
+            ids, times = batch.column("id").to_numpy()[some], batch.column("times").to_numpy()[some]
+            raw = pa.array([x.tobytes() for x in v.astype(kind)], pa.binary())
+            packed = pa.array([k.tobytes() for k in keys], pa.binary())
+            for t in range(TABLES):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(some), t, np.int32)), pa.array(np.full(len(some), v.shape[1], np.int32)), pa.array(keys[:, t]), pa.array(ids), pa.array(times), raw, packed],
+                    ["tab", "dim", "bucket", "id", "times", "vector", "keys"],
+                )
+
+    return run
 
 
-SPREAD = "tab int, dim int, bucket int, id long, times long, unit binary, keys binary"
+SPREAD = "tab int, dim int, bucket int, id long, times long, vector binary, keys binary"
 
 
 def compared(ids: np.ndarray, times: np.ndarray, units: np.ndarray, keys: np.ndarray, table: int, left: np.ndarray, right: np.ndarray, cosine: float):
@@ -98,7 +121,7 @@ def compared(ids: np.ndarray, times: np.ndarray, units: np.ndarray, keys: np.nda
     return weight, edges
 
 
-def checked(cosine: float):
+def checked(cosine: float, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         now = None
@@ -108,11 +131,11 @@ def checked(cosine: float):
             if block.num_rows < 2:
                 return
             ids, times, side = (block.column(c).to_numpy() for c in ("id", "times", "side"))
-            units = np.frombuffer(b"".join(block.column("unit").to_pylist())).reshape(len(ids), -1)
+            units = unit_length(np.frombuffer(b"".join(block.column("vector").to_pylist()), kind).reshape(len(ids), -1).astype(np.float64))
             keys = np.frombuffer(b"".join(block.column("keys").to_pylist()), np.int32).reshape(len(ids), -1)
             left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
             right = right if len(right) else left
-            if now[4] != now[5] and right is left:
+            if now[3] != now[4] and right is left:
                 return
             weight, edges = compared(ids, times, units, keys, now[0], left, right, cosine)
             at = np.flatnonzero(weight)
@@ -121,7 +144,7 @@ def checked(cosine: float):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[at], np.array(a, np.int64)])), pa.array([None] * len(at) + b, pa.int64()), pa.array(np.concatenate([weight[at], np.zeros(len(a), np.int64)]))], ["a", "b", "links"])
 
         for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in ("tab", "dim", "bucket", "salt", "i", "j")]
+            columns = [batch.column(c).to_numpy() for c in ("tab", "dim", "bucket", "i", "j")]
             change = np.zeros(batch.num_rows, bool)
             for c in columns:
                 change[1:] |= c[1:] != c[:-1]
@@ -151,7 +174,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     Candidates share a bucket in one of 20 tables of 8 quantised projections (width 2): a pair at cosine 0.95 is
     found with probability 0.9998, closer ones more surely. Each pair counts in the first table it shares. Buckets
     over ``BLOCK`` members are dealt out as pairs of blocks, so a task never holds more than two blocks; a block
-    returns one row per linked member and fewer spanning links than members, never all pairs."""
+    returns one row per linked member and fewer spanning links than members, never all pairs. A first pass counts
+    buckets without their vectors; the second shuffles each vector once per table, in its own precision, and unit
+    lengths are taken in double precision where vectors meet."""
     spark = vectors.sparkSession
     store = Stored(spark, "vectors")
     base = pick(vectors, id=id_col, embedding=vector_col)
@@ -160,13 +185,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # ids may repeat or be null, so nodes carry a number of their own, fixed by the stored table
     nodes, _ = store.put(distinct.withColumn("node", F.monotonically_increasing_id()))
-    rows, _ = store.put(nodes.select(F.col("node").alias("id"), "times", "embedding").repartition(parts).mapInArrow(spread, SPREAD))
-    sizes = rows.groupBy("tab", "dim", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("tab", "dim", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    element = vectors.schema[vector_col].dataType.elementType
+    kind = "<f4" if isinstance(element, T.FloatType) else "<f8"  # either holds the components exactly
+    own = nodes.select(F.col("node").alias("id"), "times", "embedding").repartition(parts)
+    counted = own.mapInArrow(buckets, "tab int, dim int, bucket int").groupBy("tab", "dim", "bucket").agg(F.count("*").alias("n"))
+    # stored, so that the join knows its size: broadcast only below Spark's threshold, else both sides are shuffled
+    sizes, _ = store.put(counted.where(F.col("n") > BLOCK).select("tab", "dim", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    rows = own.mapInArrow(spread(kind), SPREAD)
     dealt = rows.join(sizes, ["tab", "dim", "bucket"], "left").withColumn("own", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int"))
     meet = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
-    dealt = dealt.withColumn("meet", F.explode(meet)).select("tab", "dim", "bucket", F.lit(0).alias("salt"), F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), (F.col("own") != F.col("meet.i")).cast("int").alias("side"), "id", "times", "unit", "keys")
-    key = ["tab", "dim", "bucket", "salt", "i", "j"]
-    found, _ = store.put(dealt.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(checked(cosine), "a long, b long, links long"))
+    dealt = dealt.withColumn("meet", F.explode(meet)).select("tab", "dim", "bucket", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), (F.col("own") != F.col("meet.i")).cast("int").alias("side"), "id", "times", "vector", "keys")
+    key = ["tab", "dim", "bucket", "i", "j"]
+    found, _ = store.put(dealt.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(checked(cosine, kind), "a long, b long, links long"))
     labels = connected_components(found.where("b is not null").select("a", "b"), store)
     counts = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
     labelled = nodes.join(counts, "node", "left").join(labels, "node", "left").select("embedding", "id", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
