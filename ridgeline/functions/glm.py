@@ -184,6 +184,11 @@ class Multinomial(MultiFamily):
         """Twice the diagonal: a majoriser of the full matrix."""
         return [2.0 * w * p * (1.0 - p) / len(ys) for p in self.inv_link(etas, xp)]
 
+    def curvature(self, etas, w, xp=Arrays):
+        """The full matrix of second derivatives between classes, as K lists of K."""
+        ps = self.inv_link(etas, xp)
+        return [[w * p * ((1.0 if k == m else 0.0) - q) / len(etas) for m, q in enumerate(ps)] for k, p in enumerate(ps)]
+
     def loss(self, ys, etas, w, xp=Arrays):
         top = etas[0]
         for e in etas[1:]:

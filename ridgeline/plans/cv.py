@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ridgeline.functions.glm import Response
 from ridgeline.operators.features import FeatureFrame
@@ -15,19 +16,24 @@ from ridgeline.plans.diagnostic import coefficient
 from ridgeline.plans.path import GlmData, Options, PathResult, gaussian_from_statistics, grpnet, lambda_path
 
 
+#: Rows that number themselves in one task, and the largest number of such tasks.
+RUN, MOST_RUNS = 200_000, 1 << 16
+
+
 def assign_folds(df: DataFrame, key: str, n_folds: int, seed: int = 0) -> DataFrame:
-    """``df`` with ``fold``: rows in order of a seeded hash of their unique key are dealt out in turn, so that sizes
-    differ by one at most. The order number comes from partition totals and local numbers (two narrow tables), not
-    from a window over all rows."""
-    keyed = df.select(F.col(key).alias("__key"), F.xxhash64(F.lit(seed), key).alias("__hash")).repartitionByRange("__hash", "__key").sortWithinPartitions("__hash", "__key")
-    numbered = keyed.withColumn("__id", F.monotonically_increasing_id())
-    part, at = F.shiftrightunsigned("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
-    totals = {r["part"]: r["n"] for r in numbered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
-    starts, n = {}, 0
-    for p in sorted(totals):
-        starts[p], n = n, n + totals[p]
-    offset = F.element_at(F.create_map(*(F.lit(x) for p in sorted(starts) for x in (p, starts[p]))), part) if starts else F.lit(0)
-    folds = numbered.select("__key", F.pmod(offset + at, F.lit(n_folds)).cast("int").alias("fold"))
+    """``df`` with ``fold``: rows in order of seeded hashes of their unique key are dealt out in turn, so that sizes
+    differ by one at most.
+
+    Hashes put keys in runs of about ``RUN`` rows; a row's number is its place in its run plus the rows of the runs
+    before. Both follow from the keys alone, never from partitions, so a repeated or recovered task gives the same
+    folds. The totals of the runs, ``MOST_RUNS`` rows at most, are summed in one task and broadcast."""
+    keys = df.select(F.col(key).alias("__key"))
+    runs = min(max(-(-keys.count() // RUN), 1), MOST_RUNS)
+    keyed = keys.select("__key", F.xxhash64(F.lit(seed), "__key").alias("__hash")).withColumn("__run", F.pmod(F.xxhash64(F.lit(seed + 1), "__key"), F.lit(runs)))
+    totals = keyed.groupBy("__run").agg(F.count("*").alias("__n"))
+    before = totals.select("__run", (F.sum("__n").over(Window.orderBy("__run")) - F.col("__n")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__run").orderBy("__hash", "__key")) - 1
+    folds = keyed.withColumn("__place", place).join(F.broadcast(before), "__run").select("__key", F.pmod(F.col("__before") + F.col("__place"), F.lit(n_folds)).cast("int").alias("fold"))
     return df.join(folds, F.col(key) == F.col("__key")).drop("__key")
 
 

@@ -1,9 +1,9 @@
 """Regularisation paths: executors reduce rows to statistics, the driver descends on p-sized problems.
 
 Gaussian fits need one pass over the rows (the weighted Gram). Other families take one pass per reweighting step:
-the plan computes gradient and curvature of each row from the current coefficients, written into it as literals, and
-sums their products with the columns; curvature is summed for screened columns only, the gradient for all of them,
-which also is the optimality check that ends every value of the path."""
+each task computes gradient and curvature of its rows from the current coefficients and sums their products with the
+columns; curvature is summed for screened columns only, the gradient for all of them, which also is the optimality
+check that ends every value of the path. Steps are Newton's, so few are needed."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ from ridgeline.functions import cox
 from ridgeline.functions.glm import Cox, Response
 from ridgeline.functions.special import Columns
 from ridgeline.operators.features import FeatureFrame
-from ridgeline.operators.gram import cross
+from ridgeline.operators.gram import NATIVE_SUMS, cross
 from ridgeline.plans import bcd
 from ridgeline.plans.qp import search_pivot
 
@@ -393,35 +393,56 @@ def pin_solve(A, v, lmdas, screen: Sequence[int], starts=None, penalty=None, alp
 
 
 # --- generalised linear models --------------------------------------------------------------------------
-def moments(df: DataFrame, xs: Sequence[Column], curved: Sequence[int], grads: Sequence[Column], hess: Sequence[Column], loss: Column) -> dict:
-    """One pass: sums of each gradient with 1 and all columns, of each curvature with 1 and the products of the
-    ``curved`` columns, and of the loss. Each task adds up one block and returns its entries."""
-    p, K, c = len(xs), len(grads), list(curved)
-    base = df.select(*(F.coalesce(x.cast("double"), F.lit(0.0)).alias(f"x{k}") for k, x in enumerate(xs)), *(g.alias(f"g{k}") for k, g in enumerate(grads)), *(h.alias(f"h{k}") for k, h in enumerate(hess)), loss.alias("loss"))
-    shape_g, shape_h = (p + 1, K), (K, len(c) + 1, len(c) + 1)
-    n_g, n_h = int(np.prod(shape_g)), int(np.prod(shape_h))
+#: Classes times curved columns up to which the curvature between classes is summed too; beyond it, a majoriser is.
+NEWTON_MOST = 400
+
+
+def moments(base: DataFrame, family, p: int, K: int, beta: np.ndarray, inter: np.ndarray, curved: Sequence[int]) -> dict:
+    """One pass over ``base(x..., y..., o..., w)``: sums of each class's gradient with 1 and all columns, of the
+    curvature between classes with 1 and the products of the ``curved`` columns, and of the loss.
+
+    Coefficients travel with the task and not in the plan, so all steps share one plan and its generated code. Each
+    task adds up one block and returns its entries, which are summed by position."""
+    c = np.array([0, *(k + 1 for k in curved)])
+    multi = getattr(family, "multi", False)
+    newton = K * len(c) <= NEWTON_MOST
+    pairs = [(k, m) for k in range(K) for m in range(k, K) if k == m or multi and newton and hasattr(family, "curvature")]
+    n_g, n_h = (p + 1) * K, len(pairs) * len(c) ** 2
+    coefficients = np.vstack([inter, beta.reshape(p, K)])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_g + n_h + 1)
         for b in batches:
             cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]
-            x = np.column_stack([np.ones(b.num_rows), *cols[:p]])
-            g = np.column_stack(cols[p : p + K])
-            total[:n_g] += (x.T @ g).ravel()
-            xc = x[:, [0, *(k + 1 for k in c)]]
-            total[n_g : n_g + n_h] += np.concatenate([(xc.T @ (xc * h[:, None])).ravel() for h in cols[p + K : p + 2 * K]])
-            total[-1] += cols[-1].sum()
+            x, w = np.column_stack([np.ones(b.num_rows), *cols[:p]]), cols[-1]
+            eta = x @ coefficients
+            etas = [eta[:, k] + cols[p + K + k] for k in range(K)] if len(cols) > p + K + 1 else list(eta.T)
+            ys = cols[p : p + K]
+            at = (ys, etas, w) if multi else (ys[0], etas[0], w)
+            with np.errstate(all="ignore"):
+                g, h, loss = family.gradient(*at), family.hessian(*at), family.loss(*at)
+                between = family.curvature(etas, w) if len(pairs) > K else None
+            total[:n_g] += (x.T @ (np.column_stack(g) if multi else g[:, None])).ravel()
+            xc = x[:, c]
+            for k, (i, j) in enumerate(pairs):
+                weight = between[i][j] if between else h[i] if multi else h
+                total[n_g + k * len(c) ** 2 : n_g + (k + 1) * len(c) ** 2] += (xc.T @ (xc * weight[:, None])).ravel()
+            total[-1] += loss.sum()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["at", "v"])
 
     found = base.mapInArrow(partial, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
     flat = np.zeros(n_g + n_h + 1)
     flat[found.column("at").to_numpy()] = found.column("v").to_numpy()
-    g, h = flat[:n_g].reshape(shape_g), flat[n_g : n_g + n_h].reshape(shape_h)
-    return {"g0": g[0], "g": g[1:], "h0": h[:, 0, 0], "hx": h[:, 0, 1:], "H": h[:, 1:, 1:], "loss": float(flat[-1])}
+    g, blocks = flat[:n_g].reshape(p + 1, K), flat[n_g : n_g + n_h].reshape(len(pairs), len(c), len(c))
+    H = np.zeros((len(c), K, len(c), K))
+    for (i, j), block in zip(pairs, blocks, strict=True):
+        H[:, i, :, j] = block
+        H[:, j, :, i] = block.T
+    return {"g0": g[0], "g": g[1:], "H": H, "loss": float(flat[-1])}
 
 
 class GlmData:
-    """Row-wise gradient, curvature and loss of a response as plans over the current coefficients."""
+    """Gradient, curvature and loss of a response at given coefficients, each a pass over the rows."""
 
     def __init__(self, frame: FeatureFrame, response: Response):
         self.frame, self.response, self.family = frame, response, response.family
@@ -429,131 +450,160 @@ class GlmData:
         self.K = len(response.y) if getattr(self.family, "multi", False) else 1
         if self.family.name == "multinomial" and self.K < 2:
             raise ValueError("multinomial needs at least 2 classes")
+        self.table = self._table()
+
+    def _table(self) -> DataFrame:
+        """The columns that a fit reads, under fixed names: x, then y (or the times and status), offsets and w."""
+        r, xs = self.response, [F.coalesce(x.cast("double"), F.lit(0.0)).alias(f"x{k}") for k, x in enumerate(self.frame.columns)]
+        offsets = [F.col(o).cast("double").alias(f"o{k}") for k, o in enumerate(r.offsets)]
+        if isinstance(self.family, Cox):
+            start = F.col(r.start).cast("double") if r.start else F.lit(float("-inf"))
+            times = [start.alias("start"), F.col(r.stop).cast("double").alias("stop"), F.col(r.status).cast("int").alias("status"), (F.col(r.strata) if r.strata else F.lit(0)).alias("strata")]
+            return self.frame.df.select(*xs, *times, *offsets, self.w.alias("w"))
+        return self.frame.df.select(*xs, *(F.col(y).cast("double").alias(f"y{k}") for k, y in enumerate(r.y)), *offsets, self.w.alias("w"))
+
+    def keep(self) -> None:
+        """Holds the table in memory and on disk for the steps of a fit; lost parts are computed again."""
+        self.table = self.table.persist()
+
+    def release(self) -> None:
+        self.table.unpersist()
 
     def etas(self, beta: np.ndarray, inter: np.ndarray) -> list[Column]:
         b = beta.reshape(self.frame.p, self.K)
         offsets = self.response.offsets or [None] * self.K
         return [self.frame.btmul(0, b[:, k], F.lit(float(inter[k])) + (F.col(o).cast("double") if o else F.lit(0.0))) for k, o in zip(range(self.K), offsets, strict=True)]
 
+    def _with_etas(self, beta: np.ndarray, inter: np.ndarray, name: str = "e{}") -> DataFrame:
+        b, out = beta.reshape(self.frame.p, self.K), []
+        for k in range(self.K):
+            eta = F.lit(float(inter[k])) + (F.col(f"o{k}") if self.response.offsets else F.lit(0.0))
+            for j in np.flatnonzero(b[:, k]):
+                eta = eta + F.lit(float(b[j, k])) * F.col(f"x{j}")
+            out.append(eta.alias(name.format(k)))
+        return self.table.select("*", *out)
+
     def rows(self, beta: np.ndarray, inter: np.ndarray) -> tuple[DataFrame, list[Column], list[Column], list[Column], Column]:
-        """(table, columns, gradients, curvatures, loss)."""
-        etas, r = self.etas(beta, inter), self.response
+        """(table, columns, gradients, curvatures, loss) as plans over each row."""
+        xs = [F.col(f"x{k}") for k in range(self.frame.p)]
         if isinstance(self.family, Cox):
-            base = self.frame.df.select(
-                *(x.cast("double").alias(f"x{k}") for k, x in enumerate(self.frame.columns)), etas[0].alias("eta"), self.w.alias("w"),
-                F.col(r.start).cast("double").alias("start") if r.start else F.lit(float("-inf")).alias("start"), F.col(r.stop).cast("double").alias("stop"),
-                F.col(r.status).cast("int").alias("status"), (F.col(r.strata) if r.strata else F.lit(0)).alias("strata"),
-            )
-            done = cox.gradient(base, self.family.tie)
-            return done, [F.col(f"x{k}") for k in range(self.frame.p)], [F.col("grad")], [F.col("hess")], F.lit(0.0)
-        base = self.frame.df.select(
-            *(x.cast("double").alias(f"x{k}") for k, x in enumerate(self.frame.columns)), *(e.alias(f"e{k}") for k, e in enumerate(etas)),
-            *(F.col(y).cast("double").alias(f"y{k}") for k, y in enumerate(r.y)), self.w.alias("w"),
-        )
+            return cox.gradient(self._with_etas(beta, inter, "eta"), self.family.tie), xs, [F.col("grad")], [F.col("hess")], F.lit(0.0)
         es, ys, w = [F.col(f"e{k}") for k in range(self.K)], [F.col(f"y{k}") for k in range(self.K)], F.col("w")
-        if self.K == 1 and not getattr(self.family, "multi", False):
-            grads, hess = [self.family.gradient(ys[0], es[0], w, Columns)], [self.family.hessian(ys[0], es[0], w, Columns)]
-            loss = self.family.loss(ys[0], es[0], w, Columns)
-        else:
-            grads, hess, loss = self.family.gradient(ys, es, w, Columns), self.family.hessian(ys, es, w, Columns), self.family.loss(ys, es, w, Columns)
-        return base, [F.col(f"x{k}") for k in range(self.frame.p)], grads, hess, loss
+        base, f = self._with_etas(beta, inter), self.family
+        if not getattr(f, "multi", False):
+            return base, xs, [f.gradient(ys[0], es[0], w, Columns)], [f.hessian(ys[0], es[0], w, Columns)], f.loss(ys[0], es[0], w, Columns)
+        return base, xs, f.gradient(ys, es, w, Columns), f.hessian(ys, es, w, Columns), f.loss(ys, es, w, Columns)
 
     def loss(self, beta: np.ndarray, inter: np.ndarray) -> float:
         if isinstance(self.family, Cox):
-            base = self._cox_base(beta, inter)
-            return float(cox.loss(base, self.family.tie).first()[0])
+            return float(cox.loss(self._with_etas(beta, inter, "eta"), self.family.tie).first()[0])
         base, _, _, _, loss = self.rows(beta, inter)
         return float(base.agg(F.sum(loss)).first()[0] or 0.0)
 
-    def _cox_base(self, beta, inter) -> DataFrame:
-        done, *_ = self.rows(beta, inter)
-        return done.drop("grad", "hess")
-
     def loss_full(self) -> float:
         if isinstance(self.family, Cox):
-            return float(cox.loss_full(self._cox_base(np.zeros(self.frame.p), np.zeros(1)), self.family.tie).first()[0])
-        ys = [F.col(y).cast("double") for y in self.response.y]
+            return float(cox.loss_full(self.table, self.family.tie).first()[0])
+        ys = [F.col(f"y{k}") for k in range(len(self.response.y))]
         y = ys if getattr(self.family, "multi", False) else ys[0]
-        return float(self.frame.df.agg(F.sum(self.family.loss_full(y, self.w, Columns))).first()[0] or 0.0)
+        return float(self.table.agg(F.sum(self.family.loss_full(y, F.col("w"), Columns))).first()[0] or 0.0)
 
     def moments(self, beta: np.ndarray, inter: np.ndarray, curved: Sequence[int]) -> dict:
-        base, xs, grads, hess, loss = self.rows(beta, inter)
-        return moments(base, xs, curved, grads, hess, loss)
+        """g0, g (p x K), H over (1, curved) x K each way, and the loss."""
+        p = self.frame.p
+        if not isinstance(self.family, Cox):
+            return moments(self.table, self.family, p, self.K, beta, inter, curved)
+        base = self._with_etas(beta, inter, "eta")
+        H = np.zeros((len(curved) + 1, 1, len(curved) + 1, 1))
+        if cox.sums_of(p, len(curved)) <= NATIVE_SUMS:
+            g, H[1:, 0, 1:, 0], loss = cox.derivatives(base, [f"x{k}" for k in range(p)], curved, self.family.tie)
+            return {"g0": np.zeros(1), "g": g[:, None], "H": H, "loss": loss}
+        # many columns: the diagonal curvature of each row is joined back, and rows are summed as in a Gram matrix
+        done = cox.gradient(base, self.family.tie).persist()
+        ones = cross(done, [F.col("grad"), *(F.col(f"x{k}") for k in range(p))])
+        H[1:, 0, 1:, 0] = cross(done, [F.col(f"x{k}") for k in curved], F.col("hess")) if len(curved) else 0.0
+        done.unpersist()
+        return {"g0": np.zeros(1), "g": ones[0, 1:, None], "H": H, "loss": self.loss(beta, inter)}
 
 
 def glm_path(frame: FeatureFrame, response: Response, options: Options | None = None) -> PathResult:
-    """A path of any family by iteratively reweighted quadratics; one statistics pass per step."""
+    """A path of any family by iteratively reweighted quadratics; one pass over the kept columns per step."""
     options = options or Options()
     data = GlmData(frame, response)
-    K, p = data.K, frame.p
+    data.keep()
+    try:
+        return _glm_path(data, options)
+    finally:
+        data.release()
+
+
+def _glm_path(data: GlmData, options: Options) -> PathResult:
+    frame, K, p = data.frame, data.K, data.frame.p
     first = frame.group_starts()
     starts, sizes = [b * K for b in first], [s * K for s in group_sizes(first, p)]
     penalty = default_penalty(sizes) if options.penalty is None else np.asarray(options.penalty, float)
-    intercept = options.intercept and not isinstance(response.family, Cox)
-    none = np.zeros(p * K)
-    inter = np.zeros(K)
+    intercept = options.intercept and not isinstance(data.family, Cox)
+    none, inter = np.zeros(p * K), np.zeros(K)
+    m = data.moments(none, inter, [])
     if intercept:
         for _ in range(options.irls_max_iters):
-            m = data.moments(none, inter, [])
-            step = m["g0"] / np.maximum(m["h0"], 1e-24)
-            inter = inter + np.clip(step, -5, 5)
+            step = np.linalg.pinv(m["H"][0, :, 0, :], rcond=1e-10, hermitian=True) @ m["g0"]
             if float(np.sum(step * m["g0"])) <= 1e-16:
                 break
-    null, full = data.loss(none, inter), data.loss_full()
-    begin = inter.copy()
+            inter = inter + np.clip(step, -5, 5)
+            m = data.moments(none, inter, [])
+    null, full = m["loss"], data.loss_full()
+    begin, last = inter.copy(), {}
+
+    def at(beta, inter, curved):
+        """Moments at these coefficients; those of the last pass if nothing changed."""
+        key = (beta.tobytes(), inter.tobytes(), tuple(curved))
+        if last.get("key") != key:
+            last.update(key=key, m=data.moments(beta, inter, curved))
+        return last["m"]
 
     def local(beta, inter, lmda, groups, duals):
         inter = begin.copy() if not np.any(inter) and intercept else inter
         curved = sorted({(starts[g] + k) // K for g in groups for k in range(sizes[g])})
-        at = {j: k for k, j in enumerate(curved)}
-        flat = [j * K + k for j in curved for k in range(K)]
-        sub_starts, sub_sizes, n = [], [], 0
-        for g in groups:
-            sub_starts.append(n)
-            sub_sizes.append(sizes[g])
-            n += sizes[g]
-        own = [b for g in groups for b in range(starts[g], starts[g] + sizes[g])]
-        order = [flat.index(b) for b in own]
+        flat = np.array([j * K + k for j in curved for k in range(K)], int)
+        own = np.array([b for g in groups for b in range(starts[g], starts[g] + sizes[g])], int)
+        order = np.searchsorted(flat, own)
+        sub_sizes = [sizes[g] for g in groups]
+        sub_starts = (np.cumsum(sub_sizes) - sub_sizes).tolist() if groups else []
         cons = [options.constraints[g] for g in groups] if options.constraints else None
+        value = lambda b, m: m["loss"] + lmda * penalty_value(b, starts, sizes, penalty, options.alpha)
+        m = at(beta, inter, curved)
         for _ in range(options.irls_max_iters):
-            m = data.moments(beta, inter, curved)
-            A = np.zeros((len(flat), len(flat)))
-            v = np.zeros(len(flat))
+            n = len(flat)
+            H = m["H"].reshape(n + K, n + K)
+            H00, Hx = H[:K, :K], H[K:, :K]
+            # the intercepts of a quadratic follow from its coefficients; the classes' common shift has no curvature
+            inverse = np.linalg.pinv(H00, rcond=1e-10, hermitian=True) if intercept else np.zeros((K, K))
+            A = H[K:, K:] - Hx @ inverse @ Hx.T
             old = beta[flat]
-            for k in range(K):
-                rows = [at[j] * K + k for j in curved]
-                H, hx, h0 = m["H"][k], m["hx"][k], max(m["h0"][k], 1e-24)
-                A[np.ix_(rows, rows)] = H - np.outer(hx, hx) / h0 if intercept else H
-                v[rows] = m["g"][curved, k] - (hx * m["g0"][k] / h0 if intercept else 0.0)
-            v = v + A @ old
-            if not flat:
-                break
-            q = Quadratic(A[np.ix_(order, order)], sub_starts, sub_sizes, penalty[groups], options.alpha, cons)
-            sub = {i: duals[g] for i, g in enumerate(groups) if g in duals}
-            scale = max(float(np.trace(A)) / max(len(A), 1), 1e-300)
-            new, _ = q.solve(v[order], lmda, old[order], sub, range(len(groups)), options.tol * scale, options.max_iters)
-            for i, g in enumerate(groups):
-                if i in sub:
-                    duals[g] = sub[i]
-            step = np.zeros(len(flat))
-            step[order] = new - old[order]
-            beta = beta.copy()
-            beta[own] = new
-            change = float(step @ A @ step)
-            if intercept:
-                for k in range(K):
-                    rows = [at[j] * K + k for j in curved]
-                    delta = (m["g0"][k] - m["hx"][k] @ step[rows]) / max(m["h0"][k], 1e-24)
-                    inter = inter.copy()
-                    inter[k] += delta
-                    change += float(m["h0"][k] * delta**2)
+            v = m["g"].ravel()[flat] - Hx @ inverse @ m["g0"] + A @ old
+            step, sub = np.zeros(n), {i: duals[g] for i, g in enumerate(groups) if g in duals}
+            if n:
+                q = Quadratic(A[np.ix_(order, order)], sub_starts, sub_sizes, penalty[groups], options.alpha, cons)
+                scale = max(float(np.trace(A)) / n, 1e-300)
+                new, _ = q.solve(v[order], lmda, old[order], sub, range(len(groups)), options.tol * scale, options.max_iters)
+                step[order] = new - old[order]
+            duals.update({groups[i]: mu for i, mu in sub.items()})
+            delta = inverse @ (m["g0"] - Hx.T @ step)
+            change = float(step @ A @ step + delta @ H00 @ delta)
+            share, before = 1.0, value(beta, m)
+            while True:  # halved until the objective doesn't rise, beyond round-off
+                next_beta, next_inter = beta.copy(), inter + share * delta
+                next_beta[flat] = old + share * step
+                next_m = at(next_beta, next_inter, curved)
+                if value(next_beta, next_m) <= before + 1e-10 * max(1.0, abs(before)) or share < 1e-6:
+                    break
+                share /= 2
+            beta, inter, m = next_beta, next_inter, next_m
             if change <= options.irls_tol:
                 break
         else:
             raise RuntimeError("max reweighting steps reached")
-        m = data.moments(beta, inter, [])
-        loss = m["loss"] if not isinstance(response.family, Cox) else data.loss(beta, inter)
-        return beta, inter, m["g"].ravel(), (null - loss) / (null - full) if null != full else 0.0, 0
+        return beta, inter, m["g"].ravel(), (null - m["loss"]) / (null - full) if null != full else 0.0, 0
 
     return run_path(local, starts, sizes, frame.names, K, null, full, options)
 

@@ -136,8 +136,48 @@ def test_cox_against_definition(spark, tie):
         assert rows[i]["grad"] == pytest.approx(-(loss(up) - loss(down)) / (2 * h), abs=1e-5)
         assert rows[i]["hess"] == pytest.approx((loss(up) + loss(down) - 2 * loss(eta)) / h**2, abs=1e-3)
     assert cox.loss_full(df, tie).first()[0] <= loss(eta) + 1e-9
+    x = rng.standard_normal((n, 3))
+    wide = df.join(spark.createDataFrame([(i, *map(float, x[i])) for i in range(n)], "i int, x0 double, x1 double, x2 double"), "i")
+    g, H, value = cox.derivatives(wide, ["x0", "x1", "x2"], [0, 2], tie)
+    at = lambda b: loss(eta + x @ b)
+    e = 1e-4 * np.eye(3)
+    assert value == pytest.approx(loss(eta))
+    assert np.allclose(g, [-(at(v) - at(-v)) / 2e-4 for v in e], atol=1e-5)
+    second = [[(at(e[i] + e[j]) - at(e[i] - e[j]) - at(e[j] - e[i]) + at(-e[i] - e[j])) / 4e-8 for j in (0, 2)] for i in (0, 2)]
+    assert np.allclose(H, second, atol=1e-4)
     empty = df.limit(0)
     assert cox.loss(empty, tie).first()[0] == 0.0
+    g, H, value = cox.derivatives(wide.limit(0), ["x0"], [0], tie)
+    assert not g.any() and not H.any() and value == 0.0
+
+
+def test_cox_path_is_optimal_by_either_curvature(spark, monkeypatch):
+    d = generators.dense(spark, 60, 3, 3, glm="cox", seed=4, sparsity=0.2)
+    frame = X.dense(d["df"].cache(), d["X"])
+    options = path.Options(lmda_path_size=2, min_ratio=0.4, irls_tol=1e-12)
+    fit = path.grpnet(frame, d["response"], options)
+    assert not fit.error and np.any(fit.betas[-1])
+    fit.check(1e-5)
+    monkeypatch.setattr(path, "NATIVE_SUMS", 0)  # as with many columns
+    other = path.grpnet(frame, d["response"], options)
+    assert not other.error and np.allclose(other.betas, fit.betas, atol=1e-4) and np.allclose(other.devs, fit.devs, atol=1e-6)
+
+
+def test_majoriser_and_newton_agree(spark, monkeypatch):
+    d = generators.dense(spark, 60, 3, 3, K=3, glm="multinomial", seed=1, sparsity=0.2)
+    frame, options = X.dense(d["df"].cache(), d["X"]), path.Options(lmda_path_size=2, min_ratio=0.4, irls_tol=1e-12)
+    newton = path.grpnet(frame, d["response"], options)
+    monkeypatch.setattr(path, "NEWTON_MOST", 0)
+    other = path.grpnet(frame, d["response"], options)
+    assert not newton.error and np.allclose(other.betas, newton.betas, atol=1e-4)
+
+
+def test_folds_are_even_and_do_not_depend_on_partitions(spark):
+    df = spark.range(1003)
+    one, other = (cv.assign_folds(df.repartition(k), "id", 7, seed=5) for k in (1, 6))
+    assert sorted(r["count"] for r in one.groupBy("fold").count().collect()) == [143] * 5 + [144] * 2
+    assert one.exceptAll(other).isEmpty() and one.count() == 1003
+    assert cv.assign_folds(df.limit(0), "id", 7).isEmpty()
 
 
 def test_genotypes(spark, tmp_path):
