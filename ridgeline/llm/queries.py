@@ -75,8 +75,29 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-#: All pairs in double precision, components by reachability: brute force, for small tables.
+#: op4: the checksum by its bytewise table, then one running sum over all rows. op9: all pairs in double precision,
+#: components by reachability; brute force, for small tables.
 ORACLE_SQL = {
+    "op4_byte_shards": """
+WITH RECURSIVE steps(n, k, c) AS (
+  SELECT n, 0, n FROM (SELECT unnest(range(256)) AS n)
+  UNION ALL SELECT n, k + 1, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) FROM steps WHERE k < 8
+), crc(t) AS (SELECT list(c ORDER BY n) FROM steps WHERE k = 8
+), bytes AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+    list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM documents
+), keyed AS (
+  SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM bytes, crc
+), placed AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, crc, size ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM keyed
+), middles AS (
+  SELECT *, 2 * upto - size AS middle, (2 * total) // 40 AS width, (2 * total) % 40 AS longer FROM placed
+), dealt AS (
+  SELECT *, CASE WHEN middle < longer * (width + 1) THEN middle // (width + 1) ELSE least(longer + (middle - longer * (width + 1)) // greatest(width, 1), 39) END AS shard FROM middles
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, crc, size) - 1 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM dealt
+""",
     "op9_vectors": """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings

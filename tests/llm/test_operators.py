@@ -407,3 +407,17 @@ def test_crc32_rules(spark):
     for r in df.collect():
         c = binascii.crc32(str(r["id"]).encode())
         assert (r["a"], r["b"]) == (c % 5 == 0, c % 4 == 2)
+
+
+@pytest.mark.parametrize("name", ["op4_byte_shards", "op9_vectors"])
+def test_queries_equal_their_sql(spark, sf, name):
+    duckdb = pytest.importorskip("duckdb")
+    from ridgeline.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf}/{table}.parquet')")
+    found = QUERIES[name](spark, sf)
+    columns = sorted(found.columns)
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in found.select(*columns).collect())
