@@ -10,7 +10,7 @@ import datetime
 import hashlib
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 
@@ -21,15 +21,24 @@ KINDS = ("email", "iban", "secret", "ip", "card", "phone", "ssn", "date")
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 EMAIL = re.compile(r"(?<![\w.%+-])([\w.%+-]+)@((?:[\w-]+\.)+)([^\W\d_]{2,})(?![\w-])")
-NUMBER = re.compile(
-    r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w))"
-    r"|(?P<secret>(?<!\w)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w))"
-    r"|(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))"
-    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.+-])\d{3}([.-])\d{3}\5\d{4}(?!\w))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<date>(?<![\w./-])(?:\d{4}([./-])\d{1,2}\8\d{1,2}|\d{1,2}([./-])\d{1,2}\9\d{4})(?!\w|[./-]\d))"
-    r"|(?P<card>(?<!\w)(?<!\d\.)(?:\d{13,19}|\d{4}([ -])\d{4}\11\d{4}\11\d{4}|\d{4}([ -])\d{6}\12\d{5})(?!\w))"
-)
+PATTERNS = {
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)",
+    "secret": r"(?<!\w)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w)",
+    "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)",
+    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.+-])\d{3}(?P<s1>[.-])\d{3}(?P=s1)\d{4}(?!\w)",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "date": r"(?<![\w./-])(?:\d{4}(?P<s2>[./-])\d{1,2}(?P=s2)\d{1,2}|\d{1,2}(?P<s3>[./-])\d{1,2}(?P=s3)\d{4})(?!\w|[./-]\d)",
+    "card": r"(?<!\w)(?<!\d\.)(?:\d{13,19}|\d{4}(?P<s4>[ -])\d{4}(?P=s4)\d{4}(?P=s4)\d{4}|\d{4}(?P<s5>[ -])\d{6}(?P=s5)\d{5})(?!\w)",
+}
+NUMBER = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
+ONE = {kind: re.compile(pattern) for kind, pattern in PATTERNS.items()}
+#: Characters of an account number by country; others are tried from the longest end.
+IBAN_LENGTHS = dict(
+    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BR=29, BY=28, CH=21, CR=22, CY=28, CZ=24, DE=22, DK=18, DO=28, EE=20, EG=29,
+    ES=24, FI=18, FO=18, FR=27, GB=22, GE=22, GI=23, GL=18, GR=27, GT=28, HR=21, HU=28, IE=22, IL=23, IQ=23, IS=26, IT=27, JO=30, KW=30, KZ=20,
+    LB=28, LC=32, LI=21, LT=20, LU=20, LV=21, LY=25, MC=27, MD=24, ME=22, MK=19, MR=27, MT=31, MU=30, NL=18, NO=15, PK=24, PL=28, PS=29, PT=25,
+    QA=29, RO=24, RS=22, SA=24, SC=31, SD=18, SE=24, SI=19, SK=24, SM=27, ST=25, SV=28, TL=23, TN=24, TR=26, UA=29, VA=22, VG=24, XK=20,
+)
 HINT = re.compile("[0-9@]")
 
 
@@ -205,6 +214,41 @@ def email(m: re.Match, p: Pseudonyms) -> str:
     return f"{p.letters(m[1], 'local')}@{hosts}.{m[3]}"
 
 
+def ends(kind: str, m: re.Match, p: Pseudonyms, stop: int) -> list[int]:
+    """Where the value that begins at ``m`` may end, best first: a match may run on into the value after it.
+
+    Account numbers: at the length of their country, else from the longest end. Phones: +1 after 11 digits, then
+    before a valid value of another kind (or a phone without +) that begins inside, then from the longest end."""
+    text, start, end = m.string, m.start(), m.end()
+    if kind == "iban":
+        found = [k for k in range(end, start, -1) if k == end or text[k] == " "]
+        return sorted(found, key=lambda k: len(text[start:k].replace(" ", "")) != IBAN_LENGTHS.get(text[start : start + 2]))
+    if kind != "phone" or text[start] != "+":
+        return [end]
+    found = [k for k in range(end, start, -1) if text[k - 1].isdigit() and (k == end or text[k] in " .-")]
+    size = {k: len(digits(text[start:k])) for k in found}
+    if text[start + 1] == "1":
+        found.sort(key=lambda k: size[k] != 11)
+        if size[found[0]] == 11:
+            return found
+    before = [k for k in reversed(found) if 8 <= size[k] <= 15 and text[k : k + 1] == " " and k < end and any((x := ONE[o].match(text, k + 1, stop)) and any(RULES[o](text[k + 1 : e], p) is not None for e in ends(o, x, p, stop)) for o in ONE)]
+    return sorted(before, key=lambda k: size[k] < 10) + found
+
+
+def numbers(text: str, p: Pseudonyms, start: int, stop: int) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, kind, pseudonym) of the valid values from ``start`` to ``stop``. A match that fails its check at
+    all of its ends, and as any other kind, hides nothing: the search goes on after its first character."""
+    while m := NUMBER.search(text, start, stop):
+        start = m.start() + 1
+        for kind in list(ONE)[list(ONE).index(m.lastgroup) :]:
+            own = ONE[kind].match(text, m.start(), stop)
+            hit = next(((e, new) for e in ends(kind, own, p, stop) if (new := RULES[kind](text[m.start() : e], p)) is not None), None) if own else None
+            if hit:
+                start = hit[0]
+                yield m.start(), start, kind, hit[1]
+                break
+
+
 def pseudonymise(text: str, p: Pseudonyms) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms and what was replaced: (kind, start, end) in the returned text, in order."""
     if not HINT.search(text):
@@ -212,16 +256,10 @@ def pseudonymise(text: str, p: Pseudonyms) -> tuple[str, list[tuple[str, int, in
     hits: list[tuple[int, int, str, str]] = []
     if "@" in text:
         hits = [(m.start(), m.end(), "email", email(m, p)) for m in EMAIL.finditer(text)]
-    taken = iter([*hits, (len(text), len(text), "", "")])
-    block = next(taken)
-    for m in NUMBER.finditer(text):
-        while block[1] <= m.start() and block[2]:
-            block = next(taken)
-        if block[2] and m.end() > block[0]:
-            continue  # inside an e-mail address
-        kind = m.lastgroup
-        if (new := RULES[kind](m[0], p)) is not None:
-            hits.append((m.start(), m.end(), kind, new))
+    after = 0
+    for block in [*hits, (len(text), len(text), "", "")]:  # numbers lie between e-mail addresses
+        hits += numbers(text, p, after, block[0])
+        after = block[1]
     if not hits:
         return text, []
     out, spans, at, done = [], [], 0, 0
@@ -238,7 +276,8 @@ def pseudonyms(docs: DataFrame, key: bytes = b"ridgeline", id_col: str = "doc_id
     three arrays say where they stand, in characters.
 
     A null text stays null with nothing found, and texts without personal data come back unchanged. Numbers that
-    fail their check (a wrong check digit, an octet over 255, no such day) are left alone. Equal values get equal
+    fail their check (a wrong check digit, an octet over 255, no such day) are left alone, but not the values beside
+    or inside them; a plain number after a phone of unknown length may be taken as its end. Equal values get equal
     pseudonyms under one key, in any separators; no value keeps its own. Repeated rows give repeated rows; an empty
     table gives an empty table. One Arrow-batched map, no shuffle, no state: a lost task is simply run again."""
 

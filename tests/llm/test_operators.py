@@ -306,6 +306,22 @@ def test_pseudonyms(docs, empty):
     assert pii.pseudonyms(empty).count() == 0
 
 
+def test_pseudonyms_of_values_side_by_side():
+    p = pii.Pseudonyms(b"k")
+    values = [
+        "jo.doe@mail.example.org", "12.ab@x.org", "ES91 2100 0418 4502 0005 1332", "GB82WEST12345698765432", "NO93 8601 1117 947",
+        "3f2a9c0d3f2a9c0d3f2a9c0d3f2a9c0d", "AB12CDEF0123456789ABCDEF01234567", "190.137.223.204", "4111 1111 1111 1111", "4111111111111111",
+        "3782 822463 10005", "+1 (826) 555-4081", "+44 20 7946 0958", "(826) 555-4081", "826-555-4081", "123-45-6789", "2024-01-31", "01/31/2024",
+    ]
+    alone = {v: pii.pseudonymise(v, p)[0] for v in values}
+    assert all(v != new for v, new in alone.items())
+    for a in values:
+        for b in values:
+            assert pii.pseudonymise(f"{a} {b}", p)[0] == f"{alone[a]} {alone[b]}", (a, b)
+    assert pii.pseudonymise("ES91 2100 0418 4502 0005 1332 AND", p)[0] == alone["ES91 2100 0418 4502 0005 1332"] + " AND"
+    assert pii.pseudonymise("2024 4111 1111 1111 1111", p)[0] == "2024 " + alone["4111 1111 1111 1111"]
+
+
 def test_toxicity(spark, docs, empty):
     r = random.Random(1)
     rows, labels = [], []
