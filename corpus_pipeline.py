@@ -22,11 +22,16 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near-duplicates: that of the smallest id, once."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """Keeps one row of each group of near-duplicates, one of its smallest id; a group of null ids keeps one too.
+
+    A row is known by two hashes of all its columns, not by its id: ids may be null or repeat over other texts.
+    Wholly equal rows are of one group, so a group's first key is that of copies of one row, kept once."""
+    values = [*docs.columns, *(F.col(c).isNull() for c in docs.columns)]
+    keyed = docs.select(*docs.columns, F.xxhash64(*values).alias("_h1"), F.xxhash64(F.lit(1), *values).alias("_h2"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h1", "_h2").alias("key")
+    groups = simhash.near_duplicates(keyed.select(key, "text"), "key")
+    first = groups.select("component_id._h1", "component_id._h2").distinct()
+    return keyed.join(first, ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"]).select(*docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,3 +33,15 @@ def test_run_and_queries(spark, sf):
     for name in ("op5_language", "op8_toxicity", "op7_pseudonyms"):
         assert QUERIES[name](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert language.UNKNOWN == "und"
+
+
+def test_distinct_documents_of_null_and_repeated_ids(spark, sf):
+    def text(k: int) -> str:
+        return " ".join(f"{chr(97 + (k * 7 + j * j) % 26)}{k * 31 + j}" for j in range(40))
+
+    near = [(3, text(0)), (5, text(0)), (5, text(1)), (5, text(2)), (5, text(2)), (7, text(2)), (None, text(2)), (None, text(3)), (None, text(4)), (None, text(4)), (9, text(5)), (9, text(6))]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in near], "doc_id long, text string, lang string, source string, n_chars int")
+    kept = corpus_pipeline.distinct_documents(spark, docs.repartition(3), sf)
+    assert kept.columns == docs.columns
+    want = [(3, text(0)), (5, text(1)), (5, text(2)), (None, text(3)), (None, text(4)), (9, text(5)), (9, text(6))]
+    assert sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=str) == sorted(want, key=str)
