@@ -9,6 +9,8 @@ from ridgeline.llm.common import WORD, let, pick
 
 BUCKETS = 1 << 16
 WINDOW = 5
+#: Trusted grams per bucket, at the corpus share, that the registered query's target is smoothed with.
+PRIOR = 10.0
 
 
 def words_of(text: Column) -> Column:
@@ -78,9 +80,12 @@ def target_ids(labels: DataFrame, most: int, id_col: str = "doc_id", quality_col
     return good.orderBy(F.xxhash64("id"), "id").limit(most)
 
 
-def ratio_table(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def ratio_table(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, prior: float | None = None) -> DataFrame:
     """One row with ``ratios``: per bucket log(target share / corpus share), add-one smoothed. Corpus counts cover
-    all of ``docs``; target counts cover its rows whose id is in ``targets`` (bounded, so it may be broadcast)."""
+    all of ``docs``; target counts cover its rows whose id is in ``targets`` (bounded, so it may be broadcast).
+
+    With ``prior`` the target is smoothed towards the corpus instead: log((t + prior) / (T n / N + prior)), T n / N
+    being the count expected of T trusted grams, so a bucket without evidence is near 0 whatever T and N are."""
     base = pick(docs, id=id_col, text=text_col).join(F.broadcast(targets.select(F.col("id").alias("target_id"))), F.col("id") == F.col("target_id"), "left")
     exploded = base.select(
         F.explode(grams(F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)), buckets)).alias("bucket"),
@@ -89,6 +94,9 @@ def ratio_table(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", tex
     counts = exploded.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("trusted").alias("t"))
     full = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("t", F.lit(0)).alias("t"))
     packed = full.agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "t"))).alias("c"), (F.sum("n") + buckets).alias("all_n"), (F.sum("t") + buckets).alias("all_t"))
+    if prior is not None:
+        expected = lambda x: x["n"] * (F.col("all_t") - buckets) / F.greatest(F.col("all_n") - buckets, F.lit(1))
+        return packed.select(F.transform("c", lambda x: F.log((x["t"] + prior) / (expected(x) + prior))).alias("ratios"))
     return packed.select(F.transform("c", lambda x: F.log((x["t"] + 1) / F.col("all_t")) - F.log((x["n"] + 1) / F.col("all_n"))).alias("ratios"))
 
 
@@ -100,16 +108,19 @@ def quality_rules(
     buckets: int = BUCKETS,
     most_targets: int = 20_000,
     min_score: float = -0.12,
+    prior: float | None = None,
 ) -> DataFrame:
     """Base counts, ``score`` and the verdict ``kept`` of every row of ``docs``.
 
     score is the mean log-likelihood ratio of the text's hashed words and word pairs between a multinomial of
     trusted documents and one of the whole corpus; kept if the base rules hold and score >= ``min_score``.
+    Without ``prior`` scores fall with fewer trusted words, so a fixed ``min_score`` suits one size and share of labels
+    only; with it (see ``ratio_table``; the registered query takes ``PRIOR``) scores of all sizes are comparable.
     Null and empty texts have no words, fail the base rules and score 0. Repeated ids and rows are judged each on
     its own (a repeated trusted id counts in the target each time). Without trusted rows all ratios are smoothed
     constants. An empty table gives an empty table. The text never moves between executors: one scan counts
     bucket totals (pre-aggregated), a second scores against the bounded ratio array."""
-    ratios = ratio_table(docs, target_ids(labels, most_targets), id_col, text_col, buckets)
+    ratios = ratio_table(docs, target_ids(labels, most_targets), id_col, text_col, buckets, prior)
     mean = let(grams(F.col("hashes"), buckets), lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(F.col("ratios"), b)) / F.size(g)))
     scored = base_counts(docs, id_col, text_col).select("*", ratios.scalar().alias("ratios")).withColumn("score", mean)
     return scored.select(

@@ -16,7 +16,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), prior=quality.PRIOR)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,19 @@ def test_quality_ratio_against_brute_force(spark, docs):
         assert got["score"] == pytest.approx(np.mean([llr[b] for b in grams[k]]) if grams[k] else 0.0, abs=1e-9)
 
 
+def test_quality_keeps_alike_at_all_sizes_and_label_shares(spark, tmp_path):
+    from ridgeline.llm.queries import QUERIES
+
+    for sf, every in (("sf0.001", 1), ("sf0.01", 1), ("sf0.01", 5)):
+        docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{name}.parquet") for name in ("documents", "labels"))
+        at = tmp_path / f"{sf}-{every}"
+        docs.write.parquet(f"{at}/documents.parquet")
+        labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).write.parquet(f"{at}/labels.parquet")
+        found = QUERIES["op1_quality_rules"](spark, str(at)).where("n_words >= 10").join(labels.select("doc_id"), "doc_id", "left_anti")
+        share = found.agg(F.avg((F.col("score") >= -0.12).cast("int"))).first()[0]
+        assert 0.8 <= share <= 0.97, (sf, every, share)
+
+
 def fuzz(n, seed):
     r = random.Random(seed)
     pool = list("abcdefgh  \n\t'.,!12éßñçÄ<|>▁") + ["'s", "'re", "'ve", "don't", "  ", "the", "ing", "tion", " ", "́", "日", "😀", "İ", "Σ", " ", "<|endoftext|>", "ſ", "²"]
