@@ -1,8 +1,8 @@
-"""Helpers shared by the text operators: column selection, Arrow batches, shared storage."""
+"""Helpers shared by the text operators: column selection, Arrow batches, bounded tables of workers."""
 
 from __future__ import annotations
 
-import uuid
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ridgeline.sources.storage import Stored, shared_dir  # noqa: F401
+
 #: A word: a maximal run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: UTF-8 bytes of text that a Python worker handles at once (one longer text makes a slice of its own).
@@ -37,11 +39,11 @@ def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].alias("id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"))
 
 
-def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES, text: str = "text") -> Iterator[pa.RecordBatch]:
     """The batch cut so that no slice holds more than about ``most`` bytes of its column ``text``."""
     if not batch.num_rows:
         return
-    ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:
         done = ends[start - 1] if start else 0
@@ -50,15 +52,22 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
         start = stop
 
 
+def _fields(outputs: list[tuple[str, str]]) -> T.StructType:
+    return T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in outputs])
+
+
+def _arrow(fields: T.StructType) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(fields)
+
+
 def map_texts(df: DataFrame, outputs: list[tuple[str, str]], work: Callable[[], Callable[[list[str]], list]], id_col: str, text_col: str) -> DataFrame:
     """One row (id, *outputs) per row of ``df``. ``work()`` is called once per task and returns a function from
     a list of texts to one list or array per output. Runs as one Arrow-batched map without a shuffle."""
-    base = texts_of(df, id_col, text_col)
-    fields = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in outputs])
+    base, fields = texts_of(df, id_col, text_col), _fields(outputs)
     schema = T.StructType([T.StructField(id_col, base.schema["id"].dataType), *fields])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(fields)
+    arrow = _arrow(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = work()
@@ -71,32 +80,60 @@ def map_texts(df: DataFrame, outputs: list[tuple[str, str]], work: Callable[[],
     return base.mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir("/tmp/checkpoints/ridgeline")
-    return context.getCheckpointDir()
+def positions(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1 ... by position, so that no name of theirs can clash or needs quoting."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
+def row_hashes(df: DataFrame) -> tuple[Column, Column]:
+    """Two 64-bit hashes of all columns of a row, nulls told from all values: what a row is known by."""
+    cells = [df[f"`{c.replace('`', '``')}`"] for c in df.columns]
+    values = [*cells, *(c.isNull() for c in cells)]
+    return F.xxhash64(*values), F.xxhash64(F.lit(1), *values)
 
 
-class Stored:
-    """Tables written to the shared folder, which cuts lineage: a lost executor costs no earlier stage.
+def named(df: DataFrame, names: list[str], **instead: Column) -> DataFrame:
+    """The columns c0, c1 ... of ``df`` under ``names`` again, those in ``instead`` computed anew."""
+    return df.select(*(instead.get(f"c{k}", F.col(f"c{k}")).alias(n) for k, n in enumerate(names)))
+
+
+def map_rows(df: DataFrame, text_col: str, outputs: list[tuple[str, str]], work: Callable[[], Callable[[list[str]], list]], text: bool = True) -> DataFrame:
+    """All rows of ``df``, columns as ``positions`` names them, with ``outputs`` of their texts (null: empty); see
+    ``map_texts``. Each text goes to the worker once, and comes back only with ``text``."""
+    base, at = positions(df), df.columns.index(text_col)
+    base = base.withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
+    kept = [f.name for k, f in enumerate(base.schema) if text or k != at]
+    fields = _fields(outputs)
+    schema, arrow = T.StructType([*(base.schema[c] for c in kept), *fields]), _arrow(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = work()
+        for batch in batches:
+            for part in slices(batch, text=f"c{at}"):
+                columns = each([t or "" for t in part.column(f"c{at}").to_pylist()])
+                made = [pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made], [*kept, *arrow.names])
+
+    return base.mapInArrow(run, schema)
+
 
-    ``put`` writes and reads back; ``drop`` deletes a table that no later plan reads."""
+class Remembered(dict):
+    """What a worker keeps about strings: at most about ``most`` bytes, after which it starts anew; nothing about
+    strings of over ``LONG`` characters (unspaced scripts, encoded files), which hardly recur."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+    LONG, ENTRY = 256, 150
 
-    def put(self, df: DataFrame) -> tuple[DataFrame, str]:
-        path = f"{self.at}/{self.n}"
-        self.n += 1
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), path
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.used = most, 0
 
-    def drop(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    def keep(self, key: str, value, size: int = 0):
+        """``value``, remembered as ``size`` bytes besides the key and the entry itself."""
+        if len(key) <= self.LONG:
+            cost = self.ENTRY + sys.getsizeof(key) + size
+            if self.used + cost > self.most:
+                self.clear()
+                self.used = 0
+            self.used += cost
+            self[key] = value
+        return value

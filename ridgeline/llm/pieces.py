@@ -7,21 +7,22 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from ridgeline.llm.common import map_texts
+from ridgeline.llm.common import Remembered, map_texts
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
 #: Stands before each chunk while a text is split; texts that hold it are split by the expression above.
 SPLIT = f"\0{MARK}"
-#: Distinct chunks remembered per worker; the table starts anew when full.
-REMEMBERED = 600_000
+#: Bytes of distinct chunks remembered per worker; the table starts anew when full.
+REMEMBERED = 160 << 20
 
 
-class ChunkTable(dict):
+class ChunkTable(Remembered):
     """chunk -> (its ids as decimal text, its decoded text) by the ``sentencepiece`` model at ``path``.
 
     A chunk starts with markers or with one line break; neither stands after another character in any piece, so
@@ -30,7 +31,7 @@ class ChunkTable(dict):
     def __init__(self, path: str):
         import sentencepiece
 
-        super().__init__()
+        super().__init__(REMEMBERED)
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         crossing = [p for p in names if MARK in p.lstrip(MARK) or "\n" in p]
@@ -51,10 +52,7 @@ class ChunkTable(dict):
             ids = self.model.encode(chunk)[1:]
         said = [self.text[i] for i in ids]
         found = (",".join(map(str, ids)), self.model.decode([*self.head, *ids])[1:] if None in said else "".join(said))
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[chunk] = found
-        return found
+        return self.keep(chunk, found, 64 + sys.getsizeof(found[0]) + sys.getsizeof(found[1]))
 
     def chunks(self, text: str) -> list[str]:
         """Chunks of a text, in order; joined they are the text with a marker put in front."""

@@ -8,24 +8,26 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import map_texts
+from ridgeline.llm.common import Remembered, map_texts
 
 END = "</w>"
-#: Runs between white space, and words, remembered per worker; the tables start anew when full.
-CHUNKS, WORDS = 500_000, 800_000
-#: Left tokens whose neighbours are remembered.
-REMEMBERED = 100_000
+#: Bytes that a worker remembers of runs between white space, of words and of words' prefix tables.
+CHUNKS, WORDS, PREFIXES = 96 << 20, 96 << 20, 32 << 20
+#: Pairs of tokens whose meeting is remembered.
+PAIRS = 400_000
 #: Fixed values of the vocabulary's pre-tokeniser, for characters below U+0180 after lower-casing.
 LETTERS = "a-zA-ZªµºÀ-ÖØ-öø-ſ"
 NUMBERS = "0-9²³¹¼-¾"
 #: Texts of these characters only need no library to normalise and split (without the two that lower-case unevenly).
 PLAIN = re.compile(r"[\t-\r\x20-įı-ſ]*")
+WHITE = re.compile("([\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+)")
 PIECE = re.compile(rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 
 
@@ -39,19 +41,16 @@ def byte_letters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
-class Chunks(dict):
+class Chunks(Remembered):
     """Run between white space -> its tokens; bounded."""
 
     def __init__(self, counter: PrefixCounter):
-        super().__init__()
+        super().__init__(CHUNKS)
         self.counter = counter
 
     def __missing__(self, chunk: str) -> int:
-        if len(self) >= CHUNKS:
-            self.clear()
         own = chunk.lower()
-        n = self[chunk] = self.counter.word(own) if own.isascii() and own.isalpha() else sum(map(self.counter.word, map(self.counter.mapped, PIECE.findall(own))))
-        return n
+        return self.keep(chunk, self.counter.word(own) if own.isascii() and own.isalpha() else sum(map(self.counter.word, map(self.counter.mapped, PIECE.findall(own)))))
 
 
 class PrefixCounter:
@@ -74,7 +73,8 @@ class PrefixCounter:
         #: left token -> right token -> whether they stand side by side
         self.after: dict[str, dict[str, bool]] = {}
         self.after_end: dict[str, dict[str, bool]] = {}
-        self.words: dict[str, int] = {}
+        self.pairs = 0
+        self.words, self.tables = Remembered(WORDS), Remembered(PREFIXES)
         self.chunks = Chunks(self)
 
     def merged(self, parts: list[str]) -> list[str]:
@@ -90,10 +90,12 @@ class PrefixCounter:
         return [*token[: -len(END) - 1], token[-len(END) - 1 :]] if token.endswith(END) and len(token) > len(END) else [*token]
 
     def fits(self, left: str, right: str, suffix: str = "") -> bool:
-        """Whether merging leaves the two tokens side by side; remembered per left token."""
-        if len(self.after) + len(self.after_end) > REMEMBERED:
+        """Whether merging leaves the two tokens side by side; remembered, ``PAIRS`` of them at most."""
+        self.pairs += 1
+        if self.pairs > PAIRS:
             self.after.clear()
             self.after_end.clear()
+            self.pairs = 1
         known = self.merged([*self.symbols(left), *self.symbols(right + suffix)]) == [left, right + suffix]
         (self.after_end if suffix else self.after).setdefault(left, {})[right] = known
         return known
@@ -145,15 +147,14 @@ class PrefixCounter:
         """Tokens of a word in byte letters: the last entry of its prefix table."""
         if (known := self.words.get(mapped)) is not None:
             return known
-        if len(self.words) >= WORDS:
-            self.words.clear()
-        self.words[mapped] = n = self._end(mapped, len(mapped), *self._inner(mapped))
-        return n
+        return self.words.keep(mapped, self._end(mapped, len(mapped), *self._inner(mapped)))
 
     def word_prefixes(self, mapped: str) -> list[int]:
         """Tokens of each prefix of a word as a word of its own."""
+        if (known := self.tables.get(mapped)) is not None:
+            return known
         last, inner = self._inner(mapped)
-        return [self._end(mapped, j, last, inner) for j in range(1, len(mapped) + 1)]
+        return self.tables.keep(mapped, [self._end(mapped, j, last, inner) for j in range(1, len(mapped) + 1)], 16 * len(mapped))
 
     def mapped(self, piece: str) -> str:
         return piece if piece.isascii() and piece.isprintable() and " " not in piece else "".join(self.letters[b] for b in piece.encode())
@@ -174,31 +175,69 @@ class PrefixCounter:
         return sum(map(self.word, self.pieces(text)))
 
     def prefixes(self, text: str) -> np.ndarray:
-        """Exact token count of ``text[:i]`` for i = 0 ... len(text) (code points). Texts outside the plain
-        characters are normalised first and counted prefix by prefix of the normalised text."""
-        out = [np.zeros(1, np.int64)]
-        for k, part in enumerate(self.special.split(text)):
-            base = out[-1][-1]
-            if k % 2:  # until its last character a special string is ordinary text
-                out.append(np.array([*(base + self.count(part[:i]) for i in range(1, len(part))), base + 1], np.int64))
-            elif part:
-                plain = part.lower() if PLAIN.fullmatch(part) else self.library.normalizer.normalize_str(part)
-                out.append(base + self._plain_prefixes(plain))
-        return np.concatenate(out)
-
-    def _plain_prefixes(self, text: str) -> np.ndarray:
-        out, total, done = np.zeros(len(text), np.int64), 0, 0
-        spans = [m.span() for m in PIECE.finditer(text)] if PLAIN.fullmatch(text) else [s for _, s in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        """Exact token count of ``text[:i]`` for i = 0 ... len(text), in code points of the text itself.
+
+        Until its last character a special string is ordinary text, joined to what stands before it."""
+        out, parts = [0], self.special.split(text)
+        for k in range(0, len(parts), 2):
+            special = parts[k + 1] if k + 1 < len(parts) else ""
+            own = self._ordinary(parts[k] + special[:-1])
+            base, end = out[-1], own[len(parts[k]) - 1] if parts[k] else 0
+            out += [base + n for n in own]
+            if special:
+                out.append(base + end + 1)
+        return np.array(out, np.int64)
+
+    def _ordinary(self, text: str) -> list[int]:
+        """Tokens of each prefix of a text without special strings. Runs between white space don't touch."""
+        out: list[int] = []
+        for chunk in WHITE.split(text):
+            base = out[-1] if out else 0
+            if WHITE.fullmatch(chunk):
+                out += [base] * len(chunk)
+            elif chunk:
+                out += [base + n for n in self._run(chunk)]
+        return out
+
+    def _run(self, chunk: str) -> list[int]:
+        """Tokens of each prefix of a run between white space. Prefixes of a composed (NFC) run are composed, and each
+        character is lower-cased on its own, so all follow from one table of the normalised run; a run that is not
+        composed is counted prefix by prefix, at a cost of the square of its length."""
+        if PLAIN.fullmatch(chunk):
+            own = chunk.lower()
+            return self._table(own, [m.span() for m in PIECE.finditer(own)])
+        lowered = [c.lower() for c in chunk]
+        own = "".join(lowered)
+        if not unicodedata.is_normalized("NFC", chunk) or self.library.normalizer.normalize_str(chunk) != own:
+            return [self.count(chunk[:i]) for i in range(1, len(chunk) + 1)]
+        table, at, out = self._table(own, [span for _, span in self.library.pre_tokenizer.pre_tokenize_str(own)]), 0, []
+        for c in lowered:
+            at += len(c)
+            out.append(table[at - 1])
+        return out
+
+    def _table(self, text: str, spans: list[tuple[int, int]]) -> list[int]:
+        """Tokens of each prefix of a normalised run that is cut into words at ``spans``."""
+        out, total = [], 0
         for start, stop in spans:
-            out[done:start] = total
             piece = text[start:stop]
-            counts = self.word_prefixes("".join(self.letters[b] for b in piece.encode()))
-            out[start:stop] = total + np.array([counts[b - 1] for b in np.cumsum([len(c.encode()) for c in piece])])
+            counts = self.word_prefixes(self.mapped(piece))
+            out += [total] * (start - len(out))
+            if piece.isascii():
+                out += [total + n for n in counts]
+            else:
+                at = 0
+                for c in piece:
+                    at += len(c.encode())
+                    out.append(total + counts[at - 1])
             if piece[0] == "'" and len(piece) > 2:  # a cut "'r" or "'v" or "'l" splits as quote and letter
                 out[start + 1] = total + self.count(piece[:2])
-            total, done = total + counts[-1], stop
-        out[done:] = total
-        return out
+            total += counts[-1]
+        return out + [total] * (len(text) - len(out))
+
+    def within(self, text: str, tokens: int, budget: int) -> int:
+        """Characters of the longest prefix of at most ``budget`` tokens, given the whole text's ``tokens``."""
+        return len(text) if tokens <= budget else int(np.flatnonzero(self.prefixes(text) <= budget)[-1])
 
 
 @lru_cache(maxsize=4)
@@ -207,18 +246,24 @@ def counter(path: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit) of every row: the last entry of its text's prefix table.
+    """(id, n_bytes, n_tokens, over_limit, limit_chars) of every row: the last entry of its text's prefix table, and
+    the longest prefix, in characters, of ``limit`` tokens at most (the whole text where that fits).
 
-    Null texts count as empty: 0 bytes, 0 tokens. Repeated rows give repeated rows; an empty table gives an empty
-    table. One Arrow-batched map, no shuffle; a worker keeps bounded tables of distinct words. ``path`` must be
-    readable on each executor (a package file of the environment)."""
+    Null texts count as empty: 0 bytes, 0 tokens, 0 characters. Repeated rows give repeated rows; an empty table gives
+    an empty table. One Arrow-batched map, no shuffle; a worker keeps tables of distinct words, bounded in bytes.
+    ``path`` must be readable on each executor (a package file of the environment)."""
 
     def work():
-        count = counter(path).count
-        return lambda texts: [[len(t.encode()) for t in texts], [count(t) for t in texts]]
+        own = counter(path)
+
+        def each(texts: list[str]) -> list:
+            n = list(map(own.count, texts))
+            return [[len(t.encode()) for t in texts], n, [own.within(t, k, limit) for t, k in zip(texts, n, strict=True)]]
+
+        return each
 
-    counted = map_texts(docs, [("n_bytes", "long"), ("n_tokens", "long")], work, id_col, text_col)
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    counted = map_texts(docs, [("n_bytes", "long"), ("n_tokens", "long"), ("limit_chars", "long")], work, id_col, text_col)
+    return counted.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "limit_chars")
 
 
 def prefix_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
