@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import map_texts, pick, slices
+from ridgeline.llm.common import map_rows, map_texts, named, pick, slices
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-#: Characters that one scoring step takes; longer texts take several.
-STEP = 200_000
+#: Starts of n-grams that one step takes, whether of one long text or of many.
+STEP = 1 << 16
 UNKNOWN = "und"
 
 
@@ -29,60 +29,69 @@ def letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-def codes_of(text: str) -> np.ndarray:
-    """Lower-cased code points with each run of other characters than letters as one space, one at either end."""
-    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    codes[~letters()[codes]] = 32
-    blank = codes == 32
-    return codes[~(blank & np.concatenate([[False], blank[:-1]]))]
-
-
-def grams(codes: np.ndarray, buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, int]]:
-    """(bucket at each start, order) for each order; n-grams lie inside the given codes."""
-    mixed = np.zeros(len(codes), np.int64)
-    for k in range(max(ORDERS)):
-        mixed = mixed[: len(codes) - k] * 1_000_003 + codes[k:] + 1 if k else codes + 1
-        if k + 1 in ORDERS:
-            h = mixed.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            yield (h >> np.uint64(32)).astype(np.int64) % buckets, k + 1
+def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, number of their text) of all texts in a row: lower-cased, each run of other characters than
+    letters as one space, and one at either end of each text."""
+    lowered = [f" {t.lower()} " for t in texts]
+    codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in lowered])
+    codes = np.where(letters()[codes], codes, np.uint32(32))
+    keep = np.ones(len(codes), bool)
+    keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32) | (row[1:] != row[:-1])
+    return codes[keep], row[keep]
+
+
+def grams(codes: np.ndarray, row: np.ndarray, buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, text) of every n-gram of every order, those of some ``STEP`` starts at once. An n-gram lies inside
+    one text; those that begin in a step may end in the next."""
+    for at in range(0, len(codes), STEP):
+        some, own = codes[at : at + STEP + max(ORDERS) - 1].astype(np.int64), row[at : at + STEP + max(ORDERS) - 1]
+        mixed = some + 1
+        for k in range(max(ORDERS)):
+            if k:
+                mixed = mixed[: len(some) - k] * 1_000_003 + some[k:] + 1
+            n = min(STEP, len(some) - k)
+            if n > 0 and k + 1 in ORDERS:
+                inside = own[:n] == own[k : k + n]
+                h = mixed[:n][inside].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                yield (h >> np.uint64(32)).astype(np.int64) % buckets, own[:n][inside]
 
 
 def count_vector(texts: list[str], buckets: int = BUCKETS) -> np.ndarray:
     out = np.zeros(buckets, np.int64)
-    for text in texts:
-        codes = codes_of(text)
-        for at in range(0, len(codes), STEP):
-            for h, _ in grams(codes[at : at + STEP], buckets):
-                out += np.bincount(h, minlength=buckets)
+    for h, _ in grams(*codes_of(texts), buckets):
+        out += np.bincount(h, minlength=buckets)
     return out
 
 
 class Model:
-    """Sorted languages and their log probabilities per bucket (buckets x languages)."""
+    """Sorted languages and their log probabilities per bucket (languages x buckets)."""
 
     def __init__(self, langs: list[str], logs: np.ndarray):
         self.langs, self.logs = langs, np.ascontiguousarray(logs)
 
+    def totals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(texts x languages log likelihoods, n-grams of each text): the product of the batch's sparse rows, a row
+        being the buckets of a text in order, with the matrix."""
+        total, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        for h, row in grams(*codes_of(texts), self.logs.shape[1]):
+            if len(h):
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                for k, logs in enumerate(self.logs):
+                    total[row[first], k] += np.add.reduceat(logs[h], first)
+                n[row[first]] += np.diff(first, append=len(h))
+        return total, n
+
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """The likeliest language, ties to the first by code point, and its posterior with each text's evidence
         averaged over its n-grams and weighed as ``EVIDENCE`` of them. No letter, or no language learned: und, 0."""
-        names, scores = [], []
-        for text in texts:
-            if not self.langs or not any(map(str.isalpha, text)):
-                names.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            codes, total, n = codes_of(text), np.zeros(len(self.langs)), 0
-            for at in range(0, len(codes), STEP):
-                for h, _ in grams(codes[at : at + STEP], len(self.logs)):
-                    seen = np.bincount(h, minlength=len(self.logs)) if len(h) > len(self.logs) // 2 else None
-                    total += seen @ self.logs if seen is not None else self.logs[h].sum(axis=0)
-                    n += len(h)
-            best = int(np.argmax(total))
-            odds = np.exp((total - total[best]) * min(1.0, EVIDENCE / n))
-            names.append(self.langs[best])
-            scores.append(float(1 / odds.sum()))
-        return names, scores
+        if not self.langs:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+        total, n = self.totals(texts)
+        best = total.argmax(axis=1)
+        odds = np.exp((total - total.max(axis=1, keepdims=True)) * np.minimum(1.0, EVIDENCE / n)[:, None])
+        known = [any(map(str.isalpha, t)) for t in texts]
+        return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], np.where(known, 1 / odds.sum(axis=1), 0.0).tolist()
 
 
 #: Posteriors of long texts are all but 0 or 1; a score weighs a text's evidence as this many n-grams at most.
@@ -91,14 +100,15 @@ EVIDENCE = 60
 
 def fit(docs: DataFrame, per_lang: int = 4_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", where: Column | None = None) -> Model:
     """Counts over a bounded sample: about ``per_lang`` rows of each language, those whose id hash falls below
-    per_lang / rows of the language (all rows of rarer languages). Null languages teach nothing; ``where`` limits
-    the rows to learn from. The sample's rows are summed to one count vector per task and language."""
+    per_lang / rows of the language (all rows of rarer languages). The hash is of id and text, so null or repeated
+    ids are sampled text by text; wholly equal rows go together. Null languages teach nothing; ``where`` limits the
+    rows to learn from. The sample's rows are summed to one count vector per task and language."""
     base = pick(docs if where is None else docs.where(where), id=id_col, text=text_col, lang=lang_col).where("lang is not null")
     sizes = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Model([], np.zeros((BUCKETS, 0)))
+        return Model([], np.zeros((0, BUCKETS)))
     share = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, per_lang / n))))
-    sample = base.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")]).select("lang", F.coalesce("text", F.lit("")).alias("text"))
+    sample = base.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30) < share[F.col("lang")]).select("lang", F.coalesce("text", F.lit("")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
@@ -114,10 +124,10 @@ def fit(docs: DataFrame, per_lang: int = 4_000, id_col: str = "doc_id", text_col
 
     rows = sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(sizes)
-    counts = np.ones((BUCKETS, len(langs)))
+    counts = np.ones((len(langs), BUCKETS))
     at = np.array([langs.index(x) for x in rows.column("lang").to_pylist()], dtype=np.int64)
-    np.add.at(counts, (rows.column("bucket").to_numpy(), at), rows.column("n").to_numpy())
-    return Model(langs, np.log(counts / counts.sum(axis=0)))
+    np.add.at(counts, (at, rows.column("bucket").to_numpy()), rows.column("n").to_numpy())
+    return Model(langs, np.log(counts / counts.sum(axis=1, keepdims=True)))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,3 +136,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     x languages, bounded by both) is broadcast; one Arrow-batched map, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.logs))
     return map_texts(docs, [("lang_pred", "string"), ("score", "double")], lambda: Model(*shared.value).predict, id_col, text_col)
+
+
+def recognised(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, in its columns, whose language is known with a score of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.logs))
+    found = map_rows(docs, text_col, [("lang_pred", "string"), ("score", "double")], lambda: Model(*shared.value).predict)
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return named(kept, docs.columns)
