@@ -10,13 +10,17 @@ import datetime
 import hashlib
 import math
 import re
+import secrets
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ridgeline.llm.common import map_texts
+from ridgeline.llm.common import map_rows, map_texts, named
 
 ROUNDS = 8
+#: Digits and letters that are permuted as one value; longer strings take several.
+BLOCK = 64
 KINDS = ("email", "iban", "secret", "ip", "card", "phone", "ssn", "date")
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -52,7 +56,8 @@ class Pseudonyms:
         wide = (size.bit_length() + 128 + 7) // 8
         out = b""
         while len(out) < wide:
-            out += hashlib.blake2b(f"{tag}|{turn}|{value}|{len(out)}".encode(), key=self.key).digest()
+            said = value.to_bytes((value.bit_length() + 8) // 8, "big")
+            out += hashlib.blake2b(f"{tag}|{turn}|{len(out)}|".encode() + said, key=self.key).digest()
         return int.from_bytes(out[:wide], "big") % size
 
     def _feistel(self, x: int, a: int, b: int, tag: str, back: bool) -> int:
@@ -87,23 +92,35 @@ class Pseudonyms:
         tag = f"{tag}|{size}"
         return self._walk((self._walk(y, size, tag, False) - 1) % size, size, tag, True)
 
-    def letters(self, text: str, tag: str, hexadecimal: bool = False) -> str:
-        """Each digit stays a digit and each ASCII letter a letter of its case; other characters stay."""
-        sets = [_set(c, hexadecimal) for c in text]
-        value, size = 0, 1
-        for c, s in zip(text, sets, strict=True):
-            if s:
-                value, size = value * len(s) + s.index(c), size * len(s)
-        value, out = self.permute(value, size, tag), []
-        for c, s in zip(reversed(text), reversed(sets), strict=True):
-            if s:
-                value, k = divmod(value, len(s))
-                c = s[k]
-            out.append(c)
-        return "".join(reversed(out))
-
-
-def _set(c: str, hexadecimal: bool) -> str:
+    def letters(self, text: str, tag: str, hexadecimal: str = "") -> str:
+        """Each digit stays a digit and each ASCII letter a letter of its case; other characters stay.
+
+        A run of ``BLOCK`` such characters is one value. Longer texts are permuted run by run, each under the key and
+        all that stands before it, so work grows with the length and equal texts still get equal pseudonyms."""
+        out, at, before = list(text), [], b""
+        for k, c in enumerate(text):
+            if _set(c, hexadecimal):
+                at.append(k)
+                if len(at) == BLOCK:
+                    before = self._run(text, out, at, f"{tag}{before.hex()}", hexadecimal, before)
+                    at = []
+        if at:
+            self._run(text, out, at, f"{tag}{before.hex()}", hexadecimal, before)
+        return "".join(out)
+
+    def _run(self, text: str, out: list[str], at: list[int], tag: str, hexadecimal: str, before: bytes) -> bytes:
+        """Replaces the characters ``at`` these places as one value; returns a digest of all plain ones so far."""
+        sets, value, size = [_set(text[k], hexadecimal) for k in at], 0, 1
+        for k, s in zip(at, sets, strict=True):
+            value, size = value * len(s) + s.index(text[k]), size * len(s)
+        value = self.permute(value, size, tag)
+        for k, s in zip(reversed(at), reversed(sets), strict=True):
+            value, digit = divmod(value, len(s))
+            out[k] = s[digit]
+        return hashlib.blake2b(before + "".join(text[k] for k in at).encode(), digest_size=16).digest()
+
+
+def _set(c: str, hexadecimal: str) -> str:
     if hexadecimal and c in "0123456789abcdefABCDEF":
         return "0123456789ABCDEF" if hexadecimal == "upper" else "0123456789abcdef"
     if c in "0123456789":
@@ -157,13 +174,18 @@ def ip(text: str, p: Pseudonyms) -> str | None:
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
+#: Country calling codes of one and two digits; all others have three.
+SHORT_CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+
+
 def phone(text: str, p: Pseudonyms) -> str | None:
-    """The country code stays; all further digits are permuted."""
-    if not 8 <= len(digits(text)) <= 15:
+    """The country code stays; all further digits are permuted, whatever separates them."""
+    own = digits(text)
+    if not 8 <= len(own) <= 15:
         return None
-    code = re.match(r"\+\d{1,3}(?=\D)|\+\d|", text)[0]
-    own = digits(text[len(code) :])
-    return code + refill(text[len(code) :], str(p.permute(int(own), 10 ** len(own), "phone")).zfill(len(own)))
+    code = next((own[:k] for k in (1, 2) if own[:k] in SHORT_CODES), own[:3]) if text[0] == "+" else ""
+    rest = own[len(code) :]
+    return refill(text, code + str(p.permute(int(rest), 10 ** len(rest), "phone")).zfill(len(rest)))
 
 
 def ssn(text: str, p: Pseudonyms) -> str | None:
@@ -210,7 +232,7 @@ RULES: dict[str, Callable[[str, Pseudonyms], str | None]] = {"iban": iban, "secr
 
 def email(m: re.Match, p: Pseudonyms) -> str:
     """Local part and each label of the host but the last are permuted on their own, so hosts stay linked too."""
-    hosts = ".".join(p.letters(x, "host") if any(_set(c, False) for c in x) else x for x in m[2][:-1].split("."))
+    hosts = ".".join(p.letters(x, "host") if any(_set(c, '') for c in x) else x for x in m[2][:-1].split("."))
     return f"{p.letters(m[1], 'local')}@{hosts}.{m[3]}"
 
 
@@ -271,30 +293,53 @@ def pseudonymise(text: str, p: Pseudonyms) -> tuple[str, list[tuple[str, int, in
     return "".join([*out, text[at:]]), spans
 
 
-def pseudonyms(docs: DataFrame, key: bytes = b"ridgeline", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _each(key: bytes) -> Callable[[list[str]], list]:
+    p = Pseudonyms(key)
+
+    def each(texts: list[str]) -> list:
+        found = [pseudonymise(t, p) for t in texts]
+        counts = [[sum(s[0] == kind for s in spans) for _, spans in found] for kind in KINDS]
+        return [[t for t, _ in found], [len(s) for _, s in found], *counts, *([[s[k] for s in spans] for _, spans in found] for k in range(3))]
+
+    return each
+
+
+def pseudonyms(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, n_found, n_<kind> ..., kinds, starts, ends) of every row; text carries the pseudonyms and the last
     three arrays say where they stand, in characters.
 
     A null text stays null with nothing found, and texts without personal data come back unchanged. Numbers that
     fail their check (a wrong check digit, an octet over 255, no such day) are left alone, but not the values beside
     or inside them; a plain number after a phone of unknown length may be taken as its end. Equal values get equal
-    pseudonyms under one key, in any separators; no value keeps its own. Repeated rows give repeated rows; an empty
+    pseudonyms under one key, in any separators; no value keeps its own. Long values are permuted in runs of ``BLOCK``
+    characters. ``key`` has no default: whoever holds it can undo every pseudonym. Repeated rows give repeated rows; an empty
     table gives an empty table. One Arrow-batched map, no shuffle, no state: a lost task is simply run again."""
 
-    def work():
-        p = Pseudonyms(key)
-
-        def each(texts: list[str]) -> list:
-            found = [pseudonymise(t, p) for t in texts]
-            counts = [[sum(s[0] == kind for s in spans) for _, spans in found] for kind in KINDS]
-            return [[t for t, _ in found], [len(s) for _, s in found], *counts, *([[s[k] for s in spans] for _, spans in found] for k in range(3))]
-
-        return each
-
-    from pyspark.sql import functions as F
-
     marked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     counted = [("n_found", "int"), *((f"n_{k}", "int") for k in KINDS), ("kinds", "array<string>"), ("starts", "array<int>"), ("ends", "array<int>")]
     whole = marked.select(F.struct("id", F.col("text").isNull().alias("none")).alias("id"), "text")
-    out = map_texts(whole, [("text", "string"), *counted], work, "id", "text")
+    out = map_texts(whole, [("text", "string"), *counted], lambda: _each(key), "id", "text")
     return out.select(F.col("id.id").alias(id_col), F.when(~F.col("id.none"), F.col("text")).alias(text_col), *(n for n, _ in counted))
+
+
+def replaced(docs: DataFrame, key: bytes, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """``docs`` in its columns with pseudonyms in the text; ``length_col``, where there is one, says its characters.
+    Null texts stay null, and their length as it was."""
+    at = docs.columns.index(text_col)
+    out = map_rows(docs.withColumn("\0none", F.col(text_col).isNull()), text_col, [("new", "string")], lambda: lambda texts, each=_each(key): each(texts)[:1], text=False)
+    none = F.col(f"c{len(docs.columns)}")
+    instead = {f"c{at}": F.when(~none, F.col("new"))}
+    if length_col in docs.columns:
+        own = f"c{docs.columns.index(length_col)}"
+        instead[own] = F.when(none, F.col(own)).otherwise(F.length("new").cast(docs.schema[length_col].dataType))
+    return named(out, docs.columns, **instead)
+
+
+_DRAWN: dict[str, bytes] = {}
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key in ``spark.ridgeline.pii.key``. Where it is unset, one is drawn for the application and kept in the
+    driver alone: values stay linked within it and nobody can undo them; name a key to link several runs."""
+    named_key = spark.conf.get("spark.ridgeline.pii.key", None)
+    return named_key.encode() if named_key else _DRAWN.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))

@@ -43,7 +43,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonyms(documents(spark, sf_dir))
+    return pii.pseudonyms(documents(spark, sf_dir), pii.session_key(spark))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
