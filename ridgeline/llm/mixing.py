@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ridgeline.llm.common import Stored, let
+from ridgeline.llm.common import Stored, let, named, positions, row_hashes
 from ridgeline.llm.quality import words_of
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 #: Documents that one step of the reduction tree settles together, leaving one of them.
 BLOCK = 64
+#: Copies of one row that one task numbers.
+RUN = 10_000
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -41,16 +43,16 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 
 
 def _chance(seed: int, level: int, x: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(level), x["id"], x["size"], x["nth"]), F.lit(1 << 52)) / float(1 << 52)
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit(level), x["id"], x["size"], x["key"], x["nth"]), F.lit(1 << 52)) / float(1 << 52)
 
 
 def _settle(members: Column, kind: str, seed: int, level: int) -> Column:
     """struct(rest, taken): one unsettled member of a block and the members settled at one copy more."""
-    member = f"struct<id:{kind},size:long,nth:long,p:double>"
+    member = f"struct<{kind},size:long,nth:long,p:double>"
     start = F.struct(F.lit(None).cast(member).alias("rest"), F.array().cast(f"array<{member}>").alias("taken"))
 
     def with_p(x: Column, p: Column) -> Column:
-        return F.struct(x["id"].alias("id"), x["size"].alias("size"), x["nth"].alias("nth"), p.alias("p"))
+        return F.struct(x["id"].alias("id"), x["key"].alias("key"), x["size"].alias("size"), x["nth"].alias("nth"), p.alias("p"))
 
     def state(rest: Column, taken: Column) -> Column:
         return F.struct(rest.alias("rest"), taken.alias("taken"))
@@ -71,34 +73,47 @@ def _settle(members: Column, kind: str, seed: int, level: int) -> Column:
     return F.aggregate(members, start, step)
 
 
-def mix_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, size, source, nth, source_size, target, copies) of every row; copies is 0 to ``cap``.
+def runs_of(df: DataFrame, times: str, *keys: str) -> DataFrame:
+    """A row for each of the ``times`` of a row, numbered 1, 2, ... in ``nth``. Rows of over ``RUN`` times are first
+    dealt out by run, so that no task numbers one row's copies alone."""
+    step = lambda first, last: F.explode(F.sequence(first, last))
+    few = df.where(F.col(times) <= RUN).withColumn("nth", step(F.lit(1).cast("long"), F.col(times)))
+    many = df.where(F.col(times) > RUN).withColumn("run", step(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / RUN))).repartition(*keys, "run")
+    many = many.withColumn("nth", step(F.col("run") * RUN + 1, F.least(F.col(times), (F.col("run") + 1) * RUN)))
+    return few.union(many.drop("run"))
+
+
+def mix_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key: Column | None = None) -> DataFrame:
+    """(id, size, source, key, nth, source_size, target, copies) of every row; copies is 0 to ``cap``.
 
     size counts the text's words (null: 0); a document without words is due no words and gets no copy. Null is a
-    source of its own, last in order. Rows alike in id, source and size are told apart by ``nth`` (1, 2, ...), so
+    source of its own, last in order. ``key``, a hash of the text unless another column is given, tells rows of one
+    id apart, be it null or repeated; rows alike in id, source, size and key are told apart by ``nth`` (1, 2, ...), so
     ties and repeated rows each get their due; an empty table gives an empty table. Chances are hashes of the row's
-    id, size and number, so reruns agree, whatever the partitioning.
+    id, size, key and number, so reruns agree, whatever the partitioning.
 
-    Only (id, source, size) is shuffled, after one scan of the texts, and stored in the shared folder. Rows are
+    Only (id, source, size, key) is shuffled, after one scan of the texts, and stored in the shared folder. Rows are
     dealt by hash into blocks of about 64, a hot source into as many as it needs; each block leaves one unsettled
     member, the blocks' members form the blocks of the next level, up to one row per source."""
     spark = docs.sparkSession
     store = Stored(spark, "mix")
-    size = F.size(words_of(F.col("text"))).cast("long")
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[source_col].alias("source")).select("id", "source", size.alias("size"))
-    kept, _ = store.put(rows.groupBy("id", "source", "size").agg(F.count("*").alias("times")))
+    text = docs[text_col].cast("string")
+    rows = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), (F.xxhash64(text) if key is None else key).alias("key"), text.alias("text"))
+    rows = rows.select("id", "source", "key", F.size(words_of(F.col("text"))).cast("long").alias("size"))
+    kept, _ = store.put(rows.groupBy("id", "source", "size", "key").agg(F.count("*").alias("times")))
     targets = source_targets(kept, weights, cap)
     same = kept["source"].eqNullSafe(F.col("of"))
-    due = kept.join(targets.withColumnRenamed("source", "of"), same).drop("of").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times")
+    due = runs_of(kept.join(targets.withColumnRenamed("source", "of"), same).drop("of"), "times", "id", "key").drop("times")
     ratio = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.col("target") / F.col("source_size")).otherwise(0.0)
     due = due.withColumn("whole", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio))
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK), F.lit(1))
-    open_ = due.where("p > 0").select("source", F.pmod(F.xxhash64(F.lit(seed), "id", "size", "nth"), blocks).alias("block"), blocks.alias("blocks"), F.struct("id", "size", "nth", "p").alias("m"))
-    most, kind = kept.groupBy("source").agg(F.sum("times").alias("n")).agg(F.max("n")).first()[0] or 1, kept.schema["id"].dataType.simpleString()
+    open_ = due.where("p > 0").select("source", F.pmod(F.xxhash64(F.lit(seed), "id", "size", "key", "nth"), blocks).alias("block"), blocks.alias("blocks"), F.struct("id", "key", "size", "nth", "p").alias("m"))
+    most = kept.groupBy("source").agg(F.sum("times").alias("n")).agg(F.max("n")).first()[0] or 1
+    kind = f"id:{kept.schema['id'].dataType.simpleString()},key:{kept.schema['key'].dataType.simpleString()}"
     taken, level = [], 0
     while True:
-        members = F.array_sort(F.transform(F.collect_list("m"), lambda m: F.struct(m["size"].alias("size"), m["id"].alias("id"), m["nth"].alias("nth"), m["p"].alias("p"))))
-        members = F.transform(members, lambda m: F.struct(m["id"].alias("id"), m["size"].alias("size"), m["nth"].alias("nth"), m["p"].alias("p")))
+        members = F.array_sort(F.transform(F.collect_list("m"), lambda m: F.struct(*(m[c].alias(c) for c in ("size", "id", "key", "nth", "p")))))
+        members = F.transform(members, lambda m: F.struct(*(m[c].alias(c) for c in ("id", "key", "size", "nth", "p"))))
         done, _ = store.put(open_.groupBy("source", "block", "blocks").agg(members.alias("m")).select("source", "block", "blocks", _settle(F.col("m"), kind, seed, level).alias("s")))
         taken.append(done.select("source", F.explode("s.taken").alias("m")))
         last = -(-most // BLOCK) <= 1
@@ -112,21 +127,24 @@ def mix_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
     chosen = taken[0]
     for more in taken[1:]:
         chosen = chosen.union(more)
-    chosen = chosen.select(F.col("source").alias("of"), F.col("m.id").alias("tid"), F.col("m.size").alias("tsize"), F.col("m.nth").alias("tnth"), F.lit(1).alias("extra"))
-    same = due["id"].eqNullSafe(chosen["tid"]) & due["source"].eqNullSafe(chosen["of"]) & (due["size"] == chosen["tsize"]) & (due["nth"] == chosen["tnth"])
+    chosen = chosen.select(F.col("source").alias("of"), F.col("m.id").alias("tid"), F.col("m.size").alias("tsize"), F.col("m.key").alias("tkey"), F.col("m.nth").alias("tnth"), F.lit(1).alias("extra"))
+    same = due["id"].eqNullSafe(chosen["tid"]) & due["source"].eqNullSafe(chosen["of"]) & (due["size"] == chosen["tsize"]) & (due["key"] == chosen["tkey"]) & (due["nth"] == chosen["tnth"])
     return due.join(chosen, same, "left").select(
-        F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "nth", "source_size", "target", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("int").alias("copies")
+        F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "key", "nth", "source_size", "target", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("int").alias("copies")
     )
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with each row as often as the mix takes it: 0 to ``cap`` times, in the columns of ``docs``.
 
-    See ``mix_copies``. The texts are shuffled once, by id."""
-    copies = mix_copies(docs, weights, cap, seed, id_col, text_col, source_col).where("copies > 0")
-    copies = copies.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("size").alias("__n"), F.col("nth").alias("__k"), "copies").withColumnRenamed("copies", "__copies")
-    size = F.size(words_of(docs[text_col].cast("string"))).cast("long")
-    order = Window.partitionBy(id_col, source_col, "__size").orderBy(text_col)
-    numbered = docs.withColumn("__size", size).withColumn("__nth", F.row_number().over(order))
-    same = numbered[id_col].eqNullSafe(copies["__id"]) & numbered[source_col].eqNullSafe(copies["__source"]) & (numbered["__size"] == copies["__n"]) & (numbered["__nth"] == copies["__k"])
-    return numbered.join(copies, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    See ``mix_copies``, of which this takes the copies with ``row_hashes`` as key. A row is known by two hashes of all its columns, and wholly equal rows are one row that is
+    repeated as often as all of them are taken; so nothing is numbered, and texts are shuffled once, equal ones
+    combined before."""
+    rows, at = positions(docs), docs.columns.index
+    h1, h2 = row_hashes(rows)
+    rows = rows.withColumns({"h1": h1, "h2": h2})
+    copies = mix_copies(rows, weights, cap, seed, f"c{at(id_col)}", f"c{at(text_col)}", f"c{at(source_col)}", F.struct("h1", "h2"))
+    total = copies.groupBy(F.col("key.h1").alias("t1"), F.col("key.h2").alias("t2")).agg(F.sum("copies").cast("long").alias("times")).where("times > 0")
+    once = rows.dropDuplicates(["h1", "h2"])
+    taken = once.join(total, (once["h1"] == total["t1"]) & (once["h2"] == total["t2"]))
+    return named(runs_of(taken, "times", "h1"), docs.columns)
