@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import Stored, map_texts
+from ridgeline.llm.common import Stored, map_texts, named, positions, row_hashes
 from ridgeline.llm.components import connected_components
 
 SHINGLE = 4
@@ -29,6 +29,8 @@ HAMMING = 15
 STEP, MATRIX = 1 << 16, 48
 #: Members of an anchor that meet in one task; larger anchors are dealt out as pairs of blocks.
 BLOCK = 8192
+#: Rows of one fingerprint beyond which it is joined back by broadcast.
+HOT = 1_000_000
 
 
 def fingerprint(text: str) -> int:
@@ -198,12 +200,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     take part but name a component only if it has no other id. An empty table gives an empty table. Anchors get
     distinct fingerprints only, about 45 short rows each, large anchors as pairs of blocks (see ``meetings``); each
     run returns fewer links than members once it is large. Links and components stay distributed and are stored in
-    the shared folder."""
+    the shared folder. Fingerprints of over ``HOT`` rows, ``rows / HOT`` of them at most, are broadcast with their
+    component, so that no task joins one fingerprint's rows alone."""
     store = Stored(docs.sparkSession, "simhash")
     prints, _ = store.put(fingerprints(docs, id_col, text_col).withColumnRenamed(id_col, "id"))
-    nodes, _ = store.put(prints.groupBy("fp").agg(F.min("id").alias("first")))
+    nodes, _ = store.put(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("rows")))
     labels = connected_components(meetings(nodes).mapInArrow(links, "a long, b long"), store)
-    labelled = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    labelled = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "first", "rows", F.coalesce("component", "fp").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = labelled.join(smallest, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named_prints, _ = store.put(labelled.join(smallest, "component").select("fp", "rows", "component_id"))
+    hot, rest = named_prints.where(F.col("rows") > HOT).drop("rows"), named_prints.where(F.col("rows") <= HOT).drop("rows")
+    joined = prints.join(F.broadcast(hot), "fp").union(prints.join(F.broadcast(hot), "fp", "left_anti").join(rest, "fp"))
+    return joined.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, in the columns of ``docs``: one of its smallest id, null last.
+
+    A row is known by two hashes of all its columns, not by its id: ids may be null or repeat over other texts. Wholly
+    equal rows are of one group and one of them stands for all. Equal rows are combined before the one shuffle of
+    the texts, which the selection of groups' first rows then shares."""
+    rows, at = positions(docs), docs.columns.index
+    h1, h2 = row_hashes(rows)
+    rows = rows.withColumns({"h1": h1, "h2": h2})
+    own = F.col(f"c{at(id_col)}")
+    key = F.struct(own.isNull().alias("none"), own.alias("id"), "h1", "h2").alias("key")
+    groups = near_duplicates(rows.select(key, F.col(f"c{at(text_col)}").alias("text")), "key")
+    first = groups.select("component_id.h1", "component_id.h2").distinct()
+    return named(rows.dropDuplicates(["h1", "h2"]).join(first, ["h1", "h2"], "left_semi"), docs.columns)
