@@ -1,9 +1,11 @@
-"""A training-data pipeline of five operators; each stage's table is the next one's ``docs``."""
+"""A training-data pipeline of five operators; each stage's table is the next one's ``docs``.
+
+Every stage takes any extra columns along, whatever their names. Null and repeated ids, null and empty texts, repeated
+rows and empty tables have a defined result, which each stage's docstring states."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ridgeline.llm import language, mixing, pieces, pii, simhash
 from ridgeline.llm.common import Stored, documents
@@ -14,41 +16,36 @@ LEAST_SCORE = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a recognised language; learns from the languages that ``docs`` states."""
-    model = language.fit(docs, where=~language.held_out(F.col("doc_id")))
-    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
-    found = language.identify(marked, model, id_col="row", text_col="text")
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    """Rejects documents without a recognised language; learns from the languages that ``docs`` states.
+
+    Null and empty texts and texts without a letter go; a null language or id is no reason to go. Repeated rows are
+    judged alike. Where no row states a language, none can be recognised and all go."""
+    model = language.fit(docs, where=~language.held_out(docs["doc_id"]))
+    return language.recognised(docs, model, LEAST_SCORE)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near-duplicates, one of its smallest id; a group of null ids keeps one too.
 
-    A row is known by two hashes of all its columns, not by its id: ids may be null or repeat over other texts.
-    Wholly equal rows are of one group, so a group's first key is that of copies of one row, kept once."""
-    values = [*docs.columns, *(F.col(c).isNull() for c in docs.columns)]
-    keyed = docs.select(*docs.columns, F.xxhash64(*values).alias("_h1"), F.xxhash64(F.lit(1), *values).alias("_h2"))
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h1", "_h2").alias("key")
-    groups = simhash.near_duplicates(keyed.select(key, "text"), "key")
-    first = groups.select("component_id._h1", "component_id._h2").distinct()
-    return keyed.join(first, ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"]).select(*docs.columns)
+    Rows count, not ids: unrelated texts of one id, or of none, all stay. Null and empty texts are near-duplicates of
+    one another, as their fingerprints are equal; wholly equal rows keep one."""
+    return simhash.distinct(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by pseudonyms in the text; all rows stay."""
-    marked = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = pii.pseudonyms(marked, id_col="row", text_col="text")
-    columns = [F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.{c}") for c in docs.columns]
-    return found.select(*columns)
+    """Replaces personal data by pseudonyms in the text and counts its characters anew; all rows stay, null texts as
+    null. Only the text is read, so ids may be null or repeat."""
+    return pii.replaced(docs, pii.session_key(spark), length_col="n_chars")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each row as often as the mix of sources takes it. Null is a source; rows without words are taken by no mix, and
+    go. Each row of a null or repeated id, and each of equal rows, has its own due."""
     return mixing.mix(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded text."""
+    """Token counts and digests of the ids and of the decoded text of every row; null texts count as empty."""
     return pieces.encode_digest(docs, tokenizer("piece_bpe_32k.model"))
 
 
@@ -65,8 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each table is written to the shared folder and read again."""
-    store, docs = Stored(spark, "pipeline"), documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs, _ = store.put(stage(spark, docs, sf_dir))
+    """All stages over ``documents``; each table is written to the shared folder and read again, and deleted once the
+    next one is written."""
+    store, docs, before = Stored(spark, "pipeline"), documents(spark, sf_dir), None
+    for _, stage in STAGES[:-1]:
+        docs, path = store.put(stage(spark, docs, sf_dir))
+        if before:
+            store.drop(before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
