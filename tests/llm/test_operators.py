@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from ridgeline.llm import language, mixing, pieces, pii, quality, sharding, simhash, tokens, toxicity, vectors
+from ridgeline.llm.common import row_hashes
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ID string, n_tokens string, score string, size string, fp string"
@@ -126,12 +127,39 @@ def test_every_prefix_equals_encoding_it(docs):
     for text in plain:
         got = counter.prefixes(text)
         assert got.tolist() == [len(counter.library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)], repr(text)
+    for text in [*fuzz(150, 6), "İstanbul", "e\u0301té x", "!<|endoftext|>!", "日本語 テキスト", "ΑΣ ΣΑΣ", "“Said”\n\n\n — then", "a\u2028b \u0327c", "가각 \u1100\u1161", "x" * 700 + "é" * 300]:
+        got = counter.prefixes(text)
+        assert got.tolist() == [len(counter.library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)], repr(text)
+    for r in tokens.token_counts(docs, path, 7).collect():
+        text = (TEXTS[r["doc_id"]] if r["doc_id"] is not None else TEXTS[3]) or ""
+        if len(text) < 3000:
+            assert r["limit_chars"] == max(i for i in range(len(text) + 1) if len(counter.library.encode(text[:i], add_special_tokens=False).ids) <= 7)
     table = tokens.within_budget(tokens.prefix_table(docs, path), 7)
     for r in table.collect():
         fits = [i for i, n in enumerate(r["counts"]) if n <= 7]
         assert r["n_chars"] == max(fits)
 
 
+def test_worker_tables_are_bounded_in_bytes():
+    import sys
+
+    from ridgeline.llm.common import Remembered
+
+    kept = Remembered(1 << 20)
+    for k in range(100_000):
+        kept.keep(f"{k}-" + "x" * (k % 200), k, 100)
+        assert kept.used <= 1 << 20
+    assert kept and sum(sys.getsizeof(k) + 100 for k in kept) <= 1 << 20
+    assert kept.keep("y" * 300, 1) == 1 and "y" * 300 not in kept
+    counter = tokens.PrefixCounter(str(public.path("word_bpe_49k.json")))
+    counter.chunks.most = counter.words.most = 1 << 18
+    r = random.Random(3)
+    for _ in range(3000):
+        text = "".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 400)))
+        assert counter.count(text) == len(counter.library.encode(text, add_special_tokens=False).ids)
+        assert max(counter.chunks.used, counter.words.used) <= 1 << 18
+
+
 def test_pieces_equal_library(docs, empty):
     path = str(public.path("piece_bpe_32k.model"))
     chunks = pieces.table(path)
@@ -177,11 +205,37 @@ def test_language_model(spark, docs, empty):
         assert (r["lang_pred"] == "und") == (not any(map(str.isalpha, text or "")))
     assert language.identify(empty, language.fit(empty)).count() == 0
     assert language.identify(docs, language.fit(empty)).where("lang_pred <> 'und'").count() == 0
-    whole = language.Model(["a", "b"], np.log(np.random.default_rng(0).random((language.BUCKETS, 2))))
-    text = prose(400, 9)
-    codes = language.codes_of(text)
-    brute = sum(whole.logs[sum_bucket(codes, i, n)] for n in language.ORDERS for i in range(len(codes) - n + 1))
-    assert whole.predict([text])[0] == [whole.langs[int(np.argmax(brute))]]
+    assert model.langs == ["en", "fr"]
+
+
+@pytest.mark.parametrize("step", [7, 64, 1 << 16])
+def test_language_grams_against_brute_force(monkeypatch, step):
+    monkeypatch.setattr(language, "STEP", step)  # texts longer than a step lose no n-gram at its border
+    whole = language.Model(["a", "b"], np.log(np.random.default_rng(0).random((2, language.BUCKETS))))
+    texts = [prose(400, 9), "", "x", "été 42 Ünder", " ", prose(3, 1)]
+    total, n = whole.totals(texts)
+    counts = np.zeros(language.BUCKETS, np.int64)
+    for k, text in enumerate(texts):
+        codes = list(language.codes_of([text])[0])
+        want = [sum_bucket(codes, i, size) for size in language.ORDERS for i in range(len(codes) - size + 1)]
+        assert n[k] == len(want) and np.allclose(total[k], whole.logs[:, want].sum(axis=1))
+        np.add.at(counts, want, 1)
+        assert whole.predict([text])[0] == [whole.langs[int(np.argmax(whole.logs[:, want].sum(axis=1)))] if any(map(str.isalpha, text)) else "und"]
+    assert (language.count_vector(texts) == counts).all()
+
+
+def test_language_long_text_keeps_every_gram():
+    text = "abcdefghij klmnop" * 30_000
+    codes = language.codes_of([text])[0]
+    assert language.count_vector([text]).sum() == sum(len(codes) - n + 1 for n in language.ORDERS) and len(codes) > 400_000
+
+
+def test_language_samples_null_ids_by_text(spark):
+    rows = [(None, f"text {k} " + prose(4, k), "en") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few, all_ = language.fit(df, per_lang=100), language.fit(df, per_lang=400)
+    seen = [np.exp(-m.logs.min()) for m in (few, all_)]  # 1 / the share of an unseen bucket: BUCKETS + grams counted
+    assert 0.15 < (seen[0] - language.BUCKETS) / (seen[1] - language.BUCKETS) < 0.35
 
 
 def sum_bucket(codes, i, n):
@@ -314,9 +368,9 @@ def test_pseudonyms(docs, empty):
     assert pii.iban_check(account[:2], account[4:]) == account[2:4]
     assert pii.pseudonymise(text, p)[0] == new and pii.pseudonymise(text, pii.Pseudonyms(b"other"))[0] != new
     assert pii.pseudonymise("plain text, version 2.0 of 1999", p) == ("plain text, version 2.0 of 1999", [])
-    rows = by_id(pii.pseudonyms(docs))
+    rows = by_id(pii.pseudonyms(docs, b"k"))
     assert [(r["doc_id"], r["text"]) for r in rows] == [(i, t) for i, t, _ in source_rows(docs)]
-    assert pii.pseudonyms(empty).count() == 0
+    assert pii.pseudonyms(empty, b"k").count() == 0
 
 
 def test_pseudonyms_of_values_side_by_side():
@@ -335,6 +389,47 @@ def test_pseudonyms_of_values_side_by_side():
     assert pii.pseudonymise("2024 4111 1111 1111 1111", p)[0] == "2024 " + alone["4111 1111 1111 1111"]
 
 
+def test_pseudonyms_link_phones_in_any_separators():
+    p = pii.Pseudonyms(b"k")
+    for same in (["+44 20 7946 0958", "+442079460958", "+44-20-7946-0958"], ["+49 30 901820", "+4930901820", "+49 309 018 20"], ["+1 (826) 555-4081", "+18265554081", "+1 826 555 4081"], ["+420 601 123 456", "+420601123456"]):
+        new = [pii.pseudonymise(x, p)[0] for x in same]
+        assert all(a != b for a, b in zip(same, new, strict=True)) and len({pii.digits(x) for x in new}) == 1, (same, new)
+        assert all(re.sub("[0-9]", "0", a) == re.sub("[0-9]", "0", b) for a, b in zip(same, new, strict=True))
+    code = lambda x: pii.digits(pii.pseudonymise(x, p)[0])
+    assert code("+44 20 7946 0958").startswith("44") and code("+420601123456").startswith("420") and code("+7 912 345 67 89").startswith("7")
+
+
+def test_pseudonyms_of_long_values(spark):
+    p = pii.Pseudonyms(b"k")
+    for text in ("a" * 3500 + "@mail.example.com", "jo@" + "b" * 4000 + ".example.com", "Ab3" * 350_000 + "@x.org", "x@y." + "z" * 5000):
+        new, spans = pii.pseudonymise(text, p)
+        assert len(new) == len(text) and len(spans) == 1 and new != text
+    long = "0123456789abcdef" * 20
+    out = p.letters(long, "secret", "lower")
+    assert len(out) == len(long) and all(out[k : k + pii.BLOCK] != long[k : k + pii.BLOCK] for k in range(0, len(long), pii.BLOCK)) and len({out[k : k + pii.BLOCK] for k in range(0, len(long), pii.BLOCK)}) == 5
+    images = {p.letters(f"{a}{b}", "t") for a in "ab" for b in range(10)}
+    assert len(images) == 20
+    docs = spark.createDataFrame([(1, "mail " + "q" * 5000 + "@x.org"), (None, None), (None, "")], "doc_id long, text string")
+    rows = pii.pseudonyms(docs, b"k").collect()
+    assert sorted(r["n_found"] for r in rows) == [0, 0, 1] and sum(r["text"] is None for r in rows) == 1
+
+
+def test_pseudonyms_equal_brute_force_per_text(spark):
+    p = pii.Pseudonyms(b"k")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    text = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    found = pii.pseudonyms(docs.repartition(5), b"k").collect()
+    assert sum(r["n_found"] for r in found) > 0 and len(found) == len(text)
+    for r in found:
+        new, spans = pii.pseudonymise(text[r["doc_id"]], p)
+        assert r["text"] == new and [tuple(x) for x in zip(r["kinds"], r["starts"], r["ends"], strict=True)] == spans
+        assert sum(r[f"n_{k}"] for k in pii.KINDS) == r["n_found"] == len(spans)
+    assert pii.session_key(spark) == pii.session_key(spark) and len(pii.session_key(spark)) >= 16
+    spark.conf.set("spark.ridgeline.pii.key", "named")
+    assert pii.session_key(spark) == b"named"
+    spark.conf.unset("spark.ridgeline.pii.key")
+
+
 def test_toxicity(spark, docs, empty):
     r = random.Random(1)
     rows, labels = [], []
@@ -420,15 +515,60 @@ def test_mixing(spark, docs, empty):
     assert all(0 <= r["copies"] <= 3 for r in got)
     key = lambda x: sorted(map(str, x))
     assert key(mixing.mix_copies(df.repartition(7)).collect()) == key(got)
-    assert mixing.mix(df).count() == sum(r["copies"] for r in got if r["size"])
+    by_row = mixing.mix_copies(df, key=F.struct(*row_hashes(df))).collect()
+    assert mixing.mix(df).count() == sum(r["copies"] for r in by_row)
     assert mixing.mix_copies(empty).count() == 0 and mixing.mix(docs).columns == docs.columns
 
 
-def test_mixing_is_unbiased_in_expectation(spark):
-    df = spark.createDataFrame([(k, "w " * (1 + k % 9), "ab"[k % 2]) for k in range(60)], "doc_id long, text string, source string")
-    runs = [mixing.mix_copies(df, seed=s).select("doc_id", "copies", (F.col("target") / F.col("source_size")).alias("due")).collect() for s in range(6)]
-    mean = np.mean([[r["copies"] - r["due"] for r in sorted(run, key=lambda r: r["doc_id"])] for run in runs])
-    assert abs(mean) < 0.1
+def test_mixing_of_one_hot_null_id(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 7)
+    rows = [(None, "same text of it", "s")] * 100 + [(None, f"other text {k}", "s") for k in range(50)] + [(k, "a b c", "t") for k in range(50)]
+    df = spark.createDataFrame([(*r, k % 2) for k, r in enumerate(rows)], "doc_id long, text string, source string, extra int")
+    got = mixing.mix_copies(df).collect()
+    assert len(got) == len(rows) and all(0 <= r["copies"] <= 3 for r in got)
+    hot = [r["nth"] for r in got if r["doc_id"] is None and r["size"] == 4]
+    assert sorted(hot) == list(range(1, 101))
+    out = mixing.mix(df).collect()
+    taken = mixing.mix_copies(df, key=F.struct(*row_hashes(df))).agg(F.sum("copies")).first()[0]
+    assert len(out) == taken and {r["text"] for r in out} <= {t for _, t, _ in rows}
+
+
+def settled(members, seed):
+    """NumPy copy of one source's pivotal steps: {id: copies above the whole part}."""
+    r = np.random.default_rng(seed)
+    rest, up = None, {}
+    for i, size, p in members:
+        if rest is None:
+            rest = [i, size, p]
+            continue
+        j, own, q = rest
+        rise, fall = min((1 - q) * own, p * size), min(q * own, (1 - p) * size)
+        if r.random() * (rise + fall) < fall:
+            if (1 - q) * own <= p * size:
+                up[j], rest = 1, [i, size, max(0.0, p - rise / size)]
+            else:
+                rest = [j, own, min(1.0, q + rise / own)]
+        elif q * own <= (1 - p) * size:
+            rest = [i, size, min(1.0, p + fall / size)]
+        else:
+            up[i], rest = 1, [j, own, max(0.0, q - fall / own)]
+    if r.random() < rest[2]:
+        up[rest[0]] = 1
+    return up
+
+
+def test_each_document_is_taken_as_often_as_it_is_due(spark):
+    sizes = [1 + k % 9 for k in range(24)]
+    due, runs = 0.37, 4000
+    seen = Counter(i for s in range(runs) for i in settled([(k, n, due) for k, n in enumerate(sizes)], s))
+    assert max(abs(seen[k] / runs - due) for k in range(24)) < 4.5 * (due * (1 - due) / runs) ** 0.5
+    # the operator itself: each document's mean over seeds that are rows of one table, a source to each seed
+    df = spark.createDataFrame([(1000 * s + k, "w " * n, f"{s:03d}") for s in range(300) for k, n in enumerate(sizes)], "doc_id long, text string, source string")
+    got = mixing.mix_copies(df).select("doc_id", "copies", (F.col("target") / F.col("source_size")).alias("due")).collect()
+    miss = Counter()
+    for r in got:
+        miss[r["doc_id"] % 1000] += r["copies"] - r["due"]
+    assert max(abs(x) / 300 for x in miss.values()) < 4.5 * 0.5 / 300**0.5
 
 
 def test_crc32_rules(spark):
