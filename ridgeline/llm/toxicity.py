@@ -2,45 +2,77 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import map_texts, pick
+from ridgeline.llm.common import Remembered, map_texts, pick
 
 BUCKETS = 1 << 18
 FEATURES = 2_000
-#: Identity terms by group; each is swapped for the next of its group.
-IDENTITIES = (
-    ("women", "men"),
-    ("woman", "man"),
-    ("black", "white", "asian", "latino"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
-    ("gay", "straight", "lesbian", "bisexual"),
-    ("immigrants", "natives", "refugees"),
-    ("transgender", "cisgender"),
-    ("disabled", "deaf", "blind"),
-    ("mexican", "american", "chinese", "indian", "african", "european"),
-)
-SWAP = {term: group[(k + 1) % len(group)] for group in IDENTITIES for k, term in enumerate(group)}
-REMEMBERED = 300_000
+#: Identity terms by group, in four languages, each group led by a word that names no group. A term is
+#: swapped for the next of its group.
+IDENTITIES = tuple(tuple(line.split()) for line in """
+people women men girls boys
+person woman man girl boy
+people blacks whites asians latinos arabs gypsies
+person black white asian latino arab gypsy
+people muslims christians jews hindus buddhists atheists
+person muslim christian jew hindu buddhist atheist
+people gays lesbians bisexuals transgender heterosexuals
+person gay lesbian bisexual trans heterosexual
+people immigrants refugees foreigners natives
+person immigrant refugee foreigner native
+people mexicans americans chinese indians africans europeans
+person disabled deaf blind autistic
+gens femmes hommes filles garçons
+personne femme homme fille garçon
+gens noirs blancs asiatiques arabes roms
+gens musulmans chrétiens juifs hindous bouddhistes athées
+personne musulman chrétien juif hindou bouddhiste athée
+gens homosexuels lesbiennes bisexuels transgenres
+gens immigrés réfugiés étrangers
+personne handicapé sourd aveugle autiste
+leute frauen männer mädchen jungen
+person frau mann mädchen junge
+leute schwarze weiße asiaten araber roma
+leute muslime christen juden hindus buddhisten atheisten
+mensch muslim christ jude hindu buddhist atheist
+leute schwule lesben bisexuelle transsexuelle
+leute einwanderer flüchtlinge ausländer migranten
+mensch behinderter gehörloser blinder autist
+gente mujeres hombres niñas niños
+persona mujer hombre niña niño
+gente negros blancos asiáticos árabes gitanos
+gente musulmanes cristianos judíos hindúes budistas ateos
+persona musulmán cristiano judío hindú budista ateo
+gente homosexuales lesbianas bisexuales transexuales
+gente inmigrantes refugiados extranjeros
+persona discapacitado sordo ciego autista
+""".split("\n") if line)
+#: Terms that stand in several groups (``muslim`` in two languages, say) are swapped within the first.
+SWAP: dict[str, str] = {}
+for _group in IDENTITIES:
+    for _k, _term in enumerate(_group[1:], 1):
+        SWAP.setdefault(_term, _group[(_k + 1) % len(_group)])
+#: Bytes of distinct words that a worker remembers.
+REMEMBERED = 64 << 20
+WORD = re.compile(r"[^\W\d_]+")
+SENTENCE = re.compile(r"[^.!?\n]+")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def words(text: str) -> set[str]:
-    """Distinct lower-cased runs between white space, without characters at their ends that are no letter or digit."""
-    return {_bare(w) for w in set(text.lower().split())} - {""}
-
-
 def _bare(word: str) -> str:
+    """A run between white space without characters at its ends that are no letter or digit."""
     if word.isalnum():
         return word
     a, b = 0, len(word)
@@ -57,31 +89,53 @@ def features_of(word: str) -> list[str]:
 
 
 def bucket(feature: str) -> int:
-    import xxhash
-
     return xxhash.xxh64_intdigest(feature.encode(), 7) % BUCKETS
 
 
-class Table(dict):
-    """Lower-cased run between white space -> features of its word, as ``index`` numbers them; bounded, it starts
-    anew when full."""
+class Table(Remembered):
+    """Lower-cased run between white space -> features of its word, as ``index`` numbers them; bounded."""
 
     def __init__(self, index: dict[int, int] | None):
-        super().__init__()
+        super().__init__(REMEMBERED)
         self.index = index
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= REMEMBERED:
-            self.clear()
         bare = _bare(word)
         found = (bucket(f) for f in features_of(bare)) if bare else ()
-        self[word] = out = tuple(found) if self.index is None else tuple({self.index[b] for b in found if b in self.index})
-        return out
+        found = tuple(found) if self.index is None else tuple({self.index[b] for b in found if b in self.index})
+        return self.keep(word, found, 64 + 40 * len(found))
 
     def row(self, text: str) -> set[int]:
         return {f for w in set(text.lower().split()) for f in self[w]}
 
 
+def swap(sentence: str) -> str:
+    """The sentence with each identity term as the next one of its group, capital where the term had one."""
+
+    def other(m: re.Match) -> str:
+        new = SWAP.get(m[0].lower())
+        return m[0] if new is None else new.capitalize() if m[0][0].isupper() else new
+
+    return WORD.sub(other, sentence)
+
+
+def counterfactuals(text: str) -> tuple[list[tuple[str, str]], bool]:
+    """(pairs of sentences that should score alike, whether the text itself names a group).
+
+    Each sentence that names a group pairs with its swapped twin. A text that names none lends a sentence: one word
+    that names no group and one that does, both chosen by a hash of the text, stand at the same place of it."""
+    pairs = [(x, y) for x in dict.fromkeys(SENTENCE.findall(text)) if (y := swap(x)) != x]
+    if pairs:
+        return pairs, True
+    sentences = [x for x in SENTENCE.findall(text) if x.split()]
+    if not sentences:
+        return [], False
+    h = xxhash.xxh64_intdigest(text.encode(), 11)
+    said, group = sentences[h % len(sentences)].split(), IDENTITIES[(h >> 16) % len(IDENTITIES)]
+    at, term = (h >> 32) % (len(said) + 1), group[1 + (h >> 48) % (len(group) - 1)]
+    return [tuple(" ".join([*said[:at], word, *said[at:]]) for word in (group[0], term))], False
+
+
 def sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text_col: str, label_col: str, where: Column | None) -> tuple[DataFrame, dict[int, float]]:
     """(text, toxic) of about ``per_class`` labelled rows of either class, those with small id hashes, and the share
     of its class that each class's rows are. The ids, bounded by the sample's size, are broadcast; texts stay."""
@@ -93,16 +147,17 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text
     keep = F.lit(False)
     for k, share in shares.items():
         keep = keep | (F.col("toxic") == k) & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30) < share)
-    chosen = known.where(keep).limit(3 * per_class)  # far above what the shares let through; states the bound
+    chosen = known.where(keep)  # about per_class rows of either class
     rows = pick(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
     return rows, shares
 
 
 class Model:
-    """Weights per selected feature bucket and a bias; ``score`` is a probability."""
+    """Weights per selected feature bucket and a bias; ``score`` is a probability. ``used`` counts the sentence pairs
+    that a fit was held to: ``named`` ones of texts that name a group and ``lent`` ones of texts that don't."""
 
-    def __init__(self, index: dict[int, int], weights: np.ndarray, bias: float):
-        self.index, self.weights, self.bias = index, weights, bias
+    def __init__(self, index: dict[int, int], weights: np.ndarray, bias: float, used: dict[str, int] | None = None):
+        self.index, self.weights, self.bias, self.used = index, weights, bias, used or {"named": 0, "lent": 0}
         self.table = Table(index)
 
     def scores(self, texts: list[str]) -> list[float]:
@@ -111,36 +166,52 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(logits, -50, 50)))).tolist()
 
 
-def train(rows: list[np.ndarray], swapped: list[np.ndarray], toxic: np.ndarray, n: int, penalty: float = 1.0, ridge: float = 2e-4, steps: int = 200, weights: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Adam on mean log loss + ridge * |w|^2 + penalty * mean squared logit change under the swaps (full batches)."""
-    lengths = np.array([len(r) for r in rows])
-    row, col = np.repeat(np.arange(len(rows)), lengths), np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-    pairs = [(set(a.tolist()), set(b.tolist())) for a, b in zip(rows, swapped, strict=True) if len(b) != len(a) or (a != b).any()]
-    moved = [(k, f, s) for k, (a, b) in enumerate(pairs) for f, s in [*((f, 1.0) for f in a - b), *((f, -1.0) for f in b - a)]]
-    prow, pcol, psign = (np.array(x) for x in zip(*moved, strict=True)) if moved else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-    each = np.ones(len(rows)) if weights is None else weights
-    each = each / each.sum()
-    w, b = np.zeros(n), 0.0
-    m, v = np.zeros(n + 1), np.zeros(n + 1)
+class Problem:
+    """Mean log loss of ``rows`` + ridge * |w|^2 + penalty * mean squared logit change over ``pairs``.
+
+    rows: features of each text; pairs: (features of a sentence, features of its twin); each: weight of each row."""
+
+    def __init__(self, rows: list, toxic: np.ndarray, n: int, pairs: list, penalty: float, ridge: float, each: np.ndarray | None = None):
+        flat = lambda parts: np.concatenate([*(np.asarray(p, np.int64) for p in parts), np.zeros(0, np.int64)])
+        self.row, self.col = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), flat(rows)
+        moved = [(sorted(set(a) - set(b)), sorted(set(b) - set(a))) for a, b in pairs]
+        self.pair = np.repeat(np.arange(len(moved)), [len(a) + len(b) for a, b in moved])
+        self.feature = flat([x for ab in moved for x in ab])
+        self.sign = flat([np.full(len(x), s) for ab in moved for x, s in zip(ab, (1, -1), strict=True)]).astype(float)
+        self.n, self.m, self.toxic, self.penalty, self.ridge = n, max(len(pairs), 1), toxic, penalty, ridge
+        self.each = np.full(len(rows), 1 / max(len(rows), 1)) if each is None else each / each.sum()
+
+    def changes(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.pair, self.sign * w[self.feature], self.m)
+
+    def value(self, w: np.ndarray, b: float) -> float:
+        z = b + np.bincount(self.row, w[self.col], len(self.toxic))
+        return float(self.each @ (np.logaddexp(0, z) - self.toxic * z) + self.ridge * w @ w + self.penalty * (self.changes(w) ** 2).sum() / self.m)
+
+    def gradient(self, w: np.ndarray, b: float) -> np.ndarray:
+        z = b + np.bincount(self.row, w[self.col], len(self.toxic))
+        err = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - self.toxic) * self.each
+        grad = np.bincount(self.col, err[self.row], self.n) + 2 * self.ridge * w
+        grad += 2 * self.penalty * np.bincount(self.feature, self.sign * self.changes(w)[self.pair], self.n) / self.m
+        return np.append(grad, err.sum())
+
+
+def train(problem: Problem, steps: int = 200) -> tuple[np.ndarray, float]:
+    """Adam over full batches from 0, at a rate that falls to 0."""
+    x, m, v = (np.zeros(problem.n + 1) for _ in range(3))
     for step in range(1, steps + 1):
-        logit = b + np.bincount(row, w[col], len(rows))
-        err = (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - toxic) * each
-        grad = np.bincount(col, err[row], n) + 2 * ridge * w
-        if len(prow):
-            change = np.bincount(prow, psign * w[pcol], len(pairs))
-            grad += 2 * penalty * np.bincount(pcol, psign * change[prow], n) / len(pairs)
-        g = np.append(grad, err.sum())
+        g = problem.gradient(x[:-1], x[-1])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    return w, float(b)
+        x = x - 0.1 * (1 - (step - 1) / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return x[:-1], float(x[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, penalty: float = 1.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", where=None, features: int = FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, penalty: float = 1.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", where=None, features: int = FEATURES, ridge: float = 2e-4) -> Model:
     """Learns from a bounded sample (``per_class`` rows of either class): document counts of hashed word features per
-    class are summed on the executors, the ``features`` most telling ones (log-likelihood statistic) and those of
-    identity terms are kept, and rows of these few reach the driver with their swapped twins. ``where`` takes the id
-    column and says which labelled rows may teach. Without rows of both classes every text scores the known share."""
+    class are summed on the executors, the ``features`` most telling ones (log-likelihood statistic) and those of all
+    identity terms are kept, and rows of these few reach the driver with the moved features of their sentence pairs
+    (see ``counterfactuals``). ``where`` takes the id column and says which labelled rows may teach. Without rows of
+    both classes nothing can be told apart: every text scores 0.982 if all are toxic, else 0.018."""
     rows, shares = sample(docs, labels, per_class, id_col, text_col, label_col, where)
     rows = rows.persist()
 
@@ -168,28 +239,31 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8_000, penalty: flo
     seen = n1 + n0
     stat = term(n1, seen * share) + term(n0, seen * (1 - share)) + term(total1 - n1, (total1 + total0 - seen) * share) + term(total0 - n0, (total1 + total0 - seen) * (1 - share))
     best = at[np.lexsort((at, -stat))][: features].tolist()
-    named = {bucket(f) for term_ in SWAP for f in features_of(term_)} & set(at.tolist())
+    named = {bucket(f) for group in IDENTITIES for x in group for f in features_of(x)}
     index = {b: k for k, b in enumerate(sorted({*best, *named}))}
 
     def shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(index)
         for batch in batches:
-            own, twin = [], []
-            for text in batch.column("text").to_pylist():
-                own.append(sorted(table.row(text)))
-                said = words(text)
-                twin.append(sorted({f for w in said for f in table[SWAP.get(w, w)]}) if said & SWAP.keys() else None)
-            yield pa.RecordBatch.from_arrays([pc.cast(batch.column("toxic"), pa.int32()), pa.array(own, pa.list_(pa.int32())), pa.array(twin, pa.list_(pa.int32()))], ["toxic", "own", "twin"])
-
-    got = rows.mapInArrow(shape, "toxic int, own array<int>, twin array<int>").toArrow()
+            texts = batch.column("text").to_pylist()
+            found = [counterfactuals(t) for t in texts]
+            left, right = ([[sorted(table.row(pair[k])) for pair in pairs] for pairs, _ in found] for k in (0, 1))
+            lists = pa.list_(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [pc.cast(batch.column("toxic"), pa.int32()), pa.array([sorted(table.row(t)) for t in texts], pa.list_(pa.int32())), pa.array(left, lists), pa.array(right, lists), pa.array([n for _, n in found], pa.bool_())],
+                ["toxic", "own", "left", "right", "named"],
+            )
+
+    got = rows.mapInArrow(shape, "toxic int, own array<int>, left array<array<int>>, right array<array<int>>, named boolean").toArrow()
     rows.unpersist()
-    own = [np.array(x, np.int64) for x in got.column("own").to_pylist()]
-    twin = [o if t is None else np.array(t, np.int64) for o, t in zip(own, got.column("twin").to_pylist(), strict=True)]
+    own, left, right, says = (got.column(c).to_pylist() for c in ("own", "left", "right", "named"))
     toxic = got.column("toxic").to_numpy().astype(float)
     each = np.where(toxic == 1, 1 / shares[1], 1 / shares[0])
     each = np.where(toxic == 1, np.maximum(each, each.sum() / 20 / max(1, toxic.sum())), each)  # rare classes still count
-    weights, bias = train(own, twin, toxic, len(index), penalty, weights=each)
-    return Model(index, weights, bias)
+    pairs = [ab for x, y in zip(left, right, strict=True) for ab in zip(x, y, strict=True)]
+    used = {"named": sum(len(x) for x, n in zip(left, says, strict=True) if n), "lent": sum(len(x) for x, n in zip(left, says, strict=True) if not n)}
+    weights, bias = train(Problem(own, toxic, len(index), pairs, penalty, ridge, each))
+    return Model(index, weights, bias, used)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

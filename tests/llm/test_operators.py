@@ -454,6 +454,45 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, toxicity.fit(empty, marks)).count() == 0
 
 
+def test_toxicity_counterfactuals():
+    assert toxicity.swap("The Muslim family and a woman; women") == "The Christian family and a man; men"
+    pairs, named = toxicity.counterfactuals("No group here. A muslim came by! He left.\nDie Frau kam.")
+    assert named and [x.strip() for x, _ in pairs] == ["A muslim came by", "Die Frau kam"] and [y.strip() for _, y in pairs] == ["A christian came by", "Die Mann kam"]
+    pairs, named = toxicity.counterfactuals("Sun on the road. Rain on the house.")
+    (one, two), n = pairs[0], [k for k, (a, b) in enumerate(zip(pairs[0][0].split(), pairs[0][1].split(), strict=True)) if a != b]
+    group = next(g for g in toxicity.IDENTITIES if one.split()[n[0]] == g[0] and two.split()[n[0]] in g)
+    assert not named and len(n) == 1 and group and toxicity.counterfactuals("Sun on the road. Rain on the house.") == (pairs, False)
+    assert toxicity.counterfactuals(" ... ") == ([], False) and toxicity.counterfactuals("") == ([], False)
+
+
+def test_toxicity_gradient_against_differences():
+    r = np.random.default_rng(4)
+    rows = [sorted(r.choice(12, r.integers(0, 6), replace=False).tolist()) for _ in range(30)]
+    pairs = [(r.choice(12, 3, replace=False).tolist(), r.choice(12, 2, replace=False).tolist()) for _ in range(9)]
+    p = toxicity.Problem(rows, (r.random(30) > 0.5).astype(float), 12, pairs, 0.7, 0.1, r.random(30))
+    w, b, e = r.standard_normal(12), 0.3, 1e-6
+    want = [(p.value(w + e * d, b) - p.value(w - e * d, b)) / (2 * e) for d in np.eye(12)] + [(p.value(w, b + e) - p.value(w, b - e)) / (2 * e)]
+    assert np.allclose(p.gradient(w, b), want, atol=1e-6)
+    z = b + np.array([sum(w[f] for f in row) for row in rows])
+    change = [sum(w[f] for f in set(x)) - sum(w[f] for f in set(y)) for x, y in pairs]
+    assert p.value(w, b) == pytest.approx(p.each @ (np.log1p(np.exp(z)) - p.toxic * z) + 0.1 * w @ w + 0.7 * np.mean(np.square(change)))
+    w, b = toxicity.train(p, 3000)
+    assert np.abs(p.gradient(w, b)).max() < 1e-3
+
+
+def test_toxicity_penalty_takes_effect_on_the_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    fits = {p: toxicity.fit(docs, labels, penalty=p, where=lambda i: ~toxicity.held_out(i)) for p in (0.0, 1.0)}
+    assert fits[1.0].used["lent"] + fits[1.0].used["named"] >= 250 and fits[0.0].index == fits[1.0].index
+    assert np.abs(fits[0.0].weights - fits[1.0].weights).max() > 1e-3
+    clean = docs.join(labels.where("toxic = 0"), "doc_id").where(toxicity.held_out(F.col("doc_id"))).select("text").collect()
+    pairs = [pair for r in clean for pair in toxicity.counterfactuals(r["text"] or "")[0]]
+    gap = {p: np.mean(np.abs(np.subtract(m.scores([a for a, _ in pairs]), m.scores([b for _, b in pairs])))) for p, m in fits.items()}
+    assert len(pairs) > 50 and gap[1.0] < 0.5 * gap[0.0], gap
+    named = [b for _, b in pairs]
+    assert sum(x >= 0.3 for x in fits[1.0].scores(named)) <= sum(x >= 0.3 for x in fits[0.0].scores(named))
+
+
 def test_vectors_against_brute_force(spark):
     r = np.random.default_rng(0)
     base = r.standard_normal((30, 16))
