@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.operators.gram import cross
+from ridgeline.operators.gram import block, cross, sums
 
 
 @dataclass(frozen=True)
@@ -56,10 +56,7 @@ class FeatureFrame:
         """X'(v * w) for all columns or those of ``at``."""
         w = F.lit(1.0) if w is None else w
         cols = [self.features[k].expr for k in (range(self.p) if at is None else at)]
-        if not cols:
-            return np.zeros(0)
-        row = self.df.agg(*(F.sum(c.cast("double") * v * w).alias(f"s{k}") for k, c in enumerate(cols))).first()
-        return np.array([x or 0.0 for x in row])
+        return sums(self.df, cols, v * w) if cols else np.zeros(0)
 
     def cmul(self, j: int, v: Column, w: Column | None = None) -> float:
         return float(self.mul(v, w, [j])[0])
@@ -87,8 +84,7 @@ class FeatureFrame:
         return cross(self.df, self.columns[j : j + q], w)
 
     def sq_mul(self, w: Column) -> np.ndarray:
-        row = self.df.agg(*(F.sum(w * c * c).alias(f"s{k}") for k, c in enumerate(self.columns))).first()
-        return np.array([x or 0.0 for x in row])
+        return sums(self.df, self.columns, w, squares=True)
 
     def sp_tmul(self, betas: np.ndarray, *keep: str) -> DataFrame:
         """(keep..., eta_0 ... eta_{L-1}): products with each row of ``betas`` in one projection."""
@@ -99,8 +95,8 @@ class FeatureFrame:
         return np.array([0.0 if f.fixed_stats else m for f, m in zip(self.features, stats, strict=True)])
 
     def var(self, centers: np.ndarray, w: Column) -> np.ndarray:
-        row = self.df.agg(*(F.sum(w * (c - float(m)) * (c - float(m))).alias(f"s{k}") for k, (c, m) in enumerate(zip(self.columns, centers, strict=True)))).first()
-        return np.array([1.0 if f.fixed_stats else x for f, x in zip(self.features, row, strict=True)])
+        found = sums(self.df, [c - float(m) for c, m in zip(self.columns, centers, strict=True)], w, squares=True)
+        return np.array([1.0 if f.fixed_stats else x for f, x in zip(self.features, found, strict=True)])
 
     # --- selection ---------------------------------------------------------------------------------
     def subset_columns(self, indices: Sequence[int]) -> FeatureFrame:
@@ -239,16 +235,18 @@ def all_pairs(p: int) -> list[tuple[int, int]]:
 
 
 def standardize(frame: FeatureFrame, weight: Column | None = None, centers: Sequence[float] | None = None, scales: Sequence[float] | None = None, ddof: int = 0) -> FeatureFrame:
-    """(X - 1 c') diag(1/s): one statistics pass where centers or scales aren't given, then literals."""
-    n = None
+    """(X - 1 c') diag(1/s), then literals. Centers come from one pass that also counts rows, scales from a second one
+    around them: sums of squares about 0 would lose the variance of columns far from it."""
+    w, v, n = F.lit(1.0) if weight is None else weight, None, None
     if centers is None or scales is None:
-        if weight is None:
-            n = frame.df.count()
-            weight = F.lit(1.0 / max(n, 1))
-        n = frame.df.count() if n is None and ddof else n
-    c = frame.mean(weight) if centers is None else np.asarray(centers, float)
+        total = sums(frame.df, [F.lit(1.0), *([] if centers is not None else frame.columns)], w)
+        n = total[0] if weight is None else frame.df.count() if ddof else None
+        share = F.lit(1.0 / max(total[0], 1.0)) if weight is None else weight
+        if centers is None:
+            centers = [0.0 if f.fixed_stats else x / (max(total[0], 1.0) if weight is None else 1.0) for f, x in zip(frame.features, total[1:], strict=True)]
+        v = frame.var(centers, share) if scales is None else None
+    c = np.asarray(centers, float)
     if scales is None:
-        v = frame.var(c, weight)
         s = np.sqrt(v * (n / (n - ddof) if ddof else 1.0))
         s = np.array([1.0 if f.fixed_stats else x for f, x in zip(frame.features, s, strict=True)])
     else:
@@ -291,11 +289,8 @@ class LazyCov:
     def touch(self, indices: Sequence[int]) -> None:
         new = [i for i in indices if i not in self.rows]
         if new:
-            w = F.lit(1.0) if self.w is None else self.w
             x = self.frame.columns
-            row = self.frame.df.agg(*(F.sum(w * x[i] * x[j]).alias(f"s{i}_{j}") for i in new for j in range(self.frame.p))).first()
-            for i in new:
-                self.rows[i] = np.array([row[f"s{i}_{j}"] or 0.0 for j in range(self.frame.p)])
+            self.rows.update(zip(new, block(self.frame.df, [x[i] for i in new], x, self.w), strict=True))
 
     def mul(self, indices: Sequence[int], values: Sequence[float]) -> np.ndarray:
         self.touch(indices)

@@ -2,11 +2,11 @@
 
 Few columns are plain aggregate sums in generated code. More columns are packed into Arrow batches; each task adds
 up one partial matrix in BLAS and returns its entries, which are summed by position with map-side combining, so
-neither rows nor more than one matrix per task leave an executor."""
+neither rows nor more than one matrix per task and group leave an executor."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,29 +15,95 @@ from pyspark.sql import functions as F
 
 #: Up to this many distinct sums are planned as one aggregate; beyond it generated code grows too large.
 NATIVE_SUMS = 60
+#: Entries of a matrix that may reach the driver (2 GB); larger ones are a caller's to split into blocks.
+MOST_ENTRIES = 1 << 28
 
 
-def cross(df: DataFrame, columns: Sequence[Column], weight: Column | None = None) -> np.ndarray:
-    """C' diag(weight) C over all rows of the given double columns (nulls count as 0), as a dense matrix."""
-    p = len(columns)
+def sound(values: Sequence[Column], weight: Column) -> Column:
+    """Whether a row may take part in a fit: a finite weight of at least 0 and, but at weight 0, finite values."""
+    finite = lambda c: F.coalesce(~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")), F.lit(False))
+    all_ = F.lit(True)
+    for v in values:
+        all_ = all_ & finite(v)
+    return finite(weight) & (weight >= 0) & (all_ | (weight == 0))
+
+
+def refuse(bad: int | None) -> None:
+    if bad:
+        raise ValueError(f"{int(bad)} rows hold null or non-finite values or weights below 0; drop them, or pass missing='drop'")
+
+
+def by_position(df: DataFrame, size: int, partial: Callable[[list[np.ndarray]], np.ndarray]) -> np.ndarray:
+    """Sums over all batches of vectors of ``size`` that ``partial`` makes of a batch's columns: one vector a task."""
+    if size > MOST_ENTRIES:
+        raise ValueError(f"{size} numbers are too many for the driver; ask for blocks of columns")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for b in batches:
+            total += partial([b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "v"])
+
+    found = df.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(size)
+    out[found.column("at").to_numpy()] = found.column("v").to_numpy()
+    return out
+
+
+def _cells(df: DataFrame, columns: Sequence[Column], weight: Column | None, strict: bool, *more: Column) -> DataFrame:
     w = F.lit(1.0) if weight is None else weight
     cells = [F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"c{k}") for k, c in enumerate(columns)]
-    base = df.select(*cells, F.coalesce(w.cast("double"), F.lit(0.0)).alias("w"))
-    out = np.zeros((p, p))
-    if p * (p + 1) // 2 <= NATIVE_SUMS:
-        pairs = [(i, j) for i in range(p) for j in range(i, p)]
-        row = base.agg(*(F.sum(F.col(f"c{i}") * F.col(f"c{j}") * F.col("w")).alias(f"s{i}_{j}") for i, j in pairs)).first()
-        for i, j in pairs:
-            out[i, j] = out[j, i] = row[f"s{i}_{j}"] or 0.0
-        return out
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((p, p))
-        for b in batches:
-            x = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(p)], axis=1)
-            total += x.T @ (x * b.column(p).to_numpy(zero_copy_only=False)[:, None])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(p * p)), pa.array(total.ravel())], ["at", "v"])
+    bad = F.when(sound(columns, w.cast("double")), 0.0).otherwise(1.0) if strict else F.lit(0.0)
+    return df.select(*cells, F.coalesce(w.cast("double"), F.lit(0.0)).alias("w"), bad.alias("bad"), *more)
 
-    found = base.mapInArrow(partial, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
-    out.ravel()[found.column("at").to_numpy()] = found.column("v").to_numpy()
-    return (out + out.T) / 2
+
+def cross(df: DataFrame, columns: Sequence[Column], weight: Column | None = None, strict: bool = False) -> np.ndarray:
+    """C' diag(weight) C over all rows of the given double columns, as a dense matrix. Nulls count as 0, or with
+    ``strict`` raise, as do other values that are not ``sound``."""
+    return cross_by(df, columns, weight, F.lit(0), 1, strict)[0]
+
+
+def cross_by(df: DataFrame, columns: Sequence[Column], weight: Column | None, group: Column, groups: int, strict: bool = False) -> np.ndarray:
+    """``cross`` of each value 0 ... groups - 1 of ``group``, all in one pass: (groups, p, p)."""
+    p = len(columns)
+    i, j = np.triu_indices(p)
+    base = _cells(df, columns, weight, strict, group.cast("int").alias("g"))
+    if len(i) * groups <= NATIVE_SUMS:
+        sums = [F.sum(F.when(F.col("g") == g, F.col(f"c{a}") * F.col(f"c{b}") * F.col("w")) if groups > 1 else F.col(f"c{a}") * F.col(f"c{b}") * F.col("w")).alias(f"s{g}_{k}") for g in range(groups) for k, (a, b) in enumerate(zip(i, j, strict=True))]
+        row = base.agg(*sums, F.sum("bad").alias("bad")).first()
+        flat = np.array([*(x or 0.0 for x in row[:-1]), row[-1] or 0.0])
+    else:
+
+        def partial(cols: list[np.ndarray]) -> np.ndarray:
+            x, w, g, out = np.column_stack(cols[:p]), cols[p], cols[p + 2], np.zeros((groups, len(i)))
+            for k in np.unique(g):
+                own = g == k
+                xs = x[own] if groups > 1 else x
+                out[k] = (xs.T @ (xs * (w[own] if groups > 1 else w)[:, None]))[i, j]
+            return np.append(out.ravel(), cols[p + 1].sum())
+
+        flat = by_position(base, len(i) * groups + 1, partial)
+    refuse(flat[-1])
+    out = np.zeros((groups, p, p))
+    out[:, i, j] = flat[:-1].reshape(groups, -1)
+    out[:, j, i] = out[:, i, j]
+    return out
+
+
+def block(df: DataFrame, left: Sequence[Column], right: Sequence[Column], weight: Column | None = None) -> np.ndarray:
+    """L' diag(weight) R over all rows, nulls as 0: one pass whatever the number of columns."""
+    base, a, b = _cells(df, [*left, *right], weight, False), len(left), len(right)
+    if a * b <= NATIVE_SUMS:
+        row = base.agg(*(F.sum(F.col(f"c{i}") * F.col(f"c{a + j}") * F.col("w")).alias(f"s{i}_{j}") for i in range(a) for j in range(b))).first()
+        return np.array([x or 0.0 for x in row]).reshape(a, b)
+    return by_position(base, a * b, lambda cols: (np.column_stack(cols[:a]).T @ (np.column_stack(cols[a : a + b]) * cols[a + b][:, None])).ravel()).reshape(a, b)
+
+
+def sums(df: DataFrame, columns: Sequence[Column], weight: Column, squares: bool = False) -> np.ndarray:
+    """Sums of weight * column, or of weight * column^2, nulls as 0: one pass."""
+    if len(columns) <= NATIVE_SUMS:
+        row = df.agg(*(F.sum(weight * c.cast("double") * c.cast("double") if squares else c.cast("double") * weight).alias(f"s{k}") for k, c in enumerate(columns))).first()
+        return np.array([x or 0.0 for x in row])
+    p = len(columns)
+    return by_position(_cells(df, columns, weight, False), p, lambda cols: cols[p] @ (np.column_stack(cols[:p]) ** (2 if squares else 1)))

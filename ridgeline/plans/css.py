@@ -107,10 +107,10 @@ class CSSModelSelection:
 
     def cutoff(self, n: int, p: int, k: int, rng: np.random.Generator) -> float:
         """Columns left over are independent given the subset: residuals of one another by growing sets of
-        regressors compare chi-square sums of n-k-j and n-k degrees of freedom."""
+        regressors compare chi-square variables of j and n - k - j - 1 degrees of freedom (the mean takes one)."""
         stat = np.zeros(self.n_sims)
         for j in range(1, p - k):
-            inner = rng.chisquare(max(n - k - j, 1), self.n_sims)
+            inner = rng.chisquare(max(n - k - j - 1, 1), self.n_sims)
             stat += np.log1p(rng.chisquare(j, self.n_sims) / inner)
         return float(np.quantile(stat, 1 - self.alpha))
 

@@ -10,15 +10,16 @@ from ridgeline.operators.features import Feature, FeatureFrame
 MISSING = -9
 
 
-def column_stats(calls: DataFrame) -> DataFrame:
+def column_stats(calls: DataFrame, rows: int | None = None) -> DataFrame:
     """(snp, nnm, nnz, impute): non-missing calls, calls that aren't 0 (missing ones included) and the mean of the
-    non-missing. ``calls(row_id, snp, call)``; a null or negative call is missing, an absent row is 0 and must then
-    be counted by the caller's ``complete`` table."""
+    non-missing. ``calls(row_id, snp, call)``; a null or negative call is missing. With ``rows``, the number of rows of
+    the matrix, rows that a variant has no call for count as 0; without it the calls must be complete."""
     known = F.col("call").isNotNull() & (F.col("call") >= 0)
+    nnm = F.count_if(known) if rows is None else F.lit(rows) - F.count_if(~known)
     return calls.groupBy("snp").agg(
-        F.count_if(known).alias("nnm"),
+        nnm.alias("nnm"),
         F.count_if(~known | (F.col("call") != 0)).alias("nnz"),
-        (F.sum(F.when(known, F.col("call")).otherwise(0)) / F.greatest(F.count_if(known), F.lit(1))).alias("impute"),
+        (F.sum(F.when(known, F.col("call")).otherwise(0)) / F.greatest(nnm, F.lit(1))).alias("impute"),
     )
 
 
@@ -30,7 +31,7 @@ def write_unphased(calls: DataFrame, path: str, impute_method: str | DataFrame =
     if not calls.where("call > 2").isEmpty():
         raise ValueError("calls must be at most 2")
     t0 = time.time()
-    stats = column_stats(calls)
+    stats = column_stats(calls, calls.select("row_id").distinct().count())
     if not isinstance(impute_method, str):
         stats = stats.drop("impute").join(impute_method, "snp")
     elif impute_method != "mean":
@@ -53,9 +54,11 @@ class Unphased:
         return [r[0] for r in self.stats.select("snp").orderBy("snp").collect()]
 
     def to_dense(self) -> DataFrame:
-        """(row_id, snp_<k> ...): one column per variant, missing as -9, absent as 0."""
+        """(row_id, snp_<k> ...): one column per variant, missing as -9, absent as 0. A row's calls meet as one map,
+        which its columns look up, so plans don't grow by an aggregate a variant."""
         snps = self.snps()
-        wide = self.calls.groupBy("row_id").agg(*(F.max(F.when(F.col("snp") == s, F.coalesce("call", F.lit(MISSING)))).alias(f"snp_{s}") for s in snps))
+        of_row = F.map_from_entries(F.collect_set(F.struct("snp", F.coalesce("call", F.lit(MISSING)).alias("call"))))
+        wide = self.calls.groupBy("row_id").agg(of_row.alias("m")).select("row_id", *(F.col("m")[s].alias(f"snp_{s}") for s in snps))
         return self.rows.join(wide, "row_id", "left").select("row_id", *(F.coalesce(f"snp_{s}", F.lit(0)).cast("byte").alias(f"snp_{s}") for s in snps))
 
     def frame(self) -> FeatureFrame:
@@ -99,6 +102,33 @@ def phased_frame(spark: SparkSession, path: str, snps: int, ancestries: int) ->
     return FeatureFrame(rows, tuple(Feature(f"x_{j}", F.coalesce(f"x_{j}", F.lit(0.0)), True) for j in range(p)))
 
 
+def read_bed(spark: SparkSession, path: str, samples: int, variants: int, block: int = 256) -> DataFrame:
+    """(row_id, snp, call) of a binary genotype table, two bits a call, variant by variant: copies of the first allele
+    of the variant list, null where missing. Tasks read ``block`` variants each, by their place in the file; ``path``
+    must be readable on each executor."""
+    width = -(-samples // 4)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        for batch in batches:
+            for first in batch.column("id").to_pylist():
+                with system.open_input_file(at) as f:
+                    if f.read_at(3, 0) != b"\x6c\x1b\x01":
+                        raise ValueError(f"{path} holds no genotypes by variant")
+                    n = min(block, variants - first)
+                    raw = np.frombuffer(f.read_at(n * width, 3 + first * width), np.uint8).reshape(n, width)
+                codes = (raw[:, :, None] >> np.array([0, 2, 4, 6]) & 3).reshape(n, -1)[:, :samples]
+                calls = np.array([2, -1, 1, 0], np.int8)[codes]  # fixed values: 00 two copies, 01 missing, 10 one, 11 none
+                for k in range(n):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(samples)), pa.array(np.full(samples, first + k, np.int32)), pa.array(calls[k], mask=calls[k] < 0)], ["row_id", "snp", "call"])
+
+    return spark.range(0, variants, block, max(1, min(-(-variants // block), 10_000))).mapInArrow(run, "row_id long, snp int, call byte")
+
+
 def read_variants(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated variant list: chrom, name, position in morgans and bases, both alleles."""
     return spark.read.csv(path, sep="\t", schema="chrom string, snp string, cm double, bp long, a1 string, a2 string")
