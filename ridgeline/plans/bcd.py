@@ -40,8 +40,9 @@ def root_upper_bound(quad, linear, l1: float, zero_tol: float = 1e-10) -> float:
     return float(np.linalg.norm(linear[live] / quad[live]) / np.sqrt(1 - (flat / l1) ** 2))
 
 
-def root(quad, linear, l1: float, tol: float = 1e-14, max_iters: int = 500) -> float | None:
-    """Norm of the solution, None where there is no positive root (|v| <= l1) or no finite one."""
+def root(quad, linear, l1: float, tol: float = 1e-14, max_iters: int = 500, trace: list[float] | None = None) -> float | None:
+    """Norm of the solution, None where there is no positive root (|v| <= l1) or no finite one: Newton steps from the
+    lower bound, kept inside the bracket. ``trace`` takes every value that is tried."""
     quad, linear = np.asarray(quad, float), np.asarray(linear, float)
     if np.linalg.norm(linear) <= l1 or l1 <= 0:
         return None
@@ -53,6 +54,8 @@ def root(quad, linear, l1: float, tol: float = 1e-14, max_iters: int = 500) -> f
         d = quad * h + l1
         r = linear / d
         f = r @ r - 1
+        if trace is not None:
+            trace.append(float(h))
         if abs(f) <= tol:
             break
         slope = -2 * (r * r * quad / d).sum()
@@ -69,6 +72,28 @@ def root(quad, linear, l1: float, tol: float = 1e-14, max_iters: int = 500) -> f
     return float(h)
 
 
+def _plain_newton(quad, linear, l1: float, tol: float, max_iters: int) -> float:
+    """Newton steps from 0, without bounds: each lies left of the root, as the function is convex and falls."""
+    h = 0.0
+    for _ in range(max_iters):
+        d = quad * h + l1
+        r = linear / d
+        step = (r @ r - 1) / (2 * (r * r * quad / d).sum())
+        if not step > tol * max(1.0, h):
+            break
+        h += step
+    return float(h)
+
+
+def _newton_brent(quad, linear, l1: float, max_steps: int = 3) -> float:
+    """A few Newton steps raise the lower end of the bracket; Brent's method ends in it."""
+    from ridgeline.plans.qp import brent
+
+    low, high = max(root_lower_bound(quad, linear, l1), _plain_newton(quad, linear, l1, 0.0, max_steps)), root_upper_bound(quad, linear, l1)
+    f = lambda h: root_function(h, quad, linear, l1)
+    return low if f(low) <= 0 else brent(f, low, max(high, low) * (1 + 1e-12), tol=1e-15)
+
+
 def _proximal(quad, linear, l1, l2, tol, max_iters, fast: bool, restart: bool):
     d, step = np.asarray(quad, float) + l2, 1.0 / max(float(np.max(quad) + l2), 1e-300)
     x = z = np.zeros(len(d))
@@ -91,8 +116,11 @@ def _proximal(quad, linear, l1, l2, tol, max_iters, fast: bool, restart: bool):
     return x
 
 
-def solve(quad, linear, l1: float, l2: float = 0.0, solver: str = "newton_abs", tol: float = 1e-14, max_iters: int = 100_000) -> np.ndarray:
-    """The minimiser. |v| <= l1 gives 0 and l1 <= 0 the ridge solution; solvers differ in how they find the norm."""
+def solve(quad, linear, l1: float, l2: float = 0.0, solver: str = "newton_abs", tol: float = 1e-14, max_iters: int = 100_000, trace: list[float] | None = None) -> np.ndarray:
+    """The minimiser. |v| <= l1 gives 0 and l1 <= 0 the ridge solution; solvers differ in how they find the norm:
+    ``brent`` between both bounds, ``newton`` from 0, ``newton_brent`` Newton steps and then Brent, ``newton_abs``
+    Newton steps from the lower bound inside the bracket (``newton_abs_debug`` the same with every value in ``trace``);
+    ``ista``, ``fista`` and ``fista_adares`` (restarted) are proximal gradient steps on x itself."""
     if solver not in SOLVERS:
         raise ValueError(f"unknown solver {solver!r}; one of {SOLVERS}")
     quad, linear = np.asarray(quad, float), np.asarray(linear, float)
@@ -103,13 +131,18 @@ def solve(quad, linear, l1: float, l2: float = 0.0, solver: str = "newton_abs",
         return linear / np.where(d > 0, d, 1e-24)
     if solver in ("ista", "fista", "fista_adares"):
         return _proximal(quad, linear, l1, l2, tol, max_iters, solver != "ista", solver == "fista_adares")
-    if "brent" in solver:
+    if not np.isfinite(root_upper_bound(d, linear, l1)):
+        raise ValueError("the problem is unbounded: flat directions outweigh l1")
+    if solver == "brent":
         from ridgeline.plans.qp import brent
 
-        high = root_upper_bound(d, linear, l1)
-        h = brent(lambda x: root_function(x, d, linear, l1), root_lower_bound(d, linear, l1), high if np.isfinite(high) else 1e12, tol=1e-15)
+        low, high = root_lower_bound(d, linear, l1), root_upper_bound(d, linear, l1) * (1 + 1e-12)
+        f = lambda x: root_function(x, d, linear, l1)
+        h = low if f(low) <= 0 else brent(f, low, high, tol=1e-15)
+    elif solver == "newton":
+        h = _plain_newton(d, linear, l1, min(tol, 1e-15), max_iters)
+    elif solver == "newton_brent":
+        h = _newton_brent(d, linear, l1)
     else:
-        h = root(d, linear, l1, tol=min(tol, 1e-14))
-    if h is None:
-        raise ValueError("the problem is unbounded: flat directions outweigh l1")
+        h = root(d, linear, l1, tol=min(tol, 1e-14), trace=trace if solver == "newton_abs_debug" else None)
     return linear * h / (d * h + l1)

@@ -13,13 +13,58 @@ from ridgeline.plans import bcd, qp
 LARGEST = 1e100
 
 
+def proximal_newton(quad, linear, l1: float, l2: float, B: np.ndarray, lower: np.ndarray, upper: np.ndarray, tol: float = 1e-13, max_iters: int = 500) -> tuple[np.ndarray, np.ndarray] | None:
+    """(x, dual) of the one-group problem with lower <= B x <= upper, by Newton steps on its dual; None if they don't
+    settle. The smooth part of the dual is curved by dx/dv of the unconstrained solution x(v); with the bounds as a
+    pinball penalty each step is a small pinball program, and steps are halved until the dual falls."""
+    quad, linear, mu = np.asarray(quad, float), np.asarray(linear, float), np.zeros(len(B))
+    d = quad + l2
+
+    def at(mu):
+        x = bcd.solve(quad, linear - B.T @ mu, l1, l2)
+        return x, 0.5 * x @ (d * x) + upper @ np.maximum(mu, 0) + lower @ np.minimum(mu, 0)
+
+    x, value = at(mu)
+    for _ in range(max_iters):
+        norm = np.linalg.norm(x)
+        J = np.linalg.pinv(np.diag(d + l1 / norm) - l1 * np.outer(x, x) / norm**3, hermitian=True) if norm > 0 else np.zeros((len(x), len(x)))
+        H = B @ J @ B.T
+        H = H + 1e-10 * max(float(np.trace(H)) / len(H), 1e-6) * np.eye(len(H))
+        try:
+            step = qp.pinball_full(H, H @ mu + B @ x, -lower, upper, x0=mu, tol=1e-24) - mu
+        except RuntimeError:
+            return None
+        share = 1.0
+        while True:
+            new, (new_x, new_value) = mu + share * step, at(mu + share * step)
+            if new_value <= value + 1e-14 * max(1.0, abs(value)) or share < 1e-10:
+                break
+            share /= 2
+        if share < 1e-10:
+            return None
+        done = np.max(np.abs(new - mu), initial=0.0) <= tol * max(1.0, np.max(np.abs(new), initial=0.0))
+        mu, x, value = new, new_x, new_value
+        if done:
+            return x, mu
+    return None
+
+
 class Constraint:
-    """Base of the built-in sets and of user constraints: give ``project`` (and ``m``), or override ``solve``."""
+    """Base of the built-in sets and of user constraints: give ``project`` (and ``m``), or override ``solve``.
+
+    ``method`` is ``proximal_newton`` for sets that state themselves as ``bounds`` (ADMM where its steps don't settle),
+    or ``admm``."""
 
     m = 0  # number of duals
 
-    def __init__(self, tol: float = 1e-11, max_iters: int = 50_000, rho: float = 1.0):
-        self.tol, self.max_iters, self.rho = tol, max_iters, rho
+    def __init__(self, tol: float = 1e-11, max_iters: int = 50_000, rho: float = 1.0, method: str = "proximal_newton"):
+        if method not in ("proximal_newton", "admm"):
+            raise ValueError(f"unknown method {method!r}")
+        self.tol, self.max_iters, self.rho, self.method = tol, max_iters, rho, method
+
+    def bounds(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(A, lower, upper) of lower <= A x <= upper, None for other sets."""
+        return None
 
     def project(self, z: np.ndarray) -> np.ndarray:
         raise NotImplementedError
@@ -28,8 +73,18 @@ class Constraint:
         return mu
 
     def solve(self, quad, linear, l1: float, l2: float, Q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """ADMM between the group penalty in the rotated and the set in the original basis."""
+        """By the constraint's method; ADMM alternates between the group penalty in the rotated and the set in the
+        original basis."""
         quad, linear = np.asarray(quad, float), np.asarray(linear, float)
+        own = self.bounds(len(linear)) if self.method == "proximal_newton" else None
+        if own is not None:
+            A, low, high = own
+            left, mu = self.solve_zero(Q @ linear)
+            if left <= l1:
+                return np.zeros(len(linear)), mu
+            found = proximal_newton(quad, linear, l1, l2, A @ Q, low, high)
+            if found is not None:
+                return found[0], self.dual_from(found[1])
         rho = self.rho * max(float(np.mean(quad)) + l2, 1e-8)
         z = u = np.zeros(len(linear))
         x = z
@@ -53,6 +108,10 @@ class Constraint:
     def dual_of(self, force: np.ndarray) -> np.ndarray:
         return force
 
+    def dual_from(self, nu: np.ndarray) -> np.ndarray:
+        """This set's dual from those of its ``bounds``."""
+        return nu
+
     def solve_zero(self, v: np.ndarray) -> tuple[float, np.ndarray]:
         """Norm of what is left of the gradient v at 0 after the best dual, and that dual."""
         raise NotImplementedError
@@ -71,6 +130,9 @@ class Box(Constraint):
     def project(self, z):
         return np.clip(z, self.lower, self.upper)
 
+    def bounds(self, d):
+        return np.eye(d), self.lower, self.upper
+
     def solve(self, quad, linear, l1, l2, Q):
         if len(linear) == 1:  # closed form: clip the unconstrained minimiser
             d = quad[0] + l2
@@ -91,15 +153,13 @@ class OneSided(Constraint):
     """D x <= b with signs D and b >= 0."""
 
     def __init__(self, D, b, method: str = "proximal_newton", **options):
-        super().__init__(**options)
-        self.D, self.b, self.method = np.asarray(D, float), np.minimum(np.asarray(b, float), LARGEST), method
+        super().__init__(method=method, **options)
+        self.D, self.b = np.asarray(D, float), np.minimum(np.asarray(b, float), LARGEST)
         if not np.isin(self.D, (-1, 1)).all():
             raise ValueError("D must be signs")
         if (self.b < 0).any():
             raise ValueError("b must not be negative")
-        if method not in ("proximal_newton", "admm"):
-            raise ValueError(f"unknown method {method!r}")
-        self.box = Box(np.where(self.D < 0, -self.b, -LARGEST), np.where(self.D > 0, self.b, LARGEST), **options)
+        self.box = Box(np.where(self.D < 0, -self.b, -LARGEST), np.where(self.D > 0, self.b, LARGEST), method=method, **options)
         self.m = len(self.b)
 
     def project(self, z):
@@ -152,6 +212,9 @@ class Linear(Constraint):
         mu = qp.pinball_full(self.A @ self.A.T + 1e-15 * np.eye(self.m), a, -self.lower, self.upper, tol=1e-26)
         return z - self.A.T @ mu
 
+    def bounds(self, d):
+        return self.A, self.lower, self.upper
+
     def gradient(self, mu):
         return self.A.T @ mu
 
