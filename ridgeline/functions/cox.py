@@ -1,27 +1,52 @@
-"""Cox sub-operators as windows over pre-aggregated event times.
+"""Cox sub-operators as running sums over pre-aggregated event times.
 
 Rows are first summed by (strata, time): the running sums then see one row per distinct time of a stratum, never
-one row per subject, and are joined back by equality. Strata are the partitions; a single huge stratum is limited
-by its distinct times."""
+one row per subject, and are joined back by equality. A stratum's times are dealt out in parts of the time axis,
+whose totals are summed first, so that no task holds a whole stratum; steps of a tie are added up in runs, so that no
+row holds all of them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Parts that the time axis is cut into, and steps of a tie that one array holds.
+PARTS, RUN = 256, 10_000
+
+
+def edges_of(df: DataFrame, at: str = "at") -> DataFrame:
+    """One row: times that cut the rows into about equal parts. Any cut gives the same sums; equal ones spread them."""
+    return df.agg(F.percentile_approx(at, [k / PARTS for k in range(1, PARTS)], 10 * PARTS).alias("edges"))
+
+
+def running(df: DataFrame, names: Sequence[str], back: bool = False, keys: Sequence[str] = ("strata",), edges: list[float] | None = None) -> DataFrame:
+    """``df``, which has one row for each (keys, at), with ``run_<name>``: sums over the rows of its keys at times up to
+    its own, or with ``back`` from its own on. ``edges`` may be given where they are known."""
+    cuts = edges_of(df).scalar() if edges is None else F.array(*(F.lit(float(e)) for e in edges)).cast("array<double>")
+    parted = df.withColumn("__cuts", cuts).withColumn("__part", F.coalesce(F.size(F.filter("__cuts", lambda e: e < F.col("at"))), F.lit(0))).drop("__cuts")
+    turn = (lambda c: F.col(c).desc()) if back else (lambda c: F.col(c).asc())
+    totals = parted.groupBy(*keys, "__part").agg(*(F.sum(c).alias(f"t_{c}") for c in names))
+    earlier = Window.partitionBy(*keys).orderBy(turn("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__part").alias("__p"), *(F.coalesce(F.sum(f"t_{c}").over(earlier), F.lit(0.0)).alias(f"b_{c}") for c in names))
+    own = Window.partitionBy(*keys, "__part").orderBy(turn("at")).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("__part") == F.col("__p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    summed = parted.select("*", *(F.sum(c).over(own).alias(f"o_{c}") for c in names)).join(totals, same)
+    return summed.select(*df.columns, *((F.col(f"o_{c}") + F.col(f"b_{c}")).alias(f"run_{c}") for c in names))
+
 
 def partial_sum(values: DataFrame, times: DataFrame, forward: bool = True, keys: tuple[str, ...] = ("strata",)) -> DataFrame:
     """For each distinct (keys, at) of ``times``: the sum of ``v`` over rows of ``values(keys, at, v)`` with a time of
     at most (forward) or at least (backward) ``at``. Times without values give 0; both tables may be empty."""
-    keys = list(keys)
     marks = times.select(*keys, "at", F.lit(0.0).alias("v"), F.lit(1).alias("asked"))
     events = values.select(*keys, "at", F.col("v").cast("double"), F.lit(0).alias("asked")).union(marks)
     summed = events.groupBy(*keys, "at").agg(F.sum("v").alias("v"), F.max("asked").alias("asked"))
-    order = Window.partitionBy(*keys).orderBy("at")
-    frame = order.rangeBetween(Window.unboundedPreceding, 0) if forward else order.rangeBetween(0, Window.unboundedFollowing)
-    return summed.withColumn("v", F.sum("v").over(frame)).where("asked = 1").select(*keys, "at", "v")
+    return running(summed, ["v"], not forward, keys).where("asked = 1").select(*keys, "at", F.col("run_v").alias("v"))
 
 
 def at_risk(df: DataFrame, value: Column, start: str = "start", stop: str = "stop", strata: str = "strata") -> DataFrame:
@@ -29,9 +54,17 @@ def at_risk(df: DataFrame, value: Column, start: str = "start", stop: str = "sto
     plus = df.select(F.col(strata).alias("strata"), F.col(stop).alias("at"), value.alias("v"), F.lit(0.0).alias("s"), F.lit(1).alias("asked"))
     minus = df.select(F.col(strata).alias("strata"), F.col(start).alias("at"), F.lit(0.0).alias("v"), value.alias("s"), F.lit(0).alias("asked"))
     summed = plus.union(minus).groupBy("strata", "at").agg(F.sum("v").alias("v"), F.sum("s").alias("s"), F.max("asked").alias("asked"))
-    back = Window.partitionBy("strata").orderBy("at").rangeBetween(0, Window.unboundedFollowing)
     # start >= at is outside (start, at]; stop >= at is inside
-    return summed.select("strata", "at", (F.sum("v").over(back) - F.sum("s").over(back)).alias("risk"), "asked").where("asked = 1").drop("asked")
+    return running(summed, ["v", "s"], back=True).where("asked = 1").select("strata", "at", (F.col("run_v") - F.col("run_s")).alias("risk"))
+
+
+def steps(n: Column, tie: str, f: Callable[[Column], Column]) -> Column:
+    """Sum of f(share) over the n steps of a tie, share being k / n for k = 0 ... n-1 (Breslow: 0 n times)."""
+    if tie != "efron":
+        return n * f(F.lit(0.0))
+    run = lambda r: F.sequence(r * RUN, F.least(n - 1, r * RUN + (RUN - 1)))
+    inner = lambda r: F.aggregate(run(r), F.lit(0.0), lambda a, k: a + f(k / n))
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / RUN)), F.lit(0.0), lambda a, r: a + inner(r))
 
 
 def ties(df: DataFrame, stop: str = "stop", status: str = "status", strata: str = "strata", weight: str = "w", eta: str = "eta") -> DataFrame:
@@ -50,33 +83,36 @@ def hazards(df: DataFrame, tie: str = "efron", **columns: str) -> DataFrame:
     table = ties(df, names["stop"], names["status"], names["strata"], names["weight"], names["eta"])
     risk = at_risk(df, F.col(names["weight"]) * F.exp(names["eta"]), names["start"], names["stop"], names["strata"])
     joined = table.join(risk, ["strata", "at"])
-    share = (lambda k: k / F.col("n")) if tie == "efron" else (lambda k: F.lit(0.0))
-    steps = F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))
-    left = lambda k: F.col("risk") - share(k) * F.col("tied")
-    add = lambda f: F.aggregate(F.transform(steps, f), F.lit(0.0), lambda a, x: a + x)
+    n, mean = F.col("n").cast("long"), F.col("mean")
+    left = lambda s: F.col("risk") - s * F.col("tied")
+    add = lambda f: mean * steps(n, tie, f)
     return joined.select(
         "*",
-        add(lambda k: F.col("mean") / left(k)).alias("a1"),
-        add(lambda k: F.col("mean") / (left(k) * left(k))).alias("a2"),
-        add(lambda k: F.col("mean") * share(k) / left(k)).alias("t1"),
-        add(lambda k: F.col("mean") * share(k) * (2.0 - share(k)) / (left(k) * left(k))).alias("t2"),
-        add(lambda k: F.col("mean") * F.log(left(k))).alias("loglik"),
+        add(lambda s: 1.0 / left(s)).alias("a1"),
+        add(lambda s: 1.0 / (left(s) * left(s))).alias("a2"),
+        add(lambda s: s / left(s)).alias("t1"),
+        add(lambda s: s * (2.0 - s) / (left(s) * left(s))).alias("t2"),
+        add(lambda s: F.log(left(s))).alias("loglik"),
     )
 
 
+def losses(df: DataFrame, tie: str, *groups: Column, **columns: str) -> DataFrame:
+    """(k0, k1, ..., loss): ``loss`` by ``groups``, expressions over ``strata`` alone."""
+    names = {"status": "status", "weight": "w", "eta": "eta", "strata": "strata"} | columns
+    by = [g.alias(f"k{i}") for i, g in enumerate(groups)]
+    own = df.withColumn("strata", F.col(names["strata"])).select(*by, F.when(F.col(names["status"]) == 1, -F.col(names["weight"]) * F.col(names["eta"])).otherwise(0.0).alias("v"))
+    return own.union(hazards(df, tie, **columns).select(*by, "loglik")).groupBy(*(f"k{i}" for i in range(len(by)))).agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("loss"))
+
+
 def loss(df: DataFrame, tie: str = "efron", **columns: str) -> DataFrame:
     """One row ``loss``: minus the weighted partial log-likelihood, ties by ``tie``."""
-    names = {"status": "status", "weight": "w", "eta": "eta"} | columns
-    own = df.select(F.when(F.col(names["status"]) == 1, -F.col(names["weight"]) * F.col(names["eta"])).otherwise(0.0).alias("v"))
-    return own.union(hazards(df, tie, **columns).select("loglik")).agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("loss"))
+    return losses(df, tie, **columns)
 
 
 def loss_full(df: DataFrame, tie: str = "efron", stop: str = "stop", status: str = "status", strata: str = "strata", weight: str = "w") -> DataFrame:
     """One row ``loss_full``: the limit in which each event's risk set is its tie alone, equal in risk."""
     table = ties(df.withColumn("__eta", F.lit(0.0)), stop, status, strata, weight, "__eta")
-    share = (lambda k: k / F.col("n")) if tie == "efron" else (lambda k: F.lit(0.0))
-    steps = F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))
-    term = F.aggregate(F.transform(steps, lambda k: F.col("mean") * F.log(F.col("weight") * (1.0 - share(k)))), F.lit(0.0), lambda a, x: a + x)
+    term = F.col("mean") * steps(F.col("n").cast("long"), tie, lambda s: F.log(F.col("weight") * (1.0 - s)))
     return table.agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("loss_full"))
 
 
@@ -87,8 +123,7 @@ def gradient(df: DataFrame, tie: str = "efron", **columns: str) -> DataFrame:
     marks = df.select(F.col(names["strata"]).alias("strata"), F.col(names["stop"]).alias("at")).union(df.select(names["strata"], names["start"])).distinct()
     zero = [F.lit(0.0).alias(c) for c in ("a1", "a2", "t1", "t2")]
     both = base.union(marks.select("strata", "at", *zero)).groupBy("strata", "at").agg(*(F.sum(c).alias(c) for c in ("a1", "a2", "t1", "t2")))
-    running = Window.partitionBy("strata").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    table = both.select("strata", "at", "t1", "t2", F.sum("a1").over(running).alias("c1"), F.sum("a2").over(running).alias("c2"))
+    table = running(both, ["a1", "a2"]).select("strata", "at", "t1", "t2", F.col("run_a1").alias("c1"), F.col("run_a2").alias("c2"))
     stops = table.select(F.col("strata").alias("__ks"), F.col("at").alias("__ts"), F.col("c1").alias("__s1"), F.col("c2").alias("__s2"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"))
     starts = table.select(F.col("strata").alias("__kb"), F.col("at").alias("__tb"), F.col("c1").alias("__b1"), F.col("c2").alias("__b2"))
     joined = df.join(stops, (F.col(names["strata"]) == F.col("__ks")) & (F.col(names["stop"]) == F.col("__ts"))).join(starts, (F.col(names["strata"]) == F.col("__kb")) & (F.col(names["start"]) == F.col("__tb")))
@@ -106,12 +141,13 @@ def sums_of(p: int, curved: int) -> int:
     return 1 + p + curved * (curved + 1) // 2
 
 
-def derivatives(df: DataFrame, columns: list[str], curved: list[int], tie: str = "efron") -> tuple[np.ndarray, np.ndarray, float]:
+def derivatives(df: DataFrame, columns: list[str], curved: list[int], tie: str = "efron", edges: list[float] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """(negative gradient, second derivatives of the ``curved`` columns, loss) by the coefficients of ``columns``.
 
     ``df`` holds them with start, stop, status, strata, w and eta. Each row adds its risk mass and the mass times its
     columns and their products at its stop time and takes them away at its start time; these sums by (strata, time),
-    combined before their shuffle, and running sums over the distinct times of a stratum give all three. No row is
+    combined before their shuffle, and running sums over the distinct times of a stratum give all three. ``edges``
+    are the times that part the axis, where known. No row is
     joined back. An empty table gives zeros."""
     mass, event = F.col("w") * F.exp("eta"), (F.col("status") == 1) & (F.col("w") > 0)
     pairs = [(i, j) for a, i in enumerate(curved) for j in curved[a:]]
@@ -126,15 +162,13 @@ def derivatives(df: DataFrame, columns: list[str], curved: list[int], tie: str =
     )
     starts = df.where(F.col("start") > float("-inf")).select("strata", F.col("start").alias("at"), *((-x).alias(k) for x, k in zip(terms, r, strict=True)), *zeros([*t, *e, "n", "weight", "said"]))
     summed = stops.union(starts).groupBy("strata", "at").agg(*(F.sum(c).alias(c) for c in [*r, *t, *e, "n", "weight", "said"]))
-    back = Window.partitionBy("strata").orderBy("at").rangeBetween(0, Window.unboundedFollowing)
-    times = summed.select("*", *(F.sum(c).over(back).alias(f"risk{k}") for k, c in enumerate(r))).where("n > 0")
-    share = (lambda k: k / F.col("n")) if tie == "efron" else (lambda k: F.lit(0.0))
-    steps, mean = F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), F.col("weight") / F.col("n")
-    left = lambda k: F.col("risk0") - share(k) * F.col("t0")
-    add = lambda f: mean * F.aggregate(steps, F.lit(0.0), lambda a, k: a + f(k))
+    times = running(summed, r, True, edges=edges).select("*", *(F.col(f"run_{c}").alias(f"risk{k}") for k, c in enumerate(r))).where("n > 0")
+    count, mean = F.col("n").cast("long"), F.col("weight") / F.col("n")
+    left = lambda s: F.col("risk0") - s * F.col("t0")
+    add = lambda f: mean * steps(count, tie, f)
     times = times.select(
-        "*", add(lambda k: 1.0 / left(k)).alias("a"), add(lambda k: share(k) / left(k)).alias("b"), add(lambda k: 1.0 / (left(k) * left(k))).alias("c"),
-        add(lambda k: share(k) / (left(k) * left(k))).alias("d"), add(lambda k: share(k) * share(k) / (left(k) * left(k))).alias("f"), add(lambda k: F.log(left(k))).alias("loglik"),
+        "*", add(lambda s: 1.0 / left(s)).alias("a"), add(lambda s: s / left(s)).alias("b"), add(lambda s: 1.0 / (left(s) * left(s))).alias("c"),
+        add(lambda s: s / (left(s) * left(s))).alias("d"), add(lambda s: s * s / (left(s) * left(s))).alias("f"), add(lambda s: F.log(left(s))).alias("loglik"),
     )
     R, T, a, b, c, d, f = lambda k: F.col(f"risk{k}"), lambda k: F.col(f"t{k}"), *(F.col(x) for x in "abcdf")
     grad = [F.col(f"e{j}") - a * R(j + 1) + b * T(j + 1) for j in range(p)]
