@@ -1,40 +1,43 @@
-"""Cross-validation: folds by hash order, held-out rows kept at weight 0, gaussian folds from one grouped pass."""
+"""Cross-validation: folds by hash order, held-out rows kept at weight 0, statistics and losses of all folds in one
+grouped pass."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ridgeline.functions.glm import Response
+from ridgeline.functions import cox
+from ridgeline.functions.glm import Cox, Response
 from ridgeline.operators.features import FeatureFrame
-from ridgeline.operators.gram import cross
+from ridgeline.operators.gram import cross_by
 from ridgeline.plans.diagnostic import coefficient
-from ridgeline.plans.path import GlmData, Options, PathResult, gaussian_from_statistics, grpnet, lambda_path
-
+from ridgeline.plans.path import GlmData, Options, PathResult, complete, gaussian_columns, gaussian_from_statistics, grpnet, lambda_path, path_moments, statistics_of
 
 #: Rows that number themselves in one task, and the largest number of such tasks.
 RUN, MOST_RUNS = 200_000, 1 << 16
 
 
 def assign_folds(df: DataFrame, key: str, n_folds: int, seed: int = 0) -> DataFrame:
-    """``df`` with ``fold``: rows in order of seeded hashes of their unique key are dealt out in turn, so that sizes
-    differ by one at most.
-
-    Hashes put keys in runs of about ``RUN`` rows; a row's number is its place in its run plus the rows of the runs
-    before. Both follow from the keys alone, never from partitions, so a repeated or recovered task gives the same
-    folds. The totals of the runs, ``MOST_RUNS`` rows at most, are summed in one task and broadcast."""
-    keys = df.select(F.col(key).alias("__key"))
-    runs = min(max(-(-keys.count() // RUN), 1), MOST_RUNS)
-    keyed = keys.select("__key", F.xxhash64(F.lit(seed), "__key").alias("__hash")).withColumn("__run", F.pmod(F.xxhash64(F.lit(seed + 1), "__key"), F.lit(runs)))
+    """``df`` with ``fold``: rows in order of seeded hashes of their key are dealt out in turn, so that sizes differ by
+    one at most. Null and repeated keys are rows like any other; those of one key are told apart by their other columns.
+
+    Hashes put rows in runs of about ``RUN``; a row's number is its place in its run plus the rows of the runs
+    before. Both follow from the rows alone, never from partitions, so a repeated or recovered task gives the same
+    folds. The rows are shuffled once, by run, and joined with nothing but the runs' totals, ``MOST_RUNS`` rows at
+    most, which are summed in one task and broadcast."""
+    runs = min(max(-(-df.count() // RUN), 1), MOST_RUNS)
+    cells = [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+    keyed = df.select(*cells, F.xxhash64(F.lit(seed), F.col(key)).alias("__hash"), F.xxhash64(F.lit(seed), *cells).alias("__row"))
+    keyed = keyed.withColumn("__run", F.pmod(F.xxhash64(F.lit(seed + 1), "__hash", "__row"), F.lit(runs)))
     totals = keyed.groupBy("__run").agg(F.count("*").alias("__n"))
     before = totals.select("__run", (F.sum("__n").over(Window.orderBy("__run")) - F.col("__n")).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__run").orderBy("__hash", "__key")) - 1
-    folds = keyed.withColumn("__place", place).join(F.broadcast(before), "__run").select("__key", F.pmod(F.col("__before") + F.col("__place"), F.lit(n_folds)).cast("int").alias("fold"))
-    return df.join(folds, F.col(key) == F.col("__key")).drop("__key")
+    place = F.row_number().over(Window.partitionBy("__run").orderBy("__hash", "__row")) - 1
+    placed = keyed.withColumn("__place", place).join(F.broadcast(before), "__run")
+    return placed.select(*cells, F.pmod(F.col("__before") + F.col("__place"), F.lit(n_folds)).cast("int").alias("fold"))
 
 
 @dataclass
@@ -52,79 +55,148 @@ class CVResult:
         best = float(self.lmdas[self.best_idx])
         top = max(float(self.lmdas[0]), best)
         path = top * (best / top) ** (np.arange(size) / max(size - 1, 1)) if best < top else [best]
-        return grpnet(self.frame, self.response, replace(self.options, lmda_path=path, early_exit=False))
+        return _settled(grpnet(self.frame, self.response, replace(self.options, lmda_path=path, early_exit=False)), len(path))
+
+    def plot_loss(self, ax=None):
+        """Mean held-out loss and its standard error over folds by -log lambda, the best value marked, on a Matplotlib
+        axis; ``loss_table`` holds the numbers."""
+        if ax is None:
+            from matplotlib import pyplot
+
+            ax = pyplot.gca()
+        x, spread = -np.log(self.lmdas), self.losses.std(axis=0) / np.sqrt(len(self.losses))
+        ax.errorbar(x, self.avg_losses, yerr=spread, fmt="o", capsize=3)
+        ax.axvline(x[self.best_idx], linestyle="--")
+        ax.set_xlabel("-log(lambda)")
+        ax.set_ylabel("held-out loss")
+        return ax
 
     def loss_table(self, spark) -> DataFrame:
+        """(fold, lmda_idx, lmda, loss): what a plot of the losses shows."""
         rows = [(f, i, float(lm), float(self.losses[f, i])) for f in range(len(self.losses)) for i, lm in enumerate(self.lmdas)]
         return spark.createDataFrame(rows, "fold int, lmda_idx int, lmda double, loss double")
 
 
-def fold_statistics(frame: FeatureFrame, response: Response, fold: str, n_folds: int) -> list[dict]:
-    """Weighted sums of 1, columns and responses and their products per fold; the total is their sum."""
-    w = F.lit(1.0) if response.weight is None else F.col(response.weight).cast("double")
-    ys = [F.col(y).cast("double") for y in response.y]
-    cols = [F.lit(1.0), *frame.columns, *ys]
-    return [cross(frame.df.where(F.col(fold) == f), cols, w) for f in range(n_folds)]
+def _settled(fit: PathResult, size: int) -> PathResult:
+    if fit.error or len(fit.lmdas) != size:
+        raise RuntimeError(f"a fold's path ended early: {fit.error or 'fewer values than its grid'}")
+    return fit
 
 
-def cv_grpnet(frame: FeatureFrame, response: Response, key: str, n_folds: int = 5, options: Options | None = None, seed: int = 0) -> CVResult:
+def cv_grpnet(frame: FeatureFrame, response: Response, key: str | None = None, n_folds: int = 5, options: Options | None = None, seed: int = 0, folds: str | None = None) -> CVResult:
     """Held-out loss per fold and value of a common grid, the full path's values and any larger ones of a fold.
 
-    Groups, penalties and alpha of ``options`` hold for the grid as well as for the folds; links are kept. The loss of
-    a fold is that of all rows less that of its training rows, over the held-out weight."""
+    Rows are dealt to folds by ``key`` (see ``assign_folds``), or ``folds`` names a column of 0 ... n_folds - 1. Groups,
+    penalties and alpha of ``options`` hold for the grid as well as for the folds; links are kept. The loss of
+    a fold is that of all rows less that of its training rows, over the held-out weight. Gaussian fits take one pass
+    for the statistics of all folds; other families fit each fold and then score all folds and values in one pass (Cox
+    in two, over all rows and over each fold's training rows). A path that ends early raises."""
     options = options or Options(min_ratio=1e-1, early_exit=False)
-    dealt = replace(frame, df=assign_folds(frame.df, key, n_folds, seed))
     base = replace(options, early_exit=False)
-    if response.family.name in ("gaussian", "multigaussian") and response.family.opt and not response.offsets:
-        return _gaussian_cv(dealt, frame, response, n_folds, base)
-    full = grpnet(dealt, response, replace(base, lmda_path_size=1))
-    grids = [lambda_path(full.lmda_max, options.min_ratio, options.lmda_path_size) if options.lmda_path is None else np.sort(options.lmda_path)[::-1]]
-    weight = F.lit(1.0) if response.weight is None else F.col(response.weight).cast("double")
-    fits, tables = [], []
-    for f in range(n_folds):
-        masked = replace(dealt, df=dealt.df.withColumn("__train", F.when(F.col("fold") == f, 0.0).otherwise(weight)))
-        top = grpnet(masked, response.reweight("__train"), replace(base, lmda_path_size=1)).lmda_max
-        grid = np.concatenate([[x for x in lambda_path(top, options.min_ratio, options.lmda_path_size) if x > grids[0][0]], grids[0]])
-        fits.append(grpnet(masked, response.reweight("__train"), replace(base, lmda_path=grid)))
-        tables.append(masked)
-    losses = np.zeros((n_folds, len(grids[0])))
-    all_data = GlmData(dealt, response)
-    share = {r["fold"]: r["w"] for r in dealt.df.groupBy("fold").agg(F.sum(weight).alias("w")).collect()}
-    total = sum(share.values())
-    for f, (fit, masked) in enumerate(zip(fits, tables, strict=True)):
-        train = GlmData(masked, response.reweight("__train"))
-        held = share.get(f, 0.0) / total
-        for i, lm in enumerate(grids[0]):
-            b, a = coefficient(float(lm), fit)
-            losses[f, i] = (all_data.loss(b, np.atleast_1d(a)) - (1 - held) * train.loss(b, np.atleast_1d(a))) / held if held > 0 else 0.0
+    if options.missing == "drop":
+        frame = complete(frame, response)
+    needed = [*response.y, *response.offsets, *(c for c in (response.weight, response.start, response.stop, response.status, response.strata, key, folds) if c)]
+    cells = [x.cast("double").alias(f"__x{j}") for j, x in enumerate(frame.columns)]
+    df = frame.df.select(*cells, *(F.col(c) for c in dict.fromkeys(needed)))  # only these are dealt out
+    if folds is None:
+        df = assign_folds(df, key, n_folds, seed)
+    elif folds != "fold":
+        df = df.withColumnRenamed(folds, "fold")
+    dealt = replace(frame, df=df, features=tuple(replace(f, expr=F.col(f"__x{j}")) for j, f in enumerate(frame.features)))
+    if response.family.name in ("gaussian", "multigaussian") and response.family.opt:
+        grid, losses = _gaussian_cv(dealt, response, n_folds, base)
+    else:
+        grid, losses = _glm_cv(dealt, response, n_folds, base)
     avg = losses.mean(axis=0)
-    return CVResult(grids[0], losses, avg, int(np.argmin(avg)), frame, response, options)
+    return CVResult(grid, losses, avg, int(np.argmin(avg)), frame, response, options)
 
 
-def _gaussian_cv(dealt: FeatureFrame, frame: FeatureFrame, response: Response, n_folds: int, options: Options) -> CVResult:
-    parts = fold_statistics(dealt, response, "fold", n_folds)
-    p, K = frame.p, len(response.y)
-    total = sum(parts)
+def _grid(options: Options, top: float) -> np.ndarray:
+    return lambda_path(top, options.min_ratio, options.lmda_path_size) if options.lmda_path is None else np.sort(np.asarray(options.lmda_path, float))[::-1]
+
 
-    def stats(m):
-        m = m / m[0, 0]
-        return {"xx": m[1 : p + 1, 1 : p + 1], "xy": m[1 : p + 1, p + 1 :], "yy": m[p + 1 :, p + 1 :], "x": m[0, 1 : p + 1], "y": m[0, p + 1 :]}
+def _with_larger(options: Options, own: float, grid: np.ndarray) -> np.ndarray:
+    """The grid and a fold's own values above it."""
+    return np.concatenate([[x for x in lambda_path(own, options.min_ratio, options.lmda_path_size) if x > grid[0]], grid])
 
-    starts = frame.group_starts()
-    top = gaussian_from_statistics(stats(total), frame.names, starts, replace(options, lmda_path_size=1)).lmda_max
-    grid = lambda_path(top, options.min_ratio, options.lmda_path_size) if options.lmda_path is None else np.sort(options.lmda_path)[::-1]
+
+def _glm_cv(dealt: FeatureFrame, response: Response, n_folds: int, options: Options) -> tuple[np.ndarray, np.ndarray]:
+    weight = F.lit(1.0) if response.weight is None else F.col(response.weight).cast("double")
+    dealt = replace(dealt, df=dealt.df.withColumn("__w", weight).persist())
+    response, p = response.reweight("__w"), dealt.p
+    try:
+        grid = _grid(options, grpnet(dealt, response, replace(options, lmda_path=None, lmda_path_size=1)).lmda_max)
+        betas, inters = [], []
+        for f in range(n_folds):
+            masked = replace(dealt, df=dealt.df.withColumn("__train", F.when(F.col("fold") == f, 0.0).otherwise(F.col("__w"))))
+            train = response.reweight("__train")
+            top = grpnet(masked, train, replace(options, lmda_path=None, lmda_path_size=1)).lmda_max
+            path = _with_larger(options, top, grid)
+            fit = _settled(grpnet(masked, train, replace(options, lmda_path=path)), len(path))
+            found = [coefficient(float(lm), fit) for lm in grid]
+            betas.append([b for b, _ in found])
+            inters.append([np.atleast_1d(a) for _, a in found])
+        betas, inters = np.array(betas), np.array(inters)
+        data = GlmData(dealt, response, options)
+        held = {r["fold"]: r["w"] for r in dealt.df.groupBy("fold").agg(F.sum("__w").alias("w")).collect()}
+        shares = np.array([held.get(f, 0.0) for f in range(n_folds)]) / sum(held.values())
+        if isinstance(response.family, Cox):
+            sums = _cox_losses(dealt, data, n_folds, betas)
+        else:
+            base = data.with_column("fold")
+            sums = path_moments(base, response.family, p, data.K, betas, inters, "fold")[0]
+        return grid, np.where(shares[:, None] > 0, sums / np.where(shares > 0, shares, 1.0)[:, None], 0.0)
+    finally:
+        dealt.df.unpersist()
+
+
+def _cox_losses(dealt: FeatureFrame, data: GlmData, n_folds: int, betas: np.ndarray) -> np.ndarray:
+    """Loss of all rows less that of each fold's training rows, for its coefficients: a stratum of its own for each
+    (fold, value), so that two jobs score all of them. Training losses are those of weights that sum to 1, times the
+    training share: the logarithm of the share counts once for each event's weight."""
+    L, p = betas.shape[1], dealt.p
+    table = data.with_column("fold")
+
+    def losses(own: Column) -> np.ndarray:
+        each = [F.struct(F.lit(f).alias("f"), F.lit(i).alias("i"), sum((F.lit(float(b)) * F.col(f"x{j}") for j, b in enumerate(betas[f, i]) if b), F.lit(0.0)).alias("e")) for f in range(n_folds) for i in range(L)]
+        offset = F.col("o0") if data.response.offsets else F.lit(0.0)
+        rows = table.select("start", "stop", "status", "strata", "w", "fold", offset.alias("o"), F.explode(F.array(*each)).alias("c"))
+        rows = rows.where(own).select("start", "stop", "status", F.struct("c.f", "c.i", "strata").alias("strata"), "w", (F.col("c.e") + F.col("o")).alias("eta"))
+        out = np.zeros((n_folds, L))
+        for r in cox.losses(rows, data.family.tie, F.col("strata.f"), F.col("strata.i")).collect():
+            out[r["k0"], r["k1"]] = r["loss"]
+        return out
+
+    assert p == betas.shape[2]
+    event = F.when((F.col("status") == 1) & (F.col("w") > 0), F.col("w")).otherwise(0.0)
+    sums = {r["fold"]: (r["w"], r["e"]) for r in table.groupBy("fold").agg(F.sum("w").alias("w"), F.sum(event).alias("e")).collect()}
+    w, e = (np.array([sums.get(f, (0.0, 0.0))[k] for f in range(n_folds)]) for k in (0, 1))
+    shift = (e.sum() - e) * np.log(np.maximum(1 - w, 1e-300))
+    return losses(F.lit(True)) - losses(F.col("fold") != F.col("c.f")) + shift[:, None]
+
+
+def fold_statistics(frame: FeatureFrame, response: Response, fold: str, n_folds: int) -> np.ndarray:
+    """Weighted sums of 1, columns and responses (less offsets) and their products per fold, in one pass; the total is
+    their sum."""
+    columns, w = gaussian_columns(frame, response)
+    return cross_by(frame.df, columns, w, F.col(fold), n_folds, strict=True)
+
+
+def _gaussian_cv(dealt: FeatureFrame, response: Response, n_folds: int, options: Options) -> tuple[np.ndarray, np.ndarray]:
+    parts = fold_statistics(dealt, response, "fold", n_folds)
+    p, K, starts, names = dealt.p, len(response.y), dealt.group_starts(), dealt.names
+    total = parts.sum(axis=0)
+    fit = lambda m, path: gaussian_from_statistics(statistics_of(m, p), names, starts, replace(options, lmda_path=path, lmda_path_size=1 if path is None else options.lmda_path_size))
+    grid = _grid(options, fit(total, None).lmda_max)
     losses = np.zeros((n_folds, len(grid)))
     for f, held in enumerate(parts):
-        train = stats(total - held)
-        own = gaussian_from_statistics(train, frame.names, starts, replace(options, lmda_path_size=1)).lmda_max
-        path = np.concatenate([[x for x in lambda_path(own, options.min_ratio, options.lmda_path_size) if x > grid[0]], grid])
-        fit = gaussian_from_statistics(train, frame.names, starts, replace(options, lmda_path=path))
+        path = _with_larger(options, fit(total - held, None).lmda_max, grid)
+        own = _settled(fit(total - held, path), len(path))
         if held[0, 0] <= 0:
             continue
         h = held / held[0, 0]
         for i, lm in enumerate(grid):
-            b, a = coefficient(float(lm), fit)
+            b, a = coefficient(float(lm), own)
             B = np.vstack([np.atleast_1d(a)[None, :], b.reshape(p, K)])
             losses[f, i] = (0.5 * np.trace(B.T @ h[: p + 1, : p + 1] @ B) - np.trace(B.T @ h[: p + 1, p + 1 :])) / K
-    avg = losses.mean(axis=0)
-    return CVResult(grid, losses, avg, int(np.argmin(avg)), frame, response, options)
+    return grid, losses

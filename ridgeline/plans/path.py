@@ -7,12 +7,12 @@ check that ends every value of the path. Steps are Newton's, so few are needed."
 
 from __future__ import annotations
 
+import logging
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +20,11 @@ from ridgeline.functions import cox
 from ridgeline.functions.glm import Cox, Response
 from ridgeline.functions.special import Columns
 from ridgeline.operators.features import FeatureFrame
-from ridgeline.operators.gram import NATIVE_SUMS, cross
+from ridgeline.operators.gram import NATIVE_SUMS, by_position, cross, refuse, sound
 from ridgeline.plans import bcd
 from ridgeline.plans.qp import search_pivot
 
-LOG = __import__("logging").getLogger("ridgeline")
+LOG = logging.getLogger("ridgeline")
 
 
 # --- building blocks ------------------------------------------------------------------------------------
@@ -135,7 +135,7 @@ class Quadratic:
                 n += 1
                 if max((visit(g) for g in active), default=0.0) <= tol:
                     break
-        raise RuntimeError("max coordinate descents reached")
+        raise RuntimeError(f"no convergence within {max_iters} sweeps at lambda {lmda:.6g}")
 
 
 @dataclass
@@ -198,8 +198,18 @@ class PathResult:
                         assert abs(norm - bound) <= tol
 
 
+#: Classes times curved columns up to which the curvature between classes is summed too; beyond it, a majoriser is.
+NEWTON_MOST = 400
+
+
 @dataclass
 class Options:
+    """``missing``: rows with null or non-finite values ``raise`` or are dropped. ``pivot_*``: how many of the largest
+    scores the pivot rule looks at, and how many groups below the bend it adds. ``check_state`` checks the path's
+    invariants at its end; ``progress`` is called with (index, lambda, deviance) after each value. ``newton_most`` and
+    ``cox_most``: classes times curved columns, and sums per event time, up to which a step uses the full curvature; a
+    larger problem takes more steps with its diagonal to the same optimum."""
+
     alpha: float = 1.0
     penalty: Sequence[float] | None = None
     lmda_path: Sequence[float] | None = None
@@ -219,10 +229,20 @@ class Options:
     exit_cond: Callable | None = None
     constraints: Sequence | None = None
     warm_start: PathResult | None = None
+    missing: str = "raise"
+    pivot_subset_ratio: float = 0.1
+    pivot_subset_min: int = 1
+    pivot_slack_ratio: float = 1.25
+    check_state: bool = False
+    progress: Callable | None = None
+    newton_most: int = NEWTON_MOST
+    cox_most: int = NATIVE_SUMS
 
     def __post_init__(self):
         if self.screen_rule not in ("pivot", "strong"):
             raise ValueError(f"unknown screen rule {self.screen_rule!r}")
+        if self.missing not in ("raise", "drop"):
+            raise ValueError(f"missing must be raise or drop, not {self.missing!r}")
         if not 0 <= self.alpha <= 1:
             raise ValueError("alpha must lie in [0, 1]")
 
@@ -274,7 +294,7 @@ def run_path(local: Callable, starts, sizes, names, classes: int, null_loss: flo
             new = {g for g in np.flatnonzero(strong_rule(norms, penalty, options.alpha, max(lmda, value), value)).tolist()} if options.screen_rule == "strong" else set()
             if options.screen_rule == "pivot":
                 active = sum(bool(np.any(beta[starts[g] : starts[g] + sizes[g]])) for g in screened)
-                new = set(pivot_rule(norms, penalty, options.alpha, value, screened, max(active - n_active, int(not kept["lmdas"]))))
+                new = set(pivot_rule(norms, penalty, options.alpha, value, screened, max(active - n_active, int(not kept["lmdas"])), options.pivot_subset_ratio, options.pivot_subset_min, options.pivot_slack_ratio))
                 n_active = active
             screened |= new
             t["screen"] = time.time() - s
@@ -300,36 +320,58 @@ def run_path(local: Callable, starts, sizes, names, classes: int, null_loss: flo
             out.screen_sizes.append(len(screened))
             out.timings.append(t)
             lmda = value
+            if options.progress is not None:
+                options.progress(len(kept["lmdas"]) - 1, float(value), float(dev))
             if options.exit_cond is not None and options.exit_cond(kept):
                 break
             if options.early_exit and (dev >= options.adev_tol or len(kept["devs"]) > 1 and abs(dev - kept["devs"][-2]) < options.ddev_tol):
                 break
-    except (RuntimeError, np.linalg.LinAlgError, ValueError) as e:
+    except RuntimeError as e:  # a limit of ``options``; all other errors are the caller's
+        if not kept["lmdas"]:
+            raise
         out.error = str(e)
         LOG.warning("path ended early: %s", e)
     if kept["lmdas"]:
         out.lmdas, out.betas, out.intercepts, out.devs, out.grads = (np.array(kept[k]) for k in kept)
     out.total_time = time.time() - began
+    if options.check_state:
+        out.check(1e-5)
     return out
 
 
 # --- gaussian -------------------------------------------------------------------------------------------
-def _weights(df: DataFrame, response: Response) -> Column:
-    """The weight column over its total: one small job."""
-    if response.weight is None:
-        return F.lit(1.0 / max(df.count(), 1))
-    total = df.agg(F.sum(F.col(response.weight).cast("double"))).first()[0] or 1.0
-    return F.col(response.weight).cast("double") / float(total)
+def _inputs(frame: FeatureFrame, response: Response) -> tuple[list[Column], Column]:
+    """Every column that a fit reads, and the weight."""
+    r = response
+    names = [*r.y, *r.offsets, *(x for x in (r.start, r.stop, r.status) if x)]
+    return [*frame.columns, *(F.col(x) for x in names)], F.lit(1.0) if r.weight is None else F.col(r.weight).cast("double")
 
 
-def gaussian_statistics(frame: FeatureFrame, response: Response) -> dict:
-    """Gram, cross products and means of columns and responses under weights that sum to 1: one pass."""
-    w = _weights(frame.df, response)
+def complete(frame: FeatureFrame, response: Response) -> FeatureFrame:
+    """The frame without rows that are not ``sound``."""
+    from dataclasses import replace
+
+    values, w = _inputs(frame, response)
+    return replace(frame, df=frame.df.where(sound(values, w)))
+
+
+def statistics_of(m: np.ndarray, p: int) -> dict:
+    """What a gaussian fit needs, from weighted sums of (1, columns, responses) and their products."""
+    m = m / (m[0, 0] or 1.0)
+    return {"xx": m[1 : p + 1, 1 : p + 1], "xy": m[1 : p + 1, p + 1 :], "yy": m[p + 1 :, p + 1 :], "x": m[0, 1 : p + 1], "y": m[0, p + 1 :]}
+
+
+def gaussian_columns(frame: FeatureFrame, response: Response) -> tuple[list[Column], Column]:
+    """(1, columns, responses less offsets) and the weight."""
     offsets = response.offsets or [None] * len(response.y)
     ys = [F.col(y).cast("double") - (F.col(o).cast("double") if o else F.lit(0.0)) for y, o in zip(response.y, offsets, strict=True)]
-    full = cross(frame.df, [F.lit(1.0), *frame.columns, *ys], w)
-    p = frame.p
-    return {"xx": full[1 : p + 1, 1 : p + 1], "xy": full[1 : p + 1, p + 1 :], "yy": full[p + 1 :, p + 1 :], "x": full[0, 1 : p + 1], "y": full[0, p + 1 :]}
+    return [F.lit(1.0), *frame.columns, *ys], _inputs(frame, response)[1]
+
+
+def gaussian_statistics(frame: FeatureFrame, response: Response) -> dict:
+    """Gram, cross products and means of columns and responses under weights that sum to 1: one pass."""
+    columns, w = gaussian_columns(frame, response)
+    return statistics_of(cross(frame.df, columns, w, strict=True), frame.p)
 
 
 def gaussian_from_statistics(stats: dict, names, starts=None, options: Options | None = None) -> PathResult:
@@ -393,11 +435,7 @@ def pin_solve(A, v, lmdas, screen: Sequence[int], starts=None, penalty=None, alp
 
 
 # --- generalised linear models --------------------------------------------------------------------------
-#: Classes times curved columns up to which the curvature between classes is summed too; beyond it, a majoriser is.
-NEWTON_MOST = 400
-
-
-def moments(base: DataFrame, family, p: int, K: int, beta: np.ndarray, inter: np.ndarray, curved: Sequence[int]) -> dict:
+def moments(base: DataFrame, family, p: int, K: int, beta: np.ndarray, inter: np.ndarray, curved: Sequence[int], most: int = NEWTON_MOST) -> dict:
     """One pass over ``base(x..., y..., o..., w)``: sums of each class's gradient with 1 and all columns, of the
     curvature between classes with 1 and the products of the ``curved`` columns, and of the loss.
 
@@ -405,34 +443,26 @@ def moments(base: DataFrame, family, p: int, K: int, beta: np.ndarray, inter: np
     task adds up one block and returns its entries, which are summed by position."""
     c = np.array([0, *(k + 1 for k in curved)])
     multi = getattr(family, "multi", False)
-    newton = K * len(c) <= NEWTON_MOST
+    newton = K * len(c) <= most
     pairs = [(k, m) for k in range(K) for m in range(k, K) if k == m or multi and newton and hasattr(family, "curvature")]
     n_g, n_h = (p + 1) * K, len(pairs) * len(c) ** 2
     coefficients = np.vstack([inter, beta.reshape(p, K)])
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_g + n_h + 1)
-        for b in batches:
-            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]
-            x, w = np.column_stack([np.ones(b.num_rows), *cols[:p]]), cols[-1]
-            eta = x @ coefficients
-            etas = [eta[:, k] + cols[p + K + k] for k in range(K)] if len(cols) > p + K + 1 else list(eta.T)
-            ys = cols[p : p + K]
-            at = (ys, etas, w) if multi else (ys[0], etas[0], w)
-            with np.errstate(all="ignore"):
-                g, h, loss = family.gradient(*at), family.hessian(*at), family.loss(*at)
-                between = family.curvature(etas, w) if len(pairs) > K else None
-            total[:n_g] += (x.T @ (np.column_stack(g) if multi else g[:, None])).ravel()
-            xc = x[:, c]
-            for k, (i, j) in enumerate(pairs):
-                weight = between[i][j] if between else h[i] if multi else h
-                total[n_g + k * len(c) ** 2 : n_g + (k + 1) * len(c) ** 2] += (xc.T @ (xc * weight[:, None])).ravel()
-            total[-1] += loss.sum()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["at", "v"])
-
-    found = base.mapInArrow(partial, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
-    flat = np.zeros(n_g + n_h + 1)
-    flat[found.column("at").to_numpy()] = found.column("v").to_numpy()
+    def partial(cols: list[np.ndarray]) -> np.ndarray:
+        n = len(cols[-1])
+        x, w = np.column_stack([np.ones(n), *cols[:p]]), cols[-1]
+        eta = x @ coefficients
+        etas = [eta[:, k] + cols[p + K + k] for k in range(K)] if len(cols) > p + K + 1 else list(eta.T)
+        ys = cols[p : p + K]
+        at = (ys, etas, w) if multi else (ys[0], etas[0], w)
+        with np.errstate(all="ignore"):
+            g, h, loss = family.gradient(*at), family.hessian(*at), family.loss(*at)
+            between = family.curvature(etas, w) if len(pairs) > K else None
+        xc = x[:, c]
+        weights = [between[i][j] if between else h[i] if multi else h for i, j in pairs]
+        return np.concatenate([(x.T @ (np.column_stack(g) if multi else g[:, None])).ravel(), *((xc.T @ (xc * v[:, None])).ravel() for v in weights), [loss.sum()]])
+
+    flat = by_position(base, n_g + n_h + 1, partial)
     g, blocks = flat[:n_g].reshape(p + 1, K), flat[n_g : n_g + n_h].reshape(len(pairs), len(c), len(c))
     H = np.zeros((len(c), K, len(c), K))
     for (i, j), block in zip(pairs, blocks, strict=True):
@@ -441,31 +471,84 @@ def moments(base: DataFrame, family, p: int, K: int, beta: np.ndarray, inter: np
     return {"g0": g[0], "g": g[1:], "H": H, "loss": float(flat[-1])}
 
 
+def path_moments(base: DataFrame, family, p: int, K: int, betas: np.ndarray, inters: np.ndarray, group: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(losses, gradients) of many coefficients in one pass over ``base(x..., y..., o..., w)``: betas is (L, p * K).
+
+    With ``group``, a last column of ``base``, betas is (groups, L, p * K) and each row counts for the coefficients of
+    its own group only: (groups, L) and (groups, L, p * K)."""
+    multi, shape = getattr(family, "multi", False), betas.shape[:-1]
+    G, L = (1, *shape) if group is None else shape
+    B = betas.reshape(G, L, p, K)
+    A = np.asarray(inters, float).reshape(G, L, K)
+
+    def partial(cols: list[np.ndarray]) -> np.ndarray:
+        g = cols[-1].astype(int) if group else np.zeros(len(cols[-1]), int)
+        cols = cols[:-1] if group else cols
+        X, out = np.column_stack([*cols[:p], np.zeros(len(g))])[:, :p], np.zeros((G, L, 1 + p * K))
+        os, w = cols[p + K : -1], cols[-1]
+        for i in np.unique(g):
+            at = g == i
+            x, ys = X[at], [c[at] for c in cols[p : p + K]]
+            for k in range(L):
+                eta = x @ B[i, k] + A[i, k]
+                etas = [eta[:, m] + (os[m][at] if os else 0.0) for m in range(K)]
+                args = (ys, etas, w[at]) if multi else (ys[0], etas[0], w[at])
+                with np.errstate(all="ignore"):
+                    grad, loss = family.gradient(*args), family.loss(*args)
+                out[i, k, 0] = loss.sum()
+                out[i, k, 1:] = (x.T @ (np.column_stack(grad) if multi else grad[:, None])).ravel()
+        return out.ravel()
+
+    flat = by_position(base, G * L * (1 + p * K), partial).reshape(G, L, 1 + p * K)
+    flat = flat if group else flat[0]
+    return flat[..., 0], flat[..., 1:]
+
+
 class GlmData:
     """Gradient, curvature and loss of a response at given coefficients, each a pass over the rows."""
 
-    def __init__(self, frame: FeatureFrame, response: Response):
-        self.frame, self.response, self.family = frame, response, response.family
-        self.w = _weights(frame.df, response)
+    def __init__(self, frame: FeatureFrame, response: Response, options: Options | None = None):
+        self.frame, self.response, self.family, self.options = frame, response, response.family, options or Options()
+        values, w = _inputs(frame, response)
+        row = frame.df.agg(F.sum(w).alias("w"), F.count_if(~sound(values, w)).alias("bad")).first()
+        refuse(row["bad"])
+        self.w = w / float(row["w"] or 1.0)
         self.K = len(response.y) if getattr(self.family, "multi", False) else 1
         if self.family.name == "multinomial" and self.K < 2:
             raise ValueError("multinomial needs at least 2 classes")
+        self.more: tuple[str, ...] = ()
+        self._edges: list[float] | None = None
         self.table = self._table()
 
     def _table(self) -> DataFrame:
-        """The columns that a fit reads, under fixed names: x, then y (or the times and status), offsets and w."""
+        """The columns that a fit reads, under fixed names: x, then y (or the times and status), offsets and w. Rows of
+        weight 0 may hold nulls, which then are 0."""
+        known = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
         r, xs = self.response, [F.coalesce(x.cast("double"), F.lit(0.0)).alias(f"x{k}") for k, x in enumerate(self.frame.columns)]
-        offsets = [F.col(o).cast("double").alias(f"o{k}") for k, o in enumerate(r.offsets)]
+        offsets = [known(o).alias(f"o{k}") for k, o in enumerate(r.offsets)]
         if isinstance(self.family, Cox):
             start = F.col(r.start).cast("double") if r.start else F.lit(float("-inf"))
             times = [start.alias("start"), F.col(r.stop).cast("double").alias("stop"), F.col(r.status).cast("int").alias("status"), (F.col(r.strata) if r.strata else F.lit(0)).alias("strata")]
-            return self.frame.df.select(*xs, *times, *offsets, self.w.alias("w"))
-        return self.frame.df.select(*xs, *(F.col(y).cast("double").alias(f"y{k}") for k, y in enumerate(r.y)), *offsets, self.w.alias("w"))
+            return self.frame.df.select(*xs, *times, *offsets, self.w.alias("w"), *self.more)
+        return self.frame.df.select(*xs, *(known(y).alias(f"y{k}") for k, y in enumerate(r.y)), *offsets, self.w.alias("w"), *self.more)
+
+    def with_column(self, name: str) -> DataFrame:
+        """The table with one more column of the frame."""
+        table = GlmData.__new__(GlmData)
+        table.__dict__.update(self.__dict__, more=(name,))
+        return table._table()
 
     def keep(self) -> None:
         """Holds the table in memory and on disk for the steps of a fit; lost parts are computed again."""
         self.table = self.table.persist()
 
+    def edges(self) -> list[float]:
+        """Times that part the axis of a Cox fit, found once: steps differ in coefficients alone."""
+        if self._edges is None:
+            times = self.table.select(F.col("stop").alias("at")).union(self.table.where(F.col("start") > float("-inf")).select("start"))
+            self._edges = cox.edges_of(times).first()[0] or []
+        return self._edges
+
     def release(self) -> None:
         self.table.unpersist()
 
@@ -507,15 +590,22 @@ class GlmData:
         y = ys if getattr(self.family, "multi", False) else ys[0]
         return float(self.table.agg(F.sum(self.family.loss_full(y, F.col("w"), Columns))).first()[0] or 0.0)
 
+    def along(self, betas: np.ndarray, inters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(losses, gradients) of each value of a path: one pass, but for Cox fits, which take one a value."""
+        if not isinstance(self.family, Cox):
+            return path_moments(self.table, self.family, self.frame.p, self.K, np.asarray(betas), np.asarray(inters))
+        found = [self.moments(b, np.atleast_1d(a), []) for b, a in zip(betas, inters, strict=True)]
+        return np.array([m["loss"] for m in found]), np.array([m["g"].ravel() for m in found])
+
     def moments(self, beta: np.ndarray, inter: np.ndarray, curved: Sequence[int]) -> dict:
         """g0, g (p x K), H over (1, curved) x K each way, and the loss."""
         p = self.frame.p
         if not isinstance(self.family, Cox):
-            return moments(self.table, self.family, p, self.K, beta, inter, curved)
+            return moments(self.table, self.family, p, self.K, beta, inter, curved, self.options.newton_most)
         base = self._with_etas(beta, inter, "eta")
         H = np.zeros((len(curved) + 1, 1, len(curved) + 1, 1))
-        if cox.sums_of(p, len(curved)) <= NATIVE_SUMS:
-            g, H[1:, 0, 1:, 0], loss = cox.derivatives(base, [f"x{k}" for k in range(p)], curved, self.family.tie)
+        if cox.sums_of(p, len(curved)) <= self.options.cox_most:
+            g, H[1:, 0, 1:, 0], loss = cox.derivatives(base, [f"x{k}" for k in range(p)], curved, self.family.tie, self.edges())
             return {"g0": np.zeros(1), "g": g[:, None], "H": H, "loss": loss}
         # many columns: the diagonal curvature of each row is joined back, and rows are summed as in a Gram matrix
         done = cox.gradient(base, self.family.tie).persist()
@@ -528,7 +618,7 @@ class GlmData:
 def glm_path(frame: FeatureFrame, response: Response, options: Options | None = None) -> PathResult:
     """A path of any family by iteratively reweighted quadratics; one pass over the kept columns per step."""
     options = options or Options()
-    data = GlmData(frame, response)
+    data = GlmData(frame, response, options)
     data.keep()
     try:
         return _glm_path(data, options)
@@ -610,6 +700,9 @@ def _glm_path(data: GlmData, options: Options) -> PathResult:
 
 def grpnet(frame: FeatureFrame, response: Response, options: Options | None = None) -> PathResult:
     """Group elastic net path of any family; gaussian ones with ``opt`` need a single pass over the rows."""
+    options = options or Options()
+    if options.missing == "drop":
+        frame = complete(frame, response)
     if response.family.name in ("gaussian", "multigaussian") and response.family.opt:
         return gaussian_from_statistics(gaussian_statistics(frame, response), frame.names, frame.group_starts(), options)
     return glm_path(frame, response, options)
