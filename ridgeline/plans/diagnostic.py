@@ -169,7 +169,10 @@ def mean_response(frame: FeatureFrame, response: Response, fit: PathResult, at:
     """(keep..., mu_0 ...): inverse link of one value's predictors."""
     from ridgeline.functions.special import Columns
 
-    etas = GlmData(frame, response).etas(fit.betas[at], np.atleast_1d(fit.intercepts[at]))
+    K = fit.classes
+    b, a = fit.betas[at].reshape(frame.p, K), np.atleast_1d(fit.intercepts[at])
+    offsets = response.offsets or [None] * K
+    etas = [frame.btmul(0, b[:, k], F.lit(float(a[k])) + (F.col(o).cast("double") if o else F.lit(0.0))) for k, o in enumerate(offsets)]  # no response is read
     mus = response.family.inv_link(etas if getattr(response.family, "multi", False) else etas[0], Columns)
     mus = mus if isinstance(mus, list) else [mus]
     assert not isinstance(response.family, Cox) or len(mus) == 1

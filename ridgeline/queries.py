@@ -414,15 +414,6 @@ def bvls_1d(spark, sf_dir):
     return spark.createDataFrame([(round(float(bounded.bvls(frame[:, [0]], "y", [-0.1], [0.5])[0]), 8),)], "beta double")
 
 
-@query("SELECT event_id, round(greatest(-1e0, least(2e0, value / 50e0)), 8) AS box, round(least(1e0, value / 50e0), 8) AS upper FROM events")
-def projections(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    v = F.col("value") / 50.0
-    box, up = constraint.Box([-1.0], [2.0]), constraint.upper([1.0])
-    project = lambda c: F.greatest(F.lit(float(c.lower[0])), F.least(F.lit(float(c.upper[0])), v))
-    return e.select("event_id", r6(project(box), "box"), r6(project(up.box), "upper"))
-
-
 @query("WITH " + L_SQL + f", m AS (SELECT avg({BIN_SQL}) AS p, avg({CNT_SQL}) AS c FROM lin) SELECT round(ln(p / (1 - p)), 5) AS logit, round(ln(c), 5) AS poisson FROM m")
 def null_models(spark, sf_dir):
     df = lineitem(spark, sf_dir).withColumn("b", F.when(F.col("rf") == "R", 1.0).otherwise(0.0)).withColumn("c", F.floor(F.col("q") / 10.0).cast("double"))
@@ -438,20 +429,6 @@ def cv_fold_sizes(spark, sf_dir):
     return assign_folds(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey", 7).groupBy("fold").agg(F.count("*").alias("n"))
 
 
-EMB = 8
-
-
-def emb_cov(spark, sf_dir) -> np.ndarray:
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    frame = X.dense(e, [(f"e{k}", F.get("embedding", F.lit(k)).cast("double")) for k in range(EMB)])
-    return X.eager_cov(frame) / e.count()
-
-
-@query("WITH s AS (SELECT i, j, avg(embedding[i + 1]::DOUBLE * embedding[j + 1]::DOUBLE) AS v FROM embeddings, range(8) a(i), range(8) b(j) GROUP BY ALL) SELECT s.i::INT AS j, round(sum(s.v * s.v) / max(d.v), 8) AS score FROM s JOIN s d ON d.i = s.i AND d.j = s.i GROUP BY s.i")
-def css_first_scores(spark, sf_dir):
-    return vector(spark, css.scores(emb_cov(spark, sf_dir), set(), "least_squares"), "score")
-
-
 CALLS = "(SELECT o_orderkey AS row_id, (k)::INT AS snp, CASE WHEN (o_orderkey * 7 + k * 13) % 11 = 0 THEN NULL ELSE ((o_orderkey * 5 + k * 3) % 7) % 3 END::INT AS call FROM orders, range(4) t(k))"
 
 
@@ -479,85 +456,3 @@ def phased_ancestry(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("k", F.explode(F.array(*(F.lit(k) for k in range(6)))))
     haps = o.select(F.col("o_orderkey").alias("row_id"), F.floor(F.col("k") / 2).cast("int").alias("snp"), (F.col("k") % 2).alias("hap"), ((F.col("o_orderkey") * 3 + F.col("k")) % 5 % 2).cast("int").alias("call"), ((F.col("o_orderkey") + F.col("k")) % 3).cast("int").alias("ancestry"))
     return genotypes.phased_ancestry(haps, 3)
-
-
-# --- fits without SQL: tests hold them against optimality conditions and brute force --------------------------
-def lasso_frame(spark, sf_dir) -> X.FeatureFrame:
-    return X.one_hot(flags(spark, sf_dir), [0, 0, 0, 3, 2])
-
-
-@query()
-def gaussian_path(spark, sf_dir):
-    fit = path.grpnet(lasso_frame(spark, sf_dir), Response(Gaussian(), ("y",)), path.Options(lmda_path_size=20, early_exit=False))
-    return fit.tables(spark)["betas"]
-
-
-@query()
-def weighted_elastic_net_path(spark, sf_dir):
-    fit = path.grpnet(lasso_frame(spark, sf_dir), Response(Gaussian(), ("y",), "q"), path.Options(alpha=0.5, lmda_path_size=20, early_exit=False))
-    return fit.tables(spark)["path"]
-
-
-@query()
-def constrained_path(spark, sf_dir):
-    frame, response = measures(spark, sf_dir)
-    cons = [constraint.Box([-0.2], [0.2]), constraint.lower([-0.5]), None]
-    fit = path.grpnet(frame, response, path.Options(lmda_path_size=10, early_exit=False, constraints=cons))
-    return fit.tables(spark)["betas"]
-
-
-@query()
-def multigaussian_path(spark, sf_dir):
-    frame, _ = measures(spark, sf_dir)
-    return path.grpnet(frame, Response(MultiGaussian(), ("y", "x3")), path.Options(lmda_path_size=10)).tables(spark)["betas"]
-
-
-def _glm(spark, sf_dir, name: str, y: dict[str, Column]) -> DataFrame:
-    df = lineitem(spark, sf_dir).withColumns(y)
-    frame = X.dense(df, ["x0", "x1", "x3"])
-    return path.grpnet(frame, Response(family(name), tuple(y)), path.Options(lmda_path_size=3, min_ratio=0.2)).tables(spark)["betas"]
-
-
-@query()
-def logit_path(spark, sf_dir):
-    return _glm(spark, sf_dir, "binomial", {"b": F.when(F.col("y") > 1.5, 1.0).otherwise(0.0)})
-
-
-@query()
-def poisson_path(spark, sf_dir):
-    return _glm(spark, sf_dir, "poisson", {"c": F.floor(F.greatest(F.lit(0.0), F.col("y"))).cast("double")})
-
-
-@query()
-def multinomial_path(spark, sf_dir):
-    y = F.col("y")
-    return _glm(spark, sf_dir, "multinomial", {"k0": F.when(y < 1, 1.0).otherwise(0.0), "k1": F.when((y >= 1) & (y < 2), 1.0).otherwise(0.0), "k2": F.when(y >= 2, 1.0).otherwise(0.0)})
-
-
-@query()
-def cox_path(spark, sf_dir):
-    response = Response(family("cox"), weight="w", start="start", stop="stop", status="status", strata="strata")
-    fit = path.grpnet(X.dense(survival(spark, sf_dir).drop("eta"), ["x0", "x1"]), response, path.Options(lmda_path_size=2, min_ratio=0.5, irls_tol=1e-8))
-    return fit.tables(spark)["path"]
-
-
-@query()
-def cv_gaussian(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_totalprice") / 1e5).alias("a"), (F.col("o_custkey") % 7 / 7.0).alias("b"), F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("c"))
-    y = 0.5 * F.col("a") - F.col("b") + (F.col("o_orderkey") % 13) / 13.0
-    result = cv_grpnet(X.dense(o.withColumn("y", y), ["a", "b", "c"]), Response(Gaussian(), ("y",)), "o_orderkey", 5, path.Options(lmda_path_size=15, min_ratio=0.01, early_exit=False))
-    return result.loss_table(spark)
-
-
-@query()
-def kkt_report(spark, sf_dir):
-    frame, response = measures(spark, sf_dir)
-    fit = path.grpnet(frame, response, path.Options(lmda_path_size=5, early_exit=False))
-    return diagnostic.Diagnostic(frame, response, fit).kkt_table(spark)
-
-
-@query()
-def css_greedy(spark, sf_dir):
-    S = emb_cov(spark, sf_dir)
-    rows = [(loss, k, j) for loss in css.LOSSES for k, j in enumerate(css.css_cov(S, 3, loss=loss))]
-    return spark.createDataFrame(rows, "loss string, step int, feature int")
