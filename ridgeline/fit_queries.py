@@ -400,11 +400,11 @@ def objective_values(spark, sf_dir):
     return spark.createDataFrame([(i, round(float(x), 7)) for i, x in enumerate(values)], "lmda_idx int, value double")
 
 
-@query(f"WITH {GIVEN_SQL}, n AS (SELECT count(*) AS n FROM ord) SELECT o_orderkey, round((y - {GIVEN_ETA}) / n * 1e4, 6) AS resid FROM ord, given, n WHERE i = 1")
+@query(f"WITH {GIVEN_SQL}, n AS (SELECT count(*) AS n FROM ord) SELECT o_orderkey, round((y - {GIVEN_ETA}) / n * 1e4, 6) + 0e0 AS resid FROM ord, given, n WHERE i = 1")
 def residual_rows(spark, sf_dir):
     frame = orders_frame(spark, sf_dir)
     out = diagnostic.residuals(X.dense(frame.df, [*zip(frame.names, frame.columns, strict=True), ("key", F.col("o_orderkey"))]), Response(Gaussian(), ("y",)), path.PathResult(np.array([0.2]), np.array([[*GIVEN_BETAS[1], 0.0]]), np.array([[GIVEN_INTER[1]]]), np.zeros(1), [*frame.names, "key"], [0, 1, 2, 3], [1] * 4, np.ones(4), 1.0), 0)
-    return out.select(F.col("x3").cast("long").alias("o_orderkey"), r6(F.col("resid_0") * 1e4, "resid", 6))
+    return out.select(F.col("x3").cast("long").alias("o_orderkey"), (F.round(F.col("resid_0") * 1e4, 6) + 0.0).alias("resid"))
 
 
 @query(f"WITH {GIVEN_SQL}, {GIVEN_G} " + " UNION ALL ".join(f"SELECT i::INT AS lmda_idx, {j}::INT AS grp, round(g{j}, 7) AS grad, round(abs({RIDGE[j]}), 7) AS norm, round(abs({RIDGE[j]}) / {0.5 * w}e0, 7) AS score FROM gr" for j, w in enumerate((1, 2, 1))))

@@ -58,12 +58,12 @@ def flags(spark, sf_dir) -> X.FeatureFrame:
 
 
 def vector(spark: SparkSession, values, name: str = "v", digits: int = 8) -> DataFrame:
-    return spark.createDataFrame([(i, round(float(x), digits)) for i, x in enumerate(values)], f"j int, {name} double")
+    return spark.createDataFrame([(i, round(float(x), digits) + 0.0) for i, x in enumerate(values)], f"j int, {name} double")
 
 
 def listing(expressions: list[str], source: str, prefix: str = L_SQL, name: str = "v", digits: int = 8) -> str:
     """SQL of one row (j, v) per aggregate expression."""
-    rows = " UNION ALL ".join(f"SELECT {i}::INT AS j, round(({e})::DOUBLE, {digits}) AS {name} FROM {source}" for i, e in enumerate(expressions))
+    rows = " UNION ALL ".join(f"SELECT {i}::INT AS j, round(({e})::DOUBLE, {digits}) + 0e0 AS {name} FROM {source}" for i, e in enumerate(expressions))
     return f"WITH {prefix} {rows}" if prefix else rows
 
 
