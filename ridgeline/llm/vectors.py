@@ -1,7 +1,12 @@
-"""Embedding near-duplicates: Euclidean p-stable hashing in several tables, then exact cosine checks."""
+"""Embedding near-duplicates: Euclidean p-stable hashing in several tables, then exact cosine checks.
+
+Tables carry no vectors but short sketches of them: members of a bucket whose sketches are near form families, over
+all tables. A vector moves once, to its family, whose pairs are checked exactly; a family too large for one task is
+checked bucket by bucket instead."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,23 +18,53 @@ from pyspark.sql import types as T
 from ridgeline.llm.common import Stored, pick
 from ridgeline.llm.components import connected_components
 
-TABLES, HASHES, WIDTH, SEED = 20, 8, 2.0, 20_240_229
-#: Members of a bucket compared in one block; larger buckets are dealt out as pairs of blocks.
+WIDTH, SEED = 2.0, 20_240_229
+#: Members of a bucket that hashes aim at for unrelated vectors, and the chance that a pair at the bound meets nowhere.
+AIM, MISS = 1024, 2e-4
+#: Sketch bits, and standard deviations by which a pair at the bound may differ in more of them than it should.
+BITS, SLACK = 128, 5.5
+#: Members of a bucket or family compared in one task; larger ones are dealt out as pairs of blocks.
 BLOCK = 4096
+#: Copies of one vector beyond which it is joined back by broadcast.
+HOT = 1_000_000
+
+
+def meeting(distance: float, width: float = WIDTH) -> float:
+    """Chance that one quantised projection puts two vectors of this distance into one cell."""
+    t = width / distance
+    return math.erf(t / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * t) * (1 - math.exp(-t * t / 2))
+
+
+def plan(n: int, cosine: float) -> tuple[int, int]:
+    """(tables, hashes of each) for ``n`` vectors: hashes grow with log n, so that buckets of unrelated vectors (at right
+    angles) keep about ``AIM`` members, and tables with n^rho, so that a pair at ``cosine`` still meets with 1 - MISS;
+    rho = log p(near) / log p(far), 0.19 at 0.95. Sketch comparisons are n^(1 + rho) in all, not n^2."""
+    near, far = meeting(max(math.sqrt(max(2 - 2 * cosine, 0.0)), 1e-3)), meeting(math.sqrt(2.0))
+    hashes = max(2, math.ceil(math.log(max(n / AIM, 1.0)) / -math.log(far)))
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-(near**hashes)))), hashes
 
 
-def projections(dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def most_bits(cosine: float) -> int:
+    """Sketch bits in which a pair at ``cosine`` may differ."""
+    share = math.acos(min(max(cosine, -1.0), 1.0)) / math.pi
+    return min(BITS, math.ceil(BITS * share + SLACK * math.sqrt(BITS * share * (1 - share))))
+
+
+def projections(dim: int, tables: int, hashes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng([SEED, dim])
-    return rng.standard_normal((dim, TABLES * HASHES)), rng.uniform(0, WIDTH, TABLES * HASHES), rng.integers(1, 1 << 61, (TABLES, HASHES)) | 1
+    sketch = rng.standard_normal((dim, BITS))
+    return rng.standard_normal((dim, tables * hashes)), rng.uniform(0, WIDTH, tables * hashes), rng.integers(1, 1 << 61, (tables, hashes + 1)) | 1, sketch
 
 
-def bucket_keys(unit: np.ndarray) -> np.ndarray:
-    """(rows, TABLES) bucket keys: floor((a.v + b) / w) of HASHES projections per table, mixed to 32 bits."""
-    a, b, mix = projections(unit.shape[1])
-    cell = np.floor((unit @ a + b) / WIDTH).astype(np.int64).reshape(len(unit), TABLES, HASHES)
+def bucket_keys(unit: np.ndarray, tables: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """((rows, tables) bucket keys, (rows, 2) sketches): a key mixes the table, the vector's length and floor((a.v + b) / w)
+    of its projections to 64 bits; a sketch is the signs of other projections."""
+    a, b, mix, sketch = projections(unit.shape[1], tables, hashes)
+    cell = np.floor((unit @ a + b) / WIDTH).astype(np.int64).reshape(len(unit), tables, hashes)
     with np.errstate(over="ignore"):
-        mixed = (cell * mix).sum(axis=2) * np.int64(-7046029254386353131)
-    return (mixed >> 32).astype(np.int32)
+        mixed = (cell * mix[:, :hashes]).sum(axis=2) + mix[:, hashes] * np.int64(unit.shape[1])
+        mixed = (mixed ^ mixed >> 29) * np.int64(-7046029254386353131)
+    return mixed ^ mixed >> 32, np.packbits(unit @ sketch > 0, axis=1).view(np.int64)
 
 
 def unit_length(v: np.ndarray) -> np.ndarray:
@@ -37,10 +72,10 @@ def unit_length(v: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """(batch, rows of one length, their vectors in double precision, their bucket keys), some hundred rows at once."""
+def stacked(batches: Iterator[pa.RecordBatch], column: str = "embedding") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(batch, rows of one length, their vectors in double precision), some hundred rows at once."""
     for batch in batches:
-        vectors = batch.column("embedding")
+        vectors = batch.column(column)
         sizes = np.diff(vectors.offsets.to_numpy())
         values = vectors.flatten().to_numpy().astype(np.float64)
         at = np.concatenate([[0], np.cumsum(sizes)])
@@ -48,35 +83,137 @@ def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             rows = np.flatnonzero(sizes == dim)
             for some in np.array_split(rows, len(rows) // 512 + 1):
                 if len(some):
-                    v = np.stack([values[at[i] : at[i + 1]] for i in some])
-                    yield batch, some, v, bucket_keys(unit_length(v))
+                    yield batch, some, np.stack([values[at[i] : at[i + 1]] for i in some])
+
 
+def sketches(tables: int, hashes: int):
+    """One row per vector and table: the bucket, the vector's number and its sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, some, v in stacked(batches):
+            keys, bits = bucket_keys(unit_length(v), tables, hashes)
+            ids = batch.column("id").to_numpy()[some]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(x, tables)) for x in (ids, bits[:, 0], bits[:, 1]))], ["bucket", "id", "s0", "s1"])
 
-def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per vector and table: the bucket alone."""
-    for _, some, v, keys in hashed(batches):
-        n = len(some)
-        yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TABLES, dtype=np.int32), n)), pa.array(np.full(n * TABLES, v.shape[1], np.int32)), pa.array(keys.ravel())], ["tab", "dim", "bucket"])
+    return run
 
 
-def spread(kind: str):
-    """One row per vector and table: the bucket, the vector in its own precision ``kind`` and the keys of all tables."""
+def spread(kind: str, tables: int, hashes: int):
+    """One row per vector and table: the bucket and the vector in its own precision ``kind``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, some, v, keys in hashed(batches):
+        for batch, some, v in stacked(batches):
+            keys, _ = bucket_keys(unit_length(v), tables, hashes)
             ids, times = batch.column("id").to_numpy()[some], batch.column("times").to_numpy()[some]
             raw = pa.array([x.tobytes() for x in v.astype(kind)], pa.binary())
-            packed = pa.array([k.tobytes() for k in keys], pa.binary())
-            for t in range(TABLES):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(some), t, np.int32)), pa.array(np.full(len(some), v.shape[1], np.int32)), pa.array(keys[:, t]), pa.array(ids), pa.array(times), raw, packed],
-                    ["tab", "dim", "bucket", "id", "times", "vector", "keys"],
-                )
+            for t in range(tables):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), t, np.int32)), pa.array(keys[:, t]), pa.array(ids), pa.array(times), raw], ["tab", "bucket", "id", "times", "vector"])
+
+    return run
+
+
+def packed(kind: str):
+    """(id, times, vector): vectors as bytes of their own precision."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, some, v in stacked(batches):
+            yield pa.RecordBatch.from_arrays([*(pa.array(batch.column(c).to_numpy()[some]) for c in ("id", "times")), pa.array([x.tobytes() for x in v.astype(kind)], pa.binary())], ["id", "times", "vector"])
 
     return run
 
 
-SPREAD = "tab int, dim int, bucket int, id long, times long, vector binary, keys binary"
+def dealt(rows: DataFrame, store: Stored, *keys: str) -> DataFrame:
+    """``rows`` with the pair of blocks (i, j) in which each meets others of its ``keys`` and whether it is of block j
+    alone (side 1), sorted so that those that meet are runs. Keys of over ``BLOCK`` rows are dealt out: each row gets
+    a block by its hash, and each pair of blocks, a block with itself included, is a run of its own. The table of
+    large keys is stored: it is broadcast only below Spark's threshold, else both sides are shuffled."""
+    large, _ = store.put(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select(*keys, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    own = F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int")
+    meet = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+    met = rows.join(large, list(keys), "left").withColumn("own", own).withColumn("meet", F.explode(meet))
+    met = met.select(*keys, F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), (F.col("own") != F.col("meet.i")).cast("int").alias("side"), *(c for c in rows.columns if c not in keys))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(parts, *keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
+
+
+def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, pa.Table]]:
+    """(keys, rows) of each run of equal keys, of two blocks of rows at most."""
+    held, now = [], None
+    for batch in batches:
+        columns = [batch.column(c).to_numpy() for c in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if lo == hi:
+                continue
+            key = tuple(int(c[lo]) for c in columns)
+            if key != now:
+                if held:
+                    yield now, pa.Table.from_batches(held).combine_chunks()
+                held, now = [], key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield now, pa.Table.from_batches(held).combine_chunks()
+
+
+def kin(most: int):
+    """Links that span what near sketches connect in each run, fewer than its members."""
+
+    def near(bits: np.ndarray, one: np.ndarray, others: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(bits[one][:, None] ^ bits[others][None, :]).sum(axis=2, dtype=np.int64) <= most
+
+    def spanning(bits: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+        """Members without any near one are left out first; the others are walked breadth-first."""
+        same = left is right
+        some_l, some_r = np.zeros(len(left), bool), np.zeros(len(right), bool)
+        for at in range(0, len(left), 256):
+            close = near(bits, left[at : at + 256], right)
+            if same:
+                close[np.arange(len(close)), np.arange(at, at + len(close))] = False
+            some_l[at : at + 256] = close.any(axis=1)
+            some_r |= close.any(axis=0)
+        rest = [left[some_l], left[some_l] if same else right[some_r]]
+        links: list[tuple[int, int]] = []
+        while len(rest[0]) and len(rest[1]):
+            queue, rest[0] = [(0, rest[0][0])], rest[0][1:]
+            if same:
+                rest[1] = rest[0]
+            while queue:
+                side, k = queue.pop()
+                other = 1 if same else 1 - side
+                if not len(rest[other]):
+                    continue
+                close = near(bits, np.array([k]), rest[other])[0]
+                if close.any():
+                    found = rest[other][close]
+                    links += [(int(k), int(x)) for x in found]
+                    queue += [(other, x) for x in found]
+                    rest[other] = rest[other][~close]
+                    if same:
+                        rest[0] = rest[1]
+        return links
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[np.ndarray] = []
+        b: list[np.ndarray] = []
+        for (_, i, j), rows in runs(batches, "bucket", "i", "j"):
+            ids, side = rows.column("id").to_numpy(), rows.column("side").to_numpy()
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if i == j:
+                right = left
+            if len(left) and len(right) and len(ids) > 1:
+                found = np.array(spanning(np.stack([rows.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1")], axis=1), left, right), np.int64).reshape(-1, 2)
+                a.append(ids[found[:, 0]])
+                b.append(ids[found[:, 1]])
+            if len(a) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                a, b = [], []
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return run
 
 
 def compared(ids: np.ndarray, times: np.ndarray, units: np.ndarray, keys: np.ndarray, table: int, left: np.ndarray, right: np.ndarray, cosine: float):
@@ -121,45 +258,47 @@ def compared(ids: np.ndarray, times: np.ndarray, units: np.ndarray, keys: np.nda
     return weight, edges
 
 
-def checked(cosine: float, kind: str):
+def checked(cosine: float, kind: str, tables: int, hashes: int):
+    """Exact links of each run of a bucket: rows with ``links`` for ids, and spanning links (a, b)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        now = None
-
-        def out() -> Iterator[pa.RecordBatch]:
-            block = pa.Table.from_batches(held).combine_chunks()
-            if block.num_rows < 2:
-                return
-            ids, times, side = (block.column(c).to_numpy() for c in ("id", "times", "side"))
-            units = unit_length(np.frombuffer(b"".join(block.column("vector").to_pylist()), kind).reshape(len(ids), -1).astype(np.float64))
-            keys = np.frombuffer(b"".join(block.column("keys").to_pylist()), np.int32).reshape(len(ids), -1)
-            left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-            right = right if len(right) else left
-            if now[3] != now[4] and right is left:
-                return
-            weight, edges = compared(ids, times, units, keys, now[0], left, right, cosine)
+        for (table, _, i, j), rows in runs(batches, "tab", "bucket", "i", "j"):
+            ids, times, side = (rows.column(c).to_numpy() for c in ("id", "times", "side"))
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            right = left if i == j else right
+            if len(ids) < 2 or not len(left) or not len(right):
+                continue
+            units = unit_length(np.frombuffer(b"".join(rows.column("vector").to_pylist()), kind).reshape(len(ids), -1).astype(np.float64))
+            weight, edges = compared(ids, times, units, bucket_keys(units, tables, hashes)[0], table, left, right, cosine)
             at = np.flatnonzero(weight)
             a, b = [x for x, _ in edges], [x for _, x in edges]
             # rows with a weight carry links of their id; rows without one are spanning links
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[at], np.array(a, np.int64)])), pa.array([None] * len(at) + b, pa.int64()), pa.array(np.concatenate([weight[at], np.zeros(len(a), np.int64)]))], ["a", "b", "links"])
 
-        for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in ("tab", "dim", "bucket", "i", "j")]
-            change = np.zeros(batch.num_rows, bool)
-            for c in columns:
-                change[1:] |= c[1:] != c[:-1]
-            cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if lo == hi:
-                    continue
-                key = tuple(int(c[lo]) for c in columns)
-                if key != now:
-                    if held:
-                        yield from out()
-                    held, now = [], key
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield from out()
+    return run
+
+
+def verified(cosine: float, kind: str):
+    """(a, component, links) of each member of a family: all its pairs are compared, and its links stay inside it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in runs(batches, "family"):
+            ids, times, n = rows.column("id").to_numpy(), rows.column("times").to_numpy(), rows.num_rows
+            units = unit_length(np.frombuffer(b"".join(rows.column("vector").to_pylist()), kind).reshape(n, -1).astype(np.float64))
+            every = np.arange(n)
+            weight, edges = compared(ids, times, units, np.zeros((n, 1), np.int64), 0, every, every, cosine)
+            root = {int(i): int(i) for i in ids}
+
+            def top(x: int, root: dict[int, int] = root) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for a, b in edges:
+                a, b = sorted((top(a), top(b)))
+                root[b] = a
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([top(int(i)) for i in ids], pa.int64()), pa.array(weight)], ["a", "component", "links"])
 
     return run
 
@@ -171,37 +310,42 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     different lengths. Equal vectors are one node with a multiplicity, so copies never meet as pairs; they link with
     one another. Ids are integers; repeated ids count as vectors of their own. An empty table gives an empty table.
 
-    Candidates share a bucket in one of 20 tables of 8 quantised projections (width 2): a pair at cosine 0.95 is
-    found with probability 0.9998, closer ones more surely. Each pair counts in the first table it shares. Buckets
-    over ``BLOCK`` members are dealt out as pairs of blocks, so a task never holds more than two blocks; a block
-    returns one row per linked member and fewer spanning links than members, never all pairs. A first pass counts
-    buckets without their vectors; the second shuffles each vector once per table, in its own precision, and unit
-    lengths are taken in double precision where vectors meet."""
+    Candidates share a bucket in one of the tables that ``plan`` gives: a pair at the bound is found with probability
+    1 - MISS, closer ones more surely. Buckets hold numbers and sketches, about 35 bytes a vector and table; those of
+    near sketches are spanned by links, and what these connect is a family. Each vector then moves once, to its family,
+    and all pairs there are checked. Families of over ``BLOCK`` vectors are checked bucket by bucket instead, where
+    each pair counts in the first table it shares. Buckets over ``BLOCK`` members are dealt out as pairs of blocks, so
+    a task never holds more than two blocks and returns fewer links than members, never all pairs."""
     spark = vectors.sparkSession
     store = Stored(spark, "vectors")
     base = pick(vectors, id=id_col, embedding=vector_col)
     sound = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    distinct = base.where(sound).groupBy("embedding").agg(F.min("id").alias("id"), F.count("*").alias("times"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # ids may repeat or be null, so nodes carry a number of their own, fixed by the stored table
-    nodes, _ = store.put(distinct.withColumn("node", F.monotonically_increasing_id()))
     element = vectors.schema[vector_col].dataType.elementType
     kind = "<f4" if isinstance(element, T.FloatType) else "<f8"  # either holds the components exactly
-    own = nodes.select(F.col("node").alias("id"), "times", "embedding").repartition(parts)
-    counted = own.mapInArrow(buckets, "tab int, dim int, bucket int").groupBy("tab", "dim", "bucket").agg(F.count("*").alias("n"))
-    # stored, so that the join knows its size: broadcast only below Spark's threshold, else both sides are shuffled
-    sizes, _ = store.put(counted.where(F.col("n") > BLOCK).select("tab", "dim", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    rows = own.mapInArrow(spread(kind), SPREAD)
-    dealt = rows.join(sizes, ["tab", "dim", "bucket"], "left").withColumn("own", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int"))
-    meet = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
-    dealt = dealt.withColumn("meet", F.explode(meet)).select("tab", "dim", "bucket", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), (F.col("own") != F.col("meet.i")).cast("int").alias("side"), "id", "times", "vector", "keys")
-    key = ["tab", "dim", "bucket", "i", "j"]
-    found, _ = store.put(dealt.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(checked(cosine, kind), "a long, b long, links long"))
+    keyed = base.where(sound).select("id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
+    distinct = keyed.groupBy("h1", "h2").agg(F.first("embedding").alias("embedding"), F.min("id").alias("first"), F.count("*").alias("times"))
+    # ids may repeat or be null, so nodes carry a number of their own, fixed by the stored table
+    nodes, _ = store.put(distinct.withColumn("node", F.monotonically_increasing_id()))
+    tables, hashes = plan(nodes.count(), cosine)
+    own = nodes.select(F.col("node").alias("id"), "times", "embedding").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    near = dealt(own.mapInArrow(sketches(tables, hashes), "bucket long, id long, s0 long, s1 long"), store, "bucket")
+    family, _ = store.put(connected_components(near.mapInArrow(kin(most_bits(cosine)), "a long, b long"), store).withColumnRenamed("component", "family"))
+    sizes = family.groupBy("family").agg(F.count("*").alias("n"))
+    members, _ = store.put(family.join(sizes, "family").withColumnRenamed("node", "id"))
+    raw = own.mapInArrow(packed(kind), "id long, times long, vector binary")
+    small = raw.join(members.where(F.col("n") <= BLOCK).select("id", "family"), "id").repartition("family").sortWithinPartitions("family")
+    inside, _ = store.put(small.mapInArrow(verified(cosine, kind), "a long, component long, links long"))
+    large = own.join(members.where(F.col("n") > BLOCK).select("id"), "id", "left_semi").mapInArrow(spread(kind, tables, hashes), "tab int, bucket long, id long, times long, vector binary")
+    found, _ = store.put(dealt(large, store, "tab", "bucket").mapInArrow(checked(cosine, kind, tables, hashes), "a long, b long, links long"))
     labels = connected_components(found.where("b is not null").select("a", "b"), store)
-    counts = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
-    labelled = nodes.join(counts, "node", "left").join(labels, "node", "left").select("embedding", "id", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    smallest = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = labelled.join(smallest, "component").select("embedding", "n_links", "component_id")
-    linked = base.where(sound).join(named, "embedding").select("id", "n_links", "component_id")
+    labels = inside.select(F.col("a").alias("node"), "component").union(labels)
+    counts = inside.select("a", "links").union(found.where("b is null").select("a", "links")).groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
+    labelled = nodes.join(counts, "node", "left").join(labels, "node", "left").select("h1", "h2", "first", "times", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
+    named, _ = store.put(labelled.join(smallest, "component").select("h1", "h2", "times", "n_links", "component_id"))
+    # vectors of over HOT copies, rows / HOT of them at most, are broadcast: no task joins one vector's rows alone
+    cold, hot = named.where(F.col("times") <= HOT).drop("times"), F.broadcast(named.where(F.col("times") > HOT).drop("times"))
+    rows = keyed.drop("embedding")
+    linked = rows.join(hot, ["h1", "h2"]).union(rows.join(hot, ["h1", "h2"], "left_anti").join(cold, ["h1", "h2"])).select("id", "n_links", "component_id")
     alone = base.where(~F.coalesce(sound, F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

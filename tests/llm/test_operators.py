@@ -515,6 +515,49 @@ def test_vectors_against_brute_force(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_plan_and_recall_near_the_bound():
+    grown = [vectors.plan(n, 0.95) for n in (10**3, 10**5, 10**7, 10**9)]
+    assert all(a[0] <= b[0] and a[1] <= b[1] for a, b in zip(grown, grown[1:], strict=False)) and grown[-1][0] <= 200
+    share = [t * vectors.meeting(2**0.5) ** h for t, h in grown]  # of all pairs of unrelated vectors, compared by sketch
+    assert share[1] < share[0] and share[2] < share[1] / 10 and share[3] < share[2] / 10
+    r = np.random.default_rng(5)
+    tables, hashes = vectors.plan(10**5, 0.95)
+    a = vectors.unit_length(r.standard_normal((4000, 64)))
+    side = r.standard_normal((4000, 64))
+    side = vectors.unit_length(side - (side * a).sum(axis=1, keepdims=True) * a)
+    cosine = r.uniform(0.95, 0.96, 4000)[:, None]
+    b = cosine * a + np.sqrt(1 - cosine**2) * side
+    (ka, sa), (kb, sb) = vectors.bucket_keys(a, tables, hashes), vectors.bucket_keys(b, tables, hashes)
+    sa, sb = sa.view(np.uint64), sb.view(np.uint64)
+    met = (ka == kb).any(axis=1) & (np.bitwise_count(sa ^ sb).sum(axis=1) <= vectors.most_bits(0.95))
+    assert met.mean() >= 0.998
+    far = np.bitwise_count(sa[:2000] ^ sa[2000:]).sum(axis=1) <= vectors.most_bits(0.95)
+    assert not far.any()
+
+
+@pytest.mark.parametrize("n", [1000, 4000, 16000])
+def test_vectors_compare_a_falling_share(n):
+    r = np.random.default_rng(6)
+    tables, hashes = vectors.plan(n, 0.95)
+    keys, _ = vectors.bucket_keys(vectors.unit_length(r.standard_normal((n, 64))), tables, hashes)
+    pairs = sum((np.unique(keys[:, t], return_counts=True)[1] ** 2).sum() for t in range(tables)) / n**2
+    assert pairs <= {1000: 8.0, 4000: 4.5, 16000: 2.0}[n], pairs
+
+
+def test_vectors_of_families_of_any_size(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    centres = r.standard_normal((40, 32))
+    v = np.concatenate([c + 0.13 * r.standard_normal((k % 9 + 1, 32)) for k, c in enumerate(centres)]).astype(np.float32)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>")
+    u = vectors.unit_length(v.astype(np.float64))
+    near = u @ u.T >= 0.95
+    label = brute_components(len(v), [(a, b) for a in range(len(v)) for b in range(a) if near[a, b]])
+    want = {k: (int(near[k].sum()) - 1, label[k]) for k in range(len(v))}
+    for block in (vectors.BLOCK, 3):
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        assert {x["vec_id"]: (x["n_links"], x["component_id"]) for x in vectors.near_duplicates(df.repartition(3)).collect()} == want
+
+
 def test_vectors_split_large_buckets(spark, monkeypatch):
     r = np.random.default_rng(1)
     v = (np.ones((60, 8)) + 0.05 * r.standard_normal((60, 8))).astype(np.float32)
