@@ -19,7 +19,7 @@ CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
 #: Stands before each chunk while a text is split; texts that hold it are split by the expression above.
 SPLIT = f"\0{MARK}"
 #: Bytes of distinct chunks remembered per worker; the table starts anew when full.
-REMEMBERED = 160 << 20
+REMEMBERED = 256 << 20
 
 
 class ChunkTable(Remembered):

@@ -28,6 +28,7 @@ NUMBERS = "0-9²³¹¼-¾"
 #: Texts of these characters only need no library to normalise and split (without the two that lower-case unevenly).
 PLAIN = re.compile(r"[\t-\r\x20-įı-ſ]*")
 WHITE = re.compile("([\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+)")
+RUNS = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 PIECE = re.compile(rf"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 
 
@@ -236,8 +237,32 @@ class PrefixCounter:
         return out + [total] * (len(text) - len(out))
 
     def within(self, text: str, tokens: int, budget: int) -> int:
-        """Characters of the longest prefix of at most ``budget`` tokens, given the whole text's ``tokens``."""
-        return len(text) if tokens <= budget else int(np.flatnonzero(self.prefixes(text) <= budget)[-1])
+        """Characters of the longest prefix of at most ``budget`` tokens, given the whole text's ``tokens``. Counts only
+        rise from one run between white space to the next, so the prefix ends in the first run that goes beyond the
+        budget, and that run's prefix table alone is needed."""
+        if tokens <= budget:
+            return len(text)
+        total, best, at, parts = 0, 0, 0, self.special.split(text) if "<|" in text else [text]
+        for k in range(0, len(parts), 2):
+            before, first = total, 0  # tokens before the last run of this part, and where that begins
+            count = self.chunks.__getitem__ if PLAIN.fullmatch(parts[k]) else self.count
+            for m in RUNS.finditer(parts[k]):
+                n = count(m[0])
+                if total + n > budget:
+                    inside = [i for i, c in enumerate(self._run(m[0]), 1) if total + c <= budget]
+                    return max(best, at + m.start() + (inside[-1] if inside else 0))
+                before, first, total = total, m.start(), total + n
+            best = at + len(parts[k])
+            if k + 1 == len(parts):
+                return best
+            tail = parts[k][first:]
+            own = self._ordinary(tail + parts[k + 1][:-1])[len(tail) :]  # a special string that is cut is ordinary text
+            best = max([best, *(best + i for i, c in enumerate(own, 1) if (before if tail else total) + c <= budget)])
+            at, total = at + len(parts[k]) + len(parts[k + 1]), total + 1
+            if total > budget:
+                return best
+            best = at
+        return best
 
 
 @lru_cache(maxsize=4)

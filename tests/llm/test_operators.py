@@ -130,6 +130,10 @@ def test_every_prefix_equals_encoding_it(docs):
     for text in [*fuzz(150, 6), "İstanbul", "e\u0301té x", "!<|endoftext|>!", "日本語 テキスト", "ΑΣ ΣΑΣ", "“Said”\n\n\n — then", "a\u2028b \u0327c", "가각 \u1100\u1161", "x" * 700 + "é" * 300]:
         got = counter.prefixes(text)
         assert got.tolist() == [len(counter.library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)], repr(text)
+    for text in [*fuzz(60, 8), "a b<|endoftext|> c", "!<|endoftext|>!<|startoftext|>x", "don't we'll<|endoftext|>"]:
+        counts = counter.prefixes(text)
+        for budget in range(int(counts.max()) + 2):
+            assert counter.within(text, int(counts[-1]), budget) == (len(text) if counts[-1] <= budget else int(np.flatnonzero(counts <= budget)[-1])), (text, budget)
     for r in tokens.token_counts(docs, path, 7).collect():
         text = (TEXTS[r["doc_id"]] if r["doc_id"] is not None else TEXTS[3]) or ""
         if len(text) < 3000:
