@@ -118,20 +118,31 @@ def map_rows(df: DataFrame, text_col: str, outputs: list[tuple[str, str]], work:
 
 
 class Remembered(dict):
-    """What a worker keeps about strings: at most about ``most`` bytes, after which it starts anew; nothing about
-    strings of over ``LONG`` characters (unspaced scripts, encoded files), which hardly recur."""
+    """What a worker keeps about strings: at most about ``most`` bytes, in two generations. When the young one holds
+    half of them it becomes the old one, whose entries come back as they are asked for ``again``; the rest goes. Nothing
+    is kept about strings of over ``LONG`` characters (unspaced scripts, encoded files), which hardly recur."""
 
     LONG, ENTRY = 256, 150
 
     def __init__(self, most: int):
         super().__init__()
-        self.most, self.used = most, 0
+        self.most, self.used, self.old = most, 0, {}
+
+    def again(self, key: str):
+        """The old generation's value, young from now on, or None."""
+        found = self.old.get(key)
+        return None if found is None else self.keep(key, found, self.size_of(found))
+
+    def size_of(self, value) -> int:
+        """Bytes of a value besides its entry."""
+        return 0
 
     def keep(self, key: str, value, size: int = 0):
         """``value``, remembered as ``size`` bytes besides the key and the entry itself."""
         if len(key) <= self.LONG:
             cost = self.ENTRY + sys.getsizeof(key) + size
-            if self.used + cost > self.most:
+            if self.used + cost > self.most // 2:
+                self.old = dict(self)
                 self.clear()
                 self.used = 0
             self.used += cost

@@ -57,10 +57,23 @@ def grams(codes: np.ndarray, row: np.ndarray, buckets: int = BUCKETS) -> Iterato
                 yield (h >> np.uint64(32)).astype(np.int64) % buckets, own[:n][inside]
 
 
+def together(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """(first, last + 1) of texts that are scored together: some ``4 * STEP`` characters, or one longer text."""
+    first, held = 0, 0
+    for k, text in enumerate(texts):
+        if held and held + len(text) > 4 * STEP:
+            yield first, k
+            first, held = k, 0
+        held += len(text) + 2
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def count_vector(texts: list[str], buckets: int = BUCKETS) -> np.ndarray:
     out = np.zeros(buckets, np.int64)
-    for h, _ in grams(*codes_of(texts), buckets):
-        out += np.bincount(h, minlength=buckets)
+    for first, last in together(texts):
+        for h, _ in grams(*codes_of(texts[first:last]), buckets):
+            out += np.bincount(h, minlength=buckets)
     return out
 
 
@@ -74,12 +87,14 @@ class Model:
         """(texts x languages log likelihoods, n-grams of each text): the product of the batch's sparse rows, a row
         being the buckets of a text in order, with the matrix."""
         total, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
-        for h, row in grams(*codes_of(texts), self.logs.shape[1]):
-            if len(h):
-                first = np.flatnonzero(np.diff(row, prepend=-1))
-                for k, logs in enumerate(self.logs):
-                    total[row[first], k] += np.add.reduceat(logs[h], first)
-                n[row[first]] += np.diff(first, append=len(h))
+        for start, end in together(texts):
+            for h, row in grams(*codes_of(texts[start:end]), self.logs.shape[1]):
+                if len(h):
+                    first = np.flatnonzero(np.diff(row, prepend=-1))
+                    at = row[first] + start
+                    for k, logs in enumerate(self.logs):
+                        total[at, k] += np.add.reduceat(logs[h], first)
+                    n[at] += np.diff(first, append=len(h))
         return total, n
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:

@@ -19,7 +19,7 @@ CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
 #: Stands before each chunk while a text is split; texts that hold it are split by the expression above.
 SPLIT = f"\0{MARK}"
 #: Bytes of distinct chunks remembered per worker; the table starts anew when full.
-REMEMBERED = 256 << 20
+REMEMBERED = 128 << 20
 
 
 class ChunkTable(Remembered):
@@ -44,6 +44,8 @@ class ChunkTable(Remembered):
         self.mark = self.model.piece_to_id(MARK)
 
     def __missing__(self, chunk: str) -> tuple[str, str]:
+        if (found := self.again(chunk)) is not None:
+            return found
         if chunk == MARK:  # the model gives nothing for an empty text
             ids = [self.mark]
         elif chunk[0] == MARK:  # the model puts a marker of its own in front of any text
@@ -52,7 +54,10 @@ class ChunkTable(Remembered):
             ids = self.model.encode(chunk)[1:]
         said = [self.text[i] for i in ids]
         found = (",".join(map(str, ids)), self.model.decode([*self.head, *ids])[1:] if None in said else "".join(said))
-        return self.keep(chunk, found, 64 + sys.getsizeof(found[0]) + sys.getsizeof(found[1]))
+        return self.keep(chunk, found, self.size_of(found))
+
+    def size_of(self, found: tuple[str, str]) -> int:
+        return 64 + sys.getsizeof(found[0]) + sys.getsizeof(found[1])
 
     def chunks(self, text: str) -> list[str]:
         """Chunks of a text, in order; joined they are the text with a marker put in front."""

@@ -50,10 +50,19 @@ class Chunks(Remembered):
         self.counter = counter
 
     def __missing__(self, chunk: str) -> int:
+        if (found := self.again(chunk)) is not None:
+            return found
         own = chunk.lower()
         return self.keep(chunk, self.counter.word(own) if own.isascii() and own.isalpha() else sum(map(self.counter.word, map(self.counter.mapped, PIECE.findall(own)))))
 
 
+class Tables(Remembered):
+    """Word -> its prefix table; bounded."""
+
+    def size_of(self, table: list[int]) -> int:
+        return 64 + 8 * len(table)
+
+
 class PrefixCounter:
     """Token counts by the ``tokenizers`` file at ``path`` (BPE with word ends), without added special tokens."""
 
@@ -75,7 +84,7 @@ class PrefixCounter:
         self.after: dict[str, dict[str, bool]] = {}
         self.after_end: dict[str, dict[str, bool]] = {}
         self.pairs = 0
-        self.words, self.tables = Remembered(WORDS), Remembered(PREFIXES)
+        self.words, self.tables = Remembered(WORDS), Tables(PREFIXES)
         self.chunks = Chunks(self)
 
     def merged(self, parts: list[str]) -> list[str]:
@@ -146,16 +155,16 @@ class PrefixCounter:
 
     def word(self, mapped: str) -> int:
         """Tokens of a word in byte letters: the last entry of its prefix table."""
-        if (known := self.words.get(mapped)) is not None:
+        if (known := self.words.get(mapped)) is not None or (known := self.words.again(mapped)) is not None:
             return known
         return self.words.keep(mapped, self._end(mapped, len(mapped), *self._inner(mapped)))
 
     def word_prefixes(self, mapped: str) -> list[int]:
         """Tokens of each prefix of a word as a word of its own."""
-        if (known := self.tables.get(mapped)) is not None:
+        if (known := self.tables.get(mapped)) is not None or (known := self.tables.again(mapped)) is not None:
             return known
         last, inner = self._inner(mapped)
-        return self.tables.keep(mapped, [self._end(mapped, j, last, inner) for j in range(1, len(mapped) + 1)], 16 * len(mapped))
+        return self.tables.keep(mapped, [self._end(mapped, j, last, inner) for j in range(1, len(mapped) + 1)], 64 + 8 * len(mapped))
 
     def mapped(self, piece: str) -> str:
         return piece if piece.isascii() and piece.isprintable() and " " not in piece else "".join(self.letters[b] for b in piece.encode())

@@ -100,10 +100,15 @@ class Table(Remembered):
         self.index = index
 
     def __missing__(self, word: str) -> tuple[int, ...]:
+        if (known := self.again(word)) is not None:
+            return known
         bare = _bare(word)
         found = (bucket(f) for f in features_of(bare)) if bare else ()
         found = tuple(found) if self.index is None else tuple({self.index[b] for b in found if b in self.index})
-        return self.keep(word, found, 64 + 40 * len(found))
+        return self.keep(word, found, self.size_of(found))
+
+    def size_of(self, found: tuple[int, ...]) -> int:
+        return 64 + 40 * len(found)
 
     def row(self, text: str) -> set[int]:
         return {f for w in set(text.lower().split()) for f in self[w]}

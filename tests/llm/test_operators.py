@@ -153,7 +153,10 @@ def test_worker_tables_are_bounded_in_bytes():
     for k in range(100_000):
         kept.keep(f"{k}-" + "x" * (k % 200), k, 100)
         assert kept.used <= 1 << 20
-    assert kept and sum(sys.getsizeof(k) + 100 for k in kept) <= 1 << 20
+    assert kept and sum(sys.getsizeof(k) + 100 for k in [*kept, *kept.old]) <= 1 << 20
+    kept.keep("young", 7)
+    kept.old["was"] = 8
+    assert kept.again("was") == 8 == kept["was"] and kept.again("never") is None
     assert kept.keep("y" * 300, 1) == 1 and "y" * 300 not in kept
     counter = tokens.PrefixCounter(str(public.path("word_bpe_49k.json")))
     counter.chunks.most = counter.words.most = 1 << 18
