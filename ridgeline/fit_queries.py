@@ -611,6 +611,21 @@ def group_spectrum(spark, sf_dir):
     return spark.createDataFrame([tuple(round(float(x), 8) for x in values)], "small double, large double")
 
 
+FLAG_NORMS = ", ".join(f"({g}, sqrt({' + '.join(f'v[{j + 1}] * v[{j + 1}]' for j in range(a, a + n))}) / sqrt({n}e0))" for g, (a, n) in enumerate(zip(FLAG_STARTS, FLAG_SIZES, strict=True)))
+
+
+@query(solved(
+    L_SQL, statistics(FLAG_X, ["y"]), kronecker(8, 1), f"sc AS (SELECT grp_, s, row_number() OVER (ORDER BY s, grp_) - 1 AS r FROM gv, LATERAL (VALUES {FLAG_NORMS}) t(grp_, s))",
+    "top AS (SELECT max(s) FILTER (r = 2) AS y0, max(s) FILTER (r = 3) AS y1, max(s) FILTER (r = 4) AS y2 FROM sc)", "bend AS (SELECT CASE WHEN pow(2 * y0 / 3 - (y1 + y2) / 3, 2) * 1.5e0 >= pow(y0 - y2, 2) / 2 THEN 1 ELSE 2 END AS b FROM top)",
+    select="SELECT (4 - r)::INT AS place, grp_::INT AS grp FROM sc, bend WHERE r >= b",
+))
+def pivot_screening(spark, sf_dir):
+    s = path.gaussian_statistics(lasso_frame(spark, sf_dir), Response(Gaussian(), ("y",)))
+    norms = path.group_norms(s["xy"][:, 0] - s["x"] * s["y"][0], FLAG_STARTS, FLAG_SIZES)
+    found = path.pivot_rule(norms, path.default_penalty(FLAG_SIZES), 1.0, 1e9, set(), 1, least=3)
+    return spark.createDataFrame(list(enumerate(found)), "place int, grp int")
+
+
 # --- column subsets -----------------------------------------------------------------------------------------
 EMB = 64
 

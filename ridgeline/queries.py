@@ -70,8 +70,10 @@ def listing(expressions: list[str], source: str, prefix: str = L_SQL, name: str
 # --- statistics ---------------------------------------------------------------------------------------------
 @query("WITH " + L_SQL + " " + " UNION ALL ".join(f"SELECT {i}::INT AS i, {j}::INT AS j, round(avg(x{i} * x{j}), 8) AS v FROM lin" for i in range(4) for j in range(4)))
 def gram_lineitem(spark, sf_dir):
-    frame = X.dense(lineitem(spark, sf_dir), NAMES)
-    g = X.eager_cov(frame) / frame.df.count()
+    from ridgeline.operators.gram import cross
+
+    full = cross(lineitem(spark, sf_dir), [F.lit(1.0), *X.dense(lineitem(spark, sf_dir), NAMES).columns])  # rows are counted in the same pass
+    g = full[1:, 1:] / full[0, 0]
     return spark.createDataFrame([(i, j, round(float(g[i, j]), 8)) for i in range(4) for j in range(4)], "i int, j int, v double")
 
 
@@ -270,10 +272,14 @@ def logit_family(spark, sf_dir):
 PHI, PHIC = f"(0.5e0 * {erfc_sql(f'(-{ETA_SQL} / sqrt(2e0))')})", f"(0.5e0 * {erfc_sql(f'({ETA_SQL} / sqrt(2e0))')})"
 
 
-@query(listing([f"avg({PHI})", f"avg(-({BIN_SQL} * ln({PHI}) + (1e0 - {BIN_SQL}) * ln({PHIC})))", f"avg(exp(-0.5e0 * {ETA_SQL} * {ETA_SQL}) / sqrt(2e0 * pi()) * ({BIN_SQL} / {PHI} - (1e0 - {BIN_SQL}) / {PHIC}))"], "lin"))
+PDF = f"(exp(-0.5e0 * {ETA_SQL} * {ETA_SQL}) / sqrt(2e0 * pi()))"
+
+
+@query(listing([f"avg({PHI})", f"avg(-({BIN_SQL} * ln({PHI}) + (1e0 - {BIN_SQL}) * ln({PHIC})))", f"avg(exp(-0.5e0 * {ETA_SQL} * {ETA_SQL}) / sqrt(2e0 * pi()) * ({BIN_SQL} / {PHI} - (1e0 - {BIN_SQL}) / {PHIC}))",
+    f"avg({PDF} * ({BIN_SQL} * ({PDF} + {ETA_SQL} * {PHI}) / ({PHI} * {PHI}) + (1e0 - {BIN_SQL}) * ({PDF} - {ETA_SQL} * {PHIC}) / ({PHIC} * {PHIC})))"], "lin"))
 def probit_family(spark, sf_dir):
     y, one, f = F.when(F.col("rf") == "R", 1.0).otherwise(0.0), F.lit(1.0), Binomial(link="probit")
-    return sums(spark, lineitem(spark, sf_dir), [f.inv_link(eta(), Columns), f.loss(y, eta(), one, Columns), f.gradient(y, eta(), one, Columns)])
+    return sums(spark, lineitem(spark, sf_dir), [f.inv_link(eta(), Columns), f.loss(y, eta(), one, Columns), f.gradient(y, eta(), one, Columns), f.hessian(y, eta(), one, Columns)])
 
 
 CNT_SQL = "floor(q / 10e0)"
