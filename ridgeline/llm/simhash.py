@@ -84,7 +84,8 @@ def replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def forest(members: np.ndarray, own: np.ndarray, most: int = DISTANCE) -> tuple[list, list]:
-    """Links that span the components of one anchor's distinct members, fewer than its members.
+    """Links that span what pairs of one anchor's distinct members connect, fewer than its members. Pairs of which
+    neither is at home here meet at another anchor, so they aren't compared.
 
     Few members: one comparison of homes with all. Many: a breadth-first walk that compares a reached member with
     the unreached only, so a dense group costs about one comparison a member, not one a pair."""
@@ -93,35 +94,32 @@ def forest(members: np.ndarray, own: np.ndarray, most: int = DISTANCE) -> tuple[
         left, right = members[own][a], members[b]
         differ = left != right
         return left[differ].tolist(), right[differ].tolist()
-    rest, left, right = members.copy(), [], []
-    while len(rest):
-        queue, rest = [rest[0]], rest[1:]
-        while queue and len(rest):
-            now = queue.pop()
-            close = np.bitwise_count(rest ^ now) <= most
-            if close.any():
-                found = rest[close]
-                left += [now] * len(found)
-                right += found.tolist()
-                queue += found.tolist()
-                rest = rest[~close]
-    return left, right
-
-
-def bridges(left: np.ndarray, right: np.ndarray, most: int = DISTANCE) -> tuple[list, list]:
+    return _walk([[members[own], members[~own]]], most)
+
+
+def bridges(left: np.ndarray, right: np.ndarray, own_left: np.ndarray | None = None, own_right: np.ndarray | None = None, most: int = DISTANCE) -> tuple[list, list]:
     """Links between two blocks of one anchor's members that span what these links connect; see ``forest``."""
-    rest, a, b = [left, right], [], []
-    while len(rest[0]) and len(rest[1]):
-        queue, rest[0] = [(0, rest[0][0])], rest[0][1:]
-        while queue:
-            side, now = queue.pop()
-            close = np.bitwise_count(rest[1 - side] ^ now) <= most
-            if close.any():
-                found = rest[1 - side][close]
-                a += [now] * len(found)
-                b += found.tolist()
-                queue += [(1 - side, x) for x in found]
-                rest[1 - side] = rest[1 - side][~close]
+    sides = ((left, own_left), (right, own_right))
+    return _walk([[x, x[:0]] if own is None else [x[own], x[~own]] for x, own in sides], most)
+
+
+def _walk(rest: list[list[np.ndarray]], most: int) -> tuple[list, list]:
+    """Breadth-first over one block, or between two; ``rest`` holds the unreached of each, at home here or not."""
+    a, b = [], []
+    for start in range(len(rest)):
+        while len(rest[start][0]):
+            queue, rest[start][0] = [(start, rest[start][0][0], True)], rest[start][0][1:]
+            while queue:
+                side, now, home_here = queue.pop()
+                other = len(rest) - 1 - side
+                for away in (0, 1) if home_here else (0,):
+                    close = np.bitwise_count(rest[other][away] ^ now) <= most
+                    if close.any():
+                        found = rest[other][away][close]
+                        a += [now] * len(found)
+                        b += found.tolist()
+                        queue += [(other, x, not away) for x in found]
+                        rest[other][away] = rest[other][away][~close]
     return a, b
 
 
@@ -138,8 +136,8 @@ def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.append(cuts, len(fp)))
         left, right = [], []
         for at, n in zip(cuts[sizes > MATRIX].tolist(), sizes[sizes > MATRIX].tolist(), strict=True):
-            run, second = bits[at : at + n], side[at : at + n]
-            a, b = bridges(run[~second], run[second]) if second.any() else forest(run, own[at : at + n])
+            run, second, at_home = bits[at : at + n], side[at : at + n], own[at : at + n]
+            a, b = bridges(run[~second], run[second], at_home[~second], at_home[second]) if second.any() else forest(run, at_home)
             left.append(np.array(a, np.uint64))
             right.append(np.array(b, np.uint64))
         small = np.repeat((sizes > 1) & (sizes <= MATRIX), sizes)

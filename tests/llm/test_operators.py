@@ -102,6 +102,14 @@ def test_quality_keeps_alike_at_all_sizes_and_label_shares(spark, tmp_path):
         assert 0.8 <= share <= 0.97, (sf, every, share)
 
 
+def test_quality_verdict_against_labels_it_never_saw(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    found = quality.quality_rules(docs, labels.where(half == 0), prior=quality.PRIOR).join(labels.where(half == 1), "doc_id")
+    share = {(r["quality"]): r["s"] for r in found.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("s")).collect()}
+    assert share[1] >= 0.9 and share[0] <= 0.1, share
+
+
 def fuzz(n, seed):
     r = random.Random(seed)
     pool = list("abcdefgh  \n\t'.,!12éßñçÄ<|>▁") + ["'s", "'re", "'ve", "don't", "  ", "the", "ing", "tion", " ", "́", "日", "😀", "İ", "Σ", " ", "<|endoftext|>", "ſ", "²"]
@@ -322,6 +330,22 @@ def test_forest_spans_components(n):
     assert brute_components(len(members), [(at[int(x)], at[int(y)]) for x, y in zip(a, b, strict=True)]) == want
 
 
+@pytest.mark.parametrize("n", [60, 300])
+def test_walks_compare_what_is_at_home_with_all(n):
+    r = np.random.default_rng(n)
+    members = np.unique(r.integers(0, 1 << 9, n).astype(np.uint64) * np.uint64(0x0101010101010101))
+    own = r.random(len(members)) < 0.3
+    close = lambda i, j: bin(int(members[i] ^ members[j])).count("1") <= 4 and (own[i] or own[j])
+    at = {int(x): k for k, x in enumerate(members)}
+    pairs = [(i, j) for i in range(len(members)) for j in range(i) if close(i, j)]
+    a, b = simhash.forest(members, own)
+    assert all(close(at[int(x)], at[int(y)]) for x, y in zip(a, b, strict=True)) and len(a) < len(members) or len(members) <= simhash.MATRIX
+    assert brute_components(len(members), [(at[int(x)], at[int(y)]) for x, y in zip(a, b, strict=True)]) == brute_components(len(members), pairs)
+    half = np.arange(len(members)) % 2 == 0
+    a, b = simhash.bridges(members[half], members[~half], own[half], own[~half])
+    assert brute_components(len(members), [(at[int(x)], at[int(y)]) for x, y in zip(a, b, strict=True)]) == brute_components(len(members), [(i, j) for i, j in pairs if half[i] != half[j]])
+
+
 def test_simhash_split_anchors_lose_no_link(spark, docs, monkeypatch):
     r = np.random.default_rng(8)
     prints = {0}
