@@ -173,10 +173,11 @@ def meetings(nodes: DataFrame) -> DataFrame:
 
     Anchors over ``BLOCK`` members are dealt out: each member gets a block by its hash, and each pair of blocks, a
     block with itself included, is a run of its own. All members still meet, at most about two blocks in a task.
+    Fingerprints, 8 bytes each, are dealt out evenly before they are replicated, some 42 times each.
     There are 2**19 anchors at any size of the corpus, so the table of large ones (12 bytes each) may be broadcast
     and counting members is combined before its shuffle."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = nodes.select("fp").mapInArrow(replicas, "cell long, fp long, home boolean")
+    cells = nodes.select("fp").repartition(parts).mapInArrow(replicas, "cell long, fp long, home boolean")
     large = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = cells.join(F.broadcast(large), "cell", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("fp"), F.col("blocks")), F.lit(0)).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
