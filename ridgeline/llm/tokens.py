@@ -10,6 +10,7 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import accumulate, islice, takewhile
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -254,13 +255,15 @@ class PrefixCounter:
         total, best, at, parts = 0, 0, 0, self.special.split(text) if "<|" in text else [text]
         for k in range(0, len(parts), 2):
             before, first = total, 0  # tokens before the last run of this part, and where that begins
-            count = self.chunks.__getitem__ if PLAIN.fullmatch(parts[k]) else self.count
-            for m in RUNS.finditer(parts[k]):
-                n = count(m[0])
-                if total + n > budget:
-                    inside = [i for i, c in enumerate(self._run(m[0]), 1) if total + c <= budget]
-                    return max(best, at + m.start() + (inside[-1] if inside else 0))
-                before, first, total = total, m.start(), total + n
+            each = map(self.chunks.__getitem__, parts[k].split()) if PLAIN.fullmatch(parts[k]) else (self.count(m[0]) for m in RUNS.finditer(parts[k]))
+            counts = list(takewhile(lambda n: n <= budget, accumulate(each, initial=total)))
+            fit = len(counts) - 1  # runs that fit
+            last = next(islice(RUNS.finditer(parts[k]), fit, None), None)
+            if last is not None:
+                inside = [i for i, c in enumerate(self._run(last[0]), 1) if counts[fit] + c <= budget]
+                return max(best, at + last.start() + (inside[-1] if inside else 0))
+            if fit:
+                before, first, total = counts[fit - 1], next(islice(RUNS.finditer(parts[k]), fit - 1, None)).start(), counts[fit]
             best = at + len(parts[k])
             if k + 1 == len(parts):
                 return best
