@@ -26,7 +26,7 @@ def edges_of(df: DataFrame, at: str = "at") -> DataFrame:
 def running(df: DataFrame, names: Sequence[str], back: bool = False, keys: Sequence[str] = ("strata",), edges: list[float] | None = None) -> DataFrame:
     """``df``, which has one row for each (keys, at), with ``run_<name>``: sums over the rows of its keys at times up to
     its own, or with ``back`` from its own on. ``edges`` may be given where they are known."""
-    cuts = edges_of(df).scalar() if edges is None else F.array(*(F.lit(float(e)) for e in edges)).cast("array<double>")
+    cuts = edges_of(df).scalar() if edges is None else F.array(*(F.lit(e) for e in sorted({float(e) for e in edges}))).cast("array<double>")
     parted = df.withColumn("__cuts", cuts).withColumn("__part", F.coalesce(F.size(F.filter("__cuts", lambda e: e < F.col("at"))), F.lit(0))).drop("__cuts")
     turn = (lambda c: F.col(c).desc()) if back else (lambda c: F.col(c).asc())
     totals = parted.groupBy(*keys, "__part").agg(*(F.sum(c).alias(f"t_{c}") for c in names))
