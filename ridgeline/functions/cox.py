@@ -8,6 +8,7 @@ row holds all of them."""
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -23,10 +24,18 @@ def edges_of(df: DataFrame, at: str = "at") -> DataFrame:
     return df.agg(F.percentile_approx(at, [k / PARTS for k in range(1, PARTS)], 10 * PARTS).alias("edges"))
 
 
+@cache
+def fixed(values: tuple[float, ...]) -> Column:
+    """An array of constants, made of one text: a literal for each takes a call to the JVM for each."""
+    if not values:
+        return F.array().cast("array<double>")
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
 def running(df: DataFrame, names: Sequence[str], back: bool = False, keys: Sequence[str] = ("strata",), edges: list[float] | None = None) -> DataFrame:
     """``df``, which has one row for each (keys, at), with ``run_<name>``: sums over the rows of its keys at times up to
     its own, or with ``back`` from its own on. ``edges`` may be given where they are known."""
-    cuts = edges_of(df).scalar() if edges is None else F.array(*(F.lit(e) for e in sorted({float(e) for e in edges}))).cast("array<double>")
+    cuts = edges_of(df).scalar() if edges is None else fixed(tuple(sorted({float(e) for e in edges})))
     parted = df.withColumn("__cuts", cuts).withColumn("__part", F.coalesce(F.size(F.filter("__cuts", lambda e: e < F.col("at"))), F.lit(0))).drop("__cuts")
     turn = (lambda c: F.col(c).desc()) if back else (lambda c: F.col(c).asc())
     totals = parted.groupBy(*keys, "__part").agg(*(F.sum(c).alias(f"t_{c}") for c in names))
@@ -141,6 +150,19 @@ def sums_of(p: int, curved: int) -> int:
     return 1 + p + curved * (curved + 1) // 2
 
 
+@cache
+def step_sums(tie: str, run: int) -> tuple[Column, ...]:
+    """The sums over a tie's steps that ``derivatives`` needs, the same in every step of a fit; ``run`` tells apart
+    plans made under another ``RUN``."""
+    count, mean = F.col("n").cast("long"), F.col("weight") / F.col("n")
+    left = lambda s: F.col("risk0") - s * F.col("t0")
+    add = lambda f: mean * steps(count, tie, f)
+    return (
+        add(lambda s: 1.0 / left(s)).alias("a"), add(lambda s: s / left(s)).alias("b"), add(lambda s: 1.0 / (left(s) * left(s))).alias("c"),
+        add(lambda s: s / (left(s) * left(s))).alias("d"), add(lambda s: s * s / (left(s) * left(s))).alias("f"), add(lambda s: F.log(left(s))).alias("loglik"),
+    )
+
+
 def derivatives(df: DataFrame, columns: list[str], curved: list[int], tie: str = "efron", edges: list[float] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """(negative gradient, second derivatives of the ``curved`` columns, loss) by the coefficients of ``columns``.
 
@@ -163,19 +185,12 @@ def derivatives(df: DataFrame, columns: list[str], curved: list[int], tie: str =
     starts = df.where(F.col("start") > float("-inf")).select("strata", F.col("start").alias("at"), *((-x).alias(k) for x, k in zip(terms, r, strict=True)), *zeros([*t, *e, "n", "weight", "said"]))
     summed = stops.union(starts).groupBy("strata", "at").agg(*(F.sum(c).alias(c) for c in [*r, *t, *e, "n", "weight", "said"]))
     times = running(summed, r, True, edges=edges).select("*", *(F.col(f"run_{c}").alias(f"risk{k}") for k, c in enumerate(r))).where("n > 0")
-    count, mean = F.col("n").cast("long"), F.col("weight") / F.col("n")
-    left = lambda s: F.col("risk0") - s * F.col("t0")
-    add = lambda f: mean * steps(count, tie, f)
-    times = times.select(
-        "*", add(lambda s: 1.0 / left(s)).alias("a"), add(lambda s: s / left(s)).alias("b"), add(lambda s: 1.0 / (left(s) * left(s))).alias("c"),
-        add(lambda s: s / (left(s) * left(s))).alias("d"), add(lambda s: s * s / (left(s) * left(s))).alias("f"), add(lambda s: F.log(left(s))).alias("loglik"),
-    )
-    R, T, a, b, c, d, f = lambda k: F.col(f"risk{k}"), lambda k: F.col(f"t{k}"), *(F.col(x) for x in "abcdf")
-    grad = [F.col(f"e{j}") - a * R(j + 1) + b * T(j + 1) for j in range(p)]
+    times = times.select("*", *step_sums(tie, RUN))
+    grad = [F.expr(f"e{j} - a * risk{j + 1} + b * t{j + 1}") for j in range(p)]
     hess = []
-    for k, (i, j) in enumerate(pairs):
-        both = a * R(1 + p + k) - b * T(1 + p + k)
-        hess.append(both - (c * R(i + 1) * R(j + 1) - d * (R(i + 1) * T(j + 1) + T(i + 1) * R(j + 1)) + f * T(i + 1) * T(j + 1)))
+    for k, (i, j) in enumerate(pairs, 1 + p):
+        i, j = i + 1, j + 1
+        hess.append(F.expr(f"a * risk{k} - b * t{k} - (c * risk{i} * risk{j} - d * (risk{i} * t{j} + t{i} * risk{j}) + f * t{i} * t{j})"))
     row = times.agg(*(F.sum(x).alias(f"s{k}") for k, x in enumerate([*grad, *hess, F.col("loglik") - F.col("said")]))).first()
     found = [x or 0.0 for x in row]
     H, where = np.zeros((len(curved), len(curved))), {i: k for k, i in enumerate(curved)}
