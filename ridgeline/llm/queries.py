@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import language, mixing, pieces, pii, quality, sharding, simhash, tokens, toxicity, vectors
+from ridgeline.llm import balls, infilling, language, lines, mixing, pieces, pii, quality, sharding, simhash, tokens, toxicity, vectors
 from ridgeline.llm.common import documents
 
 
@@ -62,6 +62,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.without_repeated_lines(documents(spark, sf_dir), min_docs=10, min_chars=1)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infilling.fill_in_middle(documents(spark, sf_dir), share=50, spm_share=80, seed=42)
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(infilling.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balls.ball_kmeans(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=16, rounds=3, dim=64, scale=64.0, seed="1:")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
@@ -73,10 +88,28 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_vectors": op9_vectors,
     "op10_mixing": op10_mixing,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_ball_kmeans": op13_ball_kmeans,
 }
 
+
+def _lloyd(rounds: int) -> str:
+    """Rounds of comparing all vectors with all 16 centroids; a distance and a number are compared as distance * 16 + number."""
+    near = "min(CAST(list_sum(list_transform(range(1, 65), lambda j: (q[j] - c[j]) * (q[j] - c[j]))) AS BIGINT) * 16 + i)"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS (SELECT r, any_value(vec_id) AS vec_id, any_value(q) AS q, {near} AS v FROM kept, c{k} GROUP BY r)")
+        if k < rounds:
+            steps.append(f"s{k} AS (SELECT v % 16 AS i, unnest(range(1, 65)) AS j, unnest(q) AS x FROM a{k})")
+            steps.append(f"f{k} AS (SELECT i, j, (sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*) AS x FROM s{k} GROUP BY i, j)")
+            steps.append(f"c{k + 1} AS (SELECT c{k}.i, coalesce(m.c, c{k}.c) AS c FROM c{k} LEFT JOIN (SELECT i, list(CAST(x AS BIGINT) ORDER BY j) AS c FROM f{k} GROUP BY i) m ON m.i = c{k}.i)")
+    return ",\n".join(steps)
+
+
 #: op4: the checksum by its bytewise table, then one running sum over all rows. op9: all pairs in double precision,
-#: components by reachability; brute force, for small tables.
+#: components by reachability; brute force, for small tables. op11: the list of repeated keys, searched for each line.
+#: op13: all vectors against all centroids in each round.
 ORACLE_SQL = {
     "op4_byte_shards": """
 WITH RECURSIVE steps(n, k, c) AS (
@@ -113,5 +146,43 @@ WITH RECURSIVE v AS (
 counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT s.a AS vec_id, coalesce(c.n, 0) AS n_links, s.component_id, s.a = s.component_id AS kept
 FROM smallest s LEFT JOIN counts c ON c.a = s.a
+""",
+    "op11_line_dedup": """
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), keyed AS (
+  SELECT *, list_transform(l, lambda x: translate(trim(x, concat(chr(32), chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS k FROM split
+), hot AS (
+  SELECT coalesce(list(k), []) AS h FROM (SELECT k FROM (SELECT DISTINCT r, unnest(k) AS k FROM keyed) WHERE k <> '' GROUP BY k HAVING count(*) >= 10)
+), kept AS (
+  SELECT doc_id, l, list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(h, k[i])) AS stay FROM keyed, hot
+)
+SELECT doc_id, len(l) AS n_lines, len(l) - len(stay) AS n_dropped, sha256(coalesce(array_to_string(list_transform(stay, lambda i: l[i]), chr(10)), '')) AS kept_sha256 FROM kept
+""",
+    "op12_fill_in_middle": r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), units AS (
+  SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM drawn
+), ranks AS (
+  SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM units
+), parts AS (
+  SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:], ''), '') AS s FROM ranks
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m) ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256,
+  sha256(concat(p, m, s)) AS restored_sha256 FROM parts
+""",
+    "op13_ball_kmeans": f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+  SELECT i, c FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), q) - 1 AS i, q AS c FROM kept) WHERE i < 16
+), {_lloyd(3)}
+SELECT vec_id, CAST(v % 16 AS INT) AS cluster, v // 16 AS distance, CAST(sum(v // 16) OVER (PARTITION BY v % 16) AS BIGINT) AS cluster_inertia,
+  CAST(sum(v // 16) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a3 JOIN c3 ON c3.i = v % 16
 """,
 }
