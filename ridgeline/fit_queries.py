@@ -155,7 +155,7 @@ def warm_started_path(spark, sf_dir):
 
 def centred_cov(spark, sf_dir) -> tuple[np.ndarray, np.ndarray]:
     s = path.gaussian_statistics(*measures(spark, sf_dir))
-    return s["xx"] - np.outer(s["x"], s["x"]), s["xy"][:, 0] - s["x"] * s["y"][0]
+    return s["cxx"], s["cxy"][:, 0]
 
 
 @query(solved(L_SQL, *M_SQL, lambdas(*ONES, 12, 0.01, 0.7), descent(3, *ONES, 300, 0.7), select=betas_sql(3)))
@@ -621,7 +621,7 @@ FLAG_NORMS = ", ".join(f"({g}, sqrt({' + '.join(f'v[{j + 1}] * v[{j + 1}]' for j
 ))
 def pivot_screening(spark, sf_dir):
     s = path.gaussian_statistics(lasso_frame(spark, sf_dir), Response(Gaussian(), ("y",)))
-    norms = path.group_norms(s["xy"][:, 0] - s["x"] * s["y"][0], FLAG_STARTS, FLAG_SIZES)
+    norms = path.group_norms(s["cxy"][:, 0], FLAG_STARTS, FLAG_SIZES)
     found = path.pivot_rule(norms, path.default_penalty(FLAG_SIZES), 1.0, 1e9, set(), 1, least=3)
     return spark.createDataFrame(list(enumerate(found)), "place int, grp int")
 

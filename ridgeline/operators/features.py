@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.operators.comoments import Comoments
 from ridgeline.operators.gram import block, cross, sums
 
 
@@ -255,10 +256,10 @@ def standardize(frame: FeatureFrame, weight: Column | None = None, centers: Sequ
     return replace(frame, features=tuple(Feature(f.name, (f.expr - float(a)) / float(b), True) for f, a, b in zip(frame.features, c, s, strict=True)))
 
 
-def standardized_gram(gram: np.ndarray, means: np.ndarray, total: float, centers: np.ndarray, scales: np.ndarray) -> np.ndarray:
-    """Gram of the standardised columns from that of the raw ones, without another pass."""
-    raw = gram - np.outer(centers, means) - np.outer(means, centers) + total * np.outer(centers, centers)
-    return raw / np.outer(scales, scales)
+def standardized_gram(m: Comoments, centers: np.ndarray, scales: np.ndarray) -> np.ndarray:
+    """Gram of the standardised columns from comoments of the raw ones, without another pass."""
+    d = m.mean - np.asarray(centers, float)
+    return (m.about + m.weight * np.outer(d, d)) / np.outer(scales, scales)
 
 
 def convex_relu(frame: FeatureFrame, masks: Sequence[Column], gated: bool = True) -> FeatureFrame:

@@ -1,8 +1,11 @@
 """Cross-validation: folds by hash order, held-out rows kept at weight 0, statistics and losses of all folds in one
-grouped pass."""
+grouped pass. Fits of folds that need several passes go in lockstep: each pass serves the next step of all of them."""
 
 from __future__ import annotations
 
+import queue
+import threading
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -13,9 +16,10 @@ from pyspark.sql.window import Window
 from ridgeline.functions import cox
 from ridgeline.functions.glm import Cox, Response
 from ridgeline.operators.features import FeatureFrame
-from ridgeline.operators.gram import cross_by
+from ridgeline.functions.special import Columns
+from ridgeline.operators.comoments import Comoments, comoments_by
 from ridgeline.plans.diagnostic import coefficient
-from ridgeline.plans.path import GlmData, Options, PathResult, complete, gaussian_columns, gaussian_from_statistics, grpnet, lambda_path, path_moments, statistics_of
+from ridgeline.plans.path import Ask, GlmData, Options, PathResult, _glm_path, complete, gaussian_columns, gaussian_from_statistics, grpnet, lambda_path, moments, path_moments, statistics_of
 
 #: Rows that number themselves in one task, and the largest number of such tasks.
 RUN, MOST_RUNS = 200_000, 1 << 16
@@ -89,8 +93,9 @@ def cv_grpnet(frame: FeatureFrame, response: Response, key: str | None = None, n
     Rows are dealt to folds by ``key`` (see ``assign_folds``), or ``folds`` names a column of 0 ... n_folds - 1. Groups,
     penalties and alpha of ``options`` hold for the grid as well as for the folds; links are kept. The loss of
     a fold is that of all rows less that of its training rows, over the held-out weight. Gaussian fits take one pass
-    for the statistics of all folds; other families fit each fold and then score all folds and values in one pass (Cox
-    in two, over all rows and over each fold's training rows). A path that ends early raises."""
+    for the statistics of all folds; other families fit all folds in lockstep, with as many passes as the longest of them,
+    and then score all folds and values in one pass. Cox fits go fold by fold and are scored in two passes, over all rows
+    and over each fold's training rows. A path that ends early raises."""
     options = options or Options(min_ratio=1e-1, early_exit=False)
     base = replace(options, early_exit=False)
     if options.missing == "drop":
@@ -120,31 +125,117 @@ def _with_larger(options: Options, own: float, grid: np.ndarray) -> np.ndarray:
     return np.concatenate([[x for x in lambda_path(own, options.min_ratio, options.lmda_path_size) if x > grid[0]], grid])
 
 
+class Lockstep:
+    """Runs fits side by side and answers what they ask together: ``answer`` gets one question of each fit that hasn't ended
+    and is called on the caller's thread; threads of the fits only compute on the driver."""
+
+    def __init__(self, answer: Callable[[list], list]):
+        self.answer, self.said = answer, queue.Queue()
+
+    def run(self, works: list[Callable]) -> list:
+        """Each work is called with ``ask``; their results in order."""
+        replies, results, errors = [queue.Queue() for _ in works], [None] * len(works), []
+
+        def go(k: int) -> None:
+            def ask(question):
+                self.said.put((k, question))
+                reply = replies[k].get()
+                if isinstance(reply, BaseException):
+                    raise reply
+                return reply
+
+            try:
+                results[k] = works[k](ask)
+            except BaseException as e:  # the caller's thread raises it
+                errors.append(e)
+            self.said.put((k, None))
+
+        threads = [threading.Thread(target=go, args=(k,), daemon=True) for k in range(len(works))]
+        for t in threads:
+            t.start()
+        live, waiting = len(works), {}
+        while live:
+            k, question = self.said.get()
+            if question is None:
+                live -= 1
+            else:
+                waiting[k] = question
+            if live and len(waiting) == live:
+                try:
+                    found = self.answer(list(waiting.values()))
+                except Exception as e:  # ends every fit that waits
+                    found = [e] * live
+                for j, reply in zip(waiting, found, strict=True):
+                    replies[j].put(reply)
+                waiting = {}
+        if errors:
+            raise errors[0]
+        return results
+
+
+class _Fold(GlmData):
+    """The training rows of one fold of ``data``: questions go to ``ask``."""
+
+    def __init__(self, data: GlmData, fold: int, share: float, full: float, ask: Callable):
+        self.__dict__.update(data.__dict__, fold=fold, scale=1.0 / share if share > 0 else 0.0, full=full, ask=ask)
+
+    def moments(self, beta, inter, curved, columns=None) -> dict:
+        columns = range(self.frame.p) if columns is None else columns
+        return self.ask(Ask(beta.copy(), np.array(inter), list(columns), list(curved), self.fold, self.scale))
+
+    def loss_full(self) -> float:
+        return self.full * self.scale
+
+
 def _glm_cv(dealt: FeatureFrame, response: Response, n_folds: int, options: Options) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(response.family, Cox):
+        return _cox_cv(dealt, response, n_folds, options)
+    data = GlmData(dealt, response, options, centred=options.intercept)
+    data.table = data.with_column("fold")
+    data.keep()
+    try:
+        ys = [F.col(f"y{k}") for k in range(len(response.y))]
+        full = response.family.loss_full(ys if getattr(response.family, "multi", False) else ys[0], F.col("w"), Columns)
+        rows = {r["fold"]: r for r in data.table.groupBy("fold").agg(F.sum("w").alias("w"), F.sum(full).alias("full")).collect()}
+        held = np.array([rows[f]["w"] if f in rows else 0.0 for f in range(n_folds)])
+        fulls = np.array([rows[f]["full"] if f in rows else 0.0 for f in range(n_folds)])
+        grid = _grid(options, _glm_path(data, replace(options, lmda_path=None, lmda_path_size=1)).lmda_max)
+
+        def fit(f: int) -> Callable:
+            def work(ask: Callable) -> PathResult:
+                data_f = _Fold(data, f, 1.0 - held[f], fulls.sum() - fulls[f], ask)
+                found = _glm_path(data_f, replace(options, lmda_path=lambda top: _with_larger(options, top, grid)))
+                return _settled(found, len(_with_larger(options, found.lmda_max, grid)))
+
+            return work
+
+        answer = lambda asks: moments(data.table, data.family, data.K, asks, bool(response.offsets), options.newton_most, data.tasks)
+        fits = Lockstep(answer).run([fit(f) for f in range(n_folds)])
+        found = [[coefficient(float(lm), own) for lm in grid] for own in fits]
+        betas = np.array([[b for b, _ in own] for own in found])
+        inters = np.array([[np.atleast_1d(a) for _, a in own] for own in found]) + data.shift(betas)
+        sums = path_moments(data.table, data.family, dealt.p, data.K, betas, inters, "fold", data.tasks)[0]
+        return grid, np.where(held[:, None] > 0, sums / np.where(held > 0, held, 1.0)[:, None], 0.0)
+    finally:
+        data.release()
+
+
+def _cox_cv(dealt: FeatureFrame, response: Response, n_folds: int, options: Options) -> tuple[np.ndarray, np.ndarray]:
     weight = F.lit(1.0) if response.weight is None else F.col(response.weight).cast("double")
     dealt = replace(dealt, df=dealt.df.withColumn("__w", weight).persist())
-    response, p = response.reweight("__w"), dealt.p
+    response = response.reweight("__w")
     try:
         grid = _grid(options, grpnet(dealt, response, replace(options, lmda_path=None, lmda_path_size=1)).lmda_max)
-        betas, inters = [], []
+        betas = []
         for f in range(n_folds):
             masked = replace(dealt, df=dealt.df.withColumn("__train", F.when(F.col("fold") == f, 0.0).otherwise(F.col("__w"))))
-            train = response.reweight("__train")
-            top = grpnet(masked, train, replace(options, lmda_path=None, lmda_path_size=1)).lmda_max
-            path = _with_larger(options, top, grid)
-            fit = _settled(grpnet(masked, train, replace(options, lmda_path=path)), len(path))
-            found = [coefficient(float(lm), fit) for lm in grid]
-            betas.append([b for b, _ in found])
-            inters.append([np.atleast_1d(a) for _, a in found])
-        betas, inters = np.array(betas), np.array(inters)
-        data = GlmData(dealt, response, options)
+            fit = grpnet(masked, response.reweight("__train"), replace(options, lmda_path=lambda top: _with_larger(options, top, grid)))
+            fit = _settled(fit, len(_with_larger(options, fit.lmda_max, grid)))
+            betas.append([coefficient(float(lm), fit)[0] for lm in grid])
+        data = GlmData(dealt, response, options, centred=True)
         held = {r["fold"]: r["w"] for r in dealt.df.groupBy("fold").agg(F.sum("__w").alias("w")).collect()}
         shares = np.array([held.get(f, 0.0) for f in range(n_folds)]) / sum(held.values())
-        if isinstance(response.family, Cox):
-            sums = _cox_losses(dealt, data, n_folds, betas)
-        else:
-            base = data.with_column("fold")
-            sums = path_moments(base, response.family, p, data.K, betas, inters, "fold")[0]
+        sums = _cox_losses(dealt, data, n_folds, np.array(betas))
         return grid, np.where(shares[:, None] > 0, sums / np.where(shares > 0, shares, 1.0)[:, None], 0.0)
     finally:
         dealt.df.unpersist()
@@ -175,28 +266,32 @@ def _cox_losses(dealt: FeatureFrame, data: GlmData, n_folds: int, betas: np.ndar
     return losses(F.lit(True)) - losses(F.col("fold") != F.col("c.f")) + shift[:, None]
 
 
-def fold_statistics(frame: FeatureFrame, response: Response, fold: str, n_folds: int) -> np.ndarray:
-    """Weighted sums of 1, columns and responses (less offsets) and their products per fold, in one pass; the total is
-    their sum."""
+def fold_statistics(frame: FeatureFrame, response: Response, fold: str, n_folds: int) -> list[Comoments]:
+    """Comoments of columns and responses (less offsets) per fold, in one pass; the total is their sum."""
     columns, w = gaussian_columns(frame, response)
-    return cross_by(frame.df, columns, w, F.col(fold), n_folds, strict=True)
+    return comoments_by(frame.df, columns, w, F.col(fold), n_folds, strict=True)
 
 
 def _gaussian_cv(dealt: FeatureFrame, response: Response, n_folds: int, options: Options) -> tuple[np.ndarray, np.ndarray]:
     parts = fold_statistics(dealt, response, "fold", n_folds)
     p, K, starts, names = dealt.p, len(response.y), dealt.group_starts(), dealt.names
-    total = parts.sum(axis=0)
+    none = Comoments.none(p + K)
+    if options.intercept:  # columns about their means: intercepts and predictions then are of the size of y
+        shift = np.append(sum(parts, none).mean[:p], np.zeros(K))
+        parts = [replace(m, mean=m.mean - shift) if m.weight else m for m in parts]
     fit = lambda m, path: gaussian_from_statistics(statistics_of(m, p), names, starts, replace(options, lmda_path=path, lmda_path_size=1 if path is None else options.lmda_path_size))
-    grid = _grid(options, fit(total, None).lmda_max)
+    grid = _grid(options, fit(sum(parts, none), None).lmda_max)
     losses = np.zeros((n_folds, len(grid)))
     for f, held in enumerate(parts):
-        path = _with_larger(options, fit(total - held, None).lmda_max, grid)
-        own = _settled(fit(total - held, path), len(path))
-        if held[0, 0] <= 0:
+        train = sum((m for g, m in enumerate(parts) if g != f), none)
+        own = fit(train, lambda top: _with_larger(options, top, grid))
+        own = _settled(own, len(_with_larger(options, own.lmda_max, grid)))
+        if held.weight <= 0:
             continue
-        h = held / held[0, 0]
+        h = statistics_of(held, p)
         for i, lm in enumerate(grid):
             b, a = coefficient(float(lm), own)
-            B = np.vstack([np.atleast_1d(a)[None, :], b.reshape(p, K)])
-            losses[f, i] = (0.5 * np.trace(B.T @ h[: p + 1, : p + 1] @ B) - np.trace(B.T @ h[: p + 1, p + 1 :])) / K
+            B = b.reshape(p, K)
+            eta = np.atleast_1d(a) + h["x"] @ B
+            losses[f, i] = (0.5 * np.trace(B.T @ h["cxx"] @ B) + 0.5 * eta @ eta - np.trace(B.T @ h["cxy"]) - eta @ h["y"]) / K
     return grid, losses

@@ -1,16 +1,17 @@
 """Regularisation paths: executors reduce rows to statistics, the driver descends on p-sized problems.
 
-Gaussian fits need one pass over the rows (the weighted Gram). Other families take one pass per reweighting step:
-each task computes gradient and curvature of its rows from the current coefficients and sums their products with the
-columns; curvature is summed for screened columns only, the gradient for all of them, which also is the optimality
-check that ends every value of the path. Steps are Newton's, so few are needed."""
+Gaussian fits need one pass over the rows (weighted means and comoments). Other families take one pass per reweighting
+step: each task computes gradient and curvature of its rows from the current coefficients and sums their products with
+the columns. With many columns a step reads the screened ones only, and one more pass per value takes the gradient of
+all, the optimality check. Columns are taken about their means, so that nothing cancels for those far from 0. Steps are
+Newton's, so few are needed."""
 
 from __future__ import annotations
 
 import logging
 import time
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,8 @@ from ridgeline.functions import cox
 from ridgeline.functions.glm import Cox, Response
 from ridgeline.functions.special import Columns
 from ridgeline.operators.features import FeatureFrame
-from ridgeline.operators.gram import NATIVE_SUMS, by_position, cross, refuse, sound
+from ridgeline.operators.comoments import Comoments, TiledComoments, comoments, tiles
+from ridgeline.operators.gram import NATIVE_SUMS, by_position, cross, refuse, sound, sums, weighted_sums
 from ridgeline.plans import bcd
 from ridgeline.plans.qp import search_pivot
 
@@ -204,7 +206,7 @@ NEWTON_MOST = 400
 
 @dataclass
 class Options:
-    """``missing``: rows with null or non-finite values ``raise`` or are dropped. ``pivot_*``: how many of the largest
+    """``lmda_path``: values, or what gives them from the largest one that matters. ``missing``: rows with null or non-finite values ``raise`` or are dropped. ``pivot_*``: how many of the largest
     scores the pivot rule looks at, and how many groups below the bend it adds. ``check_state`` checks the path's
     invariants at its end; ``progress`` is called with (index, lambda, deviance) after each value. ``newton_most`` and
     ``cox_most``: classes times curved columns, and sums per event time, up to which a step uses the full curvature; a
@@ -212,7 +214,7 @@ class Options:
 
     alpha: float = 1.0
     penalty: Sequence[float] | None = None
-    lmda_path: Sequence[float] | None = None
+    lmda_path: Sequence[float] | Callable | None = None
     lmda_path_size: int = 100
     min_ratio: float = 1e-2
     intercept: bool = True
@@ -284,7 +286,8 @@ def run_path(local: Callable, starts, sizes, names, classes: int, null_loss: flo
         beta0, inter0, grad, _, _ = local(np.where(np.isin(np.repeat(np.arange(len(sizes)), sizes), list(free)), beta, 0.0), inter, huge, sorted(free), duals)
         norms = norms_of(grad, beta0, 0.0)
         out.lmda_max = lambda_max(norms, penalty, options.alpha)
-        values = lambda_path(out.lmda_max, options.min_ratio, options.lmda_path_size) if options.lmda_path is None else np.sort(np.asarray(options.lmda_path, float))[::-1]
+        given = options.lmda_path(out.lmda_max) if callable(options.lmda_path) else options.lmda_path
+        values = lambda_path(out.lmda_max, options.min_ratio, options.lmda_path_size) if given is None else np.sort(np.asarray(given, float))[::-1]
         if options.warm_start is None:
             beta, inter = beta0, inter0
         lmda, n_active = out.lmda_max, 0
@@ -300,7 +303,7 @@ def run_path(local: Callable, starts, sizes, names, classes: int, null_loss: flo
             t["screen"] = time.time() - s
             while True:
                 if options.max_screen_size is not None and len(screened) > options.max_screen_size:
-                    raise RuntimeError("max screen size reached")
+                    raise RuntimeError(f"{len(screened)} screened groups are more than the {options.max_screen_size} allowed")
                 s = time.time()
                 beta, inter, grad, dev, _ = local(beta, inter, float(value), sorted(screened), duals)
                 t["fit"] += time.time() - s
@@ -349,29 +352,29 @@ def _inputs(frame: FeatureFrame, response: Response) -> tuple[list[Column], Colu
 
 def complete(frame: FeatureFrame, response: Response) -> FeatureFrame:
     """The frame without rows that are not ``sound``."""
-    from dataclasses import replace
-
     values, w = _inputs(frame, response)
     return replace(frame, df=frame.df.where(sound(values, w)))
 
 
-def statistics_of(m: np.ndarray, p: int) -> dict:
-    """What a gaussian fit needs, from weighted sums of (1, columns, responses) and their products."""
-    m = m / (m[0, 0] or 1.0)
-    return {"xx": m[1 : p + 1, 1 : p + 1], "xy": m[1 : p + 1, p + 1 :], "yy": m[p + 1 :, p + 1 :], "x": m[0, 1 : p + 1], "y": m[0, p + 1 :]}
+def statistics_of(m: Comoments, p: int) -> dict:
+    """What a gaussian fit needs, from comoments of p columns and the responses: means (``x``, ``y``), products about
+    them (``cxx``, ``cxy``, ``cyy``) and about 0 (``xx``, ``xy``, ``yy``), all under weights that sum to 1."""
+    about, raw = m.about / (m.weight or 1.0), m.raw() / (m.weight or 1.0)
+    cut = {"xx": np.s_[:p, :p], "xy": np.s_[:p, p:], "yy": np.s_[p:, p:]}
+    return {"x": m.mean[:p], "y": m.mean[p:]} | {k: raw[at] for k, at in cut.items()} | {"c" + k: about[at] for k, at in cut.items()}
 
 
 def gaussian_columns(frame: FeatureFrame, response: Response) -> tuple[list[Column], Column]:
-    """(1, columns, responses less offsets) and the weight."""
+    """(columns, responses less offsets) and the weight."""
     offsets = response.offsets or [None] * len(response.y)
     ys = [F.col(y).cast("double") - (F.col(o).cast("double") if o else F.lit(0.0)) for y, o in zip(response.y, offsets, strict=True)]
-    return [F.lit(1.0), *frame.columns, *ys], _inputs(frame, response)[1]
+    return [*frame.columns, *ys], _inputs(frame, response)[1]
 
 
 def gaussian_statistics(frame: FeatureFrame, response: Response) -> dict:
-    """Gram, cross products and means of columns and responses under weights that sum to 1: one pass."""
+    """Means and products of columns and responses, see ``statistics_of``: one pass."""
     columns, w = gaussian_columns(frame, response)
-    return statistics_of(cross(frame.df, columns, w, strict=True), frame.p)
+    return statistics_of(comoments(frame.df, columns, w, strict=True), frame.p)
 
 
 def gaussian_from_statistics(stats: dict, names, starts=None, options: Options | None = None) -> PathResult:
@@ -381,11 +384,10 @@ def gaussian_from_statistics(stats: dict, names, starts=None, options: Options |
     starts = list(range(p)) if starts is None else list(starts)
     sizes = [s * K for s in group_sizes(starts, p)]
     starts = [b * K for b in starts]
-    c = 1.0 if options.intercept else 0.0
-    A1 = stats["xx"] - c * np.outer(stats["x"], stats["x"])
-    v = ((stats["xy"] - c * np.outer(stats["x"], stats["y"])) / K).ravel()
+    c = "c" if options.intercept else ""
+    A1, v = stats[c + "xx"], (stats[c + "xy"] / K).ravel()
     A = np.kron(A1, np.eye(K)) / K if K > 1 else A1
-    y_var = float(np.trace(stats["yy"] - c * np.outer(stats["y"], stats["y"]))) / K
+    y_var = float(np.trace(stats[c + "yy"])) / K
     penalty = default_penalty(sizes) if options.penalty is None else np.asarray(options.penalty, float)
     quadratic = Quadratic(A, starts, sizes, penalty, options.alpha, options.constraints)
 
@@ -399,6 +401,57 @@ def gaussian_from_statistics(stats: dict, names, starts=None, options: Options |
     return run_path(local, starts, sizes, names, K, null, -0.5 * float(np.trace(stats["yy"])) / K, options)
 
 
+#: Columns from which a gaussian fit leaves its matrix on the executors.
+TILED = 4096
+
+
+def gaussian_tiled(frame: FeatureFrame, response: Response, options: Options | None = None) -> PathResult:
+    """A gaussian path whose matrix stays a stored table of tiles: one pass over the rows, then the driver asks for the
+    columns of newly screened groups and holds no other part. Agrees with ``gaussian_from_statistics``."""
+    options, p, K = options or Options(), frame.p, len(response.y)
+    from ridgeline.sources.storage import Stored
+
+    columns, w = gaussian_columns(frame, response)
+    store = Stored(frame.df.sparkSession, "tiles")
+    matrix = TiledComoments(store.put(tiles(frame.df, columns, w, strict=True))[0], p + K)
+    weight, mean, var = matrix.head()
+    weight = weight or 1.0
+    about_y = matrix.columns(range(p, p + K)) / weight
+    x, y, centred = mean[:p], mean[p:], options.intercept
+    v = ((about_y[:p] if centred else about_y[:p] + np.outer(x, y)) / K).ravel()
+    yy = about_y[p:] + np.outer(y, y)
+    y_var = float(np.trace(about_y[p:] if centred else yy)) / K
+    first = frame.group_starts()
+    starts, sizes = [b * K for b in first], [s * K for s in group_sizes(first, p)]
+    penalty = default_penalty(sizes) if options.penalty is None else np.asarray(options.penalty, float)
+    kept: dict[int, np.ndarray] = {}
+
+    def local(beta, inter, lmda, groups, duals):
+        own = sorted({j // K for g in groups for j in range(starts[g], starts[g] + sizes[g])})
+        new = [j for j in own if j not in kept]
+        if new:
+            found = matrix.columns(new)[:p] / weight
+            kept.update((j, found[:, n] if centred else found[:, n] + x * x[j]) for n, j in enumerate(new))
+        rows = np.column_stack([kept[j] for j in own]) if own else np.zeros((p, 0))
+        A = np.kron(rows[own], np.eye(K)) / K
+        flat = np.array([j * K + k for j in own for k in range(K)], int)
+        sub_starts = [int(np.searchsorted(flat, starts[g])) for g in groups]
+        cons = [options.constraints[g] for g in groups] if options.constraints else None
+        quadratic = Quadratic(A, sub_starts, [sizes[g] for g in groups], penalty[groups], options.alpha, cons)
+        sub = {i: duals[g] for i, g in enumerate(groups) if g in duals}
+        b, n = quadratic.solve(v[flat], lmda, beta[flat], sub, range(len(groups)), options.tol * max(y_var, 1e-300), options.max_iters) if len(flat) else (beta[flat], 0)
+        duals.update({groups[i]: mu for i, mu in sub.items()})
+        beta = beta.copy()
+        beta[flat] = b
+        moved = (rows @ b.reshape(len(own), K)).ravel() / K
+        fitted = float(2 * v @ beta - beta @ moved)
+        inter = y - x @ beta.reshape(p, K) if options.intercept else np.zeros(K)
+        return beta, inter, v - moved, fitted / y_var if y_var > 0 else 0.0, n
+
+    null = -0.5 * float(np.sum(y**2)) / K if options.intercept else 0.0
+    return run_path(local, starts, sizes, frame.names, K, null, -0.5 * float(np.trace(yy)) / K, options)
+
+
 def gaussian_cov(A: np.ndarray, v: np.ndarray, starts=None, options: Options | None = None, rdev_tol: float = 1e-3) -> PathResult:
     """1/2 b'Ab - v'b + penalty without intercept; ends early when the fit gains less than a share ``rdev_tol``."""
     options = options or Options(intercept=False)
@@ -412,8 +465,6 @@ def gaussian_cov(A: np.ndarray, v: np.ndarray, starts=None, options: Options | N
         beta, n = quadratic.solve(v, lmda, beta, duals, groups, options.tol, options.max_iters)
         return beta, inter, v - A @ beta, float(2 * v @ beta - beta @ A @ beta), n
 
-    from dataclasses import replace
-
     def stop(kept):
         d = kept["devs"]
         return options.early_exit and len(d) > 1 and d[-1] > 0 and (d[-1] - d[-2]) <= rdev_tol * d[-1]
@@ -435,43 +486,72 @@ def pin_solve(A, v, lmdas, screen: Sequence[int], starts=None, penalty=None, alp
 
 
 # --- generalised linear models --------------------------------------------------------------------------
-def moments(base: DataFrame, family, p: int, K: int, beta: np.ndarray, inter: np.ndarray, curved: Sequence[int], most: int = NEWTON_MOST) -> dict:
-    """One pass over ``base(x..., y..., o..., w)``: sums of each class's gradient with 1 and all columns, of the
-    curvature between classes with 1 and the products of the ``curved`` columns, and of the loss.
-
-    Coefficients travel with the task and not in the plan, so all steps share one plan and its generated code. Each
-    task adds up one block and returns its entries, which are summed by position."""
-    c = np.array([0, *(k + 1 for k in curved)])
-    multi = getattr(family, "multi", False)
-    newton = K * len(c) <= most
-    pairs = [(k, m) for k in range(K) for m in range(k, K) if k == m or multi and newton and hasattr(family, "curvature")]
-    n_g, n_h = (p + 1) * K, len(pairs) * len(c) ** 2
-    coefficients = np.vstack([inter, beta.reshape(p, K)])
+@dataclass
+class Ask:
+    """Coefficients at which derivatives are wanted: the gradient for ``columns``, which hold all that aren't 0, and the
+    curvature for ``curved`` ones among them. Rows of ``fold`` don't count, all weights are times ``scale``."""
+
+    beta: np.ndarray
+    inter: np.ndarray
+    columns: Sequence[int]
+    curved: Sequence[int]
+    fold: int | None = None
+    scale: float = 1.0
+
+
+def moments(base: DataFrame, family, K: int, asks: Sequence[Ask], offsets: bool, most: int = NEWTON_MOST, tasks: int | None = None) -> list[dict]:
+    """One pass over ``base(x..., y..., o..., w, fold...)`` for all ``asks``: per ask the sums of each class's gradient with
+    1 (``g0``) and the columns (``g``), of the curvature between classes with 1 and the products of the curved columns
+    (``H``), and of the ``loss``.
+
+    Only columns that an ask names are read. Coefficients travel with the task and not in the plan, so steps over equal
+    columns share one plan and its generated code."""
+    multi, folds = getattr(family, "multi", False), any(a.fold is not None for a in asks)
+    read = sorted({j for a in asks for j in a.columns})
+    place = {j: k + 1 for k, j in enumerate(read)}
+    work = []
+    for a in asks:
+        c = np.array([0, *(place[k] for k in a.curved)])
+        newton = K * len(c) <= most
+        pairs = [(k, m) for k in range(K) for m in range(k, K) if k == m or multi and newton and hasattr(family, "curvature")]
+        at = np.array([0, *(place[k] for k in a.columns)])
+        coefficients = np.vstack([a.inter, np.asarray(a.beta).reshape(-1, K)[list(a.columns)].reshape(-1, K)])
+        work.append((at, c, pairs, coefficients, a.fold, a.scale))
+    q, n_y = len(read), K if multi else 1
 
     def partial(cols: list[np.ndarray]) -> np.ndarray:
-        n = len(cols[-1])
-        x, w = np.column_stack([np.ones(n), *cols[:p]]), cols[-1]
-        eta = x @ coefficients
-        etas = [eta[:, k] + cols[p + K + k] for k in range(K)] if len(cols) > p + K + 1 else list(eta.T)
-        ys = cols[p : p + K]
-        at = (ys, etas, w) if multi else (ys[0], etas[0], w)
-        with np.errstate(all="ignore"):
-            g, h, loss = family.gradient(*at), family.hessian(*at), family.loss(*at)
-            between = family.curvature(etas, w) if len(pairs) > K else None
-        xc = x[:, c]
-        weights = [between[i][j] if between else h[i] if multi else h for i, j in pairs]
-        return np.concatenate([(x.T @ (np.column_stack(g) if multi else g[:, None])).ravel(), *((xc.T @ (xc * v[:, None])).ravel() for v in weights), [loss.sum()]])
-
-    flat = by_position(base, n_g + n_h + 1, partial)
-    g, blocks = flat[:n_g].reshape(p + 1, K), flat[n_g : n_g + n_h].reshape(len(pairs), len(c), len(c))
-    H = np.zeros((len(c), K, len(c), K))
-    for (i, j), block in zip(pairs, blocks, strict=True):
-        H[:, i, :, j] = block
-        H[:, j, :, i] = block.T
-    return {"g0": g[0], "g": g[1:], "H": H, "loss": float(flat[-1])}
-
-
-def path_moments(base: DataFrame, family, p: int, K: int, betas: np.ndarray, inters: np.ndarray, group: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+        n, out = len(cols[-1]), []
+        X, ys = np.column_stack([np.ones(n), *cols[:q]]), cols[q : q + n_y]
+        os, w0 = cols[q + n_y : q + n_y + K] if offsets else None, cols[-2 if folds else -1]
+        for at, c, pairs, coefficients, fold, scale in work:
+            w = w0 * scale if fold is None else np.where(cols[-1] == fold, 0.0, w0 * scale)
+            x = X if len(at) == q + 1 else X[:, at]
+            eta = x @ coefficients
+            etas = [eta[:, k] + (os[k] if os else 0.0) for k in range(K)]
+            args = (ys, etas, w) if multi else (ys[0], etas[0], w)
+            with np.errstate(all="ignore"):
+                g, h, loss = family.gradient(*args), family.hessian(*args), family.loss(*args)
+                between = family.curvature(etas, w) if len(pairs) > K else None
+            xc = X[:, c]
+            weights = [between[i][j] if between else h[i] if multi else h for i, j in pairs]
+            out += [(x.T @ (np.column_stack(g) if multi else g[:, None])).ravel(), *((xc.T @ (xc * v[:, None])).ravel() for v in weights), [loss.sum()]]
+        return np.concatenate(out)
+
+    sizes = [len(at) * K + len(pairs) * len(c) ** 2 + 1 for at, c, pairs, *_ in work]
+    table = base.select(*(f"x{j}" for j in read), *(f"y{k}" for k in range(n_y)), *(f"o{k}" for k in range(K) if offsets), "w", *(["fold"] if folds else []))
+    flat, found = by_position(table, sum(sizes), partial, tasks), []
+    for own, (at, c, pairs, *_) in zip(np.split(flat, np.cumsum(sizes)[:-1]), work, strict=True):
+        n_g = len(at) * K
+        g, blocks = own[:n_g].reshape(len(at), K), own[n_g:-1].reshape(len(pairs), len(c), len(c))
+        H = np.zeros((len(c), K, len(c), K))
+        for (i, j), block in zip(pairs, blocks, strict=True):
+            H[:, i, :, j] = block
+            H[:, j, :, i] = block.T
+        found.append({"g0": g[0], "g": g[1:], "H": H, "loss": float(own[-1])})
+    return found
+
+
+def path_moments(base: DataFrame, family, p: int, K: int, betas: np.ndarray, inters: np.ndarray, group: str | None = None, tasks: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(losses, gradients) of many coefficients in one pass over ``base(x..., y..., o..., w)``: betas is (L, p * K).
 
     With ``group``, a last column of ``base``, betas is (groups, L, p * K) and each row counts for the coefficients of
@@ -499,7 +579,7 @@ def path_moments(base: DataFrame, family, p: int, K: int, betas: np.ndarray, int
                 out[i, k, 1:] = (x.T @ (np.column_stack(grad) if multi else grad[:, None])).ravel()
         return out.ravel()
 
-    flat = by_position(base, G * L * (1 + p * K), partial).reshape(G, L, 1 + p * K)
+    flat = by_position(base, G * L * (1 + p * K), partial, tasks).reshape(G, L, 1 + p * K)
     flat = flat if group else flat[0]
     return flat[..., 0], flat[..., 1:]
 
@@ -507,12 +587,19 @@ def path_moments(base: DataFrame, family, p: int, K: int, betas: np.ndarray, int
 class GlmData:
     """Gradient, curvature and loss of a response at given coefficients, each a pass over the rows."""
 
-    def __init__(self, frame: FeatureFrame, response: Response, options: Options | None = None):
+    def __init__(self, frame: FeatureFrame, response: Response, options: Options | None = None, centred: bool = False):
+        """``centred``: columns are taken about ``centers``, their weighted means, as where an intercept makes up for it."""
         self.frame, self.response, self.family, self.options = frame, response, response.family, options or Options()
         values, w = _inputs(frame, response)
-        row = frame.df.agg(F.sum(w).alias("w"), F.count_if(~sound(values, w)).alias("bad")).first()
-        refuse(row["bad"])
-        self.w = w / float(row["w"] or 1.0)
+        if len(values) <= NATIVE_SUMS:
+            known = [F.when(w > 0, w * x.cast("double")).otherwise(0.0) for x in frame.columns] if centred else []
+            row = frame.df.agg(F.sum(w), F.count_if(~sound(values, w)), *map(F.sum, known)).first()
+        else:
+            row = weighted_sums(frame.df, values, w)[: 2 + (frame.p if centred else 0)]
+        total, bad = row[0] or 0.0, row[1]
+        refuse(bad)
+        self.w, self.tasks = w / float(total or 1.0), None
+        self.centers = np.array([x or 0.0 for x in row[2:]]) / total if centred and total else np.zeros(frame.p)
         self.K = len(response.y) if getattr(self.family, "multi", False) else 1
         if self.family.name == "multinomial" and self.K < 2:
             raise ValueError("multinomial needs at least 2 classes")
@@ -524,7 +611,7 @@ class GlmData:
         """The columns that a fit reads, under fixed names: x, then y (or the times and status), offsets and w. Rows of
         weight 0 may hold nulls, which then are 0."""
         known = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        r, xs = self.response, [F.coalesce(x.cast("double"), F.lit(0.0)).alias(f"x{k}") for k, x in enumerate(self.frame.columns)]
+        r, xs = self.response, [F.coalesce(x.cast("double") - float(c) if c else x.cast("double"), F.lit(0.0)).alias(f"x{k}") for k, (x, c) in enumerate(zip(self.frame.columns, self.centers, strict=True))]
         offsets = [known(o).alias(f"o{k}") for k, o in enumerate(r.offsets)]
         if isinstance(self.family, Cox):
             start = F.col(r.start).cast("double") if r.start else F.lit(float("-inf"))
@@ -541,6 +628,11 @@ class GlmData:
     def keep(self) -> None:
         """Holds the table in memory and on disk for the steps of a fit; lost parts are computed again."""
         self.table = self.table.persist()
+        self.tasks = self.table.rdd.getNumPartitions()
+
+    def shift(self, betas: np.ndarray, sign: int = 1) -> np.ndarray:
+        """What centred columns take from the intercepts of ``betas`` (..., p * K); times ``sign``, (..., K)."""
+        return sign * np.einsum("...pk,p->...k", np.asarray(betas, float).reshape(*np.shape(betas)[:-1], self.frame.p, self.K), self.centers)
 
     def edges(self) -> list[float]:
         """Times that part the axis of a Cox fit, found once: steps differ in coefficients alone."""
@@ -594,31 +686,33 @@ class GlmData:
         """(losses, gradients) of each value of a path: one pass, but for Cox fits, which take one a value."""
         if not isinstance(self.family, Cox):
             return path_moments(self.table, self.family, self.frame.p, self.K, np.asarray(betas), np.asarray(inters))
-        found = [self.moments(b, np.atleast_1d(a), []) for b, a in zip(betas, inters, strict=True)]
+        found = [self.moments(b, np.atleast_1d(a), [], range(self.frame.p)) for b, a in zip(betas, inters, strict=True)]
         return np.array([m["loss"] for m in found]), np.array([m["g"].ravel() for m in found])
 
-    def moments(self, beta: np.ndarray, inter: np.ndarray, curved: Sequence[int]) -> dict:
-        """g0, g (p x K), H over (1, curved) x K each way, and the loss."""
-        p = self.frame.p
+    def moments(self, beta: np.ndarray, inter: np.ndarray, curved: Sequence[int], columns: Sequence[int] | None = None) -> dict:
+        """g0, g (columns x K), H over (1, curved) x K each way, and the loss; ``columns`` (None: all) hold all ``curved``."""
+        columns = range(self.frame.p) if columns is None else columns
         if not isinstance(self.family, Cox):
-            return moments(self.table, self.family, p, self.K, beta, inter, curved, self.options.newton_most)
+            return moments(self.table, self.family, self.K, [Ask(beta, inter, columns, curved)], bool(self.response.offsets), self.options.newton_most, self.tasks)[0]
         base = self._with_etas(beta, inter, "eta")
         H = np.zeros((len(curved) + 1, 1, len(curved) + 1, 1))
-        if cox.sums_of(p, len(curved)) <= self.options.cox_most:
-            g, H[1:, 0, 1:, 0], loss = cox.derivatives(base, [f"x{k}" for k in range(p)], curved, self.family.tie, self.edges())
+        place = {j: k for k, j in enumerate(columns)}
+        if cox.sums_of(len(columns), len(curved)) <= self.options.cox_most:
+            g, H[1:, 0, 1:, 0], loss = cox.derivatives(base, [f"x{k}" for k in columns], [place[k] for k in curved], self.family.tie, self.edges())
             return {"g0": np.zeros(1), "g": g[:, None], "H": H, "loss": loss}
         # many columns: the diagonal curvature of each row is joined back, and rows are summed as in a Gram matrix
         done = cox.gradient(base, self.family.tie).persist()
-        ones = cross(done, [F.col("grad"), *(F.col(f"x{k}") for k in range(p))])
+        ones = sums(done, [F.col(f"x{k}") for k in columns], F.col("grad"))
         H[1:, 0, 1:, 0] = cross(done, [F.col(f"x{k}") for k in curved], F.col("hess")) if len(curved) else 0.0
         done.unpersist()
-        return {"g0": np.zeros(1), "g": ones[0, 1:, None], "H": H, "loss": self.loss(beta, inter)}
+        return {"g0": np.zeros(1), "g": ones[:, None], "H": H, "loss": self.loss(beta, inter)}
 
 
 def glm_path(frame: FeatureFrame, response: Response, options: Options | None = None) -> PathResult:
-    """A path of any family by iteratively reweighted quadratics; one pass over the kept columns per step."""
+    """A path of any family by iteratively reweighted quadratics; one pass over the kept columns per step. Columns are
+    centred where that changes nothing but the intercepts."""
     options = options or Options()
-    data = GlmData(frame, response, options)
+    data = GlmData(frame, response, options, centred=options.intercept or isinstance(response.family, Cox))
     data.keep()
     try:
         return _glm_path(data, options)
@@ -626,6 +720,11 @@ def glm_path(frame: FeatureFrame, response: Response, options: Options | None =
         data.release()
 
 
+#: Columns up to which a step takes all of them, curvature too, and thereby the optimality check and the next value's
+#: first step; with more of them, steps read the screened columns and the check is a pass of its own.
+WIDE = 64
+
+
 def _glm_path(data: GlmData, options: Options) -> PathResult:
     frame, K, p = data.frame, data.K, data.frame.p
     first = frame.group_starts()
@@ -633,23 +732,32 @@ def _glm_path(data: GlmData, options: Options) -> PathResult:
     penalty = default_penalty(sizes) if options.penalty is None else np.asarray(options.penalty, float)
     intercept = options.intercept and not isinstance(data.family, Cox)
     none, inter = np.zeros(p * K), np.zeros(K)
-    m = data.moments(none, inter, [])
+    wide = p > WIDE
+    every = list(range(p)) if not wide and not isinstance(data.family, Cox) and K * (p + 1) <= options.newton_most else None
+    m = data.moments(none, inter, [], [])
     if intercept:
         for _ in range(options.irls_max_iters):
             step = np.linalg.pinv(m["H"][0, :, 0, :], rcond=1e-10, hermitian=True) @ m["g0"]
             if float(np.sum(step * m["g0"])) <= 1e-16:
                 break
             inter = inter + np.clip(step, -5, 5)
-            m = data.moments(none, inter, [])
+            m = data.moments(none, inter, [], [])
     null, full = m["loss"], data.loss_full()
     begin, last = inter.copy(), {}
 
     def at(beta, inter, curved):
-        """Moments at these coefficients; those of the last pass if nothing changed."""
-        key = (beta.tobytes(), inter.tobytes(), tuple(curved))
+        """Moments at these coefficients, those of the last pass if nothing changed; g and H of ``curved`` only."""
+        asked = every if every is not None else curved
+        key = (beta.tobytes(), inter.tobytes(), tuple(asked))
         if last.get("key") != key:
-            last.update(key=key, m=data.moments(beta, inter, curved))
-        return last["m"]
+            last.update(key=key, m=data.moments(beta, inter, asked, asked if wide else None))
+        m = dict(last["m"], all=None if wide else last["m"]["g"])
+        if every is not None:
+            own = [0, *(j + 1 for j in curved)]
+            m["H"] = m["H"][own][:, :, own]
+        if not wide:
+            m["g"] = m["g"][curved]
+        return m
 
     def local(beta, inter, lmda, groups, duals):
         inter = begin.copy() if not np.any(inter) and intercept else inter
@@ -670,7 +778,7 @@ def _glm_path(data: GlmData, options: Options) -> PathResult:
             inverse = np.linalg.pinv(H00, rcond=1e-10, hermitian=True) if intercept else np.zeros((K, K))
             A = H[K:, K:] - Hx @ inverse @ Hx.T
             old = beta[flat]
-            v = m["g"].ravel()[flat] - Hx @ inverse @ m["g0"] + A @ old
+            v = m["g"].ravel() - Hx @ inverse @ m["g0"] + A @ old
             step, sub = np.zeros(n), {i: duals[g] for i, g in enumerate(groups) if g in duals}
             if n:
                 q = Quadratic(A[np.ix_(order, order)], sub_starts, sub_sizes, penalty[groups], options.alpha, cons)
@@ -693,16 +801,27 @@ def _glm_path(data: GlmData, options: Options) -> PathResult:
                 break
         else:
             raise RuntimeError("max reweighting steps reached")
-        return beta, inter, m["g"].ravel(), (null - m["loss"]) / (null - full) if null != full else 0.0, 0
-
-    return run_path(local, starts, sizes, frame.names, K, null, full, options)
+        grad = m["all"] if m["all"] is not None else data.moments(beta, inter, [], None)["g"]
+        return beta, inter, grad.ravel(), (null - m["loss"]) / (null - full) if null != full else 0.0, 0
+
+    warm = options.warm_start
+    if intercept and warm is not None and len(warm.betas):
+        moved = replace(warm, intercepts=np.asarray(warm.intercepts, float).reshape(len(warm.betas), K) + data.shift(warm.betas))
+        options = replace(options, warm_start=moved)
+    out = run_path(local, starts, sizes, frame.names, K, null, full, options)
+    if intercept and len(out.betas):
+        out.intercepts = out.intercepts + data.shift(out.betas, -1)
+    return out
 
 
 def grpnet(frame: FeatureFrame, response: Response, options: Options | None = None) -> PathResult:
-    """Group elastic net path of any family; gaussian ones with ``opt`` need a single pass over the rows."""
+    """Group elastic net path of any family; gaussian ones with ``opt`` need a single pass over the rows, and leave their
+    matrix on the executors from ``TILED`` columns on."""
     options = options or Options()
     if options.missing == "drop":
         frame = complete(frame, response)
     if response.family.name in ("gaussian", "multigaussian") and response.family.opt:
+        if frame.p >= TILED:
+            return gaussian_tiled(frame, response, options)
         return gaussian_from_statistics(gaussian_statistics(frame, response), frame.names, frame.group_starts(), options)
     return glm_path(frame, response, options)

@@ -10,6 +10,7 @@ from ridgeline.functions import cox
 from ridgeline.functions.glm import Binomial, Gaussian, Multinomial, MultiGaussian, Poisson, Response, family
 from ridgeline.functions.special import Columns, erfc_sql
 from ridgeline.operators import features as X
+from ridgeline.operators.comoments import comoments
 from ridgeline.plans import bounded, constraint, css, diagnostic, path
 from ridgeline.plans.cv import assign_folds, cv_grpnet
 from ridgeline.sources import genotypes
@@ -138,13 +139,8 @@ def standardize_cols(spark, sf_dir):
 @query("WITH " + L_SQL + ", st AS (SELECT " + ", ".join(f"avg(x{j}) m{j}, stddev_pop(x{j}) s{j}" for j in range(4)) + " FROM lin) " + " UNION ALL ".join(f"SELECT {i}::INT AS i, {j}::INT AS j, round(avg((x{i} - m{i}) / s{i} * (x{j} - m{j}) / s{j}), 8) + 0e0 AS v FROM lin, st" for i in range(4) for j in range(i, 4)))
 def standardized_gram(spark, sf_dir):
     frame = X.dense(lineitem(spark, sf_dir), NAMES)
-    from ridgeline.operators.gram import cross
-
-    full = cross(frame.df, [F.lit(1.0), *frame.columns])
-    n, full = full[0, 0], full / full[0, 0]
-    m, g = full[0, 1:], full[1:, 1:]
-    z = X.standardized_gram(g, m, 1.0, m, np.sqrt(np.diag(g) - m * m))
-    assert n
+    m = comoments(frame.df, frame.columns)
+    z = X.standardized_gram(m, m.mean, np.sqrt(np.diag(m.about) / m.weight)) / m.weight
     return spark.createDataFrame([(i, j, round(float(z[i, j]), 8) + 0.0) for i in range(4) for j in range(i, 4)], "i int, j int, v double")
 
 
@@ -375,7 +371,7 @@ CENTRED = "WITH " + L_SQL + ", m AS (SELECT avg(x0) a0, avg(x1) a1, avg(x2) a2,
 def null_gradient(spark, sf_dir) -> np.ndarray:
     frame, response = measures(spark, sf_dir)
     s = path.gaussian_statistics(frame, response)
-    return s["xy"][:, 0] - s["x"] * s["y"][0]
+    return s["cxy"][:, 0]
 
 
 @query(CENTRED + " SELECT round(greatest(abs(g0), abs(g1), abs(g2)), 8) AS lmda_max FROM g")
