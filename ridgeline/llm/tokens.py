@@ -43,6 +43,22 @@ def byte_letters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def _joining() -> frozenset[str]:
+    """Characters that may compose with one before them: marks, second parts of canonical compositions, Hangul vowels and
+    finals. Characters whose decomposition begins with one are among them."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    second = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and not p[0].startswith("<")} | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    return frozenset(c for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if (d := unicodedata.normalize("NFD", c)[0]) in second or unicodedata.combining(d))
+
+
+def segments_of(chunk: str) -> list[str]:
+    """The text cut before each character that can't compose with what stands before it."""
+    joining = _joining()
+    at = [0, *(i for i in range(1, len(chunk)) if chunk[i] not in joining), len(chunk)]
+    return [chunk[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
 class Chunks(Remembered):
     """Run between white space -> its tokens; bounded."""
 
@@ -121,7 +137,7 @@ class PrefixCounter:
         """Last token and number of tokens of each proper prefix, as the beginning of a longer word."""
         last, inner, inside, after = [""], [0], self.inside, self.after
         for j in range(1, len(mapped)):
-            for i in range(max(0, j - self.longest), j):
+            for i in range(j - 1, max(-1, j - self.longest - 1), -1):
                 token = mapped[i:j]
                 if token in inside:
                     if not (inside[token] or inside[token] is None and self.whole(token)):
@@ -141,7 +157,7 @@ class PrefixCounter:
     def _end(self, mapped: str, j: int, last: list[str], inner: list[int]) -> int:
         """Tokens of ``mapped[:j]`` as a word, given the tables of its proper prefixes."""
         ends, after = self.ends, self.after_end
-        for i in range(max(0, j - self.longest), j):
+        for i in range(j - 1, max(-1, j - self.longest - 1), -1):
             token = mapped[i:j]
             if token in ends:
                 if not (ends[token] or ends[token] is None and self.whole(token, END)):
@@ -212,21 +228,91 @@ class PrefixCounter:
 
     def _run(self, chunk: str) -> list[int]:
         """Tokens of each prefix of a run between white space. Prefixes of a composed (NFC) run are composed, and each
-        character is lower-cased on its own, so all follow from one table of the normalised run; a run that is not
-        composed is counted prefix by prefix, at a cost of the square of its length."""
+        character is lower-cased on its own, so all follow from one table of the normalised run."""
         if PLAIN.fullmatch(chunk):
             own = chunk.lower()
             return self._table(own, [m.span() for m in PIECE.finditer(own)])
         lowered = [c.lower() for c in chunk]
         own = "".join(lowered)
         if not unicodedata.is_normalized("NFC", chunk) or self.library.normalizer.normalize_str(chunk) != own:
-            return [self.count(chunk[:i]) for i in range(1, len(chunk) + 1)]
+            return self._decomposed(chunk)
         table, at, out = self._table(own, [span for _, span in self.library.pre_tokenizer.pre_tokenize_str(own)]), 0, []
         for c in lowered:
             at += len(c)
             out.append(table[at - 1])
         return out
 
+    def _decomposed(self, chunk: str) -> list[int]:
+        """Tokens of each prefix of a run that isn't composed. It is normalised in segments that don't compose with one
+        another; a prefix is whole segments and the beginning of one. Where that beginning normalises to a prefix of its
+        segment, the table of the whole run has its count; else the word that it touches is continued from the state of
+        the table. Only within a segment, a letter and its marks, does the cost rise with the square of the length."""
+        normal = lru_cache(maxsize=4096)(self.library.normalizer.normalize_str)
+        segments, own = segments_of(chunk), []
+        own = [normal(x) for x in segments]
+        text = "".join(own)
+        spans = [span for _, span in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        table, out, at, k = self._table(text, spans), [], 0, 0
+        state: dict[int, tuple] = {}
+        for segment, full in zip(segments, own, strict=True):
+            while k + 1 < len(spans) and spans[k + 1][0] < at:
+                k += 1  # the word that holds the character before this segment
+            for m in range(1, len(segment) + 1):
+                part = full if m == len(segment) else normal(segment[:m])
+                out.append(table[at + len(part) - 1] if text.startswith(part, at) else self._branch(text, at, part, table, spans[k], k > 0 and spans[k - 1][1] - spans[k - 1][0] == 1, state))
+            at += len(full)
+        return out
+
+    def _branch(self, text: str, at: int, part: str, table: list[int], span: tuple[int, int], quoted: bool, state: dict[int, tuple]) -> int:
+        """Tokens of ``text[:at] + part``; ``span`` is the word of ``text`` with the character before ``at``. ``quoted``: the
+        word before it is a single character."""
+        if not at:
+            return self.count(part)
+        begin = span[0]
+        if at - begin < 4:  # "'s" and its like split unlike their parts: from the quote on, if one stands there
+            begin -= begin > 0 and text[begin - 1] == "'" and quoted
+            base = table[begin - 1] if begin else 0
+            return base + sum(self.word(p) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text[begin:at] + part))
+        start = at - 1
+        while start > span[0] and text[start] == "'":  # a quote inside a word must not look like the beginning of one
+            start -= 1
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(text[start:at] + part)
+        joined = pieces[0][1][1] - (at - start)  # characters of ``part`` that continue the word
+        rest = sum(self.word(p) for p, _ in pieces[1:])
+        if joined <= 0:
+            return table[at - 1] + sum(self.word(p) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(part))
+        if begin not in state:
+            state.clear()  # words come in order
+            mapped = self.mapped(text[slice(*span)])
+            last, inner = self._inner(mapped)
+            state[begin] = mapped, last, inner, [0, *accumulate(len(c.encode()) for c in text[slice(*span)])]
+        mapped, last, inner, sizes = state[begin]
+        k = sizes[at - begin]
+        low = max(0, k - self.longest)
+        return (table[begin - 1] if begin else 0) + self._continued(mapped[low:k], last[low : k + 1], inner[low : k + 1], self.mapped(part[:joined]), low == 0) + rest
+
+    def _continued(self, before: str, last: list[str], inner: list[int], tail: str, whole: bool) -> int:
+        """Tokens of a word that ends in ``before + tail``, from the last tokens and counts of its prefixes up to
+        ``before`` (the last one may be missing where the word ended there). ``whole``: ``before`` is all before it."""
+        text = before + tail
+
+        def first(j: int, tokens: dict, known: dict, suffix: str) -> tuple[str, int]:
+            for i in range(j - 1, max(-1, j - self.longest - 1), -1):
+                token = text[i:j]
+                if token in tokens and (tokens[token] or tokens[token] is None and self.whole(token, suffix)):
+                    if i or not whole:
+                        good = known.get(last[i], {}).get(token)
+                        if not (self.fits(last[i], token, suffix) if good is None else good):
+                            continue
+                    return token, inner[i] + 1
+            raise ValueError(f"the vocabulary can't spell {text[:j]!r}")
+
+        for j in range(len(last), len(text)):
+            token, n = first(j, self.inside, self.after, "")
+            last.append(token)
+            inner.append(n)
+        return first(len(text), self.ends, self.after_end, END)[1]
+
     def _table(self, text: str, spans: list[tuple[int, int]]) -> list[int]:
         """Tokens of each prefix of a normalised run that is cut into words at ``spans``."""
         out, total = [], 0
@@ -260,7 +346,9 @@ class PrefixCounter:
             fit = len(counts) - 1  # runs that fit
             last = next(islice(RUNS.finditer(parts[k]), fit, None), None)
             if last is not None:
-                inside = [i for i, c in enumerate(self._run(last[0]), 1) if counts[fit] + c <= budget]
+                # a token spells ``longest`` bytes at most, and four characters compose to one at most: no more can fit
+                most = 4 * (budget - counts[fit] + 1) * self.longest
+                inside = [i for i, c in enumerate(self._run(last[0][:most]), 1) if counts[fit] + c <= budget]
                 return max(best, at + last.start() + (inside[-1] if inside else 0))
             if fit:
                 before, first, total = counts[fit - 1], next(islice(RUNS.finditer(parts[k]), fit - 1, None)).start(), counts[fit]

@@ -2,6 +2,7 @@ import binascii
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -152,6 +153,32 @@ def test_every_prefix_equals_encoding_it(docs):
         assert r["n_chars"] == max(fits)
 
 
+def test_prefixes_of_decomposed_runs_equal_encoding_them():
+    own = tokens.counter(str(public.path("word_bpe_49k.json")))
+    n = lambda x: len(own.library.encode(x, add_special_tokens=False).ids)
+    parts, r = ["e\u0301", "x", "o\u0308", "\u1112\u1161\u11ab", "\u304b\u3099", "'s", "'", "\u0301", "a\u0323\u0307", "A\u030a", "\u212b", "7", "!", "İ", "Σ", "q", "\u0308\u0301", "\u0f73", "ab", "日", "👍", "\u09c7\u09be", "'r", "e", "l"], random.Random(1)
+    for _ in range(300):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(1, 40)))
+        assert own._run(text) == [n(text[:i]) for i in range(1, len(text) + 1)], repr(text)
+
+
+@pytest.mark.parametrize("unit", ["e\u0301x", "\u304b\u3099\u304d\u3099", "\u1112\u1161\u11ab\u1100\u116e\u11a8"])
+def test_long_decomposed_runs_take_no_square(unit):
+    own = tokens.counter(str(public.path("word_bpe_49k.json")))
+    n = lambda x: len(own.library.encode(x, add_special_tokens=False).ids)
+    own._run(unit * 20)  # what a worker computes once
+    took = []
+    for size in (20_000, 100_000):
+        text = unit * (size // len(unit))
+        began = time.process_time()
+        counts = own._run(text)
+        took.append(time.process_time() - began)
+        assert own.within(text, counts[-1], 2048) == max(i for i, c in enumerate([0, *counts]) if c <= 2048)
+        for i in random.Random(2).sample(range(1, len(text) + 1), 8):
+            assert counts[i - 1] == n(text[:i])
+    assert took[1] < 12 * max(took[0], 0.05)  # five times the text, not twenty-five times the work
+
+
 def test_worker_tables_are_bounded_in_bytes():
     import sys
 
