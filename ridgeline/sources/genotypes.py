@@ -25,7 +25,7 @@ def column_stats(calls: DataFrame, rows: int | None = None) -> DataFrame:
 
 def write_unphased(calls: DataFrame, path: str, impute_method: str | DataFrame = "mean") -> dict[str, float]:
     """Writes calls (non-zero and missing ones) and statistics; a call over 2 raises. ``impute_method`` is "mean" or
-    a table (snp, impute). Returns seconds by step."""
+    a table (snp, impute) with a value for every variant of the calls; others raise. Returns seconds by step."""
     import time
 
     if not calls.where("call > 2").isEmpty():
@@ -33,7 +33,13 @@ def write_unphased(calls: DataFrame, path: str, impute_method: str | DataFrame =
     t0 = time.time()
     stats = column_stats(calls, calls.select("row_id").distinct().count())
     if not isinstance(impute_method, str):
-        stats = stats.drop("impute").join(impute_method, "snp")
+        given = impute_method.select("snp", F.col("impute").cast("double").alias("impute"))
+        if not given.groupBy("snp").count().where("count > 1").isEmpty():
+            raise ValueError("the impute table names a variant more than once")
+        stats = stats.drop("impute").join(given, "snp", "left")
+        lost = stats.where(F.col("impute").isNull()).count()
+        if lost:
+            raise ValueError(f"the impute table lacks a value for {lost} variants")
     elif impute_method != "mean":
         raise ValueError(f"unknown impute method {impute_method!r}")
     stats.write.mode("overwrite").parquet(f"{path}/stats")
