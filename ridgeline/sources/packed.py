@@ -243,57 +243,40 @@ class Packed:
         return long.join(self.rows, "at").select("row_id", "v")
 
 
+class PackedProblem:
+    """A packed matrix and a response (row_id, y) for ``plans.screened.screened_path``; variants are its columns."""
+
+    def __init__(self, packed: Packed, response: DataFrame):
+        self.packed, self.p = packed, packed.p
+        self.snps = packed.variants.orderBy("at").select("snp").toArrow().column("snp").to_numpy()
+        self.names = [f"snp_{s}" for s in self.snps]
+        self.y, _ = Stored(packed.spark, "packed").put(packed.by_rows(response.select("row_id", "y"), "y"))
+        self.row = response.agg(F.avg("y").alias("m"), F.var_pop("y").alias("v"), F.avg(F.col("y") * F.col("y")).alias("s")).first()
+
+    def _vector(self, v: DataFrame) -> np.ndarray:
+        got, out = self.packed.tmul(v).toArrow(), np.zeros(self.p)
+        out[np.searchsorted(self.snps, got.column("snp").to_numpy())] = got.column("value").to_numpy()
+        return out / self.packed.n
+
+    def response(self) -> tuple[float, float, float]:
+        return self.row["m"], self.row["v"], self.row["s"]
+
+    def means(self) -> np.ndarray:
+        return self._vector(self.packed.by_rows(self.packed.rows.withColumn("v", F.lit(1.0))))
+
+    def products(self, inter: float, beta: np.ndarray) -> np.ndarray:
+        if not np.any(beta):
+            return self._vector(self.y.select("rb", F.transform("v", lambda c: c - inter).alias("v")))
+        rows = [(int(self.snps[g]), float(beta[g])) for g in np.flatnonzero(beta)]
+        eta = self.packed.mul(self.packed.spark.createDataFrame(rows, "snp long, beta double")).withColumnRenamed("v", "eta")
+        return self._vector(self.y.join(eta, "rb").select("rb", F.zip_with("v", "eta", lambda a, b: a - b - inter).alias("v")))
+
+    def gram(self, left: list[int], right: list[int]) -> np.ndarray:
+        return self.packed.gram([int(self.snps[j]) for j in left], [int(self.snps[j]) for j in right]) / self.packed.n
+
+
 def packed_path(packed: Packed, response: DataFrame, options=None):
-    """A gaussian path over all variants for (row_id, y): per value, one pass multiplies residuals with all blocks for the
-    optimality check, and only blocks of newly screened variants are read for their products. Variants are groups of one;
-    p numbers reach the driver."""
-    from ridgeline.plans.path import Options, Quadratic, default_penalty, run_path
-
-    options = options or Options()
-    n, p = packed.n, packed.p
-    snps = np.array(packed.variants.orderBy("at").select("snp").toArrow().column("snp").to_numpy())
-    place = {int(s): k for k, s in enumerate(snps)}
-    y, _ = Stored(packed.spark, "packed").put(packed.by_rows(response.select("row_id", "y"), "y"))
-    row = response.agg(F.avg("y").alias("m"), F.var_pop("y").alias("v"), F.avg(F.col("y") * F.col("y")).alias("s")).first()
-    mean_y, y_var = (row["m"], row["v"]) if options.intercept else (0.0, row["s"])
-    penalty = default_penalty([1] * p) if options.penalty is None else np.asarray(options.penalty, float)
-
-    def vector(table: DataFrame) -> np.ndarray:
-        got, out = table.toArrow(), np.zeros(p)
-        out[[place[s] for s in got.column("snp").to_pylist()]] = got.column("value").to_numpy()
-        return out
+    """A gaussian path over all variants for (row_id, y), variants being groups of one: see ``plans.screened``."""
+    from ridgeline.plans.screened import screened_path
 
-    ones = packed.by_rows(packed.rows.withColumn("v", F.lit(1.0)))
-    mean = vector(packed.tmul(ones)) / n if options.intercept else np.zeros(p)
-    own: list[int] = []
-    kept = np.zeros((0, 0))
-    shifted = lambda f: F.transform("v", f)
-    v = vector(packed.tmul(y.select("rb", shifted(lambda c: c - float(mean_y)).alias("v")))) / n
-
-    def local(beta, inter, lmda, groups, duals):
-        nonlocal own, kept
-        new = [g for g in groups if g not in own]
-        if new:
-            every = [*own, *new]
-            cross = packed.gram([int(snps[g]) for g in new], [int(snps[g]) for g in every]) / n - np.outer(mean[new], mean[every])
-            grown = np.zeros((len(every), len(every)))
-            grown[: len(own), : len(own)] = kept
-            grown[len(own) :, :], grown[:, len(own) :] = cross, cross.T
-            own, kept = every, grown
-        at = [own.index(g) for g in groups]
-        A = kept[np.ix_(at, at)]
-        q = Quadratic(A, range(len(groups)), [1] * len(groups), penalty[list(groups)], options.alpha)
-        b, sweeps = q.solve(v[list(groups)], lmda, beta[list(groups)], {}, range(len(groups)), options.tol * max(y_var, 1e-300), options.max_iters) if groups else (np.zeros(0), 0)
-        beta = beta.copy()
-        beta[list(groups)] = b
-        inter = np.array([mean_y - mean @ beta]) if options.intercept else np.zeros(1)
-        grad = v
-        if np.any(beta):
-            rows = [(int(snps[g]), float(beta[g])) for g in np.flatnonzero(beta)]
-            eta = packed.mul(packed.spark.createDataFrame(rows, "snp long, beta double")).withColumnRenamed("v", "eta")
-            left = y.join(eta, "rb").select("rb", F.zip_with("v", "eta", lambda a, b: a - b - float(inter[0])).alias("v"))
-            grad = vector(packed.tmul(left)) / n
-        fitted = 2 * v[list(groups)] @ b - b @ A @ b if groups else 0.0
-        return beta, inter, grad, fitted / y_var if y_var else 0.0, sweeps
-
-    return run_path(local, list(range(p)), [1] * p, [f"snp_{s}" for s in snps], 1, -0.5 * mean_y**2, -0.5 * row["s"], options)
+    return screened_path(PackedProblem(packed, response), options)
