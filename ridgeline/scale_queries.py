@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ridgeline.fit_queries import ONES, betas_of, betas_sql, descent, kronecker, lambdas, solved, statistics
 from ridgeline.functions.glm import Binomial, Gaussian, Response
 from ridgeline.operators import features as X
+from ridgeline.operators.categories import category_gram
 from ridgeline.operators.comoments import TiledComoments, comoments, tiles
+from ridgeline.operators.sparse import SparseProblem, SparseRows
 from ridgeline.plans import path
+from ridgeline.plans.screened import screened_path
 from ridgeline.queries import CALLS, calls, query, r6
 from ridgeline.sources import packed
 from ridgeline.sources.storage import Stored
@@ -98,3 +101,42 @@ def packed_lasso_path(spark, sf_dir):
     effect = m.per_row(m.mul(spark.createDataFrame([(1, 1.0), (2, -1.0)], "snp long, beta double")))
     y = price.join(effect, "row_id").select("row_id", (F.col("p") + F.col("v")).alias("y"))
     return betas_of(spark, packed.packed_path(m, y, path.Options(lmda_path_size=8, min_ratio=0.05, early_exit=False)).betas)
+
+
+# --- sparse rows and categories -----------------------------------------------------------------------------
+@query("SELECT l_partkey::INT AS j, round(sum(l_quantity * o_totalprice) / 1e6, 6) AS value FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_partkey")
+def sparse_products(spark, sf_dir):
+    """A column per part, a row per order; positions are part keys."""
+    lines, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
+    keep = orders.select(F.col("o_orderkey").alias("row_id"), (F.col("o_totalprice") / 1e6).alias("v"))
+    cells = lines.select(F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("col_id"), F.col("l_quantity").alias("value"))
+    return SparseRows.of(cells, 1 << 31, keep=keep).tmul(F.col("v")).select("j", r6(F.col("value"), "value", 6))
+
+
+SPARSE_X = ", ".join(f"coalesce(sum(l_quantity) FILTER (l_suppkey % 8 = {k}), 0)::DOUBLE / 10 AS x{k}" for k in range(8))
+
+
+@query(solved(
+    f"lin AS (SELECT o_orderkey, {SPARSE_X}, any_value(o_totalprice)::DOUBLE / 1e5 AS p FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)",
+    statistics([f"x{k}" for k in range(8)], ["p + x1 - x6 / 2"]), kronecker(8, 1), lambdas(list(range(8)), [1] * 8, 8, 0.05), descent(8, list(range(8)), [1] * 8, 300), select=betas_sql(8),
+))
+def sparse_lasso_path(spark, sf_dir):
+    lines, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
+    keep = orders.select(F.col("o_orderkey").alias("row_id"), (F.col("o_totalprice") / 1e5).alias("p"))
+    cells = lines.select(F.col("l_orderkey").alias("row_id"), (F.col("l_suppkey") % 8).alias("col_id"), (F.col("l_quantity") / 10).alias("value"))
+    x = SparseRows.of(cells, 8, keep=keep)
+    effect = x.mul(np.array([0, 1, 0, 0, 0, 0, -0.5, 0]), "indices", "values", "p")
+    x = SparseRows(effect.select("indices", "values", (F.col("p") + F.col("eta")).alias("y")), 8)
+    return betas_of(spark, screened_path(SparseProblem(x, "y"), path.Options(lmda_path_size=8, min_ratio=0.05, early_exit=False)).betas)
+
+
+COUNTED = "k AS (SELECT l_partkey::INT AS i, (l_linenumber - 1 + 1000000)::INT AS j, l_quantity::DOUBLE AS q FROM lineitem)"
+
+
+@query(f"""WITH {COUNTED} SELECT i, j, count(*)::DOUBLE AS a FROM k GROUP BY ALL UNION ALL SELECT j AS i, i AS j, count(*)::DOUBLE FROM k GROUP BY ALL UNION ALL SELECT i, i, count(*)::DOUBLE FROM k GROUP BY i UNION ALL SELECT j, j, count(*)::DOUBLE FROM k GROUP BY j
+UNION ALL SELECT i, 1000008, sum(q) FROM k GROUP BY i UNION ALL SELECT 1000008, i, sum(q) FROM k GROUP BY i UNION ALL SELECT j, 1000008, sum(q) FROM k GROUP BY j UNION ALL SELECT 1000008, j, sum(q) FROM k GROUP BY j UNION ALL SELECT 1000008, 1000008, sum(q * q) FROM k""")
+def category_counts(spark, sf_dir):
+    """The Gram of a million part levels, eight line numbers and a measure: its entries that aren't 0."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    frame = X.dense(lines, [("part", F.col("l_partkey")), ("line", F.col("l_linenumber") - 1), ("quantity", F.col("l_quantity").cast("double"))])
+    return category_gram(frame, [1_000_000, 8, 0])
