@@ -85,10 +85,22 @@ def positions(df: DataFrame) -> DataFrame:
     return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
 
 
+def hashable(cell: Column, kind: T.DataType) -> Column:
+    """The cell as something that hashes: maps as entries in order of their keys, at any depth; variants as JSON."""
+    if isinstance(kind, T.MapType):
+        entry = lambda e: F.struct(hashable(e["key"], kind.keyType).alias("key"), hashable(e["value"], kind.valueType).alias("value"))
+        return F.array_sort(F.transform(F.map_entries(cell), entry))
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, T.AtomicType):
+        return F.transform(cell, lambda x: hashable(x, kind.elementType))
+    if isinstance(kind, T.StructType) and kind.fields:
+        return F.when(cell.isNotNull(), F.struct(*(hashable(cell.getField(f.name), f.dataType).alias(f"f{k}") for k, f in enumerate(kind.fields))))
+    return F.to_json(cell) if isinstance(kind, T.VariantType) else cell
+
+
 def row_hashes(df: DataFrame) -> tuple[Column, Column]:
     """Two 64-bit hashes of all columns of a row, nulls told from all values: what a row is known by."""
     cells = [df[f"`{c.replace('`', '``')}`"] for c in df.columns]
-    values = [*cells, *(c.isNull() for c in cells)]
+    values = [*(hashable(c, f.dataType) for c, f in zip(cells, df.schema, strict=True)), *(c.isNull() for c in cells)]
     return F.xxhash64(*values), F.xxhash64(F.lit(1), *values)
 
 

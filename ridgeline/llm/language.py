@@ -113,13 +113,14 @@ class Model:
 EVIDENCE = 60
 
 
-def fit(docs: DataFrame, per_lang: int = 4_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", where: Column | None = None) -> Model:
+def fit(docs: DataFrame, per_lang: int = 4_000, most_langs: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", where: Column | None = None) -> Model:
     """Counts over a bounded sample: about ``per_lang`` rows of each language, those whose id hash falls below
     per_lang / rows of the language (all rows of rarer languages). The hash is of id and text, so null or repeated
-    ids are sampled text by text; wholly equal rows go together. Null languages teach nothing; ``where`` limits the
-    rows to learn from. The sample's rows are summed to one count vector per task and language."""
+    ids are sampled text by text; wholly equal rows go together. Null languages teach nothing, nor do those beyond the
+    ``most_langs`` with most rows (ties by code point), which bounds the model to that many times ``BUCKETS`` numbers;
+    ``where`` limits the rows to learn from. The sample's rows are summed to one count vector per task and language."""
     base = pick(docs if where is None else docs.where(where), id=id_col, text=text_col, lang=lang_col).where("lang is not null")
-    sizes = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     if not sizes:
         return Model([], np.zeros((0, BUCKETS)))
     share = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, per_lang / n))))

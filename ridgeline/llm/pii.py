@@ -338,6 +338,14 @@ def replaced(docs: DataFrame, key: bytes, text_col: str = "text", length_col: st
 _DRAWN: dict[str, bytes] = {}
 
 
+def corpus_key(docs: DataFrame, text_col: str = "text") -> bytes:
+    """A key that follows from all texts together: runs over the same corpus agree, and who doesn't hold the corpus can't
+    derive it. One pass of native hashes; order and partitions don't matter."""
+    parts = [F.xxhash64(F.lit(k), F.coalesce(docs[text_col].cast("string"), F.lit(""))).cast("decimal(38,0)") for k in range(4)]
+    found = docs.agg(F.count("*"), *(F.sum(p) for p in parts)).first()
+    return hashlib.sha256(repr([int(x or 0) for x in found]).encode()).digest()
+
+
 def session_key(spark: SparkSession) -> bytes:
     """The key in ``spark.ridgeline.pii.key``. Where it is unset, one is drawn for the application and kept in the
     driver alone: values stay linked within it and nobody can undo them; name a key to link several runs."""

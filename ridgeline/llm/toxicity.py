@@ -124,13 +124,19 @@ def swap(sentence: str) -> str:
     return WORD.sub(other, sentence)
 
 
+#: Sentence pairs that one text gives to a fit at most.
+MOST_PAIRS = 64
+
+
 def counterfactuals(text: str) -> tuple[list[tuple[str, str]], bool]:
     """(pairs of sentences that should score alike, whether the text itself names a group).
 
-    Each sentence that names a group pairs with its swapped twin. A text that names none lends a sentence: one word
+    Each sentence that names a group pairs with its swapped twin, ``MOST_PAIRS`` of them by their hashes. A text that names none lends a sentence: one word
     that names no group and one that does, both chosen by a hash of the text, stand at the same place of it."""
     pairs = [(x, y) for x in dict.fromkeys(SENTENCE.findall(text)) if (y := swap(x)) != x]
     if pairs:
+        if len(pairs) > MOST_PAIRS:
+            pairs = sorted(pairs, key=lambda ab: xxhash.xxh64_intdigest(ab[0].encode(), 11))[:MOST_PAIRS]
         return pairs, True
     sentences = [x for x in SENTENCE.findall(text) if x.split()]
     if not sentences:
@@ -143,7 +149,8 @@ def counterfactuals(text: str) -> tuple[list[tuple[str, str]], bool]:
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text_col: str, label_col: str, where: Column | None) -> tuple[DataFrame, dict[int, float]]:
     """(text, toxic) of about ``per_class`` labelled rows of either class, those with small id hashes, and the share
-    of its class that each class's rows are. The ids, bounded by the sample's size, are broadcast; texts stay."""
+    of its class that each class's rows are. The ids, bounded by the sample's size, are broadcast; a repeated id teaches
+    by one of its texts, the one with the smallest hash, so that no id brings more rows than another."""
     known = pick(labels, id=id_col, toxic=label_col).where("id is not null and toxic in (0, 1)")
     known = known.where(where(F.col("id"))) if where is not None else known
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
@@ -153,8 +160,9 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text
     for k, share in shares.items():
         keep = keep | (F.col("toxic") == k) & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30) < share)
     chosen = known.where(keep)  # about per_class rows of either class
-    rows = pick(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
-    return rows, shares
+    rows = pick(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id").select("id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    one = rows.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("r"))
+    return one.select("r.text", "r.toxic"), shares
 
 
 class Model:

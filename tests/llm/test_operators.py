@@ -523,6 +523,29 @@ def test_toxicity_counterfactuals():
     assert toxicity.counterfactuals(" ... ") == ([], False) and toxicity.counterfactuals("") == ([], False)
 
 
+def test_toxicity_sample_is_bounded_by_id_and_by_text(spark):
+    hot = spark.range(3000).selectExpr("7L AS doc_id", "concat('words of text ', id) AS text")
+    labels = spark.createDataFrame([(7, 1), (8, 0), (9, 0)], "doc_id long, toxic int")
+    rows, shares = toxicity.sample(hot.union(spark.createDataFrame([(8, "other"), (8, None), (9, "more")], "doc_id long, text string")), labels, 100, "doc_id", "text", "toxic", None)
+    assert shares == {0: 1.0, 1: 1.0} and sorted(r["toxic"] for r in rows.collect()) == [0, 0, 1]
+    group = toxicity.IDENTITIES[0][1]
+    pairs, named = toxicity.counterfactuals(" ".join(f"The {group} said {k}." for k in range(500)))
+    assert named and len(pairs) == toxicity.MOST_PAIRS
+
+
+@pytest.mark.parametrize(("toxic", "score"), [(1, 0.982), (0, 0.018)])
+def test_toxicity_of_one_class(spark, toxic, score):
+    docs = spark.createDataFrame([(1, "a text"), (2, None)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(1, toxic)], "doc_id long, toxic int"))
+    assert [round(r["score"], 3) for r in toxicity.score(docs, model).collect()] == [score] * 2
+
+
+def test_languages_are_bounded(spark):
+    rows = [(k, f"text {k} abc", f"l{k % 3}" if k < 30 else f"junk{k}") for k in range(60)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_langs=4)
+    assert model.langs == ["junk30", "l0", "l1", "l2"]
+
+
 def test_toxicity_gradient_against_differences():
     r = np.random.default_rng(4)
     rows = [sorted(r.choice(12, r.integers(0, 6), replace=False).tolist()) for _ in range(30)]

@@ -83,6 +83,28 @@ def test_stages_take_odd_rows_and_columns(spark, sf, tmp_path):
     assert read("SentencePiece").where("n_tokens = 0").count() == 3
 
 
+def test_stages_take_map_columns(spark, sf):
+    odd_maps = spark.range(40).selectExpr("id AS doc_id", "concat('some words on topic ', id % 20, ' and more words of it ', id % 20) AS text", "'en' AS lang", "CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS source", "0L AS n_chars", "CASE WHEN id % 4 > 0 THEN map('k', array(map(id % 2, 1)), 'j', null) END AS m", "named_struct('x', map(1, 2), 'y', null) AS s", "parse_json('{\"a\": 1}') AS v")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd_maps, sf)
+        assert out.count() > 0, name
+    h = odd_maps.select(*row_hashes(odd_maps.select("m", "s", "v"))).distinct().count()
+    assert h == 3  # null, and maps of two kinds
+
+
+def test_runs_without_a_key_agree(spark, sf):
+    assert spark.conf.get("spark.ridgeline.pii.key", None) is None
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = []
+    for parts in (2, 5):
+        own = docs.repartition(parts)
+        clean = corpus_pipeline.without_personal_data(spark, own, sf)
+        found.append(sorted(map(repr, corpus_pipeline.mixed(spark, clean, sf).collect())))
+    assert found[0] == found[1]
+    other = pii.corpus_key(docs.where("doc_id > 0"))
+    assert pii.corpus_key(docs) == pii.corpus_key(docs.repartition(7)) != other and len(pii.corpus_key(docs.limit(0))) == 32
+
+
 def test_run_leaves_one_stage_table(spark, sf):
     import os
 
