@@ -126,6 +126,8 @@ def block(df: DataFrame, left: Sequence[Column], right: Sequence[Column], weight
 
 def sums(df: DataFrame, columns: Sequence[Column], weight: Column, squares: bool = False) -> np.ndarray:
     """Sums of weight * column, or of weight * column^2, nulls as 0: one pass."""
+    if not columns:
+        return np.zeros(0)
     if len(columns) <= NATIVE_SUMS:
         row = df.agg(*(F.sum(weight * c.cast("double") * c.cast("double") if squares else c.cast("double") * weight).alias(f"s{k}") for k, c in enumerate(columns))).first()
         return np.array([x or 0.0 for x in row])

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline import fit_queries, queries
+from ridgeline import fit_queries, queries, scale_queries  # noqa: F401 (registers its queries)
 from ridgeline.functions import cox
 from ridgeline.functions.glm import Binomial, Gaussian, Poisson, Response, family
 from ridgeline.operators import features as X
