@@ -378,8 +378,12 @@ def gaussian_statistics(frame: FeatureFrame, response: Response) -> dict:
 
 
 def gaussian_from_statistics(stats: dict, names, starts=None, options: Options | None = None) -> PathResult:
-    """A path from the statistics alone; several responses share groups of one feature's K coefficients."""
+    """A path from the statistics alone; several responses share groups of one feature's K coefficients. Statistics without
+    products about the means get them from those about 0, which loses digits where means are large."""
     options = options or Options()
+    if "cxx" not in stats:
+        x, y = stats["x"], stats["y"]
+        stats = stats | {"cxx": stats["xx"] - np.outer(x, x), "cxy": stats["xy"] - np.outer(x, y), "cyy": stats["yy"] - np.outer(y, y)}
     p, K = stats["xy"].shape
     starts = list(range(p)) if starts is None else list(starts)
     sizes = [s * K for s in group_sizes(starts, p)]
