@@ -2,12 +2,13 @@
 
 Rows are first summed by (strata, time): the running sums then see one row per distinct time of a stratum, never
 one row per subject, and are joined back by equality. A stratum's times are dealt out in parts of the time axis,
-whose totals are summed first, so that no task holds a whole stratum; steps of a tie are added up in runs, so that no
-row holds all of them."""
+whose totals are summed first, so that no task holds a whole stratum; the steps of a tie are summed in closed form, so a
+tie of any number of events costs the same."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Sequence
 from functools import cache
 
 import numpy as np
@@ -15,8 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Parts that the time axis is cut into, and steps of a tie that one array holds.
-PARTS, RUN = 256, 10_000
+#: Parts that the time axis is cut into.
+PARTS = 256
+#: Last steps of a tie that are added one by one, the part of the risk mass up to which a power series is used, its terms.
+FEW, LITTLE, TERMS = 16, 0.01, 9
+#: Coefficients (1 - 2^(1-2i)) B_2i / 2i of the midpoint rule for 1/x, and B_2i / (2i)! of power sums (B: Bernoulli numbers).
+MIDPOINT = (1 / 24, -7 / 960, 31 / 8064, -127 / 30720, 511 / 67584)
+CLOSED = (1 / 12, -1 / 720, 1 / 30240, -1 / 1209600)
 
 
 def edges_of(df: DataFrame, at: str = "at") -> DataFrame:
@@ -67,13 +73,80 @@ def at_risk(df: DataFrame, value: Column, start: str = "start", stop: str = "sto
     return running(summed, ["v", "s"], back=True).where("asked = 1").select("strata", "at", (F.col("run_v") - F.col("run_s")).alias("risk"))
 
 
-def steps(n: Column, tie: str, f: Callable[[Column], Column]) -> Column:
-    """Sum of f(share) over the n steps of a tie, share being k / n for k = 0 ... n-1 (Breslow: 0 n times)."""
-    if tie != "efron":
-        return n * f(F.lit(0.0))
-    run = lambda r: F.sequence(r * RUN, F.least(n - 1, r * RUN + (RUN - 1)))
-    inner = lambda r: F.aggregate(run(r), F.lit(0.0), lambda a, k: a + f(k / n))
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / RUN)), F.lit(0.0), lambda a, r: a + inner(r))
+class Ties:
+    """Sums over the n steps of a tie as SQL text over columns: step k has share s = k / n and ``left`` = risk - s * tied;
+    Breslow takes s = 0 n times. ``inverse``, ``share``, ``inverse2``, ``share2``, ``squares2`` and ``log`` are the sums of
+    1 / left, s / left, 1 / left^2, s / left^2, s^2 / left^2 and log(left).
+
+    A tie of any size costs the same. The ``FEW`` last steps, where ``left`` is small, are added one by one; the
+    others by the midpoint rule with its correction terms, in units of tied / n. Where the tie holds little of the risk
+    mass, a power series of that part takes over, whose power sums of k / n have closed forms: no large terms cancel."""
+
+    def __init__(self, n: str, tie: str, risk: str, tied: str):
+        self.n, self.efron, self.risk, self.tied = f"CAST({n} AS DOUBLE)", tie == "efron", risk, tied
+
+    def power_sum(self, m: int) -> str:
+        """Sum of (k / n)^m."""
+        terms = [f"{self.n} / {m + 1}", "0D" if m == 0 else "-0.5D"]
+        for i, c in enumerate(CLOSED):
+            falling = math.prod(range(m, m - 2 * i - 1, -1))
+            if m > 2 * i + 1:
+                terms.append(f"({c * falling!r}D) / power({self.n}, {2 * i + 1})")
+        return "(" + " + ".join(terms) + ")"
+
+    def _sum(self, step: str, series: list[str], smooth: str, breslow: str) -> str:
+        if not self.efron:
+            return f"({breslow})"
+        last = f"aggregate(sequence(CAST(greatest({self.n} - {FEW}, 0) AS BIGINT), CAST({self.n} - 1 AS BIGINT)), 0D, (a, k) -> a + {step})"
+        return f"CASE WHEN {self.n} > {FEW} AND {self.tied} <= {LITTLE}D * {self.risk} THEN {' + '.join(series)} WHEN {self.n} > {FEW} THEN {last} + {smooth} ELSE {last} END"
+
+    @property
+    def _ends(self) -> tuple[str, str, str]:
+        """Number of steps before the last ``FEW``, and the lower and upper end of their range in units of tied / n."""
+        z = f"({self.n} * {self.risk} / {self.tied})"
+        return f"({self.n} - {FEW})", f"({z} - {self.n} + {FEW + 0.5}D)", f"({z} + 0.5D)"
+
+    @property
+    def _left(self) -> str:
+        return f"({self.risk} - k / {self.n} * {self.tied})"
+
+    def _series(self, power: int, first: int) -> list[str]:
+        """Terms of sum s^first / left^power."""
+        q = f"({self.tied} / {self.risk})"
+        return [f"{j + 1 if power == 2 else 1} * power({q}, {j}) * {self.power_sum(j + first)} / power({self.risk}, {power})" for j in range(TERMS)]
+
+    def _inverse(self) -> str:
+        m, lo, hi = self._ends
+        return f"{self.n} / {self.tied} * (log1p({m} / {lo}) + " + " + ".join(f"({c!r}D) * (power({hi}, {-2 * i}) - power({lo}, {-2 * i}))" for i, c in enumerate(MIDPOINT, 1)) + ")"
+
+    def _inverse2(self) -> str:
+        m, lo, hi = self._ends
+        return f"power({self.n} / {self.tied}, 2) * ({m} / ({lo} * {hi}) + " + " + ".join(f"({2 * i * c!r}D) * (power({hi}, {-2 * i - 1}) - power({lo}, {-2 * i - 1}))" for i, c in enumerate(MIDPOINT, 1)) + ")"
+
+    def inverse(self) -> str:
+        return self._sum(f"1 / {self._left}", self._series(1, 0), self._inverse(), f"{self.n} / {self.risk}")
+
+    def share(self) -> str:
+        smooth = f"({self.risk} * {self._inverse()} - {self._ends[0]}) / {self.tied}"
+        return self._sum(f"k / {self.n} / {self._left}", self._series(1, 1), smooth, "0D")
+
+    def inverse2(self) -> str:
+        return self._sum(f"1 / ({self._left} * {self._left})", self._series(2, 0), self._inverse2(), f"{self.n} / ({self.risk} * {self.risk})")
+
+    def share2(self) -> str:
+        smooth = f"({self.risk} * {self._inverse2()} - {self._inverse()}) / {self.tied}"
+        return self._sum(f"k / {self.n} / ({self._left} * {self._left})", self._series(2, 1), smooth, "0D")
+
+    def squares2(self) -> str:
+        smooth = f"({self.risk} * {self.risk} * {self._inverse2()} - 2 * {self.risk} * {self._inverse()} + {self._ends[0]}) / ({self.tied} * {self.tied})"
+        return self._sum(f"k / {self.n} * k / {self.n} / ({self._left} * {self._left})", self._series(2, 2), smooth, "0D")
+
+    def log(self) -> str:
+        m, lo, hi = self._ends
+        smooth = f"({m} * ln({self.tied} / {self.n}) + {lo} * log1p({m} / {lo}) + {m} * ln({hi}) - {m} + " + " + ".join(f"({c / (1 - 2 * i)!r}D) * (power({hi}, {1 - 2 * i}) - power({lo}, {1 - 2 * i}))" for i, c in enumerate(MIDPOINT, 1)) + ")"
+        q = f"({self.tied} / {self.risk})"
+        series = [f"{self.n} * ln({self.risk})", *(f"(-power({q}, {j}) * {self.power_sum(j)} / {j})" for j in range(1, TERMS))]
+        return self._sum(f"ln({self._left})", series, smooth, f"{self.n} * ln({self.risk})")
 
 
 def ties(df: DataFrame, stop: str = "stop", status: str = "status", strata: str = "strata", weight: str = "w", eta: str = "eta") -> DataFrame:
@@ -91,17 +164,14 @@ def hazards(df: DataFrame, tie: str = "efron", **columns: str) -> DataFrame:
     names = {"start": "start", "stop": "stop", "status": "status", "strata": "strata", "weight": "w", "eta": "eta"} | columns
     table = ties(df, names["stop"], names["status"], names["strata"], names["weight"], names["eta"])
     risk = at_risk(df, F.col(names["weight"]) * F.exp(names["eta"]), names["start"], names["stop"], names["strata"])
-    joined = table.join(risk, ["strata", "at"])
-    n, mean = F.col("n").cast("long"), F.col("mean")
-    left = lambda s: F.col("risk") - s * F.col("tied")
-    add = lambda f: mean * steps(n, tie, f)
-    return joined.select(
+    sums, add = Ties("n", tie, "risk", "tied"), lambda x: F.expr(f"mean * ({x})")
+    return table.join(risk, ["strata", "at"]).select(
         "*",
-        add(lambda s: 1.0 / left(s)).alias("a1"),
-        add(lambda s: 1.0 / (left(s) * left(s))).alias("a2"),
-        add(lambda s: s / left(s)).alias("t1"),
-        add(lambda s: s * (2.0 - s) / (left(s) * left(s))).alias("t2"),
-        add(lambda s: F.log(left(s))).alias("loglik"),
+        add(sums.inverse()).alias("a1"),
+        add(sums.inverse2()).alias("a2"),
+        add(sums.share()).alias("t1"),
+        add(f"2 * ({sums.share2()}) - ({sums.squares2()})").alias("t2"),
+        add(sums.log()).alias("loglik"),
     )
 
 
@@ -121,8 +191,7 @@ def loss(df: DataFrame, tie: str = "efron", **columns: str) -> DataFrame:
 def loss_full(df: DataFrame, tie: str = "efron", stop: str = "stop", status: str = "status", strata: str = "strata", weight: str = "w") -> DataFrame:
     """One row ``loss_full``: the limit in which each event's risk set is its tie alone, equal in risk."""
     table = ties(df.withColumn("__eta", F.lit(0.0)), stop, status, strata, weight, "__eta")
-    term = F.col("mean") * steps(F.col("n").cast("long"), tie, lambda s: F.log(F.col("weight") * (1.0 - s)))
-    return table.agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("loss_full"))
+    return table.agg(F.expr(f"coalesce(sum(mean * ({Ties('n', tie, 'weight', 'weight').log()})), 0D)").alias("loss_full"))
 
 
 def gradient(df: DataFrame, tie: str = "efron", **columns: str) -> DataFrame:
@@ -151,16 +220,11 @@ def sums_of(p: int, curved: int) -> int:
 
 
 @cache
-def step_sums(tie: str, run: int) -> tuple[Column, ...]:
-    """The sums over a tie's steps that ``derivatives`` needs, the same in every step of a fit; ``run`` tells apart
-    plans made under another ``RUN``."""
-    count, mean = F.col("n").cast("long"), F.col("weight") / F.col("n")
-    left = lambda s: F.col("risk0") - s * F.col("t0")
-    add = lambda f: mean * steps(count, tie, f)
-    return (
-        add(lambda s: 1.0 / left(s)).alias("a"), add(lambda s: s / left(s)).alias("b"), add(lambda s: 1.0 / (left(s) * left(s))).alias("c"),
-        add(lambda s: s / (left(s) * left(s))).alias("d"), add(lambda s: s * s / (left(s) * left(s))).alias("f"), add(lambda s: F.log(left(s))).alias("loglik"),
-    )
+def step_sums(tie: str) -> tuple[Column, ...]:
+    """The sums over a tie's steps that ``derivatives`` needs, the same in every step of a fit."""
+    sums = Ties("n", tie, "risk0", "t0")
+    named = {"a": sums.inverse(), "b": sums.share(), "c": sums.inverse2(), "d": sums.share2(), "f": sums.squares2(), "loglik": sums.log()}
+    return tuple(F.expr(f"weight / n * ({x})").alias(name) for name, x in named.items())
 
 
 def derivatives(df: DataFrame, columns: list[str], curved: list[int], tie: str = "efron", edges: list[float] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
@@ -185,7 +249,7 @@ def derivatives(df: DataFrame, columns: list[str], curved: list[int], tie: str =
     starts = df.where(F.col("start") > float("-inf")).select("strata", F.col("start").alias("at"), *((-x).alias(k) for x, k in zip(terms, r, strict=True)), *zeros([*t, *e, "n", "weight", "said"]))
     summed = stops.union(starts).groupBy("strata", "at").agg(*(F.sum(c).alias(c) for c in [*r, *t, *e, "n", "weight", "said"]))
     times = running(summed, r, True, edges=edges).select("*", *(F.col(f"run_{c}").alias(f"risk{k}") for k, c in enumerate(r))).where("n > 0")
-    times = times.select("*", *step_sums(tie, RUN))
+    times = times.select("*", *step_sums(tie))
     grad = [F.expr(f"e{j} - a * risk{j + 1} + b * t{j + 1}") for j in range(p)]
     hess = []
     for k, (i, j) in enumerate(pairs, 1 + p):

@@ -1,5 +1,7 @@
 """Fits, folds, diagnostics and estimators on Spark against NumPy; registered queries against their SQL."""
 
+import math
+import time
 from dataclasses import replace
 
 import numpy as np
@@ -160,13 +162,35 @@ def test_running_sums_spread_one_stratum(spark):
     assert cox.running(df.limit(0), ["v"]).isEmpty()
 
 
-def test_steps_of_a_tie_in_runs(spark, monkeypatch):
-    want = sum(1 / (3.0 - 2.0 * k / 95) for k in range(95))
-    for run in (10_000, 10, 95, 19):
-        monkeypatch.setattr(cox, "RUN", run)
-        got = spark.range(1).select(cox.steps(F.lit(95).cast("long"), "efron", lambda s: 1.0 / (3.0 - 2.0 * s)).alias("s")).first()["s"]
-        assert got == pytest.approx(want)
-    assert spark.range(1).select(cox.steps(F.lit(95).cast("long"), "breslow", lambda s: 1.0 / (3.0 - 2.0 * s)).alias("s")).first()["s"] == pytest.approx(95 / 3)
+def test_sums_over_a_tie_in_closed_form(spark):
+    from fractions import Fraction as Q
+
+    cases = [(n, r, t) for n in (1, 2, 16, 17, 95, 1000) for r, t in ((3.0, 3.0), (3.0, 2.0), (3.0, 0.031), (3.0, 0.029), (1e9, 1e-3), (2.0, 0.0))]
+    names = ("inverse", "share", "inverse2", "share2", "squares2", "log")
+    df = spark.createDataFrame(cases, "n long, r double, t double")
+    for tie in ("efron", "breslow"):
+        sums = cox.Ties("n", tie, "r", "t")
+        got = df.select("n", "r", "t", *(F.expr(getattr(sums, x)()).alias(x) for x in names)).collect()
+        assert len(got) == len(cases)
+        for row in got:
+            shares = [Q(k, row["n"]) if tie == "efron" else Q(0) for k in range(row["n"])]
+            left = [Q(row["r"]) - s * Q(row["t"]) for s in shares]
+            want = {
+                "inverse": sum(1 / x for x in map(float, left)), "share": sum(float(s / x) for s, x in zip(shares, left, strict=True)), "inverse2": sum(1 / float(x) ** 2 for x in left),
+                "share2": sum(float(s / x / x) for s, x in zip(shares, left, strict=True)), "squares2": sum(float(s * s / x / x) for s, x in zip(shares, left, strict=True)), "log": sum(math.log(x) for x in map(float, left)),
+            }
+            for x in names:
+                assert row[x] == pytest.approx(want[x], rel=1e-10, abs=1e-300), (tie, row, x)
+
+
+def test_a_tie_of_any_size_costs_the_same(spark):
+    n = 100_000_000
+    sums = cox.Ties("n", "efron", "r", "t")
+    began = time.monotonic()
+    row = spark.createDataFrame([(n, 2.0 * n, 1.0 * n)], "n long, r double, t double").select(F.expr(sums.inverse()).alias("a"), F.expr(sums.log()).alias("l")).first()
+    assert time.monotonic() - began < 10
+    assert row["a"] == pytest.approx(math.log(2), rel=1e-7)  # the integral of 1 / (2 - s)
+    assert row["l"] / n == pytest.approx(math.log(n) + 2 * math.log(2) - 1, rel=1e-7)
 
 
 def test_estimator_params_copies_and_files(spark, tmp_path):
