@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,50 +22,69 @@ from ridgeline.llm.components import connected_components
 WIDTH, SEED = 2.0, 20_240_229
 #: Members of a bucket that hashes aim at for unrelated vectors, and the chance that a pair at the bound meets nowhere.
 AIM, MISS = 1024, 2e-4
-#: Sketch bits, and standard deviations by which a pair at the bound may differ in more of them than it should.
-BITS, SLACK = 128, 5.5
+#: Sketch bits, the width of their cells, and standard deviations by which a pair at the bound may differ in more of them
+#: than it should.
+BITS, CELL, SLACK = 256, 1.5, 4.5
 #: Members of a bucket or family compared in one task; larger ones are dealt out as pairs of blocks.
 BLOCK = 4096
 #: Copies of one vector beyond which it is joined back by broadcast.
 HOT = 1_000_000
 
 
+#: Columns of a sketch.
+SKETCH = [f"s{k}" for k in range(BITS // 64)]
+
+
 def meeting(distance: float, width: float = WIDTH) -> float:
     """Chance that one quantised projection puts two vectors of this distance into one cell."""
     t = width / distance
     return math.erf(t / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * t) * (1 - math.exp(-t * t / 2))
 
 
-def plan(n: int, cosine: float) -> tuple[int, int]:
-    """(tables, hashes of each) for ``n`` vectors: hashes grow with log n, so that buckets of unrelated vectors (at right
-    angles) keep about ``AIM`` members, and tables with n^rho, so that a pair at ``cosine`` still meets with 1 - MISS;
-    rho = log p(near) / log p(far), 0.19 at 0.95. Sketch comparisons are n^(1 + rho) in all, not n^2."""
-    near, far = meeting(max(math.sqrt(max(2 - 2 * cosine, 0.0)), 1e-3)), meeting(math.sqrt(2.0))
+def distance(cosine: float) -> float:
+    return math.sqrt(max(2 - 2 * cosine, 0.0))
+
+
+def plan(n: int, cosine: float, mean_cosine: float = 0.0) -> tuple[int, int]:
+    """(tables, hashes of each) for ``n`` vectors: hashes grow with log n, so that buckets of unrelated vectors, whose
+    cosines average ``mean_cosine``, keep about ``AIM`` members, and tables with n^rho, so that a pair at ``cosine`` still
+    meets with 1 - MISS; rho = log p(near) / log p(far), at 0.95 0.19 for a mean of 0 and 0.27 for 0.5. Sketch comparisons
+    are n^(1 + rho) in all, not n^2. Unrelated vectors are taken to lie at least twice as far apart as a pair at the bound."""
+    near_by = max(distance(cosine), 1e-3)
+    near, far = meeting(near_by), meeting(max(distance(max(mean_cosine, 0.0)), 2 * near_by))
     hashes = max(2, math.ceil(math.log(max(n / AIM, 1.0)) / -math.log(far)))
     return max(1, math.ceil(math.log(MISS) / math.log1p(-(near**hashes)))), hashes
 
 
+def differing(apart: float) -> float:
+    """Chance that a sketch bit differs for two vectors of this distance: the cells of a projection are even or odd."""
+    odd = range(1, 40, 2)
+    return 0.5 - 4 / math.pi**2 * sum(math.exp(-((k * math.pi * apart / CELL) ** 2) / 2) / k**2 for k in odd)
+
+
 def most_bits(cosine: float) -> int:
     """Sketch bits in which a pair at ``cosine`` may differ."""
-    share = math.acos(min(max(cosine, -1.0), 1.0)) / math.pi
+    share = differing(distance(cosine))
     return min(BITS, math.ceil(BITS * share + SLACK * math.sqrt(BITS * share * (1 - share))))
 
 
-def projections(dim: int, tables: int, hashes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+@lru_cache(maxsize=4)
+def projections(dim: int, tables: int, hashes: int) -> tuple[np.ndarray, ...]:
     rng = np.random.default_rng([SEED, dim])
-    sketch = rng.standard_normal((dim, BITS))
-    return rng.standard_normal((dim, tables * hashes)), rng.uniform(0, WIDTH, tables * hashes), rng.integers(1, 1 << 61, (tables, hashes + 1)) | 1, sketch
+    sketch, shift = rng.standard_normal((dim, BITS)), rng.uniform(0, 2 * CELL, BITS)
+    return rng.standard_normal((dim, tables * hashes)), rng.uniform(0, WIDTH, tables * hashes), rng.integers(1, 1 << 61, (tables, hashes + 1)) | 1, sketch, shift
 
 
 def bucket_keys(unit: np.ndarray, tables: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
-    """((rows, tables) bucket keys, (rows, 2) sketches): a key mixes the table, the vector's length and floor((a.v + b) / w)
-    of its projections to 64 bits; a sketch is the signs of other projections."""
-    a, b, mix, sketch = projections(unit.shape[1], tables, hashes)
+    """((rows, tables) bucket keys, (rows, BITS / 64) sketches): a key mixes the table, the vector's length and
+    floor((a.v + b) / w) of its projections to 64 bits; a sketch is the parities of such floors of other projections.
+    Both depend on distances alone, so vectors that share a mean lose nothing."""
+    a, b, mix, sketch, shift = projections(unit.shape[1], tables, hashes)
     cell = np.floor((unit @ a + b) / WIDTH).astype(np.int64).reshape(len(unit), tables, hashes)
     with np.errstate(over="ignore"):
         mixed = (cell * mix[:, :hashes]).sum(axis=2) + mix[:, hashes] * np.int64(unit.shape[1])
         mixed = (mixed ^ mixed >> 29) * np.int64(-7046029254386353131)
-    return mixed ^ mixed >> 32, np.packbits(unit @ sketch > 0, axis=1).view(np.int64)
+    return mixed ^ mixed >> 32, np.packbits(np.floor((unit @ sketch + shift) / CELL).astype(np.int64) & 1 == 1, axis=1).view(np.int64)
 
 
 def unit_length(v: np.ndarray) -> np.ndarray:
@@ -93,7 +113,8 @@ def sketches(tables: int, hashes: int):
         for batch, some, v in stacked(batches):
             keys, bits = bucket_keys(unit_length(v), tables, hashes)
             ids = batch.column("id").to_numpy()[some]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(x, tables)) for x in (ids, bits[:, 0], bits[:, 1]))], ["bucket", "id", "s0", "s1"])
+            for t in range(tables):  # a table at once, so that a batch doesn't grow with their number
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, t]), pa.array(ids), *(pa.array(bits[:, k]) for k in range(len(SKETCH)))], ["bucket", "id", *SKETCH])
 
     return run
 
@@ -112,6 +133,24 @@ def spread(kind: str, tables: int, hashes: int):
     return run
 
 
+def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(dim, n, at, total): of each length that a task meets, the number of unit vectors and their sum by component."""
+    held: dict[int, tuple[int, np.ndarray]] = {}
+    for _, some, v in stacked(batches):
+        n, total = held.get(v.shape[1], (0, 0.0))
+        held[v.shape[1]] = n + len(some), total + unit_length(v).sum(axis=0)
+    for dim, (n, total) in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([dim] * dim), pa.array([n] * dim), pa.array(range(dim), pa.int64()), pa.array(total)], ["dim", "n", "at", "total"])
+
+
+def mean_cosine(nodes: DataFrame) -> float:
+    """Mean cosine over all pairs of vectors of one length, from the sums of their unit vectors: two numbers reach the driver."""
+    by = nodes.select("embedding").mapInArrow(sums, "dim long, n long, at long, total double").groupBy("dim", "at").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    pairs = F.when(F.col("at") == 0, F.col("n").cast("double") * F.col("n"))
+    row = by.agg(F.sum(F.col("total") * F.col("total") - F.when(F.col("at") == 0, F.col("n")).otherwise(0)).alias("cosines"), F.sum(pairs - F.col("n")).alias("pairs")).first()
+    return row["cosines"] / row["pairs"] if row["pairs"] else 0.0
+
+
 def packed(kind: str):
     """(id, times, vector): vectors as bytes of their own precision."""
 
@@ -204,7 +243,7 @@ def kin(most: int):
             if i == j:
                 right = left
             if len(left) and len(right) and len(ids) > 1:
-                found = np.array(spanning(np.stack([rows.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1")], axis=1), left, right), np.int64).reshape(-1, 2)
+                found = np.array(spanning(np.stack([rows.column(c).to_numpy().view(np.uint64) for c in SKETCH], axis=1), left, right), np.int64).reshape(-1, 2)
                 a.append(ids[found[:, 0]])
                 b.append(ids[found[:, 1]])
             if len(a) >= 4096:
@@ -310,8 +349,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     different lengths. Equal vectors are one node with a multiplicity, so copies never meet as pairs; they link with
     one another. Ids are integers; repeated ids count as vectors of their own. An empty table gives an empty table.
 
-    Candidates share a bucket in one of the tables that ``plan`` gives: a pair at the bound is found with probability
-    1 - MISS, closer ones more surely. Buckets hold numbers and sketches, about 35 bytes a vector and table; those of
+    Candidates share a bucket in one of the tables that ``plan`` gives for their number and mean cosine, which is measured
+    over all: a pair at the bound is found with probability 1 - MISS, closer ones more surely. Buckets hold numbers and
+    sketches, about 50 bytes a vector and table; those of
     near sketches are spanned by links, and what these connect is a family. Each vector then moves once, to its family,
     and all pairs there are checked. Families of over ``BLOCK`` vectors are checked bucket by bucket instead, where
     each pair counts in the first table it shares. Buckets over ``BLOCK`` members are dealt out as pairs of blocks, so
@@ -326,9 +366,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     distinct = keyed.groupBy("h1", "h2").agg(F.first("embedding").alias("embedding"), F.min("id").alias("first"), F.count("*").alias("times"))
     # ids may repeat or be null, so nodes carry a number of their own, fixed by the stored table
     nodes, _ = store.put(distinct.withColumn("node", F.monotonically_increasing_id()))
-    tables, hashes = plan(nodes.count(), cosine)
+    tables, hashes = plan(nodes.count(), cosine, mean_cosine(nodes))
     own = nodes.select(F.col("node").alias("id"), "times", "embedding").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    near = dealt(own.mapInArrow(sketches(tables, hashes), "bucket long, id long, s0 long, s1 long"), store, "bucket")
+    near = dealt(own.mapInArrow(sketches(tables, hashes), "bucket long, id long, " + ", ".join(f"{c} long" for c in SKETCH)), store, "bucket")
     family, _ = store.put(connected_components(near.mapInArrow(kin(most_bits(cosine)), "a long, b long"), store).withColumnRenamed("component", "family"))
     sizes = family.groupBy("family").agg(F.count("*").alias("n"))
     members, _ = store.put(family.join(sizes, "family").withColumnRenamed("node", "id"))

@@ -625,6 +625,63 @@ def test_vectors_compare_a_falling_share(n):
     assert pairs <= {1000: 8.0, 4000: 4.5, 16000: 2.0}[n], pairs
 
 
+def around_a_mean(r, n, mean, dim=64):
+    """Unit vectors whose cosines average ``mean``."""
+    v = vectors.unit_length(r.standard_normal((n, dim)))
+    centre = np.zeros(dim)
+    centre[0] = 1.0
+    v = vectors.unit_length(v - v[:, :1] * centre)
+    return math.sqrt(mean) * centre + math.sqrt(1 - mean) * v
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.3, 0.5])
+def test_vectors_that_share_a_mean(mean, monkeypatch):
+    r = np.random.default_rng(8)
+    monkeypatch.setattr(vectors, "AIM", 16)  # as many hashes for these sizes as for 64 times as many vectors
+    compared, moved = [], []
+    for n in (1000, 4000, 16000):
+        tables, hashes = vectors.plan(n, 0.95, mean)
+        keys, bits = vectors.bucket_keys(around_a_mean(r, n, mean), tables, hashes)
+        compared.append(sum((np.unique(keys[:, t], return_counts=True)[1] ** 2).sum() for t in range(tables)) / n)
+        assert compared[-1] < 2 * tables * (vectors.AIM + 1)  # buckets hold about AIM members, as planned
+        a, b = r.integers(0, n, 200_000), r.integers(0, n, 200_000)
+        near = np.bitwise_count(bits[a].view(np.uint64) ^ bits[b].view(np.uint64)).sum(axis=1) <= vectors.most_bits(0.95)
+        moved.append((near & (a != b)).mean())
+    # comparisons of a vector grow with the tables, not with n; no unrelated pair passes for near
+    print(mean, compared)
+    assert compared[2] < 4 * compared[0] and not any(moved), (compared, moved)
+    a = around_a_mean(r, 4000, mean)
+    side = r.standard_normal(a.shape)
+    side = vectors.unit_length(side - (side * a).sum(axis=1, keepdims=True) * a)
+    b = 0.9505 * a + math.sqrt(1 - 0.9505**2) * side
+    tables, hashes = vectors.plan(16000, 0.95, mean)
+    (ka, sa), (kb, sb) = vectors.bucket_keys(a, tables, hashes), vectors.bucket_keys(b, tables, hashes)
+    met = (ka == kb).any(axis=1) & (np.bitwise_count(sa.view(np.uint64) ^ sb.view(np.uint64)).sum(axis=1) <= vectors.most_bits(0.95))
+    assert met.mean() >= 0.998
+
+
+def test_vectors_measure_their_mean_cosine(spark):
+    r = np.random.default_rng(9)
+    v = [*(3.0 * around_a_mean(r, 300, 0.4, 8)).tolist(), *(around_a_mean(r, 100, 0.0, 5)).tolist()]
+    df = spark.createDataFrame([(x,) for x in v], "embedding array<double>").repartition(3)
+    cosines = [vectors.unit_length(np.array(v[a:b])) for a, b in ((0, 300), (300, 400))]
+    pairs = np.concatenate([(u @ u.T)[~np.eye(len(u), dtype=bool)] for u in cosines])
+    assert vectors.mean_cosine(df) == pytest.approx(pairs.mean(), abs=1e-12)
+    assert vectors.mean_cosine(df.limit(0)) == 0.0 and vectors.mean_cosine(df.limit(1)) == 0.0
+
+
+def test_hot_copies_join_back_alike(spark, docs, monkeypatch):
+    r = np.random.default_rng(3)
+    v = r.standard_normal((9, 8))
+    embeddings = spark.createDataFrame([(k, v[k % 9 if k < 40 else 0].tolist()) for k in range(70)], "vec_id long, embedding array<double>")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    want = rows(vectors.near_duplicates(embeddings)), rows(simhash.near_duplicates(docs))
+    for hot in (0, 5):  # all copies, or those of some rows, are joined back by broadcast
+        monkeypatch.setattr(vectors, "HOT", hot)
+        monkeypatch.setattr(simhash, "HOT", hot)
+        assert (rows(vectors.near_duplicates(embeddings)), rows(simhash.near_duplicates(docs))) == want
+
+
 def test_vectors_of_families_of_any_size(spark, monkeypatch):
     r = np.random.default_rng(2)
     centres = r.standard_normal((40, 32))
