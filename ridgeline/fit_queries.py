@@ -672,6 +672,49 @@ def css_swapped(spark, sf_dir):
     return spark.createDataFrame(rows, "loss string, feature int, value double")
 
 
+def _minor(R: str, keys: str, by: str) -> str:
+    """Residual of ``R`` on its column ``by``, which must come after those it is already a residual of."""
+    same = " AND ".join(f"{{0}}.{k} = r.{k}" for k in keys)
+    on = lambda t: (same.format(t) + " AND ") if keys else ""
+    chosen = "".join(f"r.{k}, " for k in keys)
+    after = f" AND d.a > r.{keys[-1]}" if keys else ""
+    return f"SELECT {chosen}d.a AS {by}, r.a, r.b, r.v - x.v * y.v / d.v AS v, d.v AS pivot FROM {R} r JOIN {R} d ON {on('d')}d.a = d.b{after} JOIN {R} x ON {on('x')}x.a = r.a AND x.b = d.a JOIN {R} y ON {on('y')}y.a = r.b AND y.b = d.a"
+
+
+@query(solved(
+    "r0 AS (SELECT i.i AS a, j.j AS b, avg(embedding[i.i + 1]::DOUBLE * embedding[j.j + 1]::DOUBLE) AS v FROM embeddings, range(12) i(i), range(12) j(j) GROUP BY ALL)",
+    f"r1 AS ({_minor('r0', '', 'i')})", f"r2 AS ({_minor('r1', 'i', 'j')})", f"r3 AS ({_minor('r2', 'ij', 'k')})",
+    """t AS (SELECT r.i, r.j, r.k, any_value(p.pivot) * any_value(q.pivot) * any_value(r.pivot) AS det, sum(r.v) AS trace, sum(CASE WHEN r.a IN (r.i, r.j, r.k) THEN 0e0 ELSE ln(r.v) END) AS logs
+ FROM r3 r JOIN r2 q ON q.i = r.i AND q.j = r.j AND q.a = r.a AND q.b = r.a JOIN r1 p ON p.i = r.i AND p.a = r.a AND p.b = r.a WHERE r.a = r.b GROUP BY r.i, r.j, r.k)""",
+    "u AS (SELECT i, j, k, 'least_squares' AS loss, trace AS value FROM t UNION ALL SELECT i, j, k, 'min_det', det FROM t UNION ALL SELECT i, j, k, 'subset_factor', ln(det) + logs FROM t)",
+    select="SELECT loss, i || ',' || j || ',' || k AS members, round(value, 8) AS value FROM u QUALIFY row_number() OVER (PARTITION BY loss ORDER BY value, i, j, k) = 1",
+))
+def css_swapped_triples(spark, sf_dir):
+    """The best three of twelve components: swapping from twelve starts against all 220 triples in SQL."""
+    S, rows = emb_cov(spark, sf_dir)[:12, :12], []
+    for loss in css.LOSSES:
+        found = [css.css_cov(S, subset=[k, (k + 1) % 12, (k + 5) % 12], method="swapping", loss=loss) for k in range(12)]
+        value, own = min((css.loss_of(S, sorted(own), loss), sorted(own)) for own in found)
+        rows.append((loss, ",".join(map(str, own)), round(value, 8)))
+    return spark.createDataFrame(rows, "loss string, members string, value double")
+
+
+MODEL_X = ("l_quantity + 100 * l_discount", "l_quantity - 100 * l_tax", "l_quantity", "2 * l_quantity + l_linenumber")
+
+
+@query(f"""WITH x AS (SELECT [{', '.join(f'({x})::DOUBLE' for x in MODEL_X)}] AS x FROM lineitem), s AS (SELECT i, j, covar_pop(x[i + 1], x[j + 1]) AS v FROM x, range(4) a(i), range(4) b(j) GROUP BY ALL),
+q AS (SELECT d.i, ln(any_value(d.v)) + sum(CASE WHEN c.j = d.i THEN 0e0 ELSE ln(o.v - c.v * c.v / d.v) END) AS loss FROM s d JOIN s c ON c.i = d.i JOIN s o ON o.i = c.j AND o.j = c.j WHERE d.i = d.j GROUP BY d.i)
+SELECT 1::INT AS size, i::INT AS member, round(loss, 6) AS loss FROM q QUALIFY row_number() OVER (ORDER BY loss, i) = 1""")
+def css_model(spark, sf_dir):
+    """Four centred columns that share the quantity and nothing else: the test must stop at one member, the quantity."""
+    lines, columns = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), [F.expr(f"CAST({x} AS DOUBLE)") for x in MODEL_X]
+    means = lines.agg(*(F.avg(x).alias(f"m{k}") for k, x in enumerate(columns))).first()
+    frame = X.dense(lines, [(f"x{k}", x - float(m)) for k, (x, m) in enumerate(zip(columns, means, strict=True))])
+    model = css.CSSModelSelection(1e-4, n_inits=3, n_sims=20_000, seed=4).fit(frame)
+    rows = [(len(model.subset_), j, round(-model.score(frame), 6)) for j in model.subset_]
+    return spark.createDataFrame(rows, "size int, member int, loss double")
+
+
 # --- products -----------------------------------------------------------------------------------------------
 @query("WITH " + L_SQL + " SELECT 0::INT AS j, round(avg(x2 * y), 8) AS v FROM lin UNION ALL SELECT 1::INT, round(avg(x0 * (y + 2e0 * x1)), 8) FROM lin")
 def column_products(spark, sf_dir):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.operators.features import FeatureFrame
@@ -88,12 +91,38 @@ def css_cov(S: np.ndarray, subset_size: int | None = None, subset=None, method:
     raise RuntimeError("max cycles reached")
 
 
+#: Simulated values that one task draws.
+BLOCK = 1000
+
+
+def search(S: np.ndarray, seed: int, k: int, start: int) -> list[int]:
+    """Best subset of ``k`` columns that swapping reaches from a random one, which ``seed``, ``k`` and ``start`` fix."""
+    first = np.random.default_rng([seed, 0, k, start]).choice(len(S), k, replace=False).tolist()
+    return css_cov(S, subset=first, method="swapping", loss="subset_factor")
+
+
+def simulated(n: int, p: int, k: int, seed: int, block: int, size: int) -> np.ndarray:
+    """``size`` values of the statistic under exact reconstruction from ``k`` columns, the ``block``-th ones.
+
+    Columns left over are independent given the subset: residuals of one another by growing sets of regressors compare
+    chi-square variables of j and n - k - j - 1 degrees of freedom (the mean takes one)."""
+    rng = np.random.default_rng([seed, 1, k, block])
+    stat = np.zeros(size)
+    for j in range(1, p - k):
+        inner = rng.chisquare(max(n - k - j - 1, 1), size)
+        stat += np.log1p(rng.chisquare(j, size) / inner)
+    return stat
+
+
 @dataclass
 class CSSModelSelection:
     """Smallest subset that a finite-sample test for Gaussian features doesn't reject.
 
     For k = 0, 1, ... the statistic of the best subset (swapping from ``n_inits`` random starts, subset-factor loss)
-    is compared with the 1 - alpha quantile of its simulated law under exact reconstruction."""
+    is compared with the 1 - alpha quantile of its simulated law under exact reconstruction. ``fit`` takes second moments
+    about 0, so columns should have mean 0. The first start that
+    isn't rejected is taken. With a session, starts and blocks of simulated values are tasks that share the broadcast
+    covariance, p x p numbers; draws are fixed by seed, k and number, so the choice is the same without one."""
 
     alpha: float
     n_inits: int = 1
@@ -103,34 +132,48 @@ class CSSModelSelection:
 
     def fit(self, frame: FeatureFrame) -> CSSModelSelection:
         full = cross(frame.df, [F.lit(1.0), *frame.columns])
-        return self.fit_cov(full[1:, 1:] / full[0, 0], int(full[0, 0]))
-
-    def cutoff(self, n: int, p: int, k: int, rng: np.random.Generator) -> float:
-        """Columns left over are independent given the subset: residuals of one another by growing sets of
-        regressors compare chi-square variables of j and n - k - j - 1 degrees of freedom (the mean takes one)."""
-        stat = np.zeros(self.n_sims)
-        for j in range(1, p - k):
-            inner = rng.chisquare(max(n - k - j - 1, 1), self.n_sims)
-            stat += np.log1p(rng.chisquare(j, self.n_sims) / inner)
-        return float(np.quantile(stat, 1 - self.alpha))
-
-    def fit_cov(self, S: np.ndarray, n: int) -> CSSModelSelection:
+        return self.fit_cov(full[1:, 1:] / full[0, 0], int(full[0, 0]), frame.df.sparkSession)
+
+    def _blocks(self) -> list[int]:
+        return [min(BLOCK, self.n_sims - at) for at in range(0, self.n_sims, BLOCK)]
+
+    def _tasks(self, spark: SparkSession, S: np.ndarray, n: int, k: int, seed: int, starts: int) -> tuple[list[list[int]], np.ndarray]:
+        """Subsets by start and simulated values, one task for each start and block."""
+        shared, blocks, p = spark.sparkContext.broadcast(S), self._blocks(), len(S)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for job in (x for batch in batches for x in batch.column("id").to_pylist()):
+                own = search(shared.value, seed, k, job) if job < starts else []
+                drawn = [] if job < starts else simulated(n, p, k, seed, job - starts, blocks[job - starts])
+                yield pa.RecordBatch.from_arrays([pa.array([job], pa.int64()), pa.array([own], pa.list_(pa.int32())), pa.array([list(drawn)], pa.list_(pa.float64()))], ["job", "subset", "drawn"])
+
+        jobs = starts + len(blocks)
+        rows = spark.range(0, jobs, 1, jobs).mapInArrow(run, "job long, subset array<int>, drawn array<double>").collect()
+        shared.unpersist()
+        rows.sort(key=lambda r: r["job"])
+        return [list(r["subset"]) for r in rows[:starts]], np.concatenate([r["drawn"] for r in rows[starts:]])
+
+    def fit_cov(self, S: np.ndarray, n: int, spark: SparkSession | None = None) -> CSSModelSelection:
         S = np.asarray(S, float)
-        p, rng = len(S), np.random.default_rng(self.seed)
+        p = len(S)
+        seed = int(np.random.default_rng().integers(1 << 62)) if self.seed is None else self.seed
         sign, logdet = np.linalg.slogdet(S)
         if sign <= 0:
             raise ValueError("S must be positive definite")
         for k in range(p):
-            starts = [[]] if k == 0 else [rng.choice(p, k, replace=False).tolist() for _ in range(1 if k == 1 else self.n_inits)]
-            limit = self.cutoff(n, p, k, rng)
-            found = []
-            for start in starts:
-                own = css_cov(S, subset=start, method="swapping", loss="subset_factor")
-                found.append((loss_of(S, own, "subset_factor") - logdet, own))
-                if found[-1][0] <= limit:
+            starts = 1 if k < 2 else self.n_inits
+            if spark is None:
+                found = (search(S, seed, k, i) for i in range(starts))
+                drawn = np.concatenate([simulated(n, p, k, seed, b, size) for b, size in enumerate(self._blocks())])
+            else:
+                found, drawn = self._tasks(spark, S, n, k, seed, starts)
+            limit, best = float(np.quantile(drawn, 1 - self.alpha)), (np.inf, [])
+            for own in found:
+                best = min(best, (loss_of(S, own, "subset_factor") - logdet, own))
+                if best[0] <= limit:
                     break
-            stat, self.subset_ = min(found)
-            if stat <= limit or k == p - 1:
+            self.subset_ = best[1]
+            if best[0] <= limit or k == p - 1:
                 break
         return self
 

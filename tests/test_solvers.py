@@ -185,3 +185,18 @@ def test_subset_model_selection():
     full = np.column_stack([x, x @ RNG.standard_normal((2, 3)) + 0.3 * RNG.standard_normal((400, 3))])
     model = css.CSSModelSelection(alpha=0.05, n_inits=10, n_sims=2000, seed=1).fit_cov(full.T @ full / 400, 400)
     assert 1 <= len(model.subset_) <= 3
+
+
+def test_css_starts_as_tasks_choose_alike(spark):
+    r = np.random.default_rng(6)
+    z = r.standard_normal((500, 3))
+    full = np.hstack([z, z @ r.standard_normal((3, 5)) + 0.3 * r.standard_normal((500, 5))])
+    S = full.T @ full / 500
+    for alpha, starts, sims in ((0.05, 6, 2500), (0.5, 2, 300)):
+        alone = css.CSSModelSelection(alpha, starts, sims, seed=3).fit_cov(S, 500)
+        assert alone.subset_ == css.CSSModelSelection(alpha, starts, sims, seed=3).fit_cov(S, 500, spark).subset_
+    assert sorted(alone.subset_) and css.search(S, 3, 3, 1) == css.search(S, 3, 3, 1)
+    # residual variances of independent columns by growing regressions give the simulated law
+    stats = [-np.linalg.slogdet(np.corrcoef(r.standard_normal((40, 4)).T))[1] for _ in range(4000)]
+    drawn = np.concatenate([css.simulated(40, 4, 0, 1, b, 1000) for b in range(4)])
+    assert np.quantile(stats, 0.9) == pytest.approx(np.quantile(drawn, 0.9), rel=0.06)
