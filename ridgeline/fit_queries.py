@@ -429,11 +429,33 @@ def interpolated_coefficients(spark, sf_dir):
     return spark.createDataFrame(rows, "k int, b0 double, b1 double, b2 double")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {lm}e0, {d}e0, {sum(x != 0 for x in b)}, {s}, {sum(abs(x) for x in b)}e0)" for i, (lm, d, b, s) in enumerate(zip(GIVEN_LMDAS, (0.0, 0.2, 0.3), GIVEN_BETAS, (0, 2, 3), strict=True))) + ") t(lmda_idx, lmda, dev, active_size, screen_size, total)")
+#: One column's lasso path in closed form: coefficient ``b``, explained share ``dev`` at six values down to a tenth of the largest.
+ONE_SQL = f"""{ORD_SQL}, m AS (SELECT avg(a) AS ma, avg(y) AS my FROM ord), s AS (SELECT avg((a - ma) * (y - my)) AS c, avg((a - ma) * (a - ma)) AS v, avg((y - my) * (y - my)) AS yy FROM ord, m),
+lam AS (SELECT i, abs(c) * exp(ln(0.1e0) * i / 5e0) AS lam FROM s, range(6) t(i)), one AS (SELECT i, lam, sign(c) * (abs(c) - lam) / v AS b, (c * c - lam * lam) / (v * yy) AS dev FROM lam, s)"""
+
+
+def one_column_fit(spark, sf_dir) -> tuple[X.FeatureFrame, Response, path.PathResult]:
+    frame, response = X.dense(orders_frame(spark, sf_dir).df, ["a"]), Response(Gaussian(), ("y",))
+    return frame, response, path.grpnet(frame, response, path.Options(lmda_path_size=6, min_ratio=0.1, early_exit=False))
+
+
+@query(f"WITH {ONE_SQL} SELECT i::INT AS lmda_idx, round(lam, 9) AS lmda, round(dev, 8) + 0e0 AS dev, (i > 0)::INT AS active_size, round(abs(b), 8) + 0e0 AS total FROM one")
 def plot_tables(spark, sf_dir):
-    d = diagnostic.Diagnostic(orders_frame(spark, sf_dir), Response(Gaussian(), ("y",)), given_path())
+    """What the plots of a fitted path show."""
+    d = diagnostic.Diagnostic(*one_column_fit(spark, sf_dir))
     beta = d.coefficients_table(spark).groupBy("lmda_idx").agg(F.sum(F.abs("beta")).alias("total"))
-    return d.devs_table(spark).join(d.set_sizes_table(spark).drop("lmda"), "lmda_idx").join(beta, "lmda_idx", "left").select("lmda_idx", "lmda", "dev", "active_size", "screen_size", F.coalesce("total", F.lit(0.0)).alias("total"))
+    both = d.devs_table(spark).join(d.set_sizes_table(spark).drop("lmda"), "lmda_idx").join(beta, "lmda_idx", "left")
+    return both.select("lmda_idx", F.round("lmda", 9).alias("lmda"), (F.round("dev", 8) + 0.0).alias("dev"), "active_size", r6(F.coalesce("total", F.lit(0.0)), "total"))
+
+
+@query(f"WITH {ONE_SQL} SELECT p.i::INT AS k, round((p.b + 3 * q.b) / 4, 8) + 0e0 AS b, round(my - ma * (p.b + 3 * q.b) / 4, 7) + 0e0 AS intercept FROM one p JOIN one q ON q.i = p.i + 1, m")
+def coefficients_between(spark, sf_dir):
+    """Coefficients three quarters of the way from each value of lambda to the next one."""
+    fit, rows = one_column_fit(spark, sf_dir)[2], []
+    for k in range(5):
+        b, a = diagnostic.coefficient(0.25 * float(fit.lmdas[k]) + 0.75 * float(fit.lmdas[k + 1]), fit)
+        rows.append((k, round(float(b[0]), 8) + 0.0, round(float(np.ravel(a)[0]), 7) + 0.0))
+    return spark.createDataFrame(rows, "k int, b double, intercept double")
 
 
 @query(f"WITH {ORD_SQL}, m AS (SELECT avg(a) AS ma, avg(y) AS my FROM ord), s AS (SELECT avg((a - ma) * (y - my)) / (avg((a - ma) * (a - ma)) + 0.1e0) AS b FROM ord, m) SELECT o_orderkey, round(my + s.b * (a - ma), 6) AS prediction FROM ord, m, s")
