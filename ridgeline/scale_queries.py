@@ -104,13 +104,13 @@ def packed_lasso_path(spark, sf_dir):
 
 
 # --- sparse rows and categories -----------------------------------------------------------------------------
-@query("SELECT l_partkey::INT AS j, round(sum(l_quantity * o_totalprice) / 1e6, 6) AS value FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_partkey")
+@query("SELECT l_partkey::INT AS j, round(sum(l_quantity * o_totalprice) / 1e6, 8) AS value FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_partkey")
 def sparse_products(spark, sf_dir):
     """A column per part, a row per order; positions are part keys."""
     lines, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
     keep = orders.select(F.col("o_orderkey").alias("row_id"), (F.col("o_totalprice") / 1e6).alias("v"))
     cells = lines.select(F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("col_id"), F.col("l_quantity").alias("value"))
-    return SparseRows.of(cells, 1 << 31, keep=keep).tmul(F.col("v")).select("j", r6(F.col("value"), "value", 6))
+    return SparseRows.of(cells, 1 << 31, keep=keep).tmul(F.col("v")).select("j", r6(F.col("value"), "value", 8))
 
 
 SPARSE_X = ", ".join(f"coalesce(sum(l_quantity) FILTER (l_suppkey % 8 = {k}), 0)::DOUBLE / 10 AS x{k}" for k in range(8))
