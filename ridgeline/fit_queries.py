@@ -374,6 +374,35 @@ def cv_logit(spark, sf_dir):
     return out.select("fold", "lmda_idx", r6(F.col("lmda"), "lmda", 7), r6(F.col("loss"), "loss", 5))
 
 
+def cv_cox_sql(n: int, ratio: float, sweeps: int) -> str:
+    """CTEs up to ``loss`` (fold, i, lam, loss): Breslow fits of three folds' training rows on the grid of all (f = 3)."""
+    xj = "CASE k % 2 WHEN 0 THEN x0 ELSE x1 END"
+    back = "OVER (PARTITION BY f, i, strata ORDER BY tm DESC)"
+    terms = lambda keys, x, e, source: f"SELECT {keys}, strata, tm, sum(sw * exp({e})) AS r0, sum(sw * exp({e}) * {x}) AS r1, sum(sw * exp({e}) * {x} * {x}) AS r2, sum(ew) AS ew, sum(ew * {x}) AS ex FROM {source} GROUP BY ALL"
+    totals = lambda keys, inner: f"SELECT {keys}, sum(ex - CASE WHEN ew > 0 THEN ew * c1 / c0 ELSE 0e0 END) AS g, sum(CASE WHEN ew > 0 THEN ew * (c2 / c0 - (c1 / c0) * (c1 / c0)) ELSE 0e0 END) AS h FROM (SELECT *, sum(r0) {back} AS c0, sum(r1) {back} AS c1, sum(r2) {back} AS c2 FROM ({inner}) q) q2 GROUP BY ALL"
+    zero = [totals("f, i", terms("f, 0 AS i", x, "0e0", "ev WHERE f = 3")) for x in ("x0", "x1")]
+    eta = "(b0 * x0 + b1 * x1)"
+    return f"""tot AS (SELECT f, count(*)::DOUBLE AS n FROM surv, range(4) t(f) WHERE f = 3 OR part <> f GROUP BY f),
+ev AS (SELECT f, strata, tm, x0, x1, sum(sw) / any_value(n) AS sw, sum(ew) / any_value(n) AS ew FROM (SELECT part, strata, stop AS tm, x0, x1, 1e0 AS sw, status::DOUBLE AS ew FROM surv UNION ALL SELECT part, strata, begin, x0, x1, -1e0, 0e0 FROM surv) q JOIN tot ON f = 3 OR part <> f GROUP BY f, strata, tm, x0, x1),
+top AS (SELECT greatest(abs((SELECT g FROM ({zero[0]}) z0)), abs((SELECT g FROM ({zero[1]}) z1))) AS top),
+run AS (SELECT 0 AS k, f, i, top * exp(ln({ratio}e0) * i / {n - 1}e0) AS lam, 0e0 AS b0, 0e0 AS b1 FROM top, range(3) u(f), range({n}) t(i) UNION ALL
+ SELECT k + 1, f, i, lam, {", ".join(f"CASE WHEN k % 2 = {j} THEN sign(h * b{j} + g) * greatest(abs(h * b{j} + g) - lam, 0) / h ELSE b{j} END" for j in (0, 1))}
+ FROM ({totals("k, f, i, lam, b0, b1", terms("k, run.f, i, lam, b0, b1", xj, "b0 * x0 + b1 * x1", f"run JOIN ev USING (f) WHERE k < {sweeps * 2}"))}) q3),
+fit AS (SELECT f, i, lam, b0, b1 FROM run WHERE k = {sweeps * 2}),
+own AS (SELECT f, i, lam, s, sum(CASE WHEN ew > 0 THEN ew * ln(c0) ELSE 0e0 END - said) AS loss FROM (SELECT *, sum(r0) OVER (PARTITION BY f, i, s, strata ORDER BY tm DESC) AS c0
+ FROM (SELECT fit.f, i, lam, ev.f AS s, strata, tm, sum(sw * exp{eta}) AS r0, sum(ew) AS ew, sum(ew * {eta}) AS said FROM fit JOIN ev ON ev.f = 3 OR ev.f = fit.f GROUP BY ALL) q4) q5 GROUP BY ALL),
+loss AS (SELECT a.f AS fold, a.i, a.lam, (a.loss - tf.n / t3.n * b.loss) / (1e0 - tf.n / t3.n) AS loss FROM own a JOIN own b ON a.s = 3 AND b.s = a.f AND b.f = a.f AND a.i = b.i JOIN tot tf ON tf.f = a.f JOIN tot t3 ON t3.f = 3)"""
+
+
+@query(solved(COX_BASE.replace("AS strata,", "AS strata, (l_orderkey % 3)::INT AS part,", 1), cv_cox_sql(4, 0.2, 25), select="SELECT fold::INT AS fold, i::INT AS lmda_idx, round(lam, 7) AS lmda, round(loss, 5) AS loss FROM loss"))
+def cv_cox(spark, sf_dir):
+    df = survival(spark, sf_dir).select("start", "stop", "status", "strata", "w", F.col("x1").alias("x0"), F.when(F.col("x0") > 0.5, 1.0).otherwise(0.0).alias("x1"), (F.col("start") % 3).cast("int").alias("part"))
+    response = Response(family("cox", tie="breslow"), weight="w", start="start", stop="stop", status="status", strata="strata")
+    result = cv_grpnet(X.dense(df, ["x0", "x1"]), response, n_folds=3, options=path.Options(lmda_path_size=4, min_ratio=0.2, early_exit=False), folds="part")
+    out = result.loss_table(spark)
+    return out.select("fold", "lmda_idx", r6(F.col("lmda"), "lmda", 7), r6(F.col("loss"), "loss", 5))
+
+
 # --- diagnostics of a path that is given, not fitted ----------------------------------------------------------
 GIVEN_LMDAS, GIVEN_BETAS, GIVEN_INTER = (0.4, 0.2, 0.1), ((0.0, 0.0, 0.0), (0.25, 0.0, -0.5), (0.5, -0.25, -0.75)), (0.3, 0.2, 0.1)
 

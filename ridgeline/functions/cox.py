@@ -9,9 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import cache
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,18 +28,10 @@ def edges_of(df: DataFrame, at: str = "at") -> DataFrame:
     return df.agg(F.percentile_approx(at, [k / PARTS for k in range(1, PARTS)], 10 * PARTS).alias("edges"))
 
 
-@cache
-def fixed(values: tuple[float, ...]) -> Column:
-    """An array of constants, made of one text: a literal for each takes a call to the JVM for each."""
-    if not values:
-        return F.array().cast("array<double>")
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
-
-
-def running(df: DataFrame, names: Sequence[str], back: bool = False, keys: Sequence[str] = ("strata",), edges: list[float] | None = None) -> DataFrame:
+def running(df: DataFrame, names: Sequence[str], back: bool = False, keys: Sequence[str] = ("strata",)) -> DataFrame:
     """``df``, which has one row for each (keys, at), with ``run_<name>``: sums over the rows of its keys at times up to
-    its own, or with ``back`` from its own on. ``edges`` may be given where they are known."""
-    cuts = edges_of(df).scalar() if edges is None else fixed(tuple(sorted({float(e) for e in edges})))
+    its own, or with ``back`` from its own on."""
+    cuts = edges_of(df).scalar()
     parted = df.withColumn("__cuts", cuts).withColumn("__part", F.coalesce(F.size(F.filter("__cuts", lambda e: e < F.col("at"))), F.lit(0))).drop("__cuts")
     turn = (lambda c: F.col(c).desc()) if back else (lambda c: F.col(c).asc())
     totals = parted.groupBy(*keys, "__part").agg(*(F.sum(c).alias(f"t_{c}") for c in names))
@@ -212,52 +202,3 @@ def gradient(df: DataFrame, tie: str = "efron", **columns: str) -> DataFrame:
     grad = F.when(event, w).otherwise(0.0) - mass * first
     hess = mass * first - mass * mass * second
     return joined.select(*(df[c] for c in df.columns), grad.alias("grad"), hess.alias("hess"))
-
-
-def sums_of(p: int, curved: int) -> int:
-    """Number of sums per event time that ``derivatives`` needs."""
-    return 1 + p + curved * (curved + 1) // 2
-
-
-@cache
-def step_sums(tie: str) -> tuple[Column, ...]:
-    """The sums over a tie's steps that ``derivatives`` needs, the same in every step of a fit."""
-    sums = Ties("n", tie, "risk0", "t0")
-    named = {"a": sums.inverse(), "b": sums.share(), "c": sums.inverse2(), "d": sums.share2(), "f": sums.squares2(), "loglik": sums.log()}
-    return tuple(F.expr(f"weight / n * ({x})").alias(name) for name, x in named.items())
-
-
-def derivatives(df: DataFrame, columns: list[str], curved: list[int], tie: str = "efron", edges: list[float] | None = None) -> tuple[np.ndarray, np.ndarray, float]:
-    """(negative gradient, second derivatives of the ``curved`` columns, loss) by the coefficients of ``columns``.
-
-    ``df`` holds them with start, stop, status, strata, w and eta. Each row adds its risk mass and the mass times its
-    columns and their products at its stop time and takes them away at its start time; these sums by (strata, time),
-    combined before their shuffle, and running sums over the distinct times of a stratum give all three. ``edges``
-    are the times that part the axis, where known. No row is
-    joined back. An empty table gives zeros."""
-    mass, event = F.col("w") * F.exp("eta"), (F.col("status") == 1) & (F.col("w") > 0)
-    pairs = [(i, j) for a, i in enumerate(curved) for j in curved[a:]]
-    terms = [mass, *(mass * F.col(c) for c in columns), *(mass * F.col(columns[i]) * F.col(columns[j]) for i, j in pairs)]
-    n, p = len(terms), len(columns)
-    zeros = lambda names: [F.lit(0.0).alias(x) for x in names]
-    r, t, e = [f"r{k}" for k in range(n)], [f"t{k}" for k in range(n)], [f"e{k}" for k in range(p)]
-    own = lambda x: F.when(event, x).otherwise(0.0)
-    stops = df.select(
-        "strata", F.col("stop").alias("at"), *(x.alias(k) for x, k in zip(terms, r, strict=True)), *(own(x).alias(k) for x, k in zip(terms, t, strict=True)),
-        *(own(F.col("w") * F.col(c)).alias(k) for c, k in zip(columns, e, strict=True)), own(F.lit(1.0)).alias("n"), own(F.col("w")).alias("weight"), own(F.col("w") * F.col("eta")).alias("said"),
-    )
-    starts = df.where(F.col("start") > float("-inf")).select("strata", F.col("start").alias("at"), *((-x).alias(k) for x, k in zip(terms, r, strict=True)), *zeros([*t, *e, "n", "weight", "said"]))
-    summed = stops.union(starts).groupBy("strata", "at").agg(*(F.sum(c).alias(c) for c in [*r, *t, *e, "n", "weight", "said"]))
-    times = running(summed, r, True, edges=edges).select("*", *(F.col(f"run_{c}").alias(f"risk{k}") for k, c in enumerate(r))).where("n > 0")
-    times = times.select("*", *step_sums(tie))
-    grad = [F.expr(f"e{j} - a * risk{j + 1} + b * t{j + 1}") for j in range(p)]
-    hess = []
-    for k, (i, j) in enumerate(pairs, 1 + p):
-        i, j = i + 1, j + 1
-        hess.append(F.expr(f"a * risk{k} - b * t{k} - (c * risk{i} * risk{j} - d * (risk{i} * t{j} + t{i} * risk{j}) + f * t{i} * t{j})"))
-    row = times.agg(*(F.sum(x).alias(f"s{k}") for k, x in enumerate([*grad, *hess, F.col("loglik") - F.col("said")]))).first()
-    found = [x or 0.0 for x in row]
-    H, where = np.zeros((len(curved), len(curved))), {i: k for k, i in enumerate(curved)}
-    for (i, j), x in zip(pairs, found[p:-1], strict=True):
-        H[where[i], where[j]] = H[where[j], where[i]] = x
-    return np.array(found[:p]), H, float(found[-1])

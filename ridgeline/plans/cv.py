@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ridgeline.functions import cox
 from ridgeline.functions.glm import Cox, Response
 from ridgeline.operators.features import FeatureFrame
 from ridgeline.functions.special import Columns
@@ -94,8 +93,7 @@ def cv_grpnet(frame: FeatureFrame, response: Response, key: str | None = None, n
     penalties and alpha of ``options`` hold for the grid as well as for the folds; links are kept. The loss of
     a fold is that of all rows less that of its training rows, over the held-out weight. Gaussian fits take one pass
     for the statistics of all folds; other families fit all folds in lockstep, with as many passes as the longest of them,
-    and then score all folds and values in one pass. Cox fits go fold by fold and are scored in two passes, over all rows
-    and over each fold's training rows. A path that ends early raises."""
+    and then score all folds and values in one pass; Cox fits take two passes for each of these. A path that ends early raises."""
     options = options or Options(min_ratio=1e-1, early_exit=False)
     base = replace(options, early_exit=False)
     if options.missing == "drop":
@@ -174,7 +172,7 @@ class Lockstep:
 
 
 class _Fold(GlmData):
-    """The training rows of one fold of ``data``: questions go to ``ask``."""
+    """The training rows of one fold of ``data``: questions go to ``ask``. ``full``: the loss of their full model."""
 
     def __init__(self, data: GlmData, fold: int, share: float, full: float, ask: Callable):
         self.__dict__.update(data.__dict__, fold=fold, scale=1.0 / share if share > 0 else 0.0, full=full, ask=ask)
@@ -184,86 +182,71 @@ class _Fold(GlmData):
         return self.ask(Ask(beta.copy(), np.array(inter), list(columns), list(curved), self.fold, self.scale))
 
     def loss_full(self) -> float:
-        return self.full * self.scale
+        return self.full
 
 
 def _glm_cv(dealt: FeatureFrame, response: Response, n_folds: int, options: Options) -> tuple[np.ndarray, np.ndarray]:
-    if isinstance(response.family, Cox):
-        return _cox_cv(dealt, response, n_folds, options)
-    data = GlmData(dealt, response, options, centred=options.intercept)
-    data.table = data.with_column("fold")
+    is_cox = isinstance(response.family, Cox)
+    data = GlmData(dealt, response, options, centred=options.intercept or is_cox)
+    data.table, data.more = data.with_column("fold"), ("fold",)
     data.keep()
     try:
-        ys = [F.col(f"y{k}") for k in range(len(response.y))]
-        full = response.family.loss_full(ys if getattr(response.family, "multi", False) else ys[0], F.col("w"), Columns)
-        rows = {r["fold"]: r for r in data.table.groupBy("fold").agg(F.sum("w").alias("w"), F.sum(full).alias("full")).collect()}
-        held = np.array([rows[f]["w"] if f in rows else 0.0 for f in range(n_folds)])
-        fulls = np.array([rows[f]["full"] if f in rows else 0.0 for f in range(n_folds)])
+        rows = {r["fold"]: r["w"] for r in data.table.groupBy("fold").agg(F.sum("w").alias("w")).collect()}
+        held = np.array([rows.get(f) or 0.0 for f in range(n_folds)])
+        full = _full_losses(data, held)
         grid = _grid(options, _glm_path(data, replace(options, lmda_path=None, lmda_path_size=1)).lmda_max)
 
         def fit(f: int) -> Callable:
             def work(ask: Callable) -> PathResult:
-                data_f = _Fold(data, f, 1.0 - held[f], fulls.sum() - fulls[f], ask)
+                data_f = _Fold(data, f, 1.0 - held[f], full[f], ask)
                 found = _glm_path(data_f, replace(options, lmda_path=lambda top: _with_larger(options, top, grid)))
                 return _settled(found, len(_with_larger(options, found.lmda_max, grid)))
 
             return work
 
-        answer = lambda asks: moments(data.table, data.family, data.K, asks, bool(response.offsets), options.newton_most, data.tasks)
+        answer = data.cox_answer if is_cox else lambda asks: moments(data.table, data.family, data.K, asks, bool(response.offsets), options.newton_most, data.tasks)
         fits = Lockstep(answer).run([fit(f) for f in range(n_folds)])
         found = [[coefficient(float(lm), own) for lm in grid] for own in fits]
         betas = np.array([[b for b, _ in own] for own in found])
-        inters = np.array([[np.atleast_1d(a) for _, a in own] for own in found]) + data.shift(betas)
-        sums = path_moments(data.table, data.family, dealt.p, data.K, betas, inters, "fold", data.tasks)[0]
+        if is_cox:
+            sums = _cox_losses(data, held, betas)
+        else:
+            inters = np.array([[np.atleast_1d(a) for _, a in own] for own in found]) + data.shift(betas)
+            sums = path_moments(data.table, data.family, dealt.p, data.K, betas, inters, "fold", data.tasks)[0]
         return grid, np.where(held[:, None] > 0, sums / np.where(held > 0, held, 1.0)[:, None], 0.0)
     finally:
         data.release()
 
 
-def _cox_cv(dealt: FeatureFrame, response: Response, n_folds: int, options: Options) -> tuple[np.ndarray, np.ndarray]:
-    weight = F.lit(1.0) if response.weight is None else F.col(response.weight).cast("double")
-    dealt = replace(dealt, df=dealt.df.withColumn("__w", weight).persist())
-    response = response.reweight("__w")
-    try:
-        grid = _grid(options, grpnet(dealt, response, replace(options, lmda_path=None, lmda_path_size=1)).lmda_max)
-        betas = []
-        for f in range(n_folds):
-            masked = replace(dealt, df=dealt.df.withColumn("__train", F.when(F.col("fold") == f, 0.0).otherwise(F.col("__w"))))
-            fit = grpnet(masked, response.reweight("__train"), replace(options, lmda_path=lambda top: _with_larger(options, top, grid)))
-            fit = _settled(fit, len(_with_larger(options, fit.lmda_max, grid)))
-            betas.append([coefficient(float(lm), fit)[0] for lm in grid])
-        data = GlmData(dealt, response, options, centred=True)
-        held = {r["fold"]: r["w"] for r in dealt.df.groupBy("fold").agg(F.sum("__w").alias("w")).collect()}
-        shares = np.array([held.get(f, 0.0) for f in range(n_folds)]) / sum(held.values())
-        sums = _cox_losses(dealt, data, n_folds, np.array(betas))
-        return grid, np.where(shares[:, None] > 0, sums / np.where(shares > 0, shares, 1.0)[:, None], 0.0)
-    finally:
-        dealt.df.unpersist()
-
-
-def _cox_losses(dealt: FeatureFrame, data: GlmData, n_folds: int, betas: np.ndarray) -> np.ndarray:
-    """Loss of all rows less that of each fold's training rows, for its coefficients: a stratum of its own for each
-    (fold, value), so that two jobs score all of them. Training losses are those of weights that sum to 1, times the
-    training share: the logarithm of the share counts once for each event's weight."""
-    L, p = betas.shape[1], dealt.p
-    table = data.with_column("fold")
-
-    def losses(own: Column) -> np.ndarray:
-        each = [F.struct(F.lit(f).alias("f"), F.lit(i).alias("i"), sum((F.lit(float(b)) * F.col(f"x{j}") for j, b in enumerate(betas[f, i]) if b), F.lit(0.0)).alias("e")) for f in range(n_folds) for i in range(L)]
-        offset = F.col("o0") if data.response.offsets else F.lit(0.0)
-        rows = table.select("start", "stop", "status", "strata", "w", "fold", offset.alias("o"), F.explode(F.array(*each)).alias("c"))
-        rows = rows.where(own).select("start", "stop", "status", F.struct("c.f", "c.i", "strata").alias("strata"), "w", (F.col("c.e") + F.col("o")).alias("eta"))
-        out = np.zeros((n_folds, L))
-        for r in cox.losses(rows, data.family.tie, F.col("strata.f"), F.col("strata.i")).collect():
-            out[r["k0"], r["k1"]] = r["loss"]
-        return out
-
-    assert p == betas.shape[2]
-    event = F.when((F.col("status") == 1) & (F.col("w") > 0), F.col("w")).otherwise(0.0)
-    sums = {r["fold"]: (r["w"], r["e"]) for r in table.groupBy("fold").agg(F.sum("w").alias("w"), F.sum(event).alias("e")).collect()}
-    w, e = (np.array([sums.get(f, (0.0, 0.0))[k] for f in range(n_folds)]) for k in (0, 1))
-    shift = (e.sum() - e) * np.log(np.maximum(1 - w, 1e-300))
-    return losses(F.lit(True)) - losses(F.col("fold") != F.col("c.f")) + shift[:, None]
+def _full_losses(data: GlmData, held: np.ndarray) -> list[float]:
+    """The loss of a full model for each fold's training rows, whose weights sum to 1."""
+    scales = [1 / (1 - h) if h < 1 else 0.0 for h in held]
+    if isinstance(data.family, Cox):
+        none = np.zeros(data.frame.p)
+        return [m["full"] for m in data.cox_answer([Ask(none, np.zeros(1), [], [], f, scale, slopes=False) for f, scale in enumerate(scales)])]
+    ys = [F.col(f"y{k}") for k in range(len(data.response.y))]
+    full = data.family.loss_full(ys if getattr(data.family, "multi", False) else ys[0], F.col("w"), Columns)
+    rows = {r["fold"]: r["full"] for r in data.table.groupBy("fold").agg(F.sum(full).alias("full")).collect()}
+    total = sum(rows.values())
+    return [(total - rows.get(f, 0.0)) * scale for f, scale in enumerate(scales)]
+
+
+def _cox_losses(data: GlmData, held: np.ndarray, betas: np.ndarray) -> np.ndarray:
+    """Loss of all rows less that of each fold's training rows, for its coefficients (folds, L, p): two passes for all."""
+    asks = []
+    for f, own in enumerate(betas):
+        for b in own:
+            columns = np.flatnonzero(b).tolist()
+            asks.append(Ask(b, np.zeros(1), columns, [], slopes=False))
+            if held[f] < 1:  # weights of training rows sum to 1 in their loss, which counts for their share
+                asks.append(Ask(b, np.zeros(1), columns, [], f, 1 / (1 - held[f]), slopes=False))
+    found = iter(data.cox_answer(asks))
+    out = np.zeros(betas.shape[:2])
+    for f, i in np.ndindex(*out.shape):
+        out[f, i] = next(found)["loss"]
+        if held[f] < 1:
+            out[f, i] -= (1 - held[f]) * next(found)["loss"]
+    return out
 
 
 def fold_statistics(frame: FeatureFrame, response: Response, fold: str, n_folds: int) -> list[Comoments]:

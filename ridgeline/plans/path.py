@@ -1,8 +1,8 @@
 """Regularisation paths: executors reduce rows to statistics, the driver descends on p-sized problems.
 
 Gaussian fits need one pass over the rows (weighted means and comoments). Other families take one pass per reweighting
-step: each task computes gradient and curvature of its rows from the current coefficients and sums their products with
-the columns. With many columns a step reads the screened ones only, and one more pass per value takes the gradient of
+step (Cox fits two, over rows in order of time): each task computes gradient and curvature of its rows from the current
+coefficients and sums their products with the columns. With many columns a step reads the screened ones only, and one more pass per value takes the gradient of
 all, the optimality check. Columns are taken about their means, so that nothing cancels for those far from 0. Steps are
 Newton's, so few are needed."""
 
@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import cox
 from ridgeline.functions.glm import Cox, Response
+from ridgeline.functions.risksets import RiskSets, sums_of
 from ridgeline.functions.special import Columns
 from ridgeline.operators.features import FeatureFrame
 from ridgeline.operators.comoments import Comoments, TiledComoments, comoments, tiles
-from ridgeline.operators.gram import NATIVE_SUMS, by_position, cross, refuse, sound, sums, weighted_sums
+from ridgeline.operators.gram import NATIVE_SUMS, by_position, cross, refuse, sound, weighted_sums
 from ridgeline.plans import bcd
 from ridgeline.plans.qp import search_pivot
 
@@ -202,6 +203,8 @@ class PathResult:
 
 #: Classes times curved columns up to which the curvature between classes is summed too; beyond it, a majoriser is.
 NEWTON_MOST = 400
+#: Running sums up to which a Cox step has the full curvature, as with 64 columns.
+COX_MOST = 2200
 
 
 @dataclass
@@ -238,7 +241,7 @@ class Options:
     check_state: bool = False
     progress: Callable | None = None
     newton_most: int = NEWTON_MOST
-    cox_most: int = NATIVE_SUMS
+    cox_most: int = COX_MOST
 
     def __post_init__(self):
         if self.screen_rule not in ("pivot", "strong"):
@@ -501,6 +504,7 @@ class Ask:
     curved: Sequence[int]
     fold: int | None = None
     scale: float = 1.0
+    slopes: bool = True  # Cox only: without them, the loss alone
 
 
 def moments(base: DataFrame, family, K: int, asks: Sequence[Ask], offsets: bool, most: int = NEWTON_MOST, tasks: int | None = None) -> list[dict]:
@@ -608,7 +612,7 @@ class GlmData:
         if self.family.name == "multinomial" and self.K < 2:
             raise ValueError("multinomial needs at least 2 classes")
         self.more: tuple[str, ...] = ()
-        self._edges: list[float] | None = None
+        self._sets: RiskSets | None = None
         self.table = self._table()
 
     def _table(self) -> DataFrame:
@@ -630,7 +634,11 @@ class GlmData:
         return table._table()
 
     def keep(self) -> None:
-        """Holds the table in memory and on disk for the steps of a fit; lost parts are computed again."""
+        """Holds the table in memory and on disk for the steps of a fit; lost parts are computed again. Cox steps read
+        their own layout instead."""
+        if isinstance(self.family, Cox):
+            self.risk_sets()
+            return
         self.table = self.table.persist()
         self.tasks = self.table.rdd.getNumPartitions()
 
@@ -638,14 +646,30 @@ class GlmData:
         """What centred columns take from the intercepts of ``betas`` (..., p * K); times ``sign``, (..., K)."""
         return sign * np.einsum("...pk,p->...k", np.asarray(betas, float).reshape(*np.shape(betas)[:-1], self.frame.p, self.K), self.centers)
 
-    def edges(self) -> list[float]:
-        """Times that part the axis of a Cox fit, found once: steps differ in coefficients alone."""
-        if self._edges is None:
-            times = self.table.select(F.col("stop").alias("at")).union(self.table.where(F.col("start") > float("-inf")).select("start"))
-            self._edges = cox.edges_of(times).first()[0] or []
-        return self._edges
+    def risk_sets(self) -> RiskSets:
+        """Rows of a Cox fit by time, laid out once."""
+        if self._sets is None:
+            self._sets = RiskSets.of(self.table, [f"x{k}" for k in range(self.frame.p)], self.family.tie, "o0" if self.response.offsets else None, "fold" if "fold" in self.more else None)
+        return self._sets
+
+    def cox_answer(self, asks: Sequence[Ask]) -> list[dict]:
+        """Derivatives of a Cox fit for all ``asks``, in two jobs. Beyond ``cox_most`` sums the curvature is that of each
+        row's own predictor: it is joined back, and rows are summed as in a Gram matrix."""
+        many = [sums_of(len(a.columns), len(a.curved)) > self.options.cox_most for a in asks]
+        found = self.risk_sets().answer([replace(a, curved=[]) if m else a for a, m in zip(asks, many, strict=True)])
+        for k in np.flatnonzero(many):
+            a, H = asks[k], np.zeros((len(asks[k].curved) + 1, 1, len(asks[k].curved) + 1, 1))
+            if len(a.curved):
+                w = F.col("w") * a.scale
+                base = self._with_etas(a.beta, a.inter, "eta").withColumn("w", w if a.fold is None else F.when(F.col("fold") == a.fold, 0.0).otherwise(w))
+                H[1:, 0, 1:, 0] = cross(cox.gradient(base, self.family.tie), [F.col(f"x{j}") for j in a.curved], F.col("hess"))
+            found[k]["H"] = H
+        return found
 
     def release(self) -> None:
+        if self._sets is not None:
+            self._sets.release()
+            self._sets = None
         self.table.unpersist()
 
     def etas(self, beta: np.ndarray, inter: np.ndarray) -> list[Column]:
@@ -687,10 +711,13 @@ class GlmData:
         return float(self.table.agg(F.sum(self.family.loss_full(y, F.col("w"), Columns))).first()[0] or 0.0)
 
     def along(self, betas: np.ndarray, inters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(losses, gradients) of each value of a path: one pass, but for Cox fits, which take one a value."""
+        """(losses, gradients) of each value of a path: one pass, or two for Cox fits."""
         if not isinstance(self.family, Cox):
             return path_moments(self.table, self.family, self.frame.p, self.K, np.asarray(betas), np.asarray(inters))
-        found = [self.moments(b, np.atleast_1d(a), [], range(self.frame.p)) for b, a in zip(betas, inters, strict=True)]
+        kept = self._sets is not None
+        found = self.cox_answer([Ask(np.asarray(b), np.atleast_1d(a), range(self.frame.p), []) for b, a in zip(betas, inters, strict=True)])
+        if not kept:
+            self.release()
         return np.array([m["loss"] for m in found]), np.array([m["g"].ravel() for m in found])
 
     def moments(self, beta: np.ndarray, inter: np.ndarray, curved: Sequence[int], columns: Sequence[int] | None = None) -> dict:
@@ -698,18 +725,7 @@ class GlmData:
         columns = range(self.frame.p) if columns is None else columns
         if not isinstance(self.family, Cox):
             return moments(self.table, self.family, self.K, [Ask(beta, inter, columns, curved)], bool(self.response.offsets), self.options.newton_most, self.tasks)[0]
-        base = self._with_etas(beta, inter, "eta")
-        H = np.zeros((len(curved) + 1, 1, len(curved) + 1, 1))
-        place = {j: k for k, j in enumerate(columns)}
-        if cox.sums_of(len(columns), len(curved)) <= self.options.cox_most:
-            g, H[1:, 0, 1:, 0], loss = cox.derivatives(base, [f"x{k}" for k in columns], [place[k] for k in curved], self.family.tie, self.edges())
-            return {"g0": np.zeros(1), "g": g[:, None], "H": H, "loss": loss}
-        # many columns: the diagonal curvature of each row is joined back, and rows are summed as in a Gram matrix
-        done = cox.gradient(base, self.family.tie).persist()
-        ones = sums(done, [F.col(f"x{k}") for k in columns], F.col("grad"))
-        H[1:, 0, 1:, 0] = cross(done, [F.col(f"x{k}") for k in curved], F.col("hess")) if len(curved) else 0.0
-        done.unpersist()
-        return {"g0": np.zeros(1), "g": ones[:, None], "H": H, "loss": self.loss(beta, inter)}
+        return self.cox_answer([Ask(beta, inter, columns, curved)])[0]
 
 
 def glm_path(frame: FeatureFrame, response: Response, options: Options | None = None) -> PathResult:

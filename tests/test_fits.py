@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeline import fit_queries, queries, scale_queries  # noqa: F401 (registers its queries)
-from ridgeline.functions import cox
+from ridgeline.functions import cox, risksets
 from ridgeline.functions.glm import Binomial, Gaussian, Poisson, Response, family
 from ridgeline.operators import features as X
 from ridgeline.operators import gram
@@ -19,7 +19,7 @@ from ridgeline.sources import generators, genotypes
 from ridgeline.sources.storage import Stored, shared_dir
 
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
-SLOW = {"logit_path", "poisson_path", "multinomial_path", "cox_path", "cv_logit", "cox_rows", "cox_gradient", "null_models"}
+SLOW = {"logit_path", "poisson_path", "multinomial_path", "cox_path", "cv_cox", "cv_logit", "cox_rows", "cox_gradient", "null_models"}
 QUICK = sorted(set(queries.ORACLE_SQL) - SLOW)
 
 
@@ -183,6 +183,63 @@ def test_sums_over_a_tie_in_closed_form(spark):
                 assert row[x] == pytest.approx(want[x], rel=1e-10, abs=1e-300), (tie, row, x)
 
 
+def test_tie_sums_of_arrays_equal_those_of_columns(spark):
+    cases = [(n, r, t) for n in (1, 2, 16, 17, 95, 1000, 10**8) for r, t in ((3.0, 3.0), (3.0, 2.0), (3.0, 0.031), (3.0, 0.029), (1e9, 1e-3), (2.0, 0.0))]
+    df = spark.createDataFrame(cases, "n long, r double, t double")
+    names = ("inverse", "share", "inverse2", "share2", "squares2", "log")
+    for tie in ("efron", "breslow"):
+        sums = cox.Ties("n", tie, "r", "t")
+        for row in df.select("n", "r", "t", *(F.expr(getattr(sums, x)()).alias(x) for x in names)).collect():
+            got = risksets.step_sums(*(np.array([float(row[c])]) for c in "nrt"), tie)
+            assert got[:, 0] == pytest.approx([row[x] for x in names], rel=1e-11, abs=1e-300), (tie, row)
+
+
+@pytest.mark.parametrize("tie", ["efron", "breslow"])
+def test_risk_sets_of_any_number_of_tasks(spark, monkeypatch, tie):
+    """A tie of a third of all rows, a stratum of most of them, single-row strata and a null one, cut anywhere."""
+    rng, n = np.random.default_rng(5), 400
+    x = rng.standard_normal((n, 3)).round(1)
+    strata = ["hot" if k < 300 else None if k < 350 else f"s{k}" for k in range(n)]
+    stop = np.where(np.arange(n) < 140, 5.0, rng.integers(2, 9, n).astype(float))
+    start = np.where(np.arange(n) % 3 == 0, stop - 1 - np.arange(n) % 2, float("-inf"))
+    rows = [(strata[k], float(start[k]), float(stop[k]), int(k % 5 > 0), *map(float, x[k]), 0.1 * (k % 3), 0.5 + k % 2, k % 3) for k in range(n)]
+    df = spark.createDataFrame(rows, "strata string, start double, stop double, status int, x0 double, x1 double, x2 double, o double, w double, fold int").cache()
+    beta = np.array([0.3, 0.0, -0.4])
+    asks = [path.Ask(beta, np.zeros(1), [0, 1, 2], [0, 2]), path.Ask(beta, np.zeros(1), [0, 2], [2], 1, 1.5), path.Ask(beta, np.zeros(1), [0, 2], [], 2, 1.25, slopes=False)]
+    found = {}
+    for tasks, cells, numbers in ((1, 1 << 21, 1 << 24), (3, 1, 1 << 24), (29, 1, 1), (90, 1 << 21, 1 << 24)):
+        monkeypatch.setattr(risksets, "LEAST_ROWS", n)
+        monkeypatch.setattr(risksets, "MOST_ROWS", n // tasks)
+        monkeypatch.setattr(risksets, "CELLS", cells)
+        monkeypatch.setattr(risksets, "DRIVER_NUMBERS", numbers)  # 1: each ask in passes of its own
+        sets = risksets.RiskSets.of(df, ["x0", "x1", "x2"], tie, "o", "fold")
+        assert sets.tasks >= tasks
+        found[tasks] = sets.answer(asks)
+        parts = {r["part"] for r in sets.table.where("strata = 'hot' and at = 5").select("part").collect()}
+        assert len(parts) >= min(tasks, 2) and (tasks < 29 or len(parts) >= 6)  # the tie is spread
+        sets.release()
+    for got in found.values():
+        for a, b in zip(got, found[1], strict=True):
+            for name in ("g", "H", "loss", "full"):
+                assert np.allclose(a[name], b[name], rtol=1e-9, atol=1e-9), name
+    for ask, got in zip(asks, found[1], strict=True):  # against the plan of columns
+        w = F.col("w") * ask.scale
+        eta = 0.3 * F.col("x0") - 0.4 * F.col("x2") + F.col("o")
+        masked = df.withColumn("eta", eta).withColumn("w", w if ask.fold is None else F.when(F.col("fold") == ask.fold, 0.0).otherwise(w))
+        assert got["loss"] == pytest.approx(cox.loss(masked.withColumn("strata", F.coalesce("strata", F.lit("none"))), tie).first()[0])
+        assert got["full"] == pytest.approx(cox.loss_full(masked, tie).first()[0])
+    df.unpersist()
+
+
+def test_cox_folds_take_passes_that_do_not_grow_with_folds(spark):
+    d = generators.dense(spark, 60, 3, 3, glm="cox", seed=4, sparsity=0.2)
+    df = d["df"].withColumn("part", (F.col("row_id") % 6).cast("int")).cache()
+    options = path.Options(lmda_path_size=2, min_ratio=0.5, early_exit=False)
+    jobs = [jobs_of(spark, lambda n=n: cv.cv_grpnet(X.dense(df.withColumn("fold", F.col("part") % n), d["X"]), d["response"], n_folds=n, options=options, folds="fold")) for n in (2, 6)]
+    assert jobs[1] <= 1.5 * jobs[0], jobs
+    df.unpersist()
+
+
 def test_a_tie_of_any_size_costs_the_same(spark):
     n = 100_000_000
     sums = cox.Ties("n", "efron", "r", "t")
