@@ -23,12 +23,19 @@ def places(levels: Sequence[int]) -> list[int]:
     return np.cumsum([0, *(max(n, 1) for n in levels)]).tolist()
 
 
-def category_gram(frame: FeatureFrame, levels: Sequence[int], weight: Column | None = None) -> DataFrame:
+#: Levels of a category whose number isn't known: every code of at least 0 that positions can hold.
+ANY = (1 << 31) - 1
+
+
+def category_gram(frame: FeatureFrame, levels: Sequence[int], weight: Column | None = None, at: Sequence[int] | None = None) -> DataFrame:
     """(i, j, a): the entries of the Gram of ``one_hot(frame, levels)`` that aren't 0, both triangles. Codes that are null
-    or no level have no indicator; null measures and weights count as 0."""
-    if len(levels) != frame.p:
-        raise ValueError("levels must name one number per column")
-    at = places(levels)
+    or no level have no indicator; null measures and weights count as 0.
+
+    ``at`` names each feature's first position in place of ``places``. A category of ``ANY`` levels may then reach into the
+    positions of the features after it; entries of one position that stem from different features stay rows of their own."""
+    if len(levels) != frame.p or at is not None and len(at) != frame.p:
+        raise ValueError("levels and positions must name one number per column")
+    at = places(levels) if at is None else list(at)
     cats, nums = [k for k, n in enumerate(levels) if n > 0], [k for k, n in enumerate(levels) if n <= 0]
     w = F.lit(1.0) if weight is None else F.coalesce(weight.cast("double"), F.lit(0.0))
     code = lambda k: F.when((frame.columns[k] >= 0) & (frame.columns[k] < levels[k]) & (frame.columns[k] == F.floor(frame.columns[k])), frame.columns[k].cast("int"))

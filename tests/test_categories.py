@@ -61,3 +61,18 @@ def test_ten_thousand_levels(spark):
     fit = screened_path(CategoryProblem(frame, [p, 5], "y"), path.Options(lmda_path_size=3, min_ratio=0.02, early_exit=False))
     assert fit.betas[-1][p + 3] > 0 and fit.screen_sizes[-1] < 1000  # every level its own group here
     fit.check(1e-6)
+
+
+def test_category_counts_of_parts_beyond_a_million_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    from ridgeline import scale_queries
+    from ridgeline.queries import ORACLE_SQL
+
+    rows = [(p, n, float(n + p % 5)) for p in (7, 999_999, 1_000_000, 1_000_003, 1_000_008, 1_199_999) for n in (1, 4, 7)]
+    spark.createDataFrame(rows, "l_partkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    found = sorted(tuple(r) for r in scale_queries.category_counts(spark, str(tmp_path)).collect())
+    assert found == sorted(db.execute(ORACLE_SQL["category_counts"]).fetchall())
+    assert (1_199_999, 1_000_008, 24.0) in found
