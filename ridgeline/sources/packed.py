@@ -1,6 +1,6 @@
 """Genotype matrices of real width: two bits a call in blocks of rows and variants, products on the blocks.
 
-A matrix of n rows and p variants is a table of about n/4096 * p/256 blocks of 256 KB each. Products decode a block at a
+A matrix of n rows and p variants is a table of about n/4096 * p/256 blocks of up to 256 KB each. Products decode a block at a
 time in NumPy, so no plan names a variant and no name of one reaches the driver; missing calls take their variant's impute
 value as they are multiplied. Long calls are packed by a shuffle to their block, binary genotype files without one."""
 
@@ -18,6 +18,8 @@ from ridgeline.sources.storage import Stored
 
 #: Rows and variants of a block. Code 3 is a missing call.
 ROWS, VARIANTS, ABSENT = 4096, 256, 3
+#: Calls of a row that share a long.
+WORD = 32
 BLOCKS = "rb int, vb int, n int, codes binary"
 _DECODED = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int8)
 
@@ -48,33 +50,49 @@ def ranked(ids: DataFrame, name: str, store: Stored) -> DataFrame:
 def pack(calls: DataFrame, path: str) -> None:
     """Packs long calls (row_id, snp, call), each pair once at most; a null or negative call is missing, an absent pair 0, a
     call over 2 raises. Rows and variants keep their order."""
-    spark = calls.sparkSession
-    if not calls.where("call > 2").isEmpty():
+    spark, store = calls.sparkSession, Stored(calls.sparkSession, "packing")
+    known, _ = store.put(calls.groupBy("snp").agg(F.max("call").alias("top")))
+    if not known.where("top > 2").isEmpty():
         raise ValueError("calls must be at most 2")
-    store = Stored(spark, "packing")
-    rows, variants = (ranked(calls, name, store) for name in ("row_id", "snp"))
-    for name, table in (("rows", rows), ("variants", variants)):
-        table.write.mode("overwrite").parquet(f"{path}/{name}")
-    rows, variants = (spark.read.parquet(f"{path}/{name}") for name in ("rows", "variants"))
-    n = rows.count()
-    placed = calls.join(rows.withColumnRenamed("at", "r"), "row_id").join(variants.withColumnRenamed("at", "v"), "snp")
-    code = F.when(F.col("call") >= 0, F.col("call")).otherwise(ABSENT).cast("byte")
-    cells = placed.select((F.col("r") / ROWS).cast("int").alias("rb"), (F.col("v") / VARIANTS).cast("int").alias("vb"), (F.col("r") % ROWS).cast("int").alias("r"), (F.col("v") % VARIANTS).cast("int").alias("v"), code.alias("code"))
+    ranked(known, "snp", store).write.mode("overwrite").parquet(f"{path}/variants")
+    variants = spark.read.parquet(f"{path}/variants")
+    p = variants.count()
+    # a row's calls meet as bits of words before anything is shuffled; words number their rows as ``ranked`` does
+    code = F.when(F.col("call") >= 0, F.col("call")).otherwise(ABSENT).cast("long")
+    placed = calls.select("row_id", "snp", code.alias("code")).join(variants.withColumnRenamed("at", "v"), "snp")
+    place = (F.col("v") % VARIANTS).cast("int")
+    words = placed.groupBy("row_id", (F.col("v") / VARIANTS).cast("int").alias("vb"), (place / WORD).cast("int").alias("wd")).agg(F.bit_or(F.call_function("shiftleft", F.col("code"), 2 * (place % WORD))).alias("bits"))
+    parts, dealt = store.put(words.repartitionByRange("row_id").withColumn("part", F.spark_partition_id()))
+    own = Window.partitionBy("part").orderBy("row_id", "vb", "wd")
+    first = F.coalesce(~F.col("row_id").eqNullSafe(F.lag("row_id").over(own)), F.lit(True)) | (F.row_number().over(own) == 1)
+    turned, numbered = store.put(parts.withColumn("first", first).withColumn("place", F.sum(F.col("first").cast("long")).over(own.rowsBetween(Window.unboundedPreceding, 0)) - 1))
+    totals = turned.groupBy("part").agg((F.max("place") + 1).alias("n"))
+    before = F.broadcast(totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")))
+    cells = turned.join(before, "part").withColumn("at", F.col("place") + F.col("before"))
+    cells.where("first").select("row_id", "at").write.mode("overwrite").parquet(f"{path}/rows")
+    n = spark.read.parquet(f"{path}/rows").count()
+    cells = cells.select((F.col("at") / ROWS).cast("int").alias("rb"), "vb", (F.col("at") % ROWS).cast("int").alias("r"), "wd", "bits")
 
     def block(table: pa.Table) -> pa.Table:
         rb, vb = table.column("rb")[0].as_py(), table.column("vb")[0].as_py()
         size = min(ROWS, n - rb * ROWS)
-        out = np.zeros((VARIANTS, size), np.uint8)
-        out[table.column("v").to_numpy(), table.column("r").to_numpy()] = table.column("code").to_numpy()
+        out = np.zeros((min(VARIANTS, p - vb * VARIANTS), size), np.uint8)
+        r, wd, bits = (table.column(c).to_numpy() for c in ("r", "wd", "bits"))
+        for w in np.unique(wd):
+            at = wd == w
+            for k, v in enumerate(range(w * WORD, min((w + 1) * WORD, len(out)))):
+                out[v, r[at]] = bits[at] >> 2 * k & 3
         return pa.table({"rb": pa.array([rb], pa.int32()), "vb": pa.array([vb], pa.int32()), "n": pa.array([size], pa.int32()), "codes": pa.array([encode(out)], pa.binary())})
 
     # every block has a row, so that rows whose calls there are all 0 are known
-    across, down = -(-variants.count() // VARIANTS), -(-n // ROWS)
+    across, down = -(-p // VARIANTS), -(-n // ROWS)
     every = spark.range(across * down).select((F.col("id") / across).cast("int").alias("rb"), (F.col("id") % across).cast("int").alias("vb"))
     found = cells.groupBy("rb", "vb").applyInArrow(block, BLOCKS)
     size = F.least(F.lit(ROWS), F.lit(n) - F.col("rb") * ROWS).cast("int")
     whole = every.join(found, ["rb", "vb"], "left").select("rb", "vb", size.alias("n"), "codes")
-    whole.write.mode("overwrite").parquet(f"{path}/blocks")
+    _write_blocks(whole, path)
+    for table in (dealt, numbered):
+        store.drop(table)
     _write_stats(Packed(spark, path, stats=False), path)
 
 
@@ -100,12 +118,17 @@ def pack_bed(spark: SparkSession, file: str, path: str, samples: int, variants:
                     part = calls[:, rb * ROWS : (rb + 1) * ROWS]
                     yield pa.RecordBatch.from_arrays([pa.array([rb], pa.int32()), pa.array([vb], pa.int32()), pa.array([part.shape[1]], pa.int32()), pa.array([encode(part)], pa.binary())], ["rb", "vb", "n", "codes"])
 
-    spark.range(0, steps, 1, max(1, min(steps, 10_000))).mapInArrow(run, BLOCKS).write.mode("overwrite").parquet(f"{path}/blocks")
+    _write_blocks(spark.range(0, steps, 1, max(1, min(steps, 10_000))).mapInArrow(run, BLOCKS), path)
     for name, column, n in (("rows", "row_id", samples), ("variants", "snp", variants)):
         spark.range(n).select(F.col("id").alias(column), F.col("id").alias("at")).write.mode("overwrite").parquet(f"{path}/{name}")
     _write_stats(Packed(spark, path, stats=False), path)
 
 
+def _write_blocks(blocks: DataFrame, path: str) -> None:
+    """In row groups of some 100 blocks: a reader takes up to 4,096 rows of a group at once, which would be 1 GB of blocks."""
+    blocks.write.mode("overwrite").option("parquet.block.size", 1 << 24).option("parquet.enable.dictionary", "false").parquet(f"{path}/blocks")
+
+
 def _write_stats(packed: Packed, path: str) -> None:
     """(vb, place, nnm, nnz, total) by variant: known calls, calls that aren't 0 (missing ones included), sum of known ones."""
 
@@ -250,8 +273,11 @@ class PackedProblem:
         self.packed, self.p = packed, packed.p
         self.snps = packed.variants.orderBy("at").select("snp").toArrow().column("snp").to_numpy()
         self.names = [f"snp_{s}" for s in self.snps]
-        self.y, _ = Stored(packed.spark, "packed").put(packed.by_rows(response.select("row_id", "y"), "y"))
-        self.row = response.agg(F.avg("y").alias("m"), F.var_pop("y").alias("v"), F.avg(F.col("y") * F.col("y")).alias("s")).first()
+        store = Stored(packed.spark, "packed")
+        held, path = store.put(response.select("row_id", F.col("y").cast("double").alias("y")))  # read twice, computed once
+        self.y, _ = store.put(packed.by_rows(held, "y"))
+        self.row = held.agg(F.avg("y").alias("m"), F.var_pop("y").alias("v"), F.avg(F.col("y") * F.col("y")).alias("s")).first()
+        store.drop(path)
 
     def _vector(self, v: DataFrame) -> np.ndarray:
         got, out = self.packed.tmul(v).toArrow(), np.zeros(self.p)
@@ -262,7 +288,10 @@ class PackedProblem:
         return self.row["m"], self.row["v"], self.row["s"]
 
     def means(self) -> np.ndarray:
-        return self._vector(self.packed.by_rows(self.packed.rows.withColumn("v", F.lit(1.0))))
+        """Missing calls count as their variant's mean, so that is the mean of all."""
+        got, out = self.packed.stats.select((F.col("vb").cast("long") * VARIANTS + F.col("place")).alias("at"), "impute").toArrow(), np.zeros(self.p)
+        out[got.column("at").to_numpy()] = got.column("impute").to_numpy()
+        return out
 
     def products(self, inter: float, beta: np.ndarray) -> np.ndarray:
         if not np.any(beta):

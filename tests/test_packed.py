@@ -101,3 +101,23 @@ def test_an_impute_table_must_know_every_variant(spark, tmp_path):
         genotypes.write_unphased(calls, str(tmp_path / "g"), twice)
     genotypes.write_unphased(calls, str(tmp_path / "g"), twice.distinct().withColumn("more", F.lit(1)))
     assert {r["snp"]: r["impute"] for r in spark.read.parquet(str(tmp_path / "g" / "stats")).collect()} == {0: 0.25, 1: 0.25, 2: 0.25}
+
+
+def test_blocks_hold_as_many_variants_as_there_are(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    calls = rng.choice([-1, 0, 1, 2], (70, 30))  # three words a row in one block
+    df = spark.createDataFrame([(r, s, int(calls[s, r])) for s in range(70) for r in range(30)], "row_id long, snp long, call int").repartition(3)
+    packed.pack(df, str(tmp_path / "m"))
+    m = packed.Packed(spark, str(tmp_path / "m"))
+    (block,) = m.blocks.collect()
+    assert len(block["codes"]) == 70 * 8
+    assert (packed.decode(block["codes"], 30) == np.where(calls < 0, packed.ABSENT, calls)).all()
+    assert [tuple(r) for r in m.rows.orderBy("at").collect()] == [(r, r) for r in range(30)]
+    y = spark.createDataFrame([(r, float(r % 7)) for r in range(30)], "row_id long, y double")
+    problem = packed.PackedProblem(m, y)
+    assert np.allclose(problem.means(), imputed(calls).mean(axis=1))
+
+
+def test_pack_refuses_calls_over_two(spark, tmp_path):
+    with pytest.raises(ValueError, match="at most 2"):
+        packed.pack(spark.createDataFrame([(1, 1, 3)], "row_id long, snp long, call int"), str(tmp_path / "m"))
