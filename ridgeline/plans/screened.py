@@ -27,9 +27,14 @@ class Screenable(Protocol):
     def gram(self, left: list[int], right: list[int]) -> np.ndarray: ...
 
 
+#: Columns up to which all products are taken in one pass, from which every gradient follows without another.
+WHOLE = 256
+
+
 def screened_path(x: Screenable, options: Options | None = None, starts=None) -> PathResult:
     """The path of ``gaussian_from_statistics``. Per value of lambda one pass takes the gradient of all columns, the
-    optimality check; products are asked for newly screened groups only, with those screened before."""
+    optimality check; products are asked for newly screened groups only, with those screened before. Up to ``WHOLE`` columns one pass
+    takes the products of all, and no value of lambda takes a pass."""
     options, p = options or Options(), x.p
     starts = list(range(p)) if starts is None else list(starts)
     sizes = group_sizes(starts, p)
@@ -45,7 +50,7 @@ def screened_path(x: Screenable, options: Options | None = None, starts=None) ->
     def local(beta, inter, lmda, groups, duals):
         nonlocal own, kept
         at = [j for g in groups for j in range(starts[g], starts[g] + sizes[g])]
-        new = [j for j in at if j not in place]
+        new = [j for j in (range(p) if p <= WHOLE and at else at) if j not in place]
         if new:
             every = [*own, *new]
             cross = x.gram(new, every) - np.outer(mean[new], mean[every])
@@ -64,7 +69,12 @@ def screened_path(x: Screenable, options: Options | None = None, starts=None) ->
             beta[at], sweeps = q.solve(v[at], lmda, beta[at], known, range(len(groups)), options.tol * max(y_var, 1e-300), options.max_iters)
             duals.update({groups[k]: mu for k, mu in known.items()})
         inter = np.array([mean_y - mean @ beta]) if options.intercept else np.zeros(1)
-        grad = x.products(float(inter[0]), beta) if np.any(beta) else v
+        if not np.any(beta):
+            grad = v
+        elif p <= WHOLE:  # ``own`` holds all columns, in their order; products less the means' share are about the means
+            grad = v - kept @ beta
+        else:
+            grad = x.products(float(inter[0]), beta)
         b = beta[at]
         return beta, inter, grad, float(2 * v[at] @ b - b @ A @ b) / y_var if y_var else 0.0, sweeps
 
