@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.operators.gram import by_position
+from ridgeline.sources.storage import Stored
 
 
 class SparseRows:
@@ -96,10 +97,12 @@ class SparseProblem:
     def __init__(self, x: SparseRows, y: str, weight: str | None = None):
         self.x, self.p, self.names = x, x.p, [f"x_{j}" for j in range(x.p)]
         w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-        row = x.df.agg(F.sum(w).alias("w"), F.sum(w * F.col(y)).alias("y")).first()
+        own = x.df.select(F.col(x.indices).alias("indices"), F.col(x.values).alias("values"), F.col(y).cast("double").alias("y"), w.alias("w"))
+        held, _ = Stored(x.df.sparkSession, "sparse").put(own)  # a fit reads the rows several times and computes them once
+        row = held.agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("y")).first()
         self.total, self.mean = row["w"] or 1.0, (row["y"] or 0.0) / (row["w"] or 1.0)
-        self.var = (x.df.agg(F.sum(w * (F.col(y) - self.mean) ** 2)).first()[0] or 0.0) / self.total
-        self.rows = SparseRows(x.df.select(F.col(x.indices).alias("indices"), F.col(x.values).alias("values"), F.col(y).cast("double").alias("y"), (w / self.total).alias("w")), x.p)
+        self.var = (held.agg(F.sum(F.col("w") * (F.col("y") - self.mean) ** 2)).first()[0] or 0.0) / self.total
+        self.rows = SparseRows(held.withColumn("w", F.col("w") / self.total), x.p)
 
     def _vector(self, found: DataFrame) -> np.ndarray:
         got, out = found.toArrow(), np.zeros(self.p)

@@ -71,3 +71,20 @@ def test_a_million_columns(spark):
     xc, yc = x - x.mean(axis=0), y - y.mean()
     left = xc.T @ (yc - xc @ fit.betas[-1][hot]) / n  # optimality of the two, as in a dense fit
     assert np.allclose(left, fit.lmdas[-1] * np.sign(fit.betas[-1][hot]), atol=1e-7)
+
+
+def test_narrow_paths_read_rows_once(spark, small, monkeypatch):
+    """As many passes for many values of lambda as for few: rows are computed once, then all products taken at once."""
+    m, _, _, _ = small
+    ran = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            ran.add(b.num_rows)
+            yield b
+
+    counted = SparseRows(m.df.mapInArrow(seen, m.df.schema), m.p)
+    asked = []
+    monkeypatch.setattr(SparseProblem, "products", lambda self, inter, beta, of=SparseProblem.products: asked.append(beta) or of(self, inter, beta))
+    fit = screened_path(SparseProblem(counted, "y"), path.Options(lmda_path_size=6, early_exit=False))
+    assert len(fit.lmdas) == 6 and np.any(fit.betas[-1]) and len(asked) == 1 and ran.value == 60
