@@ -187,7 +187,7 @@ class _Fold(GlmData):
 
 def _glm_cv(dealt: FeatureFrame, response: Response, n_folds: int, options: Options) -> tuple[np.ndarray, np.ndarray]:
     is_cox = isinstance(response.family, Cox)
-    data = GlmData(dealt, response, options, centred=options.intercept or is_cox)
+    data = GlmData(dealt, response, options, centred=options.intercept or is_cox, by=("fold",))
     data.table, data.more = data.with_column("fold"), ("fold",)
     data.keep()
     try:

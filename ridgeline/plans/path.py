@@ -592,16 +592,28 @@ def path_moments(base: DataFrame, family, p: int, K: int, betas: np.ndarray, int
     return flat[..., 0], flat[..., 1:]
 
 
+#: Rows for each distinct one, about, from which equal ones are added up before the steps of a fit.
+ALIKE = 8
+#: Distinct rows, about, of one task of a step.
+ROWS_A_TASK = 1 << 16
+
+
 class GlmData:
     """Gradient, curvature and loss of a response at given coefficients, each a pass over the rows."""
 
-    def __init__(self, frame: FeatureFrame, response: Response, options: Options | None = None, centred: bool = False):
-        """``centred``: columns are taken about ``centers``, their weighted means, as where an intercept makes up for it."""
+    def __init__(self, frame: FeatureFrame, response: Response, options: Options | None = None, centred: bool = False, by: Sequence[str] | None = None):
+        """``centred``: columns are taken about ``centers``, their weighted means, as where an intercept makes up for it.
+        ``by``: rows may be added up that are equal in all that a fit reads and in these columns (None: they may not)."""
+        self.alike = 0
         self.frame, self.response, self.family, self.options = frame, response, response.family, options or Options()
         values, w = _inputs(frame, response)
         if len(values) <= NATIVE_SUMS:
             known = [F.when(w > 0, w * x.cast("double")).otherwise(0.0) for x in frame.columns] if centred else []
-            row = frame.df.agg(F.sum(w), F.count_if(~sound(values, w)), *map(F.sum, known)).first()
+            of = [*values, *(F.col(c) for c in by)]
+            shape = [F.count("*"), F.approx_count_distinct(F.xxhash64(*of))] if by is not None and not isinstance(self.family, Cox) else [F.lit(0), F.lit(0)]
+            row = frame.df.agg(*shape, F.sum(w), F.count_if(~sound(values, w)), *map(F.sum, known)).first()
+            n, distinct, row = row[0], row[1], row[2:]
+            self.alike = distinct if distinct * ALIKE <= n else 0
         else:
             row = weighted_sums(frame.df, values, w)[: 2 + (frame.p if centred else 0)]
         total, bad = row[0] or 0.0, row[1]
@@ -634,11 +646,15 @@ class GlmData:
         return table._table()
 
     def keep(self) -> None:
-        """Holds the table in memory and on disk for the steps of a fit; lost parts are computed again. Cox steps read
-        their own layout instead."""
+        """Holds the table in memory and on disk for the steps of a fit; lost parts are computed again. Where rows are alike,
+        equal ones become one of their weights' sum, in which losses are linear: steps then cost what distinct rows cost.
+        Cox steps read their own layout instead."""
         if isinstance(self.family, Cox):
             self.risk_sets()
             return
+        if self.alike:
+            same = [c for c in self.table.columns if c != "w"]
+            self.table = self.table.groupBy(*same).agg(F.sum("w").alias("w")).select(*self.table.columns).coalesce(max(self.alike // ROWS_A_TASK, 1))
         self.table = self.table.persist()
         self.tasks = self.table.rdd.getNumPartitions()
 
@@ -732,7 +748,7 @@ def glm_path(frame: FeatureFrame, response: Response, options: Options | None =
     """A path of any family by iteratively reweighted quadratics; one pass over the kept columns per step. Columns are
     centred where that changes nothing but the intercepts."""
     options = options or Options()
-    data = GlmData(frame, response, options, centred=options.intercept or isinstance(response.family, Cox))
+    data = GlmData(frame, response, options, centred=options.intercept or isinstance(response.family, Cox), by=())
     data.keep()
     try:
         return _glm_path(data, options)

@@ -335,3 +335,19 @@ def test_families_by_name():
     assert family("binomial", link="probit").link == "probit"
     with pytest.raises(ValueError):
         family("nope")
+
+
+def test_equal_rows_are_added_up_before_the_steps(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(float(a), float(b), float(y), float(w), int(f)) for a, b, y, w, f in zip(rng.integers(0, 3, 900), rng.integers(0, 2, 900), rng.integers(0, 2, 900), rng.random(900), rng.integers(0, 2, 900), strict=True)]
+    frame = X.dense(spark.createDataFrame(rows, "a double, b double, y double, w double, part int"), ["a", "b"])
+    response, options = Response(family("binomial"), ("y",), "w"), path.Options(lmda_path_size=3, early_exit=False)
+    data = path.GlmData(frame, response, options, centred=True, by=())
+    data.keep()
+    assert data.table.count() == 12 and data.tasks == 1
+    data.release()
+    added = path.grpnet(frame, response, options), cv.cv_grpnet(frame, response, n_folds=2, options=options, folds="part")
+    monkeypatch.setattr(path, "ALIKE", 1000)
+    each = path.grpnet(frame, response, options), cv.cv_grpnet(frame, response, n_folds=2, options=options, folds="part")
+    assert np.allclose(added[0].betas, each[0].betas, atol=1e-8) and np.allclose(added[0].devs, each[0].devs)
+    assert np.allclose(added[1].losses, each[1].losses)
