@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ridgeline.sources.storage import Stored
+
 #: Parts that the time axis is cut into.
 PARTS = 256
 #: Last steps of a tie that are added one by one, the part of the risk mass up to which a power series is used, its terms.
@@ -154,8 +156,13 @@ def hazards(df: DataFrame, tie: str = "efron", **columns: str) -> DataFrame:
     names = {"start": "start", "stop": "stop", "status": "status", "strata": "strata", "weight": "w", "eta": "eta"} | columns
     table = ties(df, names["stop"], names["status"], names["strata"], names["weight"], names["eta"])
     risk = at_risk(df, F.col(names["weight"]) * F.exp(names["eta"]), names["start"], names["stop"], names["strata"])
+    return _steps(table.join(risk, ["strata", "at"]), tie)
+
+
+def _steps(table: DataFrame, tie: str) -> DataFrame:
+    """``table``, event times with n, mean, tied and risk, with the sums of ``hazards``."""
     sums, add = Ties("n", tie, "risk", "tied"), lambda x: F.expr(f"mean * ({x})")
-    return table.join(risk, ["strata", "at"]).select(
+    return table.select(
         "*",
         add(sums.inverse()).alias("a1"),
         add(sums.inverse2()).alias("a2"),
@@ -165,6 +172,18 @@ def hazards(df: DataFrame, tie: str = "efron", **columns: str) -> DataFrame:
     )
 
 
+def _times(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(strata, at, mass, gone, n, mean, tied), a row for each stop or start time: the risk mass of rows that stop and that
+    start there, the number of weighted events, their mean weight and own mass. One pass, summed before the shuffle."""
+    w = F.col(names["weight"]).cast("double")
+    event, mass, zero = (F.col(names["status"]) == 1) & (F.col(names["weight"]) > 0), w * F.exp(names["eta"]), F.lit(0.0)
+    entry = lambda at, *v: F.struct(F.col(at).cast("double").alias("at"), *(x.alias(k) for k, x in zip(("mass", "gone", "n", "ew", "tied"), v, strict=True)))
+    own = [F.when(event, x).otherwise(0) for x in (F.lit(1).cast("long"), w, mass)]
+    cells = F.array(entry(names["stop"], mass, zero, *own), entry(names["start"], zero, mass, F.lit(0).cast("long"), zero, zero))
+    summed = df.select(F.col(names["strata"]).alias("strata"), F.inline(cells)).groupBy("strata", "at").agg(*(F.sum(c).alias(c) for c in ("mass", "gone", "n", "ew", "tied")))
+    return summed.select("strata", "at", "mass", "gone", "n", F.when(F.col("n") > 0, F.col("ew") / F.col("n")).alias("mean"), "tied")
+
+
 def losses(df: DataFrame, tie: str, *groups: Column, **columns: str) -> DataFrame:
     """(k0, k1, ..., loss): ``loss`` by ``groups``, expressions over ``strata`` alone."""
     names = {"status": "status", "weight": "w", "eta": "eta", "strata": "strata"} | columns
@@ -187,11 +206,12 @@ def loss_full(df: DataFrame, tie: str = "efron", stop: str = "stop", status: str
 def gradient(df: DataFrame, tie: str = "efron", **columns: str) -> DataFrame:
     """``df`` with ``grad`` (negative gradient) and ``hess`` (diagonal) per row, by running sums over event times."""
     names = {"start": "start", "stop": "stop", "status": "status", "strata": "strata", "weight": "w", "eta": "eta"} | columns
-    base = hazards(df, tie, **columns).select("strata", "at", "a1", "a2", "t1", "t2")
-    marks = df.select(F.col(names["strata"]).alias("strata"), F.col(names["stop"]).alias("at")).union(df.select(names["strata"], names["start"])).distinct()
-    zero = [F.lit(0.0).alias(c) for c in ("a1", "a2", "t1", "t2")]
-    both = base.union(marks.select("strata", "at", *zero)).groupBy("strata", "at").agg(*(F.sum(c).alias(c) for c in ("a1", "a2", "t1", "t2")))
-    table = running(both, ["a1", "a2"]).select("strata", "at", "t1", "t2", F.col("run_a1").alias("c1"), F.col("run_a2").alias("c2"))
+    # one pass sums the rows by time; what follows reads these sums, until the rows are read again for their own results
+    times = Stored(df.sparkSession, "times").put(_times(df, names))[0]
+    risk = running(times, ["mass", "gone"], back=True)
+    sums = _steps(risk.where("n > 0").withColumn("risk", F.col("run_mass") - F.col("run_gone")), tie)
+    both = sums.select("strata", "at", "a1", "a2", "t1", "t2").union(times.where("n = 0").select("strata", "at", *(F.lit(0.0) for _ in range(4))))
+    table = Stored(df.sparkSession, "times").put(running(both, ["a1", "a2"]).select("strata", "at", "t1", "t2", F.col("run_a1").alias("c1"), F.col("run_a2").alias("c2")))[0]
     stops = table.select(F.col("strata").alias("__ks"), F.col("at").alias("__ts"), F.col("c1").alias("__s1"), F.col("c2").alias("__s2"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"))
     starts = table.select(F.col("strata").alias("__kb"), F.col("at").alias("__tb"), F.col("c1").alias("__b1"), F.col("c2").alias("__b2"))
     joined = df.join(stops, (F.col(names["strata"]) == F.col("__ks")) & (F.col(names["stop"]) == F.col("__ts"))).join(starts, (F.col(names["strata"]) == F.col("__kb")) & (F.col(names["start"]) == F.col("__tb")))
