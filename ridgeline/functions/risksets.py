@@ -139,18 +139,33 @@ class RiskSets:
     def of(cls, df: DataFrame, columns: Sequence[str], tie: str, offset: str | None = None, fold: str | None = None) -> RiskSets:
         """``df`` holds strata, start, stop, status, w and the columns, which become x0, x1, ... in their order. Rows of
         weight 0 have no part. Null is a stratum. Kept in memory and on disk until ``release``."""
+        rows_in = df.count()
+        return cls.dealt(cls.entries(df, columns, offset, fold), len(columns), tie, rows_in)
+
+    @staticmethod
+    def entries(df: DataFrame, columns: Sequence[str], offset: str | None = None, fold: str | None = None) -> DataFrame:
+        """Entries of ``df`` as ``of`` takes it, summed where stratum, time, columns, offset and fold are equal: one pass over
+        its rows. ``rw`` is the weight of the rows that stop there, ``bad`` the number of those that a column ``bad`` marks."""
         kind = df.schema["strata"].dataType
         strata = F.when(F.col("strata") == 0, 0.0).otherwise(F.col("strata")) if isinstance(kind, FractionalType) else F.col("strata")
         strata = strata if isinstance(kind, StringType) else F.to_json(F.struct(strata.alias("s")))
         event = (F.col("status") == 1) & (F.col("w") > 0)
         own = [*(F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(columns)), (F.col(offset).cast("double") if offset else F.lit(0.0)).alias("o"), (F.col(fold).cast("int") if fold else F.lit(0)).alias("fold")]
-        rows = df.where("w > 0")
-        stops = rows.select(strata.alias("strata"), F.col("stop").cast("double").alias("at"), *own, F.col("w").alias("sw"), F.when(event, F.col("w")).otherwise(0.0).alias("ew"), F.when(event, 1.0).otherwise(0.0).alias("n"))
-        starts = rows.where(F.col("start") > float("-inf")).select(strata.alias("strata"), F.col("start").cast("double").alias("at"), *own, (-F.col("w")).alias("sw"), F.lit(0.0).alias("ew"), F.lit(0.0).alias("n"))
+        bad = F.col("bad") if "bad" in df.columns else F.lit(0)
+        w, zero = F.col("w").cast("double"), F.lit(0.0)
+        names = ("at", "sw", "ew", "n", "rw", "bad")
+        entry = lambda *v: F.struct(*(x.cast("double").alias(k) for k, x in zip(names, v, strict=True)))
+        stop = entry(F.col("stop"), w, F.when(event, w).otherwise(0.0), F.when(event, 1.0).otherwise(0.0), w, bad)
+        start = entry(F.col("start"), -w, zero, zero, zero, zero)
+        cells = F.when(F.col("start") > float("-inf"), F.array(stop, start)).otherwise(F.array(stop))
         same = ["strata", "at", *(f"x{k}" for k in range(len(columns))), "o", "fold"]
-        entries = stops.union(starts).groupBy(*same).agg(*(F.sum(c).alias(c) for c in ("sw", "ew", "n")))
-        rows_in = df.count()
-        cores = df.sparkSession.sparkContext.defaultParallelism
+        return df.where((F.col("w") > 0) | (bad > 0)).select(strata.alias("strata"), *own, F.inline(cells)).groupBy(*same).agg(*(F.sum(c).alias(c) for c in names[1:]))
+
+    @classmethod
+    def dealt(cls, entries: DataFrame, p: int, tie: str, rows_in: int) -> RiskSets:
+        """Entries of p columns dealt out to tasks by what number of rows or entries is given."""
+        same = ["strata", "at", *(f"x{k}" for k in range(p)), "o", "fold"]
+        cores = entries.sparkSession.sparkContext.defaultParallelism
         tasks = int(min(max(min(rows_in // LEAST_ROWS, cores), rows_in // MOST_ROWS, 1), MOST_TASKS))
         # entries of a tie differ in a column, the offset or the fold, so hashes of these part it
         dealt = entries.withColumn("salt", F.xxhash64(*same[2:])).repartitionByRange(tasks, "strata", F.desc("at"), "salt").sortWithinPartitions("strata", F.desc("at"))

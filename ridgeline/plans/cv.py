@@ -191,7 +191,7 @@ def _glm_cv(dealt: FeatureFrame, response: Response, n_folds: int, options: Opti
     data.table, data.more = data.with_column("fold"), ("fold",)
     data.keep()
     try:
-        rows = {r["fold"]: r["w"] for r in data.table.groupBy("fold").agg(F.sum("w").alias("w")).collect()}
+        rows = data.fold_weights()
         held = np.array([rows.get(f) or 0.0 for f in range(n_folds)])
         full = _full_losses(data, held)
         grid = _grid(options, _glm_path(data, replace(options, lmda_path=None, lmda_path_size=1)).lmda_max)

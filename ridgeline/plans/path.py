@@ -606,7 +606,13 @@ class GlmData:
         ``by``: rows may be added up that are equal in all that a fit reads and in these columns (None: they may not)."""
         self.alike = 0
         self.frame, self.response, self.family, self.options = frame, response, response.family, options or Options()
+        self.K = len(response.y) if getattr(self.family, "multi", False) else 1
+        self.more: tuple[str, ...] = ()
+        self._sets: RiskSets | None = None
         values, w = _inputs(frame, response)
+        if isinstance(self.family, Cox) and by is not None and len(values) <= NATIVE_SUMS:
+            self._lay_out(values, w, tuple(by))
+            return
         if len(values) <= NATIVE_SUMS:
             known = [F.when(w > 0, w * x.cast("double")).otherwise(0.0) for x in frame.columns] if centred else []
             of = [*values, *(F.col(c) for c in by)]
@@ -620,13 +626,37 @@ class GlmData:
         refuse(bad)
         self.w, self.tasks = w / float(total or 1.0), None
         self.centers = np.array([x or 0.0 for x in row[2:]]) / total if centred and total else np.zeros(frame.p)
-        self.K = len(response.y) if getattr(self.family, "multi", False) else 1
         if self.family.name == "multinomial" and self.K < 2:
             raise ValueError("multinomial needs at least 2 classes")
-        self.more: tuple[str, ...] = ()
-        self._sets: RiskSets | None = None
         self.table = self._table()
 
+    def _lay_out(self, values: Sequence[Column], w: Column, by: tuple[str, ...]) -> None:
+        """Entries of a Cox fit in one pass over the rows; weights, means and soundness are read off the entries."""
+        p, names = self.frame.p, [f"x{k}" for k in range(self.frame.p)]
+        self.centers, self.w, self.tasks = np.zeros(p), w, None
+        self.more = (*by, "bad")
+        bad = F.when(sound(values, w), 0).otherwise(1)
+        self.frame, frame = replace(self.frame, df=self.frame.df.withColumn("bad", bad)), self.frame
+        entries = RiskSets.entries(self._table(), names, "o0" if self.response.offsets else None, "fold" if "fold" in by else None).persist()
+        self.frame, self.more = frame, by
+        n, total, bad, *sums = entries.agg(F.count("*"), F.sum("rw"), F.sum("bad"), *(F.sum(F.col("rw") * F.col(x)) for x in names)).first()
+        try:
+            refuse(bad)
+            self.w = w / float(total or 1.0)
+            self.centers = np.array([x or 0.0 for x in sums]) / total if total else np.zeros(p)
+            moved = [(F.col(x) - float(c) if c else F.col(x)).alias(x) for x, c in zip(names, self.centers, strict=True)]
+            scaled = [(F.col(c) / float(total or 1.0)).alias(c) for c in ("sw", "ew", "rw")]
+            self._sets = RiskSets.dealt(entries.select("strata", "at", *moved, "o", "fold", *scaled, "n"), p, self.family.tie, n)
+            self._sets.table.count()
+        finally:
+            entries.unpersist()
+        self.table = self._table()
+
+    def fold_weights(self) -> dict[int, float]:
+        """Weight of the rows of each fold."""
+        table, w = (self.table, "w") if self._sets is None else (self._sets.table, "rw")
+        return {r["fold"]: r["w"] for r in table.groupBy("fold").agg(F.sum(w).alias("w")).collect()}
+
     def _table(self) -> DataFrame:
         """The columns that a fit reads, under fixed names: x, then y (or the times and status), offsets and w. Rows of
         weight 0 may hold nulls, which then are 0."""
@@ -720,6 +750,8 @@ class GlmData:
         return float(base.agg(F.sum(loss)).first()[0] or 0.0)
 
     def loss_full(self) -> float:
+        if self._sets is not None:
+            return self._sets.answer([Ask(np.zeros(self.frame.p), np.zeros(1), [], [], slopes=False)])[0]["full"]
         if isinstance(self.family, Cox):
             return float(cox.loss_full(self.table, self.family.tie).first()[0])
         ys = [F.col(f"y{k}") for k in range(len(self.response.y))]

@@ -351,3 +351,25 @@ def test_equal_rows_are_added_up_before_the_steps(spark, monkeypatch):
     each = path.grpnet(frame, response, options), cv.cv_grpnet(frame, response, n_folds=2, options=options, folds="part")
     assert np.allclose(added[0].betas, each[0].betas, atol=1e-8) and np.allclose(added[0].devs, each[0].devs)
     assert np.allclose(added[1].losses, each[1].losses)
+
+
+def test_cox_fits_and_gradients_read_rows_a_bounded_number_of_times(spark):
+    rng = np.random.default_rng(9)
+    rows = [(float(s), float(s + d), int(e), float(x), 1.0, 0.1) for s, d, e, x in zip(rng.integers(0, 4, 200), rng.integers(1, 9, 200), rng.integers(0, 2, 200), rng.integers(0, 3, 200), strict=True)]
+    df = spark.createDataFrame(rows, "start double, stop double, status int, x double, w double, eta double").withColumn("strata", F.lit("a"))
+    ran = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            ran.add(b.num_rows)
+            yield b
+
+    counted = df.mapInArrow(seen, df.schema)
+    response = Response(family("cox", tie="breslow"), weight="w", start="start", stop="stop", status="status", strata="strata")
+    fit = path.grpnet(X.dense(counted, ["x"]), response, path.Options(lmda_path_size=3, early_exit=False))
+    assert len(fit.lmdas) == 3 and ran.value == 200
+    found = cox.gradient(counted).select("grad", "hess").collect()
+    assert len(found) == 200 and ran.value == 600
+    assert abs(sum(r["grad"] for r in found)) < 1e-9
+    with pytest.raises(ValueError, match="non-finite"):
+        path.grpnet(X.dense(df.withColumn("x", F.when(F.col("x") < 2, F.col("x"))), ["x"]), response)
