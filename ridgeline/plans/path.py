@@ -615,8 +615,8 @@ class GlmData:
             return
         if len(values) <= NATIVE_SUMS:
             known = [F.when(w > 0, w * x.cast("double")).otherwise(0.0) for x in frame.columns] if centred else []
-            of = [*values, *(F.col(c) for c in by)]
-            shape = [F.count("*"), F.approx_count_distinct(F.xxhash64(*of))] if by is not None and not isinstance(self.family, Cox) else [F.lit(0), F.lit(0)]
+            counted = by is not None and not isinstance(self.family, Cox)
+            shape = [F.count("*"), F.approx_count_distinct(F.xxhash64(*values, *map(F.col, by)))] if counted else [F.lit(0), F.lit(0)]
             row = frame.df.agg(*shape, F.sum(w), F.count_if(~sound(values, w)), *map(F.sum, known)).first()
             n, distinct, row = row[0], row[1], row[2:]
             self.alike = distinct if distinct * ALIKE <= n else 0

@@ -373,3 +373,31 @@ def test_cox_fits_and_gradients_read_rows_a_bounded_number_of_times(spark):
     assert abs(sum(r["grad"] for r in found)) < 1e-9
     with pytest.raises(ValueError, match="non-finite"):
         path.grpnet(X.dense(df.withColumn("x", F.when(F.col("x") < 2, F.col("x"))), ["x"]), response)
+
+
+#: Rows that are equal more often than ``path.ALIKE``, which diagnostics must not add up, and a given fit of them.
+SAME = [(float(k % 3), float(k % 2), float(k % 6 == 1), 1.0 + k % 2) for k in range(96)]
+
+
+def given_fit(spark):
+    frame = X.dense(spark.createDataFrame(SAME, "a double, b double, y double, w double").repartition(3), ["a", "b"])
+    fit = path.PathResult(np.array([0.2, 0.1]), np.array([[0.0, 0.0], [0.25, -0.5]]), np.array([[0.3], [0.1]]), np.zeros(2), ["a", "b"], [0, 1], [1, 1], np.array([1.0, 2.0]), 0.5, duals=[{}, {}])
+    return frame, Response(Binomial(), ("y",), "w"), fit
+
+
+def by_hand(fit):
+    """(rows, weights that sum to 1, etas and residuals by value) of ``SAME``."""
+    rows = np.array(SAME)
+    w = rows[:, 3] / rows[:, 3].sum()
+    etas = rows[:, :2] @ fit.betas.T + fit.intercepts.ravel()
+    return rows, w, etas, w[:, None] * (rows[:, 2:3] - 1 / (1 + np.exp(-etas)))
+
+
+def test_gradients_of_a_given_fit_over_equal_rows(spark):
+    frame, response, fit = given_fit(spark)
+    rows, _, _, resid = by_hand(fit)
+    d = diagnostic.Diagnostic(frame, response, fit)
+    want = resid.T @ rows[:, :2]
+    ridge = fit.lmdas[:, None] * 0.5 * fit.penalty * fit.betas
+    assert np.allclose(d.gradients, want, atol=1e-12) and np.allclose(d.gradient_norms, np.abs(want - ridge), atol=1e-12)
+    assert np.allclose(d.gradient_scores, np.abs(want - ridge) / (0.5 * fit.penalty), atol=1e-12)
