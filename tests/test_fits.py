@@ -401,3 +401,12 @@ def test_gradients_of_a_given_fit_over_equal_rows(spark):
     ridge = fit.lmdas[:, None] * 0.5 * fit.penalty * fit.betas
     assert np.allclose(d.gradients, want, atol=1e-12) and np.allclose(d.gradient_norms, np.abs(want - ridge), atol=1e-12)
     assert np.allclose(d.gradient_scores, np.abs(want - ridge) / (0.5 * fit.penalty), atol=1e-12)
+
+
+def test_kkt_table_tells_a_fit_from_one_that_is_moved(spark):
+    frame, response, _ = given_fit(spark)
+    fit = path.grpnet(frame, response, path.Options(lmda_path=[0.05, 0.01], early_exit=False, irls_tol=1e-12))
+    report = diagnostic.Diagnostic(frame, response, fit).kkt_table(spark).collect()
+    assert len(report) == 4 and all(r["ok"] for r in report) and any(r["active"] for r in report)
+    moved = diagnostic.Diagnostic(frame, response, replace(fit, intercepts=fit.intercepts + 1.0)).kkt_table(spark)
+    assert not all(r["ok"] for r in moved.collect())
