@@ -410,3 +410,12 @@ def test_kkt_table_tells_a_fit_from_one_that_is_moved(spark):
     assert len(report) == 4 and all(r["ok"] for r in report) and any(r["active"] for r in report)
     moved = diagnostic.Diagnostic(frame, response, replace(fit, intercepts=fit.intercepts + 1.0)).kkt_table(spark)
     assert not all(r["ok"] for r in moved.collect())
+
+
+def test_objective_of_a_given_fit_over_equal_rows(spark):
+    frame, response, fit = given_fit(spark)
+    rows, w, etas, _ = by_hand(fit)
+    loss = w @ (np.logaddexp(0, etas) - rows[:, 2:3] * etas)
+    penalty = np.array([lmda * np.sum(fit.penalty * (0.5 * np.abs(b) + 0.25 * b**2)) for lmda, b in zip(fit.lmdas, fit.betas, strict=True)])
+    assert np.allclose(diagnostic.objective(frame, response, fit), loss + penalty, atol=1e-12)  # the saturated loss of 0s and 1s is 0
+    assert np.allclose(diagnostic.objective(frame, response, fit, add_penalty=False), loss, atol=1e-12)
