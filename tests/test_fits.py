@@ -419,3 +419,15 @@ def test_objective_of_a_given_fit_over_equal_rows(spark):
     penalty = np.array([lmda * np.sum(fit.penalty * (0.5 * np.abs(b) + 0.25 * b**2)) for lmda, b in zip(fit.lmdas, fit.betas, strict=True)])
     assert np.allclose(diagnostic.objective(frame, response, fit), loss + penalty, atol=1e-12)  # the saturated loss of 0s and 1s is 0
     assert np.allclose(diagnostic.objective(frame, response, fit, add_penalty=False), loss, atol=1e-12)
+
+
+def test_plot_tables_of_a_fitted_path(spark):
+    frame, response, _ = given_fit(spark)
+    response = replace(response, family=Gaussian())
+    fit = path.grpnet(frame, response, path.Options(lmda_path=[1.0, 0.02, 0.01], early_exit=False))
+    d = diagnostic.Diagnostic(frame, response, fit)
+    devs, sizes = (sorted(t.collect()) for t in (d.devs_table(spark), d.set_sizes_table(spark)))
+    assert [r["lmda_idx"] for r in devs] == [0, 1, 2] and np.allclose([r["dev"] for r in devs], fit.devs)
+    assert [r["active_size"] for r in sizes] == [int(np.count_nonzero(b)) for b in fit.betas] and sizes[0]["active_size"] == 0
+    betas = {(r["lmda_idx"], r["feature"]): r["beta"] for r in d.coefficients_table(spark).collect()}
+    assert all(betas.get((i, n), 0.0) == pytest.approx(fit.betas[i][j]) for i in range(3) for j, n in enumerate("ab"))
