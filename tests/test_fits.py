@@ -431,3 +431,20 @@ def test_plot_tables_of_a_fitted_path(spark):
     assert [r["active_size"] for r in sizes] == [int(np.count_nonzero(b)) for b in fit.betas] and sizes[0]["active_size"] == 0
     betas = {(r["lmda_idx"], r["feature"]): r["beta"] for r in d.coefficients_table(spark).collect()}
     assert all(betas.get((i, n), 0.0) == pytest.approx(fit.betas[i][j]) for i in range(3) for j, n in enumerate("ab"))
+
+
+@pytest.mark.parametrize("name", ["gaussian", "binomial", "cox"])
+def test_residuals_give_every_row_though_rows_are_equal(spark, name):
+    frame, response, fit = given_fit(spark)
+    rows, w, etas, resid = by_hand(fit)
+    if name == "cox":  # all weight falls at one time: each event less its share of the risk
+        frame = replace(frame, df=frame.df.withColumn("t", F.lit(1.0)).withColumn("e", F.col("y").cast("int")))
+        risk = w * np.exp(etas[:, 1])
+        want = w * rows[:, 2] - risk / risk.sum() * (w @ rows[:, 2])
+        response = Response(family("cox", tie="breslow"), weight="w", stop="t", status="e")
+    else:
+        want = resid[:, 1] if name == "binomial" else w * (rows[:, 2] - etas[:, 1])
+        response = replace(response, family=Binomial() if name == "binomial" else Gaussian())
+    found = [(r["x0"], r["x1"], r["resid_0"]) for r in diagnostic.residuals(frame, response, fit, 1).collect()]
+    assert len(found) == len(SAME)
+    assert np.allclose(sorted(r for *_, r in found), sorted(want), atol=1e-12)
